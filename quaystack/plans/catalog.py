@@ -150,3 +150,186 @@ def gold_type_size_summary(spark, sf):
 def kpi_document(spark, sf):
     s = ctx.silver(spark, sf)
     return gold.kpi_document(s.clean, s.report, MAXH)
+
+
+# --- location and yard ------------------------------------------------------------
+from quaystack.functions import flags, location  # noqa: E402
+from quaystack.functions.parse import size_or_default  # noqa: E402
+from quaystack.operators import yard  # noqa: E402
+
+Y = ctx.YARD
+
+
+def _yard_parts(spark, sf):
+    occ = ctx.occupancy(spark, sf)
+    return ctx.yards(spark, sf), yard.blocks_dim(spark, Y), occ
+
+
+@query("slot_split")
+def slot_split(spark, sf):
+    c = ctx.clean(spark, sf)
+    parts = location.split_slot("slot")
+    return (c.select("id", *[v.alias(k) for k, v in parts.items()])
+            .filter(F.col("n_parts") >= 4).drop("n_parts"))
+
+
+@query("location_parse")
+def location_parse(spark, sf):
+    return yard.with_location(ctx.clean(spark, sf), Y).select("id", "block_id", "bay", "row", "tier")
+
+
+@query("location_format")
+def location_format(spark, sf):
+    occ = ctx.occupancy(spark, sf)
+    return occ.select("id", location.format_location("block_id", "bay", "row", "tier").alias("location"))
+
+
+@query("slot_tier")
+def slot_tier(spark, sf):
+    return ctx.clean(spark, sf).select("id", location.slot_tier("slot").alias("tier_safe"))
+
+
+@query("size_coerce")
+def size_coerce(spark, sf):
+    return ctx.raw(spark, sf).select("id", size_or_default("size").alias("size_int"))
+
+
+@query("heavy_flag")
+def heavy_flag(spark, sf):
+    return ctx.clean(spark, sf).select("id", flags.is_heavy("weight").alias("is_heavy"))
+
+
+@query("urgent_flag")
+def urgent_flag(spark, sf):
+    return ctx.clean(spark, sf).select("id", flags.is_urgent("weight").alias("is_urgent"))
+
+
+@query("days_to_departure")
+def days_to_departure(spark, sf):
+    return ctx.clean(spark, sf).select("id", flags.days_until("departure_time").alias("days"))
+
+
+@query("departure_display")
+def departure_display(spark, sf):
+    return ctx.occupancy(spark, sf).select(
+        "id", F.date_format("departure_time", "yyyy-MM-dd HH:mm").alias("departure_display"))
+
+
+@query("slot_grid")
+def slot_grid(spark, sf):
+    ys, b, _ = _yard_parts(spark, sf)
+    return yard.slot_grid(ys, b, Y).select(*yard.SLOT)
+
+
+@query("block_layout")
+def block_layout(spark, sf):
+    return yard.block_layout(ctx.yards(spark, sf), Y)
+
+
+@query("slot_conflicts")
+def slot_conflicts(spark, sf):
+    return ctx.occupancy(spark, sf).select(*yard.SLOT, "id")
+
+
+@query("free_slots")
+def free_slots(spark, sf):
+    return yard.free_slots(*_yard_parts(spark, sf), Y).select(*yard.SLOT)
+
+
+@query("yard_state")
+def yard_state(spark, sf):
+    return yard.yard_state(*_yard_parts(spark, sf), Y).select(
+        *yard.SLOT, "location", "is_free", "id", "size", "weight", "type",
+        ctx.ts_text("departure_time").alias("departure_time"))
+
+
+@query("status_class")
+def status_class(spark, sf):
+    st = yard.yard_state(*_yard_parts(spark, sf), Y)
+    return st.select(*yard.SLOT, flags.status_class("id", "type", "weight").alias("status"))
+
+
+@query("pile_heights")
+def pile_heights(spark, sf):
+    ys, b, occ = _yard_parts(spark, sf)
+    return yard.all_piles(ys, b, occ, Y).select(*yard.PILE, "height", "is_full")
+
+
+@query("top_free_slot")
+def top_free_slot(spark, sf):
+    ys, b, occ = _yard_parts(spark, sf)
+    return yard.all_piles(ys, b, occ, Y).filter(~F.col("is_full")).select(*yard.PILE, "top_free_tier")
+
+
+@query("pile_sizes")
+def pile_sizes(spark, sf):
+    st = yard.pile_stats(ctx.occupancy(spark, sf), Y)
+    return st.select(*yard.PILE, F.array_join(F.col("sizes").cast("array<string>"), ",").alias("sizes"),
+                     (F.size("sizes") > 1).alias("mixed"))
+
+
+@query("block_occupancy")
+def block_occupancy(spark, sf):
+    return yard.block_occupancy(*_yard_parts(spark, sf), Y).select(
+        "yard_id", "block_id", "used", "capacity", "occupancy", "occupancy_pct", "band", "detail_alert")
+
+
+@query("occupancy_band")
+def occupancy_band_q(spark, sf):
+    return yard.block_occupancy(*_yard_parts(spark, sf), Y).select("yard_id", "block_id", "band")
+
+
+@query("yard_kpis")
+def yard_kpis(spark, sf):
+    return yard.yard_kpis(ctx.yards(spark, sf), ctx.occupancy(spark, sf), Y)
+
+
+@query("yard_alerts")
+def yard_alerts(spark, sf):
+    k = yard.yard_kpis(ctx.yards(spark, sf), ctx.occupancy(spark, sf), Y)
+    from quaystack.functions.parse import round_half_up
+    return k.select("yard_id", F.col("used_slots").alias("filled"),
+                    round_half_up(F.col("used_slots") * 100.0 / F.col("total_capacity"), 1).alias("occupancy_pct"),
+                    F.col("yard_alert").cast("int").alias("alerts"))
+
+
+@query("placed_type_mix")
+def placed_type_mix(spark, sf):
+    return ctx.occupancy(spark, sf).groupBy("type").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("layout_bounds")
+def layout_bounds(spark, sf):
+    lay = yard.block_layout(ctx.yards(spark, sf), Y)
+    return lay.groupBy("yard_id").agg(
+        F.min(F.col("x") - F.col("width") / 2).alias("min_x"),
+        F.max(F.col("x") + F.col("width") / 2).alias("max_x"),
+        F.min(F.col("y") - F.col("length") / 2).alias("min_z"),
+        F.max(F.col("y") + F.col("length") / 2).alias("max_z"))
+
+
+@query("slot_distance")
+def slot_distance(spark, sf):
+    ys, b, _ = _yard_parts(spark, sf)
+    return yard.pile_grid(ys, b, Y).select(*yard.PILE, yard.distance(Y).alias("distance"))
+
+
+@query("slot_position")
+def slot_position(spark, sf):
+    ys, b, occ = _yard_parts(spark, sf)
+    return yard.slot_position(occ, b, Y)
+
+
+@query("risk_grid")
+def risk_grid(spark, sf):
+    r = gold.rehandle_risk(ctx.clean(spark, sf), MAXH).filter(F.col("is_rehandle_risk") == 1)
+    p = r.groupBy("yard_id").pivot("block_id", ["A", "B", "C", "D"]).agg(F.count(F.lit(1)))
+    return p.select("yard_id", *[F.coalesce(F.col(b), F.lit(0)).alias(f"risk_{b.lower()}")
+                                 for b in ["A", "B", "C", "D"]])
+
+
+@query("yard_state_nested")
+def yard_state_nested(spark, sf):
+    ys, b, occ = _yard_parts(spark, sf)
+    st = yard.yard_state(ys, b, occ, Y)
+    return yard.yard_state_nested(st, yard.all_piles(ys, b, occ, Y))

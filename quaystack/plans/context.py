@@ -36,3 +36,27 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def iso(c) -> F.Column:
     return F.date_format(F.col(c), ISO_FORMAT)
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot records: clean rows of the snapshot batch (they carry slots)."""
+    return clean(spark, sf_dir).filter(F.col("batch") == "snapshot")
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrival records: every other clean row, without a slot."""
+    return (clean(spark, sf_dir).filter(F.col("batch") == "arrivals")
+            .withColumn("slot", F.lit(None).cast("string")))
+
+
+CLEAN_ORDER = FIXTURE_ORDER + ["_rk"]
+
+
+def occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaystack.operators import yard
+    return yard.occupancy(snapshot(spark, sf_dir), YARD, CLEAN_ORDER)
+
+
+def yards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quaystack.operators import yard
+    return yard.yards_of(clean(spark, sf_dir))

@@ -11,6 +11,16 @@ from quaystack.schema import FIXTURE_YARD
 from quaystack.sources.fixtures import raw_select_sql
 
 MAXH = FIXTURE_YARD.max_height
+NBAYS = FIXTURE_YARD.n_bays
+NROWS = FIXTURE_YARD.n_rows
+BLOCK_LIST = ", ".join(f"'{b}'" for b in FIXTURE_YARD.block_ids)
+BLOCK_VALUES = ", ".join(f"('{b}', {i})" for i, b in enumerate(FIXTURE_YARD.block_ids))
+CAPACITY = FIXTURE_YARD.capacity
+NPILES = FIXTURE_YARD.n_piles
+NB1 = float(max(1, FIXTURE_YARD.n_blocks - 1))
+NBAY1 = float(max(1, NBAYS - 1))
+NROW1 = float(max(1, NROWS - 1))
+DIST = f"(0.5 * block_index / {NB1} + 0.3 * (bay - 1) / {NBAY1} + 0.2 * (row - 1) / {NROW1})"
 TS = "'%Y-%m-%d %H:%M:%S'"
 ISO = "'%Y-%m-%dT%H:%M:%S'"
 
@@ -81,6 +91,58 @@ risk AS (
   FROM piled
   WINDOW w AS (PARTITION BY tier IS NULL, yard_id, block_id, bay, row
                ORDER BY tier, departure_time, id)
+),
+snapshot AS (SELECT * FROM silver WHERE batch = 'snapshot'),
+arrivals AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS slot) FROM silver WHERE batch = 'arrivals'),
+snaploc AS (SELECT *, {loc_cols('slot')} FROM snapshot),
+occ AS (
+  SELECT yard_id, block_id, bay, row, tier, id, size, weight, type, departure_time FROM (
+    SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier
+                                 ORDER BY departure_time, _o_price, _o_supp, _o_part, weight) AS _rn
+    FROM snaploc
+    WHERE block_id IN ({BLOCK_LIST}) AND bay BETWEEN 1 AND {NBAYS} AND row BETWEEN 1 AND {NROWS}
+      AND tier BETWEEN 1 AND {MAXH}) WHERE _rn = 1
+),
+yards AS (SELECT DISTINCT yard_id FROM silver),
+blocks AS (SELECT * FROM (VALUES {BLOCK_VALUES}) t(block_id, block_index)),
+piles AS (SELECT yards.yard_id, blocks.block_id, blocks.block_index, b.bay, r.row
+          FROM yards, blocks, range(1, {NBAYS} + 1) b(bay), range(1, {NROWS} + 1) r(row)),
+slots AS (SELECT piles.*, t.tier FROM piles, range(1, {MAXH} + 1) t(tier)),
+layout AS (
+  SELECT yard_id, block_id,
+         CAST({-(2 * NROWS * 2.8 + 30.0) / 2.0 + NROWS * 2.8 / 2.0} AS DOUBLE)
+           + gc * CAST({NROWS * 2.8 + 30.0} AS DOUBLE) AS x,
+         CAST({-(2 * NBAYS * 6.4 + 20.0) / 2.0 + NBAYS * 6.4 / 2.0} AS DOUBLE)
+           + gr * CAST({NBAYS * 6.4 + 20.0} AS DOUBLE) AS y,
+         CAST({NROWS * 2.8} AS DOUBLE) AS width, CAST({NBAYS * 6.4} AS DOUBLE) AS length,
+         CAST(0.0 AS DOUBLE) AS rotation
+  FROM (SELECT yards.yard_id, blocks.block_id,
+               CASE block_id WHEN 'A' THEN 1 WHEN 'B' THEN 1 WHEN 'C' THEN 0 WHEN 'D' THEN 0
+                             WHEN 'S1' THEN 0 WHEN 'S2' THEN 1 ELSE block_index % 2 END AS gc,
+               CASE block_id WHEN 'A' THEN 0 WHEN 'B' THEN 1 WHEN 'C' THEN 0 WHEN 'D' THEN 1
+                             WHEN 'S1' THEN 2 WHEN 'S2' THEN 2 ELSE block_index // 2 + 1 END AS gr
+        FROM yards, blocks)
+),
+pstats AS (
+  SELECT yard_id, block_id, bay, row, count(*) AS height, max(tier) AS top_tier,
+         min(departure_time) AS min_departure, list_sort(list_distinct(list(size))) AS sizes,
+         arg_max(weight, tier) AS top_weight, list(tier) AS tiers
+  FROM occ GROUP BY yard_id, block_id, bay, row
+),
+allpiles AS (
+  SELECT p.yard_id, p.block_id, p.block_index, p.bay, p.row,
+         coalesce(s.height, 0) AS height, coalesce(s.top_tier, 0) AS top_tier,
+         CASE WHEN s.height IS NULL THEN 1
+              ELSE list_min(list_filter(range(1, {MAXH} + 1), lambda t: NOT list_contains(s.tiers, t))) END
+           AS top_free_tier,
+         coalesce(s.height, 0) >= {MAXH} AS is_full, s.min_departure, s.sizes, s.top_weight
+  FROM piles p LEFT JOIN pstats s USING (yard_id, block_id, bay, row)
+),
+state AS (
+  SELECT s.yard_id, s.block_id, s.bay, s.row, s.tier,
+         printf('%s-%03d-%s-%02d', s.block_id, s.bay, chr(CAST(s.row + 64 AS INTEGER)), s.tier) AS location,
+         o.id IS NULL AS is_free, o.id, o.size, o.weight, o.type, o.departure_time
+  FROM slots s LEFT JOIN occ o USING (yard_id, block_id, bay, row, tier)
 )
 """
 
@@ -152,3 +214,77 @@ q("gold_type_size_summary", f"""
 SELECT type, size, count(*) AS count, {rhu('avg(weight)', 2)} AS avg_weight_t,
        {rhu('min(weight)', 2)} AS min_weight_t, {rhu('max(weight)', 2)} AS max_weight_t
 FROM silver GROUP BY type, size""")
+
+# --- location and yard ------------------------------------------------------------
+q("slot_split", """
+SELECT id, string_split(slot, '-')[1] AS b_id, string_split(slot, '-')[2] AS bay_txt,
+       string_split(slot, '-')[3] AS row_txt, TRY_CAST(string_split(slot, '-')[4] AS INTEGER) AS tier
+FROM silver WHERE len(string_split(slot, '-')) >= 4""")
+q("location_parse", f"SELECT id, {loc_cols('slot')} FROM silver")
+q("location_format", "SELECT id, printf('%s-%03d-%s-%02d', block_id, bay, chr(CAST(row + 64 AS INTEGER)), tier) "
+                     "AS location FROM occ")
+q("slot_tier", "SELECT id, coalesce(TRY_CAST(string_split(slot, '-')[-1] AS INTEGER), 0) AS tier_safe FROM silver")
+q("size_coerce", "SELECT id, coalesce(TRY_CAST(trunc(TRY_CAST(size AS DOUBLE)) AS INTEGER), 20) AS size_int FROM raw")
+q("heavy_flag", "SELECT id, weight > 20.0 AS is_heavy FROM silver")
+q("urgent_flag", "SELECT id, weight > 25.0 AS is_urgent FROM silver")
+q("days_to_departure", "SELECT id, (epoch(departure_time) - epoch(TIMESTAMP '2026-03-04 14:00:00')) / 86400.0 "
+                       "AS days FROM silver")
+q("departure_display", "SELECT id, strftime(departure_time, '%Y-%m-%d %H:%M') AS departure_display FROM occ")
+q("slot_grid", "SELECT yard_id, block_id, bay, row, tier FROM slots")
+q("block_layout", "SELECT yard_id, block_id, x, y, width, length, rotation FROM layout")
+q("slot_conflicts", "SELECT yard_id, block_id, bay, row, tier, id FROM occ")
+q("free_slots", "SELECT yard_id, block_id, bay, row, tier FROM state WHERE is_free")
+q("yard_state", f"SELECT yard_id, block_id, bay, row, tier, location, is_free, id, size, weight, type, "
+                f"strftime(departure_time, {TS}) AS departure_time FROM state")
+q("status_class", """
+SELECT yard_id, block_id, bay, row, tier,
+       CASE WHEN id IS NULL THEN 'default' WHEN type = 'export' THEN 'scheduled'
+            WHEN weight > 25.0 THEN 'urgent' WHEN type = 'empty' THEN 'empty' ELSE 'normal' END AS status
+FROM state""")
+q("pile_heights", "SELECT yard_id, block_id, bay, row, height, is_full FROM allpiles")
+q("top_free_slot", "SELECT yard_id, block_id, bay, row, top_free_tier FROM allpiles WHERE NOT is_full")
+q("pile_sizes", "SELECT yard_id, block_id, bay, row, array_to_string(sizes, ',') AS sizes, len(sizes) > 1 AS mixed "
+                "FROM pstats")
+BLOCK_OCC = f"""
+SELECT yards.yard_id, blocks.block_id, CAST(coalesce(u.used, 0) AS BIGINT) AS used,
+       CAST({NBAYS * NROWS * MAXH} AS BIGINT) AS capacity
+FROM yards CROSS JOIN blocks
+LEFT JOIN (SELECT yard_id, block_id, count(*) AS used FROM occ GROUP BY ALL) u
+  ON u.yard_id = yards.yard_id AND u.block_id = blocks.block_id"""
+BAND = ("CASE WHEN used * 100.0 / capacity > 90.0 THEN 'red' "
+        "WHEN used * 100.0 / capacity > 70.0 THEN 'amber' ELSE 'green' END")
+q("block_occupancy", f"""
+SELECT yard_id, block_id, used, capacity, {rhu('used / capacity', 4)} AS occupancy,
+       {rhu('used * 100.0 / capacity', 1)} AS occupancy_pct, {BAND} AS band,
+       used * 100.0 / capacity > 80.0 AS detail_alert
+FROM ({BLOCK_OCC})""")
+q("occupancy_band", f"SELECT yard_id, block_id, {BAND} AS band FROM ({BLOCK_OCC})")
+YARD_USED = """SELECT yards.yard_id, CAST(coalesce(u.used, 0) AS BIGINT) AS used_slots FROM yards
+LEFT JOIN (SELECT yard_id, count(*) AS used FROM occ GROUP BY yard_id) u USING (yard_id)"""
+q("yard_kpis", f"""
+SELECT yard_id, used_slots, CAST({CAPACITY} AS BIGINT) AS total_capacity,
+       {rhu(f'used_slots / {float(CAPACITY)}', 4)} AS occupancy_rate,
+       {rhu(f'used_slots / {float(NPILES)}', 4)} AS average_stack_height,
+       used_slots > {CAPACITY * 0.8} AS yard_alert
+FROM ({YARD_USED})""")
+q("yard_alerts", f"""
+SELECT yard_id, used_slots AS filled, {rhu(f'used_slots * 100.0 / {CAPACITY}', 1)} AS occupancy_pct,
+       CAST(used_slots > {CAPACITY * 0.8} AS INTEGER) AS alerts
+FROM ({YARD_USED})""")
+q("placed_type_mix", "SELECT type, count(*) AS cnt FROM occ GROUP BY type")
+q("slot_distance", f"SELECT yard_id, block_id, bay, row, {DIST} AS distance FROM piles")
+q("slot_position", f"""
+SELECT id, yard_id, block_id, bay, row, tier,
+       l.x + (row - 1 - CAST({NROWS / 2} AS DOUBLE) + CAST(0.5 AS DOUBLE)) * CAST(2.8 AS DOUBLE) AS pos_x,
+       (tier - 1) * CAST(2.6 AS DOUBLE) + CAST(1.3 AS DOUBLE) AS pos_y,
+       l.y + (bay - 1 - CAST({NBAYS / 2} AS DOUBLE) + CAST(0.5 AS DOUBLE)) * CAST(6.4 AS DOUBLE) AS pos_z
+FROM occ JOIN (SELECT DISTINCT block_id, x, y FROM layout) l USING (block_id)""")
+q("risk_grid", """
+SELECT yard_id,
+       count(*) FILTER (WHERE block_id = 'A') AS risk_a, count(*) FILTER (WHERE block_id = 'B') AS risk_b,
+       count(*) FILTER (WHERE block_id = 'C') AS risk_c, count(*) FILTER (WHERE block_id = 'D') AS risk_d
+FROM risk WHERE is_rehandle_risk = 1 GROUP BY yard_id""")
+q("layout_bounds", """
+SELECT yard_id, min(x - width / 2) AS min_x, max(x + width / 2) AS max_x,
+       min(y - length / 2) AS min_z, max(y + length / 2) AS max_z
+FROM layout GROUP BY yard_id""")

@@ -88,8 +88,12 @@ def main():
     for n in names:
         if n not in sqls:
             t0 = time.time()
-            cnt = qs[n](spark, sf_dir).count()
-            print(f"ROW {n:32s} rows={cnt} (no oracle) {time.time() - t0:.1f}s", flush=True)
+            try:
+                cnt = qs[n](spark, sf_dir).count()
+                print(f"ROW {n:32s} rows={cnt} (no oracle) {time.time() - t0:.1f}s", flush=True)
+            except Exception as e:
+                print(f"ERR {n}: {type(e).__name__}: {str(e)[:400]}", flush=True)
+                bad.append(n)
             continue
         try:
             if not compare(spark, con, n, qs[n], sqls[n], sf_dir):

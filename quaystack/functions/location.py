@@ -19,20 +19,31 @@ def format_location(block, bay, row, tier) -> Column:
                            F.chr(as_col(row) + F.lit(64)), as_col(tier))
 
 
+def location_parts(loc) -> Column:
+    """The four location parts as an array (null when the text does not
+    match). One regex rewrite to ``block|bay|row|tier`` and one split, so
+    the pattern is evaluated once per row however many fields are used."""
+    text = F.upper(F.trim(as_col(loc)))
+    return F.when(text.rlike(LOCATION_PATTERN),
+                  F.split(F.regexp_replace(text, LOCATION_PATTERN, "$1|$2|$3|$4"), "[|]"))
+
+
+def parts_to_location(parts, max_height: int) -> Column:
+    """Struct(block_id, bay, row, tier) from ``location_parts``; null when
+    the tier is outside 1..max_height."""
+    parts = as_col(parts)
+    tier = F.get(parts, 3).try_cast("int")
+    return F.when(tier.between(1, max_height), F.struct(
+        F.get(parts, 0).alias("block_id"), F.get(parts, 1).try_cast("int").alias("bay"),
+        (F.ascii(F.get(parts, 2)) - F.lit(64)).alias("row"), tier.alias("tier")))
+
+
 def parse_location(loc, max_height: int) -> Column:
     """Struct(block_id, bay, row, tier) or null when invalid.
 
     Null when the text does not match, or the tier is outside 1..max_height.
     """
-    text = F.upper(F.trim(as_col(loc)))
-    matched = text.rlike(LOCATION_PATTERN)
-    block = F.regexp_extract(text, LOCATION_PATTERN, 1)
-    bay = F.regexp_extract(text, LOCATION_PATTERN, 2).try_cast("int")
-    row = F.ascii(F.regexp_extract(text, LOCATION_PATTERN, 3)) - F.lit(64)
-    tier = F.regexp_extract(text, LOCATION_PATTERN, 4).try_cast("int")
-    ok = matched & tier.between(1, max_height)
-    return F.when(ok, F.struct(block.alias("block_id"), bay.alias("bay"),
-                               row.alias("row"), tier.alias("tier")))
+    return parts_to_location(location_parts(loc), max_height)
 
 
 def split_slot(slot) -> dict[str, Column]:

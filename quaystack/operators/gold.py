@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaystack.functions.location import parse_location
 from quaystack.functions.parse import epoch_seconds, round_half_up
 from quaystack.schema import ISO_FORMAT
 
@@ -75,11 +74,9 @@ def dwell_by_type(clean: DataFrame) -> DataFrame:
 
 def with_pile(df: DataFrame, max_height: int, slot_col: str = "slot") -> DataFrame:
     """Parsed location columns; rows whose slot does not parse get nulls."""
-    loc = parse_location(slot_col, max_height)
-    return (_with_yard(df).withColumn("_loc", loc)
-            .withColumn("block_id", F.col("_loc.block_id")).withColumn("bay", F.col("_loc.bay"))
-            .withColumn("row", F.col("_loc.row")).withColumn("tier", F.col("_loc.tier"))
-            .drop("_loc"))
+    from quaystack.operators.yard import YardSpec, with_location
+    spec = YardSpec(max_height=max_height)
+    return with_location(_with_yard(df), spec, slot_col)
 
 
 def rehandle_risk(clean: DataFrame, max_height: int) -> DataFrame:

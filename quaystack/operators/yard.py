@@ -88,10 +88,17 @@ def in_grid(spec: YardSpec) -> F.Column:
 
 
 def with_location(df: DataFrame, spec: YardSpec, slot_col: str = "slot") -> DataFrame:
+    """Add block_id, bay, row, tier parsed from the slot text.
+
+    The parsed struct is produced by a one-row ``inline`` generator: filters
+    on the parsed fields then stay above the generator instead of being
+    pushed below it with the regex inlined into every predicate, so the
+    pattern runs once per row.
+    """
+    keep = [c for c in df.columns if c not in ("block_id", "bay", "row", "tier")]
     loc = parse_location(slot_col, spec.max_height)
-    return (df.withColumn("_loc", loc).withColumn("block_id", F.col("_loc.block_id"))
-            .withColumn("bay", F.col("_loc.bay")).withColumn("row", F.col("_loc.row"))
-            .withColumn("tier", F.col("_loc.tier")).drop("_loc"))
+    g = df.select(*keep, F.inline(F.array(F.struct(loc.alias("_loc")))))
+    return g.select(*keep, *[F.col(f"_loc.{c}").alias(c) for c in ("block_id", "bay", "row", "tier")])
 
 
 CONTAINER_COLS = ["id", "size", "weight", "type", "departure_time"]

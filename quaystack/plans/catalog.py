@@ -333,3 +333,142 @@ def yard_state_nested(spark, sf):
     ys, b, occ = _yard_parts(spark, sf)
     st = yard.yard_state(ys, b, occ, Y)
     return yard.yard_state_nested(st, yard.all_piles(ys, b, occ, Y))
+
+
+# --- rules, scoring, placement ----------------------------------------------------
+from quaystack.operators import placement, rules  # noqa: E402
+from quaystack.schema import PROBE_DEPARTURE, PROBE_WEIGHT  # noqa: E402
+
+
+def _piles(spark, sf):
+    ys, b, occ = _yard_parts(spark, sf)
+    return yard.all_piles(ys, b, occ, Y)
+
+
+def _whatif(spark, sf):
+    zones = rules.zone_piles(_piles(spark, sf), Y)
+    arr = ctx.arrivals(spark, sf).select("id", "yard_id", "size", "weight", "departure_time")
+    return rules.top_k_slots(arr, zones)
+
+
+@query("zone_policy")
+def zone_policy(spark, sf):
+    loc = yard.with_location(ctx.clean(spark, sf), Y).filter(F.col("block_id").isNotNull())
+    z = rules.zone_of()
+    return loc.select("id", "size", "block_id", z.alias("zone"), z.isNotNull().alias("zone_ok"))
+
+
+@query("below_audit")
+def below_audit(spark, sf):
+    return rules.below_audit(ctx.occupancy(spark, sf)).select("id", "below_id", "would_rehandle")
+
+
+@query("rehandle_estimate")
+def rehandle_estimate(spark, sf):
+    return yard.pile_audits(ctx.occupancy(spark, sf)).select("id", "rehandles")
+
+
+@query("containers_above")
+def containers_above(spark, sf):
+    a = yard.pile_audits(ctx.occupancy(spark, sf))
+    return a.select("id", F.array_join("ids_above", ",").alias("ids_above"))
+
+
+@query("edd_violations")
+def edd_violations(spark, sf):
+    a = yard.pile_audits(ctx.occupancy(spark, sf))
+    return a.select("id", ctx.ts_text("min_departure_below").alias("min_departure_below"),
+                    F.coalesce(F.col("departure_time") > F.col("min_departure_below"), F.lit(False))
+                    .alias("edd_violation"))
+
+
+@query("weight_violations")
+def weight_violations(spark, sf):
+    a = yard.pile_audits(ctx.occupancy(spark, sf))
+    adj = F.col("below_tier") == F.col("tier") - 1
+    bw = F.when(adj, F.col("below_weight"))
+    return a.select("id", bw.alias("below_weight"),
+                    F.coalesce(F.col("weight") > bw, F.lit(False)).alias("weight_violation"))
+
+
+@query("apply_departures")
+def apply_departures(spark, sf):
+    occ = ctx.occupancy(spark, sf)
+    gate_out = occ.filter(F.col("departure_time") < F.lit("1996-07-01").cast("timestamp")).select("id")
+    return occ.join(gate_out, "id", "left_anti").select("id", *yard.SLOT)
+
+
+@query("slot_scores")
+def slot_scores(spark, sf):
+    return rules.slot_scores(yard.pile_audits(ctx.occupancy(spark, sf)), Y).select("id", "total_score")
+
+
+@query("score_breakdown")
+def score_breakdown(spark, sf):
+    return rules.slot_scores(yard.pile_audits(ctx.occupancy(spark, sf)), Y).select(
+        "id", "rehandle_score", "height_score", "distance_score", "weight_penalty", "total_score")
+
+
+@query("available_slots")
+def available_slots(spark, sf):
+    return rules.available(_piles(spark, sf))
+
+
+@query("available_slots_for_size")
+def available_slots_for_size(spark, sf):
+    return rules.available_for_probe(_piles(spark, sf), Y, PROBE_WEIGHT, PROBE_DEPARTURE)
+
+
+@query("valid_slots")
+def valid_slots(spark, sf):
+    """Per arrival: how many open piles each stage of the rules admits."""
+    zones = rules.zone_piles(_piles(spark, sf), Y)
+    arr = ctx.arrivals(spark, sf).select("id", "yard_id", "size", "weight", "departure_time")
+    return rules.stage_counts(arr, zones)
+
+
+@query("topk_slots")
+def topk_slots(spark, sf):
+    return rules.explode_top_k(_whatif(spark, sf))
+
+
+@query("best_slot_whatif")
+def best_slot_whatif(spark, sf):
+    return rules.explode_top_k(_whatif(spark, sf)).filter(F.col("rank") == 1).drop("rank")
+
+
+def _reconciled(spark, sf):
+    c = ctx.clean(spark, sf)
+    return c, placement.reconcile(c, Y, ctx.CLEAN_ORDER)
+
+
+@query("snapshot_outcomes")
+def snapshot_outcomes(spark, sf):
+    return _reconciled(spark, sf)[1].select("id", "outcome", "floating")
+
+
+def _batch(spark, sf):
+    c, out = _reconciled(spark, sf)
+    rescued = c.join(out.filter(F.col("outcome") != placement.PLACED).select("id"), "id", "left_semi")
+    positions = placement.open_positions(_piles_after(spark, sf, c, out), Y)
+    return placement.rank_zip(rescued.select("id", "yard_id", "size", "weight", "departure_time", "type"),
+                              positions), c, out
+
+
+def _piles_after(spark, sf, c, out):
+    placed = (out.filter(F.col("outcome") == placement.PLACED).select("id", *yard.SLOT)
+              .join(c.select("id", "size", "weight", "type", "departure_time"), "id"))
+    return yard.all_piles(ctx.yards(spark, sf), yard.blocks_dim(spark, Y), placed, Y)
+
+
+@query("batch_placement")
+def batch_placement(spark, sf):
+    z, _, _ = _batch(spark, sf)
+    return z.select("id", "outcome", "block_id", "bay", "row", "tier")
+
+
+@query("placement_report")
+def placement_report(spark, sf):
+    z, _, out = _batch(spark, sf)
+    u = out.select("outcome").unionByName(z.select("outcome"))
+    return u.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quaystack.operators import silver as silver_op
 from quaystack.schema import FIXTURE_YARD, ISO_FORMAT
-from quaystack.session import prepare
+from quaystack.session import materialise, prepare
 from quaystack.sources.fixtures import EXTRA_COLUMNS, FIXTURE_ORDER, arrivals_raw
 
 YARD = FIXTURE_YARD
@@ -25,9 +25,24 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrivals_raw(spark, sf_dir)
 
 
+_MATERIALISED: dict = {}
+
+
 def silver(spark: SparkSession, sf_dir: str, default_type: bool = False) -> silver_op.SilverResult:
-    return silver_op.process(raw(spark, sf_dir), FIXTURE_ORDER, keep=EXTRA_COLUMNS,
-                             default_type=default_type)
+    """The labelled silver frame, materialised once per session and input.
+
+    Like the pipeline's silver table, downstream gold / yard / placement
+    jobs read the stored result instead of re-deriving it: a reliable
+    checkpoint in the shared ``spark.checkpoint.dir`` (survives executor
+    loss and cuts the lineage, so Catalyst does not re-inline the raw
+    derivation into every downstream filter).
+    """
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, default_type)
+    if key not in _MATERIALISED:
+        res = silver_op.process(raw(spark, sf_dir), FIXTURE_ORDER, keep=EXTRA_COLUMNS,
+                                default_type=default_type)
+        _MATERIALISED[key] = materialise(res.labelled, "silver-labelled")
+    return silver_op.SilverResult(_MATERIALISED[key])
 
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:

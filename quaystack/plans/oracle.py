@@ -20,7 +20,26 @@ NPILES = FIXTURE_YARD.n_piles
 NB1 = float(max(1, FIXTURE_YARD.n_blocks - 1))
 NBAY1 = float(max(1, NBAYS - 1))
 NROW1 = float(max(1, NROWS - 1))
-DIST = f"(0.5 * block_index / {NB1} + 0.3 * (bay - 1) / {NBAY1} + 0.2 * (row - 1) / {NROW1})"
+
+
+def D(x) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+DIST = (f"({D(0.5)} * block_index / {D(NB1)} + {D(0.3)} * (bay - 1) / {D(NBAY1)} "
+        f"+ {D(0.2)} * (row - 1) / {D(NROW1)})")
+BIDX = "CASE block_id " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(FIXTURE_YARD.block_ids)) + " ELSE 0 END"
+from quaystack.schema import SIZE_POLICY  # noqa: E402
+ZONE = "CASE " + " ".join(
+    f"WHEN size = {sz} AND block_id IN ({', '.join(repr(b) for b in pol['primary'])}) THEN 'primary' "
+    f"WHEN size = {sz} AND block_id IN ({', '.join(repr(b) for b in pol['backup'])}) THEN 'backup'"
+    for sz, pol in SIZE_POLICY.items()) + " END"
+BLOCK_SIZE = "CASE " + " ".join(
+    f"WHEN block_id IN ({', '.join(repr(b) for b in pol['primary'] + pol['backup'])}) THEN {sz}"
+    for sz, pol in SIZE_POLICY.items()) + " END"
+BLOCK_PRIMARY = "p.block_id IN (" + ", ".join(
+    repr(b) for pol in SIZE_POLICY.values() for b in pol["primary"]) + ")"
+HTERM = f"CASE WHEN block_id IN ('S1', 'S2') THEN {D(-5.0)} * (tier - 1) ELSE {D(2.0)} * (tier - 1) END"
 TS = "'%Y-%m-%d %H:%M:%S'"
 ISO = "'%Y-%m-%dT%H:%M:%S'"
 
@@ -126,7 +145,8 @@ layout AS (
 pstats AS (
   SELECT yard_id, block_id, bay, row, count(*) AS height, max(tier) AS top_tier,
          min(departure_time) AS min_departure, list_sort(list_distinct(list(size))) AS sizes,
-         arg_max(weight, tier) AS top_weight, list(tier) AS tiers
+         arg_max(weight, tier) AS top_weight, list(tier) AS tiers,
+         list(departure_time ORDER BY tier) AS departures
   FROM occ GROUP BY yard_id, block_id, bay, row
 ),
 allpiles AS (
@@ -135,9 +155,49 @@ allpiles AS (
          CASE WHEN s.height IS NULL THEN 1
               ELSE list_min(list_filter(range(1, {MAXH} + 1), lambda t: NOT list_contains(s.tiers, t))) END
            AS top_free_tier,
-         coalesce(s.height, 0) >= {MAXH} AS is_full, s.min_departure, s.sizes, s.top_weight
+         coalesce(s.height, 0) >= {MAXH} AS is_full, s.min_departure, s.sizes, s.top_weight,
+         coalesce(s.departures, []) AS departures
   FROM piles p LEFT JOIN pstats s USING (yard_id, block_id, bay, row)
 ),
+audit AS (
+  SELECT o.id, o.yard_id, o.block_id, o.bay, o.row, o.tier, o.weight, o.departure_time,
+         count(b.id) FILTER (WHERE b.departure_time < o.departure_time) AS rehandles,
+         min(b.departure_time) AS min_departure_below,
+         max(b.weight) FILTER (WHERE b.tier = o.tier - 1) AS below_weight
+  FROM occ o LEFT JOIN occ b
+    ON b.yard_id = o.yard_id AND b.block_id = o.block_id AND b.bay = o.bay AND b.row = o.row
+   AND b.tier < o.tier
+  GROUP BY ALL
+),
+openp AS (
+  SELECT yard_id, block_id, block_index, bay, row, height, sizes, min_departure, top_weight, departures,
+         top_free_tier AS next_tier, {BLOCK_SIZE} AS zsize,
+         CASE WHEN block_id IN ('S1', 'S2') THEN {D(-5.0)} * (top_free_tier - 1)
+              ELSE {D(2.0)} * (top_free_tier - 1) END + {D(1.0)} * {DIST} AS static_score
+  FROM allpiles WHERE NOT is_full AND top_free_tier = height + 1 AND {BLOCK_SIZE} IS NOT NULL
+),
+cand AS (
+  SELECT a.id, a.yard_id, a.size, p.block_id, p.block_index AS bidx, p.bay, p.row, p.next_tier AS tier,
+         len(list_filter(p.departures, lambda d: d < a.departure_time)) AS rehandles,
+         {rhu(f"{D(3.0)} * len(list_filter(p.departures, lambda d: d < a.departure_time)) + p.static_score", 4)}
+           AS score,
+         CASE WHEN NOT (p.height = 0 OR len(p.sizes) = 0 OR list_contains(p.sizes, a.size)) THEN NULL
+              WHEN {BLOCK_PRIMARY} AND (p.height = 0 OR a.departure_time <= p.min_departure)
+                   AND (p.next_tier = 1 OR p.top_weight IS NULL OR a.weight <= p.top_weight) THEN 1
+              WHEN NOT {BLOCK_PRIMARY} AND (p.height = 0 OR a.departure_time <= p.min_departure)
+                   AND (p.next_tier = 1 OR p.top_weight IS NULL OR a.weight <= p.top_weight) THEN 2
+              WHEN {BLOCK_PRIMARY} AND (p.next_tier = 1 OR p.top_weight IS NULL OR a.weight <= p.top_weight)
+                   THEN 3
+              WHEN NOT {BLOCK_PRIMARY} THEN 4 END AS stage
+  FROM arrivals a JOIN openp p ON p.yard_id = a.yard_id AND p.zsize = a.size
+),
+topk AS (
+  SELECT id, yard_id, size, stage, rank, block_id, bay, row, tier, score, rehandles FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY id ORDER BY score, bidx, bay, row) AS rank
+    FROM cand c
+    WHERE stage = (SELECT min(stage) FROM cand c2 WHERE c2.id = c.id)
+  ) WHERE rank <= 10
+),
 state AS (
   SELECT s.yard_id, s.block_id, s.bay, s.row, s.tier,
          printf('%s-%03d-%s-%02d', s.block_id, s.bay, chr(CAST(s.row + 64 AS INTEGER)), s.tier) AS location,
@@ -288,3 +348,48 @@ q("layout_bounds", """
 SELECT yard_id, min(x - width / 2) AS min_x, max(x + width / 2) AS max_x,
        min(y - length / 2) AS min_z, max(y + length / 2) AS max_z
 FROM layout GROUP BY yard_id""")
+
+# --- rules, scoring, placement ------------------------------------------------------
+q("zone_policy", f"SELECT id, size, block_id, {ZONE} AS zone, {ZONE} IS NOT NULL AS zone_ok "
+                 "FROM piled WHERE block_id IS NOT NULL")
+q("below_audit", """
+SELECT o.id, b.id AS below_id, coalesce(o.departure_time > b.departure_time, false) AS would_rehandle
+FROM occ o LEFT JOIN occ b ON b.yard_id = o.yard_id AND b.block_id = o.block_id AND b.bay = o.bay
+ AND b.row = o.row AND b.tier = o.tier - 1""")
+q("rehandle_estimate", "SELECT id, rehandles FROM audit")
+q("containers_above", """
+SELECT o.id, coalesce(string_agg(b.id, ',' ORDER BY b.tier), '') AS ids_above
+FROM occ o LEFT JOIN occ b ON b.yard_id = o.yard_id AND b.block_id = o.block_id AND b.bay = o.bay
+ AND b.row = o.row AND b.tier > o.tier GROUP BY o.id""")
+q("edd_violations", f"SELECT id, strftime(min_departure_below, {TS}) AS min_departure_below, "
+                    "coalesce(departure_time > min_departure_below, false) AS edd_violation FROM audit")
+q("weight_violations", "SELECT id, below_weight, coalesce(weight > below_weight, false) AS weight_violation "
+                       "FROM audit")
+q("apply_departures", "SELECT id, yard_id, block_id, bay, row, tier FROM occ "
+                      "WHERE NOT (departure_time < TIMESTAMP '1996-07-01 00:00:00')")
+SCORES = f"""
+SELECT id, {D(3.0)} * rehandles AS rehandle_score, {HTERM} AS height_score,
+       {D(1.0)} * ({DIST.replace('block_index', BIDX)}) AS distance_score, {D(0.0)} AS weight_penalty
+FROM audit"""
+q("slot_scores", f"SELECT id, {rhu('rehandle_score + height_score + distance_score', 4)} AS total_score "
+                 f"FROM ({SCORES})")
+q("score_breakdown", f"SELECT *, {rhu('rehandle_score + height_score + distance_score', 4)} AS total_score "
+                     f"FROM ({SCORES})")
+q("available_slots", """
+SELECT yard_id, block_id, bay, row, top_free_tier AS tier, height AS stack_current_height,
+       printf('%s-%03d-%s-%02d', block_id, bay, chr(CAST(row + 64 AS INTEGER)), top_free_tier) AS localization
+FROM allpiles WHERE NOT is_full""")
+q("available_slots_for_size", f"""
+SELECT size, yard_id, block_id, bay, row, top_free_tier AS tier, height AS stack_current_height,
+       printf('%s-%03d-%s-%02d', block_id, bay, chr(CAST(row + 64 AS INTEGER)), top_free_tier) AS localization
+FROM (SELECT p.*, s.size FROM allpiles p, (VALUES (20), (40)) s(size))
+WHERE {ZONE} IS NOT NULL AND NOT is_full AND top_free_tier = height + 1
+  AND (height = 0 OR list_contains(sizes, size))
+  AND (height = 0 OR TIMESTAMP '2026-03-20 00:00:00' <= min_departure)
+  AND (top_free_tier = 1 OR top_weight IS NULL OR 10.0 <= top_weight)""")
+q("valid_slots", """
+SELECT a.id, count(*) FILTER (WHERE c.stage = 1) AS n_stage1, count(*) FILTER (WHERE c.stage = 2) AS n_stage2,
+       count(*) FILTER (WHERE c.stage = 3) AS n_stage3, count(*) FILTER (WHERE c.stage = 4) AS n_stage4
+FROM arrivals a LEFT JOIN cand c ON c.id = a.id GROUP BY a.id""")
+q("topk_slots", "SELECT * FROM topk")
+q("best_slot_whatif", "SELECT * EXCLUDE (rank) FROM topk WHERE rank = 1")

@@ -75,3 +75,16 @@ def local_dir(path: str) -> str:
             path = path[1:]
     os.makedirs(path, exist_ok=True)
     return path
+
+
+def materialise(df, name: str):
+    """Write ``df`` once as a table in the shared folder and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but computes the input a single
+    time (an eager checkpoint runs it once to count and again to save), and
+    the stored Parquet survives the loss of any executor.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

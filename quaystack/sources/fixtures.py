@@ -31,8 +31,8 @@ RAW_EXPRESSIONS: dict[str, str] = {
              "WHEN l_returnflag = 'A' THEN 'import' "
              "WHEN l_returnflag = 'N' THEN 'export' ELSE 'transshipment' END"),
     "slot": (f"CASE WHEN l_orderkey % 11 = 0 THEN NULL "
-             f"WHEN l_orderkey % 13 = 0 THEN concat({_BLOCK}, '-', {_BAY}) "
-             f"ELSE concat({_BLOCK}, '-', {_BAY}, '-', {_ROW}, '-', {_TIER}) END"),
+             f"ELSE concat({_BLOCK}, '-', {_BAY}, CASE WHEN l_orderkey % 13 = 0 THEN '' "
+             f"ELSE concat('-', {_ROW}, '-', {_TIER}) END) END"),
     "_ingestion_time": "CAST(o_orderdate AS TIMESTAMP)",
     "yard_id": "l_orderkey % 16",
     "batch": ("CASE WHEN l_orderkey % 2 = 0 AND l_orderkey % 11 <> 0 "

@@ -472,3 +472,141 @@ def placement_report(spark, sf):
     z, _, out = _batch(spark, sf)
     u = out.select("outcome").unionByName(z.select("outcome"))
     return u.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("final_kpis")
+def final_kpis(spark, sf):
+    """KPIs of what really sits in the yard after reconciliation + batch."""
+    from pyspark.sql import Window
+    from quaystack.functions.parse import round_half_up
+    z, c, out = _batch(spark, sf)
+    fixed = (out.filter(F.col("outcome") == placement.PLACED).select("id", *yard.SLOT)
+             .join(c.select("id", "weight", "departure_time"), "id"))
+    moved = z.filter(F.col("tier").isNotNull()).select("id", *yard.SLOT, "weight", "departure_time")
+    fy = fixed.unionByName(moved)
+    nxt = F.lead("departure_time").over(Window.partitionBy(*yard.PILE).orderBy("tier"))
+    r = fy.withColumn("risk", F.when(nxt.isNotNull() & (F.col("departure_time") < nxt), 1).otherwise(0))
+    n, k = F.count(F.lit(1)), F.sum("risk")
+    return r.agg(n.alias("total_containers"), k.cast("long").alias("rehandle_risk_count"),
+                 round_half_up(F.greatest(F.lit(0.0), F.lit(100.0) - k * 100.0 / n), 1).alias("efficiency_score"),
+                 round_half_up(F.avg("weight"), 2).alias("avg_weight_t"))
+
+
+# --- store, inventory, dual-batch views ------------------------------------------
+from quaystack.operators import inventory, store  # noqa: E402
+from quaystack.session import scratch_path  # noqa: E402
+
+T1, T_RESET, T2 = "2026-03-04 10:00:00", "2026-03-04 11:00:00", "2026-03-04 12:00:00"
+
+
+def _store_v1(spark, sf):
+    c = ctx.clean(spark, sf).filter(F.col("store_version") != 2)
+    stamp = F.when(F.col("_o_supp") % 10 == 0, F.lit(None)).otherwise(F.lit(T1)).cast("timestamp")
+    return store.conform(c.withColumn("status", F.lit("yard")).withColumn("imported_at", stamp))
+
+
+def _store_v2_batch(spark, sf):
+    c = ctx.clean(spark, sf).filter(F.col("store_version") != 1)
+    return c.select("id", (F.col("weight") + 1).alias("weight"), "slot", F.lit("expected").alias("status"))
+
+
+def _store(spark, sf):
+    """v1 written as version 1, the v2 batch upserted and written as version
+    2; readers follow the pointer."""
+    root = scratch_path(spark, "store")
+    store.write_version(_store_v1(spark, sf), root, 1)
+    merged = store.upsert(store.read_current(spark, root), _store_v2_batch(spark, sf), stamp=T2)
+    store.write_version(merged, root, 2)
+    return store.read_current(spark, root)
+
+
+def _store_out(df):
+    return df.select("id", "size", "weight", "type", ctx.ts_text("departure_time").alias("departure_time"),
+                     "slot", "status", ctx.ts_text("imported_at").alias("imported_at"))
+
+
+@query("store_upsert")
+def store_upsert(spark, sf):
+    return _store_out(_store(spark, sf))
+
+
+@query("store_scan")
+def store_scan(spark, sf):
+    return _store_out(store.with_slot(_store(spark, sf)))
+
+
+@query("store_after_reset")
+def store_after_reset(spark, sf):
+    return _store_out(store.fresh(_store(spark, sf), T_RESET))
+
+
+@query("store_fresh")
+def store_fresh(spark, sf):
+    return _store_out(store.fresh(_store_v1(spark, sf), T1))
+
+
+@query("container_lookup")
+def container_lookup(spark, sf):
+    wanted = _anomalies(spark, sf, DUPLICATE_ID).select("id")
+    out = store.lookup(_store(spark, sf), wanted, ctx.occupancy(spark, sf))
+    return out.withColumn("departure_time", ctx.ts_text("departure_time"))
+
+
+@query("new_arrivals")
+def new_arrivals(spark, sf):
+    return store.not_registered(ctx.arrivals(spark, sf), _store_v1(spark, sf)).select("id")
+
+
+def _inv(spark, sf):
+    return inventory.containers(ctx.occupancy(spark, sf))
+
+
+@query("inventory_search")
+def inventory_search(spark, sf):
+    return inventory.search(_inv(spark, sf), "S1-00").select("id", "location", "type")
+
+
+@query("exact_search")
+def exact_search(spark, sf):
+    return inventory.exact(_inv(spark, sf), "A-001-A-01").select("id", "yard_id", "location")
+
+
+@query("block_drilldown")
+def block_drilldown(spark, sf):
+    return inventory.drilldown(_inv(spark, sf), "A", 2, "A-003-C-02").select("id", "yard_id", "location")
+
+
+@query("inventory_sorted")
+def inventory_sorted(spark, sf):
+    return inventory.sort(_inv(spark, sf), "weight", descending=True).select("id", "location", "weight")
+
+
+def _batches(spark, sf):
+    """Dual upload: each batch is cleaned on its own."""
+    r = ctx.raw(spark, sf)
+    from quaystack.sources.fixtures import EXTRA_COLUMNS, FIXTURE_ORDER
+    return {b: silver_op.process(r.filter(F.col("batch") == b), FIXTURE_ORDER, keep=EXTRA_COLUMNS)
+            for b in ("snapshot", "arrivals")}
+
+
+@query("global_union")
+def global_union(spark, sf):
+    b = _batches(spark, sf)
+    u = placement.dedup_by_priority([("snapshot", b["snapshot"].clean), ("arrivals", b["arrivals"].clean)],
+                                    ctx.CLEAN_ORDER)
+    return u.select("id", F.col("source").alias("batch"))
+
+
+@query("quality_report_merged")
+def quality_report_merged(spark, sf):
+    b = _batches(spark, sf)
+    return silver_op.merge_reports(b["snapshot"].report, b["arrivals"].report)
+
+
+@query("to_place")
+def to_place(spark, sf):
+    c, out = _reconciled(spark, sf)
+    rescued = c.join(out.filter(F.col("outcome") != placement.PLACED).select("id"), "id", "left_semi")
+    u = placement.dedup_by_priority([("rescued", rescued), ("arrivals", ctx.arrivals(spark, sf))],
+                                    ctx.CLEAN_ORDER)
+    return u.select("id", "source")

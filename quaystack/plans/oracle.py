@@ -37,6 +37,7 @@ ZONE = "CASE " + " ".join(
 BLOCK_SIZE = "CASE " + " ".join(
     f"WHEN block_id IN ({', '.join(repr(b) for b in pol['primary'] + pol['backup'])}) THEN {sz}"
     for sz, pol in SIZE_POLICY.items()) + " END"
+PRIMARY_LIST = ", ".join(repr(b) for pol in SIZE_POLICY.values() for b in pol["primary"])
 BLOCK_PRIMARY = "p.block_id IN (" + ", ".join(
     repr(b) for pol in SIZE_POLICY.values() for b in pol["primary"]) + ")"
 HTERM = f"CASE WHEN block_id IN ('S1', 'S2') THEN {D(-5.0)} * (tier - 1) ELSE {D(2.0)} * (tier - 1) END"
@@ -191,6 +192,98 @@ cand AS (
               WHEN NOT {BLOCK_PRIMARY} THEN 4 END AS stage
   FROM arrivals a JOIN openp p ON p.yard_id = a.yard_id AND p.zsize = a.size
 ),
+pre AS (
+  SELECT *, CASE WHEN trim(coalesce(slot, '')) = '' THEN 'NO_SLOT' WHEN tier IS NULL THEN 'BAD_LOCATION'
+                 WHEN zone IS NULL THEN 'WRONG_ZONE' END AS _pre,
+         coalesce(block_id IN ({BLOCK_LIST}) AND bay BETWEEN 1 AND {NBAYS} AND row BETWEEN 1 AND {NROWS}
+                  AND tier BETWEEN 1 AND {MAXH}, false) AS _in_grid
+  FROM (SELECT *, {ZONE} AS zone FROM piled)
+),
+claims AS (SELECT * FROM pre WHERE _pre IS NULL AND _in_grid),
+h1 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c WHERE c.tier = 1)) WHERE _hn = 1),
+h2 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h1) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 2 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
+h3 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h2) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 3 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
+h4 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h3) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 4 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
+h5 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h4) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 5 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
+h6 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h5) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 6 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
+h7 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h6) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 7 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
+held AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4 UNION ALL SELECT * FROM h5 UNION ALL SELECT * FROM h6 UNION ALL SELECT * FROM h7),
+outcomes AS (
+  SELECT c.id, CASE WHEN m.hid = c.id THEN 'PLACED'
+                    WHEN b.bdep IS NOT NULL AND c.departure_time > b.bdep THEN 'WOULD_REHANDLE'
+                    ELSE 'SLOT_TAKEN' END AS outcome,
+         coalesce(c.tier > 1 AND b.bdep IS NULL AND m.hid = c.id, false) AS floating
+  FROM claims c
+  LEFT JOIN (SELECT yard_id, block_id, bay, row, tier + 1 AS tier, departure_time AS bdep FROM held) b USING (yard_id, block_id, bay, row, tier)
+  LEFT JOIN (SELECT yard_id, block_id, bay, row, tier, id AS hid FROM held) m USING (yard_id, block_id, bay, row, tier)
+  UNION ALL
+  SELECT id, coalesce(_pre, 'SLOT_TAKEN') AS outcome, false AS floating FROM pre
+  WHERE _pre IS NOT NULL OR NOT _in_grid
+),
+placedocc AS (
+  SELECT h.yard_id, h.block_id, h.bay, h.row, h.tier, h.id, s.size, s.weight, s.departure_time
+  FROM held h JOIN silver s USING (id)
+),
+p2 AS (
+  SELECT p.*, coalesce(s.height, 0) AS height,
+         CASE WHEN s.height IS NULL THEN 1
+              ELSE list_min(list_filter(range(1, {MAXH} + 1), lambda t: NOT list_contains(s.tiers, t))) END
+           AS top_free_tier
+  FROM piles p LEFT JOIN (SELECT yard_id, block_id, bay, row, count(*) AS height, list(tier) AS tiers FROM placedocc GROUP BY ALL) s
+  USING (yard_id, block_id, bay, row)
+),
+positions AS (
+  SELECT yard_id, block_id, block_index, bay, row, size, zone, tier, {DIST} AS distance FROM (
+    SELECT yard_id, block_id, block_index, bay, row, {BLOCK_SIZE} AS size,
+           CASE WHEN block_id IN ({PRIMARY_LIST}) THEN 'primary' ELSE 'backup' END AS zone,
+           unnest(generate_series(height + 1, {MAXH})) AS tier
+    FROM p2 WHERE top_free_tier = height + 1 AND height < {MAXH} AND {BLOCK_SIZE} IS NOT NULL)
+),
+posr AS (
+  SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY
+           CASE WHEN zone = 'primary' THEN 0 ELSE 1 END, CASE WHEN zone = 'primary' THEN tier ELSE 0 END,
+           distance, block_index, bay, row, tier) AS pos_rank
+  FROM positions
+),
+tplace AS (
+  SELECT s.id, s.yard_id, s.size, s.weight, s.departure_time, s.type,
+         row_number() OVER (PARTITION BY s.yard_id, s.size ORDER BY s.departure_time DESC, s.id) AS pos_rank
+  FROM silver s JOIN outcomes o USING (id) WHERE o.outcome <> 'PLACED'
+),
+batch AS (
+  SELECT t.id, t.yard_id, t.size, t.weight, t.departure_time, t.type,
+         CASE WHEN p.zone = 'primary' THEN 'PLACED_PRIMARY' WHEN p.zone = 'backup' THEN 'PLACED_BACKUP'
+              ELSE 'UNPLACED' END AS outcome, p.block_id, p.bay, p.row, p.tier
+  FROM tplace t LEFT JOIN posr p USING (yard_id, size, pos_rank)
+),
+finalyard AS (
+  SELECT id, yard_id, block_id, bay, row, tier, size, weight, departure_time FROM placedocc
+  UNION ALL
+  SELECT id, yard_id, block_id, bay, row, tier, size, weight, departure_time FROM batch WHERE tier IS NOT NULL
+),
+finalrisk AS (
+  SELECT *, CASE WHEN lead(departure_time) OVER w IS NOT NULL AND departure_time < lead(departure_time) OVER w
+                 THEN 1 ELSE 0 END AS is_rehandle_risk
+  FROM finalyard WINDOW w AS (PARTITION BY yard_id, block_id, bay, row ORDER BY tier)
+),
+v1 AS (
+  SELECT id, size, weight, type, departure_time, slot, 'yard' AS status,
+         CASE WHEN _o_supp % 10 = 0 THEN NULL ELSE TIMESTAMP '2026-03-04 10:00:00' END AS imported_at
+  FROM silver WHERE store_version <> 2
+),
+v2 AS (
+  SELECT id, weight + 1 AS weight, slot, 'expected' AS status, TIMESTAMP '2026-03-04 12:00:00' AS imported_at
+  FROM silver WHERE store_version <> 1
+),
+store AS (
+  SELECT coalesce(n.id, o.id) AS id, o.size, coalesce(n.weight, o.weight) AS weight, o.type, o.departure_time,
+         coalesce(n.slot, o.slot) AS slot, coalesce(n.status, o.status) AS status,
+         coalesce(n.imported_at, o.imported_at) AS imported_at
+  FROM v1 o FULL OUTER JOIN v2 n ON o.id = n.id
+),
+inv AS (
+  SELECT *, printf('%s-%03d-%s-%02d', block_id, bay, chr(CAST(row + 64 AS INTEGER)), tier) AS location FROM occ
+),
 topk AS (
   SELECT id, yard_id, size, stage, rank, block_id, bay, row, tier, score, rehandles FROM (
     SELECT c.*, row_number() OVER (PARTITION BY id ORDER BY score, bidx, bay, row) AS rank
@@ -393,3 +486,45 @@ SELECT a.id, count(*) FILTER (WHERE c.stage = 1) AS n_stage1, count(*) FILTER (W
 FROM arrivals a LEFT JOIN cand c ON c.id = a.id GROUP BY a.id""")
 q("topk_slots", "SELECT * FROM topk")
 q("best_slot_whatif", "SELECT * EXCLUDE (rank) FROM topk WHERE rank = 1")
+q("snapshot_outcomes", "SELECT id, outcome, floating FROM outcomes")
+q("batch_placement", "SELECT id, outcome, block_id, bay, row, tier FROM batch")
+q("placement_report", """
+SELECT outcome, count(*) AS n FROM (SELECT outcome FROM outcomes UNION ALL SELECT outcome FROM batch)
+GROUP BY outcome""")
+q("final_kpis", f"""
+SELECT count(*) AS total_containers, CAST(sum(is_rehandle_risk) AS BIGINT) AS rehandle_risk_count,
+       {rhu('greatest(0.0, 100.0 - sum(is_rehandle_risk) * 100.0 / count(*))', 1)} AS efficiency_score,
+       {rhu('avg(weight)', 2)} AS avg_weight_t
+FROM finalrisk""")
+
+# --- store, inventory, dual-batch views ------------------------------------------
+STORE_OUT = (f"SELECT id, size, weight, type, strftime(departure_time, {TS}) AS departure_time, slot, status, "
+             f"strftime(imported_at, {TS}) AS imported_at")
+q("store_upsert", f"{STORE_OUT} FROM store")
+q("store_scan", f"{STORE_OUT} FROM store WHERE slot IS NOT NULL")
+q("store_after_reset", f"{STORE_OUT} FROM store WHERE coalesce(imported_at, TIMESTAMP '0001-01-01 00:00:00') "
+                       ">= TIMESTAMP '2026-03-04 11:00:00'")
+q("store_fresh", f"{STORE_OUT} FROM v1 WHERE coalesce(imported_at, TIMESTAMP '0001-01-01 00:00:00') "
+                 ">= TIMESTAMP '2026-03-04 10:00:00'")
+q("container_lookup", f"""
+SELECT s.id, s.size, s.weight, s.type, strftime(s.departure_time, {TS}) AS departure_time,
+       coalesce(s.slot, i.location) AS location,
+       coalesce(s.status, CASE WHEN coalesce(s.slot, i.location) IS NOT NULL THEN 'yard' ELSE 'unknown' END) AS status
+FROM store s LEFT JOIN inv i USING (id)
+WHERE s.id IN (SELECT id FROM labelled WHERE anomaly_reason = 'DUPLICATE_ID')""")
+q("new_arrivals", "SELECT id FROM arrivals WHERE id NOT IN (SELECT id FROM v1)")
+q("inventory_search", "SELECT id, location, type FROM inv WHERE lower(id) LIKE '%s1-00%' "
+                      "OR lower(location) LIKE '%s1-00%' OR lower(coalesce(type, '')) LIKE '%s1-00%'")
+q("exact_search", "SELECT id, yard_id, location FROM inv WHERE id = 'A-001-A-01' OR location = 'A-001-A-01'")
+q("block_drilldown", """
+SELECT id, yard_id, location FROM (
+  SELECT *, max(CAST(id = 'A-003-C-02' OR location = 'A-003-C-02' AS INTEGER))
+              OVER (PARTITION BY yard_id, block_id, bay, row) AS hit
+  FROM inv WHERE block_id = 'A') WHERE row = 2 OR hit = 1""")
+q("inventory_sorted", "SELECT id, location, weight FROM inv")
+q("global_union", "SELECT id, batch FROM silver")
+q("quality_report_merged", SQL["quality_report"].split(PRELUDE, 1)[1].replace("FROM labelled", "FROM labelled"))
+q("to_place", """
+SELECT id, 'rescued' AS source FROM outcomes WHERE outcome <> 'PLACED'
+UNION ALL
+SELECT id, 'arrivals' AS source FROM arrivals WHERE id NOT IN (SELECT id FROM outcomes WHERE outcome <> 'PLACED')""")

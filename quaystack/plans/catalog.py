@@ -610,3 +610,132 @@ def to_place(spark, sf):
     u = placement.dedup_by_priority([("rescued", rescued), ("arrivals", ctx.arrivals(spark, sf))],
                                     ctx.CLEAN_ORDER)
     return u.select("id", "source")
+
+
+# --- sources and sinks ------------------------------------------------------------
+from quaystack.schema import RAW_COLUMNS  # noqa: E402
+from quaystack.sources import bronze  # noqa: E402
+
+
+def _landing(spark, sf):
+    """The raw records laid down as CSV upload files in a fresh folder."""
+    path = scratch_path(spark, "landing")
+    bronze.write_landing(ctx.raw(spark, sf), path)
+    return path
+
+
+@query("bronze_scan")
+def bronze_scan(spark, sf):
+    return bronze.read_raw(spark, _landing(spark, sf)).select(*RAW_COLUMNS)
+
+
+@query("bronze_lineage")
+def bronze_lineage(spark, sf):
+    b = bronze.ingest(spark, _landing(spark, sf), storage_mode="local")
+    return b.select("id", F.col("_storage_mode").alias("storage_mode"),
+                    (F.col("_source_file").endswith(".csv") & F.col("_ingestion_time").isNotNull())
+                    .alias("has_source"))
+
+
+@query("bronze_roundtrip")
+def bronze_roundtrip(spark, sf):
+    b = bronze.ingest(spark, _landing(spark, sf))
+    return bronze.write_batch(b, scratch_path(spark, "bronze")).select(*RAW_COLUMNS)
+
+
+@query("archive_partitions")
+def archive_partitions(spark, sf):
+    b = bronze.ingest(spark, _landing(spark, sf))
+    path = scratch_path(spark, "archive")
+    bronze.archive(b, path)
+    back = spark.read.parquet(path)
+    return back.filter(F.col("ingestion_date") == F.current_date()).select(*RAW_COLUMNS)
+
+
+@query("silver_partitions")
+def silver_partitions(spark, sf):
+    path = scratch_path(spark, "silver")
+    silver_op.write_silver(ctx.clean(spark, sf), path)
+    back = spark.read.parquet(path).filter(F.col("type") == "export")  # partition pruning
+    return back.select("id", "type", F.col("departure_date").cast("string").alias("departure_date"))
+
+
+@query("anomaly_partitions")
+def anomaly_partitions(spark, sf):
+    path = scratch_path(spark, "anomalies")
+    silver_op.append_anomalies(ctx.silver(spark, sf).anomalies, path)
+    back = spark.read.parquet(path).filter(F.col("anomaly_reason") == DUPLICATE_ID)
+    return back.select("id", F.col("ingestion_date").cast("string").alias("ingestion_date"), "anomaly_reason")
+
+
+@query("gold_summary_roundtrip")
+def gold_summary_roundtrip(spark, sf):
+    path = scratch_path(spark, "gold")
+    gold.write_summary(ctx.clean(spark, sf), path)
+    return spark.read.parquet(path)
+
+
+@query("latest_kpis")
+def latest_kpis(spark, sf):
+    """Two documents appended (snapshot batch, then everything); the newest
+    by ``computed_at`` is the second."""
+    path = scratch_path(spark, "kpis")
+    s = ctx.silver(spark, sf)
+    snap = ctx.snapshot(spark, sf)
+    gold.write_kpi_document(gold.kpi_document(snap, s.report, MAXH), path)
+    gold.write_kpi_document(gold.kpi_document(s.clean, s.report, MAXH), path)
+    d = gold.latest_kpis(spark, path)
+    return d.select("total_containers",
+                    F.col("advanced_analytics.rehandle_risk_count").alias("rehandle_risk_count"),
+                    F.col("advanced_analytics.efficiency_score").alias("efficiency_score"),
+                    F.col("pipeline_quality.quality_score_pct").alias("quality_score_pct"))
+
+
+@query("placement_input")
+def placement_input(spark, sf):
+    c = ctx.clean(spark, sf)
+    slot = F.when(F.trim(F.coalesce("slot", F.lit(""))) == "", F.lit(None)).otherwise(F.col("slot"))
+    return c.select("id", "size", "weight", F.col("departure_time_iso").alias("departure_time"), "type",
+                    slot.alias("slot"))
+
+
+# --- streaming ----------------------------------------------------------------------
+from quaystack.streaming import ingest as stream_ingest_mod  # noqa: E402
+
+
+def _streamed(spark, sf, replay_snapshot: bool = False):
+    landing = _landing(spark, sf)
+    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
+    stream_ingest_mod.run_ingest(spark, landing, out, ck, max_files_per_trigger=4)
+    if replay_snapshot:
+        # the snapshot records are uploaded again as new files: every id is
+        # already registered, so the new batch must add nothing
+        again = f"{landing}/replay"
+        bronze.write_landing(ctx.raw(spark, sf).filter(F.col("batch") == "snapshot"), again)
+        import os
+        from quaystack.session import local_dir
+        for name in os.listdir(local_dir(again)):
+            if name.endswith(".csv"):
+                os.replace(os.path.join(local_dir(again), name),
+                           os.path.join(local_dir(landing), "replay-" + name))
+        stream_ingest_mod.run_ingest(spark, landing, out, ck)
+    return out
+
+
+@query("stream_ingest")
+def stream_ingest(spark, sf):
+    out = _streamed(spark, sf)
+    return spark.read.parquet(f"{out}/clean").select("id", "type", "size", "batch_id")
+
+
+@query("stream_dedup")
+def stream_dedup(spark, sf):
+    out = _streamed(spark, sf, replay_snapshot=True)
+    return spark.read.parquet(f"{out}/clean").groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query("stream_kpis")
+def stream_kpis(spark, sf):
+    out = _streamed(spark, sf)
+    name = "stream_kpis_" + scratch_path(spark, "q").rsplit("-", 1)[1]
+    return stream_ingest_mod.stream_kpis(spark, f"{out}/clean", scratch_path(spark, "kpi-ckpt"), name)

@@ -528,3 +528,23 @@ q("to_place", """
 SELECT id, 'rescued' AS source FROM outcomes WHERE outcome <> 'PLACED'
 UNION ALL
 SELECT id, 'arrivals' AS source FROM arrivals WHERE id NOT IN (SELECT id FROM outcomes WHERE outcome <> 'PLACED')""")
+
+# --- sources and sinks ----------------------------------------------------------------
+q("bronze_scan", "SELECT id, size, weight, departure_time, type, slot FROM raw")
+q("bronze_lineage", "SELECT id, 'local' AS storage_mode, true AS has_source FROM raw")
+q("bronze_roundtrip", "SELECT id, size, weight, departure_time, type, slot FROM raw")
+q("archive_partitions", "SELECT id, size, weight, departure_time, type, slot FROM raw")
+q("silver_partitions", "SELECT id, type, CAST(departure_date AS VARCHAR) AS departure_date FROM silver "
+                       "WHERE type = 'export'")
+q("anomaly_partitions", "SELECT id, CAST(CAST(_ingestion_time AS DATE) AS VARCHAR) AS ingestion_date, "
+                        "anomaly_reason FROM labelled WHERE anomaly_reason = 'DUPLICATE_ID'")
+SQL["gold_summary_roundtrip"] = SQL["gold_type_size_summary"]
+q("latest_kpis", f"""
+SELECT (SELECT count(*) FROM silver) AS total_containers,
+       (SELECT CAST(sum(is_rehandle_risk) AS BIGINT) FROM risk) AS rehandle_risk_count,
+       (SELECT {rhu('greatest(0.0, 100.0 - sum(is_rehandle_risk) * 100.0 / count(*))', 1)} FROM risk)
+         AS efficiency_score,
+       (SELECT {rhu("count(*) FILTER (WHERE anomaly_reason IS NULL) * 100.0 / count(*)", 1)} FROM labelled)
+         AS quality_score_pct""")
+q("placement_input", "SELECT id, size, weight, departure_time_iso AS departure_time, type, "
+                     "CASE WHEN trim(coalesce(slot, '')) = '' THEN NULL ELSE slot END AS slot FROM silver")

@@ -150,6 +150,10 @@ def kpi_document(clean: DataFrame, report: DataFrame, max_height: int,
         F.min("departure_time").alias("d0"), F.max("departure_time").alias("d1"),
         F.sum("dwell_days").alias("sd"),
         F.sum(F.coalesce(F.col("is_rehandle_risk"), F.lit(0))).alias("rk"))
+    # ``part`` has at most types x sizes x blocks rows; store it once so the
+    # four summaries below do not each re-run the scan and the pile window.
+    from quaystack.session import materialise
+    part = materialise(part, "kpi-part")
     by_type = part.groupBy("type").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"),
                                        F.sum("sd").alias("sd"))
     by_size = part.groupBy("size").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"))

@@ -48,8 +48,12 @@ def reconcile(records: DataFrame, spec: YardSpec, order_cols: list[str]) -> Data
     """
     labelled = _pre_label(records, spec)
     seq = F.struct(*[F.col(c) for c in order_cols], F.col("id").alias("_id"))
-    claims = (labelled.filter(F.col("_pre").isNull() & in_grid(spec))
-              .select(*SLOT, "id", "departure_time", seq.alias("_seq")))
+    # Parse once: the labelled records are stored and every tier step below
+    # reads only the columns it needs from the stored copy.
+    labelled = materialise(labelled.withColumn("_seq", seq).withColumn("_in_grid", F.coalesce(
+        in_grid(spec), F.lit(False))), "reconcile-records")
+    claims = (labelled.filter(F.col("_pre").isNull() & F.col("_in_grid"))
+              .select(*SLOT, "id", "departure_time", "_seq"))
     holders = []
     prev = None
     for t in range(1, spec.max_height + 1):
@@ -80,7 +84,7 @@ def reconcile(records: DataFrame, spec: YardSpec, order_cols: list[str]) -> Data
     floating = F.coalesce((F.col("tier") > 1) & F.col("_has_below").isNull()
                           & (F.col("_holder") == F.col("id")), F.lit(False))
     decided = c.select("id", *SLOT, outcome.alias("outcome"), floating.alias("floating"))
-    rest = (labelled.filter(F.col("_pre").isNotNull() | ~F.coalesce(in_grid(spec), F.lit(False)))
+    rest = (labelled.filter(F.col("_pre").isNotNull() | ~F.col("_in_grid"))
             .select("id", *SLOT, F.coalesce(F.col("_pre"), F.lit(SLOT_TAKEN)).alias("outcome"),
                     F.lit(False).alias("floating")))
     return decided.unionByName(rest)

@@ -437,9 +437,18 @@ def best_slot_whatif(spark, sf):
     return rules.explode_top_k(_whatif(spark, sf)).filter(F.col("rank") == 1).drop("rank")
 
 
+_RECONCILED: dict = {}
+
+
 def _reconciled(spark, sf):
+    """Phase 1 output (one outcome per record), stored once per session and
+    input like any pipeline stage; phase-2 queries read the stored table."""
     c = ctx.clean(spark, sf)
-    return c, placement.reconcile(c, Y, ctx.CLEAN_ORDER)
+    key = (id(spark), spark.sparkContext.applicationId, sf)
+    if key not in _RECONCILED:
+        from quaystack.session import materialise
+        _RECONCILED[key] = materialise(placement.reconcile(c, Y, ctx.CLEAN_ORDER), "reconciled")
+    return c, _RECONCILED[key]
 
 
 @query("snapshot_outcomes")

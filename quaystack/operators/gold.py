@@ -93,9 +93,12 @@ def risk_all(clean: DataFrame, max_height: int) -> DataFrame:
     """Every clean row with its risk flag: slotted rows through the pile
     window, the others with flag 0 (a union of two disjoint filters, no join)."""
     p = with_pile(clean, max_height)
-    w = Window.partitionBy(*PILE).orderBy("tier", "departure_time", "id")
-    slotted = (p.filter(F.col("tier").isNotNull())
-               .withColumn("next_departure", F.lead("departure_time").over(w)))
+    # Silver rows may collide on a slot, so a pile is not bounded here: the
+    # largest pile is measured first and a hot pile switches the lead to the
+    # chunked, range-partitioned form (see ranking.lead_by_group).
+    from quaystack.operators.ranking import lead_by_group
+    slotted = lead_by_group(p.filter(F.col("tier").isNotNull()), PILE, ["tier", "departure_time", "id"],
+                            "departure_time", "next_departure")
     flag = F.when(F.col("next_departure").isNotNull()
                   & (F.col("departure_time") < F.col("next_departure")), 1).otherwise(0)
     slotted = slotted.withColumn("is_rehandle_risk", flag)

@@ -40,3 +40,47 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     out = tagged.join(counts.select("_pid", *group_cols, "_off", "_p0"), ["_pid", *group_cols], "inner")
     return (out.withColumn(name, (F.col("_pos") - F.col("_p0") + 1 + F.col("_off")).cast("long"))
             .drop("_pid", "_pos", "_p0", "_off"))
+
+
+def lead_within(df: DataFrame, group_cols: list[str], order_cols: list, value: str,
+                name: str, num_partitions: int | None = None) -> DataFrame:
+    """``lead(value)`` over (group ordered by order_cols) for groups of any size.
+
+    Rows are range-partitioned on (group, order), so one huge group becomes
+    several contiguous chunks. Inside a chunk the lead is a window over
+    (partition id, group), bounded by the chunk size; the last row of a
+    chunk takes the first value of the group's next chunk from a small
+    per-(partition, group) boundary table.
+    """
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    tagged = materialise(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_pos", F.monotonically_increasing_id()), "lead")
+    chunk = Window.partitionBy("_pid", *group_cols).orderBy("_pos")
+    inner = tagged.withColumn("_in", F.lead(value).over(chunk))
+    bounds = (tagged.groupBy("_pid", *group_cols)
+              .agg(F.min_by(value, "_pos").alias("_first"), F.max("_pos").alias("_last")))
+    nxt = Window.partitionBy(*group_cols).orderBy("_pid")
+    bounds = bounds.withColumn("_next_first", F.lead("_first").over(nxt)).select(
+        "_pid", *group_cols, "_last", "_next_first")
+    j = inner.join(bounds, ["_pid", *group_cols], "inner")
+    out = F.when(F.col("_pos") == F.col("_last"), F.col("_next_first")).otherwise(F.col("_in"))
+    return j.withColumn(name, out).drop("_pid", "_pos", "_in", "_last", "_next_first")
+
+
+# A window partition this large still fits one task comfortably (it spills).
+MAX_WINDOW_GROUP_ROWS = 2_000_000
+
+
+def lead_by_group(df: DataFrame, group_cols: list[str], order_cols: list, value: str, name: str,
+                  max_group_rows: int = MAX_WINDOW_GROUP_ROWS) -> DataFrame:
+    """``lead`` per group, choosing the plan from the measured group size:
+    one cheap aggregate (map-side combined) finds the largest group; below
+    the bound a plain window is used, above it the chunked ``lead_within``."""
+    biggest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+    if biggest <= max_group_rows:
+        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+        return df.withColumn(name, F.lead(value).over(w))
+    return lead_within(df, group_cols, order_cols, value, name)

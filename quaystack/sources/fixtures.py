@@ -72,5 +72,9 @@ def arrivals_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.struct(F.col("_metadata.file_path").alias("f"),
                            F.col("_metadata.row_index").alias("r")).alias("_rk")))
     od = spark.read.parquet(table_path(sf_dir, "orders")).select("o_orderkey", "o_orderdate")
-    joined = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+    # Hash-partition lineitem on the join key: the partitioning a sort-merge
+    # join with orders needs anyway, and it spreads the derivation below over
+    # all shuffle partitions even when a file has a single row group.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    joined = li.repartition(n, "l_orderkey").join(od, li.l_orderkey == od.o_orderkey, "inner")
     return joined.selectExpr(*[f"{expr} AS {name}" for name, expr in RAW_EXPRESSIONS.items()], "_rk")

@@ -748,3 +748,18 @@ def stream_kpis(spark, sf):
     out = _streamed(spark, sf)
     name = "stream_kpis_" + scratch_path(spark, "q").rsplit("-", 1)[1]
     return stream_ingest_mod.stream_kpis(spark, f"{out}/clean", scratch_path(spark, "kpi-ckpt"), name)
+
+
+@query("batch_violations")
+def batch_violations(spark, sf):
+    """Per outcome of the final yard: departure and weight rule breaches
+    against the container directly below."""
+    z, c, out = _batch(spark, sf)
+    fixed = (out.filter(F.col("outcome") == placement.PLACED).select("id", *yard.SLOT, "outcome")
+             .join(c.select("id", "weight", "departure_time"), "id"))
+    moved = z.filter(F.col("tier").isNotNull()).select("id", *yard.SLOT, "weight", "departure_time", "outcome")
+    v = placement.violations(fixed.unionByName(moved))
+    return v.groupBy("outcome").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("edd_violation").cast("int")).cast("long").alias("edd_violations"),
+        F.sum(F.col("weight_violation").cast("int")).cast("long").alias("weight_violations"))

@@ -548,3 +548,16 @@ SELECT (SELECT count(*) FROM silver) AS total_containers,
          AS quality_score_pct""")
 q("placement_input", "SELECT id, size, weight, departure_time_iso AS departure_time, type, "
                      "CASE WHEN trim(coalesce(slot, '')) = '' THEN NULL ELSE slot END AS slot FROM silver")
+q("batch_violations", """
+SELECT * FROM (WITH fy AS (
+  SELECT id, yard_id, block_id, bay, row, tier, weight, departure_time, 'PLACED' AS outcome FROM placedocc
+  UNION ALL
+  SELECT id, yard_id, block_id, bay, row, tier, weight, departure_time, outcome FROM batch WHERE tier IS NOT NULL
+)
+SELECT f.outcome, count(*) AS n,
+       CAST(sum(CASE WHEN coalesce(f.departure_time > b.departure_time, false) THEN 1 ELSE 0 END) AS BIGINT)
+         AS edd_violations,
+       CAST(sum(CASE WHEN coalesce(f.weight > b.weight, false) THEN 1 ELSE 0 END) AS BIGINT) AS weight_violations
+FROM fy f LEFT JOIN fy b ON b.yard_id = f.yard_id AND b.block_id = f.block_id AND b.bay = f.bay
+ AND b.row = f.row AND b.tier = f.tier - 1
+GROUP BY f.outcome)""")

@@ -460,8 +460,11 @@ def _batch(spark, sf):
     c, out = _reconciled(spark, sf)
     rescued = c.join(out.filter(F.col("outcome") != placement.PLACED).select("id"), "id", "left_semi")
     positions = placement.open_positions(_piles_after(spark, sf, c, out), Y)
-    return placement.rank_zip(rescued.select("id", "yard_id", "size", "weight", "departure_time", "type"),
-                              positions), c, out
+    zipped = placement.rank_zip(rescued.select("id", "yard_id", "size", "weight", "departure_time", "type"),
+                                positions)
+    fixed = (out.filter(F.col("outcome") == placement.PLACED).select("id", *yard.SLOT)
+             .join(c.select("id", "weight"), "id"))
+    return placement.layered_zip(zipped, fixed, Y), c, out
 
 
 def _piles_after(spark, sf, c, out):

@@ -250,12 +250,114 @@ tplace AS (
          row_number() OVER (PARTITION BY s.yard_id, s.size ORDER BY s.departure_time DESC, s.id) AS pos_rank
   FROM silver s JOIN outcomes o USING (id) WHERE o.outcome <> 'PLACED'
 ),
-batch AS (
-  SELECT t.id, t.yard_id, t.size, t.weight, t.departure_time, t.type,
+rz AS (
+  SELECT t.id, t.yard_id, t.size, t.weight, t.departure_time, t.type, t.pos_rank, p.zone,
          CASE WHEN p.zone = 'primary' THEN 'PLACED_PRIMARY' WHEN p.zone = 'backup' THEN 'PLACED_BACKUP'
               ELSE 'UNPLACED' END AS outcome, p.block_id, p.bay, p.row, p.tier
   FROM tplace t LEFT JOIN posr p USING (yard_id, size, pos_rank)
 ),
+lz1 AS (
+  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
+         p.block_id, p.bay, p.row, p.tier
+  FROM (SELECT * EXCLUDE (_r0, m),
+               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
+        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
+                     count(*) OVER (PARTITION BY yard_id, size) AS m
+              FROM rz WHERE zone = 'primary' AND tier = 1)) c
+  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
+               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
+        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 0) b USING (yard_id, block_id, bay, row)
+        WHERE r.zone = 'primary' AND r.tier = 1) p
+  USING (yard_id, size, _r)
+),
+lz2 AS (
+  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
+         p.block_id, p.bay, p.row, p.tier
+  FROM (SELECT * EXCLUDE (_r0, m),
+               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
+        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
+                     count(*) OVER (PARTITION BY yard_id, size) AS m
+              FROM rz WHERE zone = 'primary' AND tier = 2)) c
+  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
+               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
+        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 1 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz1) b USING (yard_id, block_id, bay, row)
+        WHERE r.zone = 'primary' AND r.tier = 2) p
+  USING (yard_id, size, _r)
+),
+lz3 AS (
+  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
+         p.block_id, p.bay, p.row, p.tier
+  FROM (SELECT * EXCLUDE (_r0, m),
+               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
+        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
+                     count(*) OVER (PARTITION BY yard_id, size) AS m
+              FROM rz WHERE zone = 'primary' AND tier = 3)) c
+  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
+               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
+        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 2 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz2) b USING (yard_id, block_id, bay, row)
+        WHERE r.zone = 'primary' AND r.tier = 3) p
+  USING (yard_id, size, _r)
+),
+lz4 AS (
+  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
+         p.block_id, p.bay, p.row, p.tier
+  FROM (SELECT * EXCLUDE (_r0, m),
+               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
+        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
+                     count(*) OVER (PARTITION BY yard_id, size) AS m
+              FROM rz WHERE zone = 'primary' AND tier = 4)) c
+  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
+               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
+        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 3 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz3) b USING (yard_id, block_id, bay, row)
+        WHERE r.zone = 'primary' AND r.tier = 4) p
+  USING (yard_id, size, _r)
+),
+lz5 AS (
+  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
+         p.block_id, p.bay, p.row, p.tier
+  FROM (SELECT * EXCLUDE (_r0, m),
+               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
+        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
+                     count(*) OVER (PARTITION BY yard_id, size) AS m
+              FROM rz WHERE zone = 'primary' AND tier = 5)) c
+  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
+               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
+        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 4 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz4) b USING (yard_id, block_id, bay, row)
+        WHERE r.zone = 'primary' AND r.tier = 5) p
+  USING (yard_id, size, _r)
+),
+lz6 AS (
+  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
+         p.block_id, p.bay, p.row, p.tier
+  FROM (SELECT * EXCLUDE (_r0, m),
+               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
+        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
+                     count(*) OVER (PARTITION BY yard_id, size) AS m
+              FROM rz WHERE zone = 'primary' AND tier = 6)) c
+  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
+               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
+        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 5 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz5) b USING (yard_id, block_id, bay, row)
+        WHERE r.zone = 'primary' AND r.tier = 6) p
+  USING (yard_id, size, _r)
+),
+lz7 AS (
+  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
+         p.block_id, p.bay, p.row, p.tier
+  FROM (SELECT * EXCLUDE (_r0, m),
+               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
+        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
+                     count(*) OVER (PARTITION BY yard_id, size) AS m
+              FROM rz WHERE zone = 'primary' AND tier = 7)) c
+  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
+               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
+        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 6 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz6) b USING (yard_id, block_id, bay, row)
+        WHERE r.zone = 'primary' AND r.tier = 7) p
+  USING (yard_id, size, _r)
+),
+batch AS (
+  SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz1 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz2 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz3 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz4 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz5 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz6 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz7
+  UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM rz WHERE zone IS NULL OR zone <> 'primary'
+),
 finalyard AS (
   SELECT id, yard_id, block_id, bay, row, tier, size, weight, departure_time FROM placedocc
   UNION ALL

@@ -139,6 +139,8 @@ def layered_zip(zipped: DataFrame, fixed: DataFrame, spec: YardSpec, shift_extra
     ranks one layer of a (yard, size) zone, bounded by the zone's piles.
     Backup and unplaced rows are kept as rank-zip left them.
     """
+    # every layer step reads the zipped rows: store them once
+    zipped = materialise(zipped, "zipped")
     prim = zipped.filter(F.col("zone") == "primary")
     rest = zipped.filter(F.col("zone").isNull() | (F.col("zone") != "primary"))
     cols = ["id", "yard_id", "size", "weight", "departure_time", "type", "outcome", "zone"]

@@ -24,10 +24,9 @@ table gives no rows.
 from __future__ import annotations
 
 import re
-from collections import deque
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -39,10 +38,11 @@ from pyspark.sql import functions as F
 from quaystack.llm.common import ready, texts
 
 #: Words that the memo holds before it starts anew; bounds a worker's memory.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 MEMO_CHARS = 64
 #: White space to ``str.split`` but not to the vocabulary's own pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_MARKS = re.compile(r"[^\w\s]+")
 
 
 class Costs(NamedTuple):
@@ -67,9 +67,10 @@ class Costs(NamedTuple):
 class WordTokens:
     """Ids of whole texts by a vocabulary whose pieces never span white space.
 
-    Texts are split at white space and each distinct word is encoded once by
-    the tokenizers library. Latin-1 texts are lower-cased first, as the
-    vocabulary's normaliser does character by character.
+    Texts are cut where the vocabulary's own pattern always cuts, and each
+    distinct part is encoded once by the tokenizers library: at white space,
+    and in Latin-1 texts also around runs of punctuation. Latin-1 texts are
+    lower-cased first, as the normaliser does character by character.
     """
 
     def __init__(self, path: str):
@@ -84,41 +85,51 @@ class WordTokens:
             if name.removesuffix("</w>")[-1:] in (".", "!", "?"):
                 self.sentence_end[token] = True
 
-    def _encode(self, items: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in done]
+    def _encode(self, items: list[str]) -> dict[str, bytes]:
+        """Each item by the library, some thousands at a time."""
+        made = {}
+        for i in range(0, len(items), 10_000):
+            part = items[i:i + 10_000]
+            done = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            made.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, done))
+        return made
+
+    def parts(self, text: str) -> list[str]:
+        """What may be encoded separately."""
+        if _SEPARATORS.search(text):
+            return [text]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        text = text.lower()
+        if "'" in text or "_" in text:  # contractions; a mark that is a word character here
+            return text.split()
+        return _MARKS.sub(r" \g<0> ", text).split()
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words: list[list[str] | None] = []
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        get = self.memo.get
+        out: list[list[bytes | None]] = []
+        gaps: list[tuple[int, list[str], list[int]]] = []
+        new: set[str] = set()
         for text in batch:
-            if _SEPARATORS.search(text):
-                words.append(None)
-                continue
-            try:
-                text.encode("latin-1")
-                words.append(text.lower().split())
-            except UnicodeEncodeError:
-                words.append(text.split())
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        missing = list({w for w in chain.from_iterable(filter(None, words)) if w not in memo})
-        own = {}
-        for i in range(0, len(missing), 10_000):
-            part = missing[i:i + 10_000]
-            own.update(zip(part, self._encode(part)))
-        memo.update(own)
-        out = []
-        for text, split in zip(batch, words):
-            if split is None:
-                out += self._encode([text])
-            else:
-                out.append(b"".join(map(memo.__getitem__, split)))
-        for w in own:
-            if len(w) > MEMO_CHARS:
-                del memo[w]
-        return out
+            parts = self.parts(text)
+            ids = list(map(get, parts))
+            if None in ids:
+                at = [i for i, x in enumerate(ids) if x is None]
+                new.update(map(parts.__getitem__, at))
+                gaps.append((len(out), parts, at))
+            out.append(ids)
+        made = self._encode(list(new))
+        for number, parts, at in gaps:
+            ids = out[number]
+            for i in at:
+                ids[i] = made[parts[i]]
+        self.memo.update((w, x) for w, x in made.items() if len(w) <= MEMO_CHARS)
+        return list(map(b"".join, out))
 
 
 @lru_cache(maxsize=2)
@@ -155,31 +166,36 @@ def best_cuts(at: np.ndarray, price: np.ndarray, costs: Costs = Costs()) -> list
     the minimum of least[i] + at[i] over a sliding window; one of exactly a
     power of two costs nothing.
     """
-    exact: dict[int, list[int]] = {}
+    exact: dict[int, tuple[int, ...]] = {}
     size = 1
     while size <= costs.window:
         where = np.searchsorted(at, at - size)
-        for j in np.flatnonzero((at >= size + at[0]) & (at[where] == at - size)).tolist():
-            exact.setdefault(j, []).append(int(where[j]))
+        hit = np.flatnonzero(at[where] == at - size)
+        for j, i in zip(hit.tolist(), where[hit].tolist()):
+            exact[j] = (*exact[j], i) if j in exact else (i,)
         size *= 2
-    pos, fee = at.tolist(), price.tolist()
+    pos, fee = at.tolist(), (price + costs.sequence).tolist()
     least, back = [0] * len(pos), [0] * len(pos)
-    queue: deque[tuple[int, int, int]] = deque([(pos[0], pos[0], 0)])  # least + at, at, index
-    window, base, none = costs.window, costs.sequence, ()
+    # The queue: keys least + at, ascending, and their cuts, from ``head`` on.
+    keys, cuts, head = [pos[0]], [0], 0
+    window = costs.window
     for j in range(1, len(pos)):
         here = pos[j]
-        while queue[0][1] < here - window:
-            queue.popleft()
-        key, _, start = queue[0]
-        cost = key + window - here
-        for i in exact.get(j, none):
-            if least[i] < cost:
-                cost, start = least[i], i
-        least[j], back[j] = cost + base + fee[j], start
-        key = least[j] + here
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, here, j))
+        while pos[cuts[head]] < here - window:
+            head += 1
+        cost, start = keys[head] + window - here, cuts[head]
+        if j in exact:
+            for i in exact[j]:
+                if least[i] < cost:
+                    cost, start = least[i], i
+        cost += fee[j]
+        least[j], back[j] = cost, start
+        key = cost + here
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            cuts.pop()
+        keys.append(key)
+        cuts.append(j)
     chain_, j = [], len(pos) - 1
     while j:
         chain_.append(pos[j])

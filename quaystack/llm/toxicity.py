@@ -39,7 +39,7 @@ from quaystack.llm.common import column, ready, texts
 TOXIC_ROWS, CLEAN_ROWS = 3_000, 6_000
 #: Lengths of word beginnings, the least training rows of a feature, and its
 #: least log-odds ratio in standard errors.
-PREFIXES, MIN_DOCS, MIN_Z, GRADES = (4, 5, 6, 7), 6, 4.0, 3
+PREFIXES, MIN_DOCS, MIN_Z, GRADES = (4, 5, 6, 7), 4, 3.5, 3
 MEMO_WORDS = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")

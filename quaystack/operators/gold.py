@@ -94,10 +94,9 @@ def risk_all(clean: DataFrame, max_height: int) -> DataFrame:
     window, the others with flag 0 (a union of two disjoint filters, no join)."""
     p = with_pile(clean, max_height)
     # Silver rows may collide on a slot, so a pile is not bounded here: the
-    # largest pile is measured first and a hot pile switches the lead to the
-    # chunked, range-partitioned form (see ranking.lead_by_group).
-    from quaystack.operators.ranking import lead_by_group
-    slotted = lead_by_group(p.filter(F.col("tier").isNotNull()), PILE, ["tier", "departure_time", "id"],
+    # lead is the chunked, range-partitioned one that splits a hot pile.
+    from quaystack.operators.ranking import lead_within
+    slotted = lead_within(p.filter(F.col("tier").isNotNull()), PILE, ["tier", "departure_time", "id"],
                             "departure_time", "next_departure")
     flag = F.when(F.col("next_departure").isNotNull()
                   & (F.col("departure_time") < F.col("next_departure")), 1).otherwise(0)
@@ -148,7 +147,7 @@ def kpi_document(clean: DataFrame, report: DataFrame, max_height: int,
     base = dwell_days(risk_all(clean, max_height))
     part = base.groupBy("type", "size", "block_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("weight").alias("sw"),
-        F.sum(F.col("weight") * F.col("weight")).alias("sww"),
+        F.avg("weight").alias("mu"), F.var_pop("weight").alias("vp"),
         F.min("weight").alias("mn"), F.max("weight").alias("mx"),
         F.min("departure_time").alias("d0"), F.max("departure_time").alias("d1"),
         F.sum("dwell_days").alias("sd"),
@@ -162,7 +161,13 @@ def kpi_document(clean: DataFrame, report: DataFrame, max_height: int,
     by_size = part.groupBy("size").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"))
     by_block = (part.filter(F.col("block_id").isNotNull()).groupBy("block_id")
                 .agg(F.sum("rk").alias("rk")).filter(F.col("rk") > 0))
-    total = part.agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"), F.sum("sww").alias("sww"),
+    # Merged variance: squares within the groups plus those of the group means
+    # around the overall mean, over the few rows of ``part``.
+    mean = F.sum("sw").over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())
+    squares = F.col("n") * (F.col("vp") + (F.col("mu") - F.col("mean")) * (F.col("mu") - F.col("mean")))
+    total = part.withColumn("mean", mean).agg(
+                     F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("sw").alias("sw"),
+                     F.sum(squares).alias("squares"),
                      F.min("mn").alias("mn"), F.max("mx").alias("mx"),
                      F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.sum("rk").alias("rk"))
 
@@ -187,19 +192,21 @@ def kpi_document(clean: DataFrame, report: DataFrame, max_height: int,
             round_half_up(v["count"] * 100.0 / n, 1).alias("percentage"),
             round_half_up(v["sum_w"] / v["count"], 2).alias("avg_weight_t")))
 
-    var = (F.col("sww") - F.col("sw") * F.col("sw") / n) / (n - 1)
+    var = F.when(n > 1, F.col("squares") / F.nullif(n - 1, F.lit(0)))
     rk = F.coalesce(F.col("rk"), F.lit(0))
+    efficiency = F.when(n > 0, round_half_up(F.greatest(
+        F.lit(0.0), F.lit(100.0) - rk * 100.0 / F.nullif(n, F.lit(0))), 1)).otherwise(F.lit(0.0))
+    weight = lambda c: F.coalesce(round_half_up(c, 2), F.lit(0.0))
     return doc.select(
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("computed_at"),
+        F.when(n > 0, "SUCCESS").otherwise("EMPTY").alias("status"),
         n.alias("total_containers"),
         F.lit(storage_mode).alias("storage_mode"),
         shares("tm").alias("type_distribution"),
         shares("sm").alias("size_distribution"),
-        F.struct(round_half_up(F.col("sw") / n, 2).alias("avg_t"),
-                 round_half_up(F.col("mn"), 2).alias("min_t"),
-                 round_half_up(F.col("mx"), 2).alias("max_t"),
-                 F.coalesce(round_half_up(F.sqrt(F.greatest(var, F.lit(0.0))), 2), F.lit(0.0))
-                 .alias("stddev_t")).alias("weight_stats"),
+        F.struct(weight(F.col("sw") / F.nullif(n, F.lit(0))).alias("avg_t"),
+                 weight(F.col("mn")).alias("min_t"), weight(F.col("mx")).alias("max_t"),
+                 weight(F.sqrt(var)).alias("stddev_t")).alias("weight_stats"),
         F.struct(F.date_format("d0", ISO_FORMAT).alias("earliest_departure"),
                  F.date_format("d1", ISO_FORMAT).alias("latest_departure")).alias("time_window"),
         F.struct(F.col("total_raw").alias("total_raw_ingested"),
@@ -209,8 +216,7 @@ def kpi_document(clean: DataFrame, report: DataFrame, max_height: int,
                  F.col("quality_score").alias("quality_score_pct")).alias("pipeline_quality"),
         F.col("dwell").alias("dwell_analytics"),
         F.struct(rk.alias("rehandle_risk_count"),
-                 round_half_up(F.greatest(F.lit(0.0), F.lit(100.0) - rk * 100.0 / n), 1)
-                 .alias("efficiency_score"),
+                 efficiency.alias("efficiency_score"),
                  F.coalesce(F.col("bm"), F.create_map().cast("map<string,bigint>"))
                  .alias("details_per_block")).alias("advanced_analytics"),
     )
@@ -230,7 +236,42 @@ def write_kpi_document(doc: DataFrame, path: str) -> None:
     doc.coalesce(1).write.mode("append").json(path)
 
 
-def latest_kpis(spark, path: str) -> DataFrame:
-    """Newest document by ``computed_at`` (not by file name)."""
+def flat_document(doc: DataFrame) -> DataFrame:
+    """The document's values as rows: section, key, metric, value (text for
+    times and the status, numbers as doubles)."""
+    number = lambda c: c.cast("double")
+    none = F.lit(None)
+
+    def row(section, key, metric, value=none, text=none):
+        return F.struct(F.lit(section).alias("section"), key.alias("key"), F.lit(metric).alias("metric"),
+                        number(value).alias("value"), text.cast("string").alias("text"))
+
+    def entries(column: str, make):
+        return F.flatten(F.transform(F.map_entries(column), make))
+
+    dist = lambda section: lambda e: F.array(*[
+        row(section, e["key"], m, e["value"][m]) for m in ("count", "percentage", "avg_weight_t")])
+    fields = [row("document", F.lit(""), "status", text=F.col("status")),
+              row("document", F.lit(""), "total_containers", F.col("total_containers"))]
+    for section, texts in (("weight_stats", False), ("time_window", True), ("pipeline_quality", False)):
+        for f in doc.schema[section].dataType.names:
+            c = F.col(f"{section}.{f}")
+            fields.append(row(section, F.lit(""), f, text=c) if texts else row(section, F.lit(""), f, c))
+    for f in ("rehandle_risk_count", "efficiency_score"):
+        fields.append(row("advanced_analytics", F.lit(""), f, F.col(f"advanced_analytics.{f}")))
+    return doc.select(F.inline(F.concat(
+        F.array(*fields),
+        entries("type_distribution", dist("type_distribution")),
+        entries("size_distribution", dist("size_distribution")),
+        entries("dwell_analytics", lambda e: F.array(row("dwell_analytics", e["key"], "days", e["value"]))),
+        entries("advanced_analytics.details_per_block",
+                lambda e: F.array(row("details_per_block", e["key"], "risk", e["value"]))))))
+
+
+def latest_kpis(spark, path: str, epoch: str | None = None) -> DataFrame:
+    """Newest document by ``computed_at`` (not by file name); after a reset
+    only documents computed since its ``epoch`` count."""
     docs = spark.read.json(path)
+    if epoch:
+        docs = docs.filter(F.to_timestamp("computed_at") >= F.lit(epoch).cast("timestamp"))
     return docs.agg(F.max_by(F.struct(*docs.columns), F.col("computed_at")).alias("d")).select("d.*")

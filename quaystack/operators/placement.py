@@ -1,10 +1,11 @@
 """Snapshot reconciliation and batch placement as set-based jobs.
 
-Reconciliation (one outcome per record, checked in this order):
-NO_SLOT -> BAD_LOCATION -> WRONG_ZONE -> then, per slot, records are taken
-in tier order and in record order within a tier: a record that would sit
-above a container leaving earlier is WOULD_REHANDLE, the first remaining
-claimant takes the slot (PLACED), later ones are SLOT_TAKEN.
+Reconciliation (one outcome per record, checked in this order): DUPLICATE
+(the yard already holds the id) -> NO_SLOT -> BAD_LOCATION -> WRONG_ZONE ->
+then, per slot, records are taken in tier order and in record order within
+a tier: a record that would sit above a container leaving earlier is
+WOULD_REHANDLE, the first remaining claimant of a free slot takes it
+(PLACED), later ones are SLOT_TAKEN.
 
 Whether a record is refused depends on who holds the slot below, which is
 decided one tier lower. So the fold runs tier by tier: ``max_height`` steps
@@ -15,6 +16,7 @@ map-side; no pile is ever gathered into one row or task.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -22,10 +24,10 @@ from pyspark.sql import functions as F
 
 from quaystack.functions.parse import size_or_default
 from quaystack.operators import ranking
-from quaystack.operators.rules import zone_of
+from quaystack.operators.rules import size_of_block, zone_of
 from quaystack.operators.yard import PILE, SLOT, distance, in_grid, with_location
-from quaystack.schema import YardSpec
-from quaystack.session import materialise
+from quaystack.schema import SIZE_POLICY, YardSpec
+from quaystack.session import materialise, scratch_path
 
 PLACED, NO_SLOT, BAD_LOCATION, WRONG_ZONE = "PLACED", "NO_SLOT", "BAD_LOCATION", "WRONG_ZONE"
 WOULD_REHANDLE, SLOT_TAKEN, DUPLICATE = "WOULD_REHANDLE", "SLOT_TAKEN", "DUPLICATE"
@@ -40,35 +42,53 @@ def _pre_label(records: DataFrame, spec: YardSpec) -> DataFrame:
     return r.withColumn("_pre", pre)
 
 
-def reconcile(records: DataFrame, spec: YardSpec, order_cols: list[str]) -> DataFrame:
+def reconcile(records: DataFrame, spec: YardSpec, order_cols: list[str],
+              existing: DataFrame | None = None) -> DataFrame:
     """Outcome per record: id, outcome, slot key, floating flag.
 
     ``records`` needs id, size, slot, departure_time, yard_id and the
-    ``order_cols`` giving record order within a tier.
+    ``order_cols`` giving record order within a tier. ``existing`` is the
+    occupancy of a yard that already holds containers (slot key, id,
+    departure_time): its slots are taken and its ids are duplicates.
     """
     labelled = _pre_label(records, spec)
+    if existing is not None:
+        held_ids = existing.select("id", F.lit(True).alias("_dup")).distinct()
+        labelled = (labelled.join(held_ids, "id", "left")
+                    .withColumn("_pre", F.when(F.col("_dup"), F.lit(DUPLICATE)).otherwise(F.col("_pre")))
+                    .drop("_dup"))
     seq = F.struct(*[F.col(c) for c in order_cols], F.col("id").alias("_id"))
     # Parse once: the labelled records are stored and every tier step below
     # reads only the columns it needs from the stored copy.
     labelled = materialise(labelled.withColumn("_seq", seq).withColumn("_in_grid", F.coalesce(
         in_grid(spec), F.lit(False))), "reconcile-records")
-    claims = (labelled.filter(F.col("_pre").isNull() & F.col("_in_grid"))
-              .select(*SLOT, "id", "departure_time", "_seq"))
+    # Claims are stored by tier, so each step below reads its own tier alone.
+    path = scratch_path(labelled.sparkSession, "claims")
+    (labelled.filter(F.col("_pre").isNull() & F.col("_in_grid"))
+     .select(*SLOT, "id", "departure_time", "_seq").withColumn("_tier", F.col("tier"))
+     .write.partitionBy("_tier").parquet(path))
+    claims = _read_claims(labelled, path)
     holders = []
     prev = None
     for t in range(1, spec.max_height + 1):
-        ct = claims.filter(F.col("tier") == t)
+        ct = claims.filter(F.col("_tier") == t)
         if prev is not None:
             below = prev.select(*PILE, F.col("departure_time").alias("_below_dep"))
             ct = ct.join(below, PILE, "left")
             ok = F.col("_below_dep").isNull() | (F.col("departure_time") <= F.col("_below_dep"))
         else:
             ok = F.lit(True)
+        held = existing.filter(F.col("tier") == t).select(*SLOT, "id", "departure_time") \
+            if existing is not None else None
+        if held is not None:
+            ct = ct.join(held.select(*SLOT), SLOT, "left_anti")
         win = (ct.filter(ok).groupBy(*SLOT)
                .agg(F.min(F.struct("_seq", "id", "departure_time")).alias("_w"))
                .select(*SLOT, F.col("_w.id").alias("id"), F.col("_w.departure_time").alias("departure_time")))
         # Holders of one tier are a small table (one row per slot); pin them
         # so the next tier's plan does not re-derive every lower tier.
+        if held is not None:
+            win = win.unionByName(held)
         win = materialise(win, f"holders-tier{t}")
         holders.append(win)
         prev = win
@@ -76,7 +96,7 @@ def reconcile(records: DataFrame, spec: YardSpec, order_cols: list[str]) -> Data
     below = held.select(*PILE, (F.col("tier") + 1).alias("tier"),
                         F.col("departure_time").alias("_below_dep"), F.lit(True).alias("_has_below"))
     mine = held.select(*SLOT, F.col("id").alias("_holder"))
-    c = (claims.join(below, SLOT, "left").join(mine, SLOT, "left"))
+    c = (claims.drop("_tier").join(below, SLOT, "left").join(mine, SLOT, "left"))
     outcome = (F.when(F.col("_holder") == F.col("id"), F.lit(PLACED))
                .when(F.col("_below_dep").isNotNull() & (F.col("departure_time") > F.col("_below_dep")),
                      F.lit(WOULD_REHANDLE))
@@ -90,82 +110,105 @@ def reconcile(records: DataFrame, spec: YardSpec, order_cols: list[str]) -> Data
     return decided.unionByName(rest)
 
 
-def report(outcomes: DataFrame) -> DataFrame:
-    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-
-
-def open_positions(piles: DataFrame, spec: YardSpec) -> DataFrame:
-    """Every free position above the top of each hole-free pile, with its
-    zone size and rank inside (yard, size). The positions of a (yard, size)
-    are bounded by the zone's capacity, so a plain window suffices here."""
-    from quaystack.operators.rules import size_of_block
-    p = (piles.filter((F.col("top_free_tier") == F.col("height") + 1) & ~F.col("is_full"))
-         .withColumn("size", size_of_block()).filter(F.col("size").isNotNull())
-         .withColumn("zone", zone_of())
-         .withColumn("tier", F.explode(F.sequence(F.col("height") + 1, F.lit(spec.max_height))))
-         .withColumn("distance", distance(spec)))
-    zrank = F.when(F.col("zone") == "primary", 0).otherwise(1)
-    prim = [zrank, F.when(F.col("zone") == "primary", F.col("tier")).otherwise(F.lit(0)),
-            "distance", "block_index", "bay", "row", "tier"]
-    w = Window.partitionBy("yard_id", "size").orderBy(*prim)
-    return p.withColumn("pos_rank", F.row_number().over(w))
-
-
-def rank_zip(to_place: DataFrame, positions: DataFrame) -> DataFrame:
-    """Latest departure first gets the best position: container rank r
-    inside (yard, size) meets position rank r. Containers are ranked with
-    the skew-safe ranking (a yard may hold a third of all containers)."""
-    ranked = ranking.rank_within(to_place, ["yard_id", "size"],
-                                 [F.col("departure_time").desc(), F.col("id")], name="pos_rank")
-    j = ranked.join(positions.select("yard_id", "size", "pos_rank", "block_id", "bay", "row", "tier", "zone"),
-                    ["yard_id", "size", "pos_rank"], "left")
-    outcome = (F.when(F.col("zone") == "primary", F.lit("PLACED_PRIMARY"))
-               .when(F.col("zone") == "backup", F.lit("PLACED_BACKUP")).otherwise(F.lit("UNPLACED")))
-    return j.withColumn("outcome", outcome)
-
-
-def layered_zip(zipped: DataFrame, fixed: DataFrame, spec: YardSpec, shift_extra: int = 3) -> DataFrame:
-    """Weight-aware refinement of ``rank_zip`` for primary blocks.
-
-    Rank-zip fills primary positions tier by tier, so every container of
-    tier layer t leaves no later than any container of layer t-1: any
-    permutation inside a layer keeps the departure order. Inside each layer
-    containers are ranked by weight and the positions by the weight of the
-    container below (existing or placed one layer lower); container rank r
-    takes position rank r - s (mod layer size), s = ceil(sqrt(m)) + 3, so
-    each container sits on a slightly heavier one. At sf0.01 this leaves
-    3,057 weight inversions among 22,464 placements (8,702 with plain
-    rank-zip, 6,275 with unshifted sorted matching). One step per tier (``max_height`` steps); each step
-    ranks one layer of a (yard, size) zone, bounded by the zone's piles.
-    Backup and unplaced rows are kept as rank-zip left them.
+def _read_claims(labelled: DataFrame, path: str) -> DataFrame:
+    schema = (labelled.select(*SLOT, "id", "departure_time", "_seq")
+              .withColumn("_tier", F.col("tier").cast("int")).schema)
+    return labelled.sparkSession.read.schema(schema).parquet(path)
+
+
+#: Stages of batch placement, in order: outcome, kind of block, and which of
+#: the rules (departure, weight) hold there.
+STAGES = [
+    ("PLACED_PRIMARY", "primary", True, True),
+    ("PLACED_BACKUP", "backup", True, True),
+    ("PLACED_PRIMARY_RELAXED", "primary", False, True),
+    ("PLACED_BACKUP_RELAXED", "backup", False, False),
+]
+UNPLACED = "UNPLACED"
+
+
+def zone_size(spec: YardSpec, kind: str) -> int:
+    """Most piles that a (yard, size) has in blocks of a kind."""
+    return max(len(p[kind]) for p in SIZE_POLICY.values()) * spec.n_bays * spec.n_rows
+
+
+def place_batch(to_place: DataFrame, piles: DataFrame, spec: YardSpec) -> DataFrame:
+    """Place containers on piles by the staged rules; every row of
+    ``to_place`` comes back with outcome, stage and slot (null: UNPLACED).
+
+    A stage ranks what is left inside (yard, size), latest departure first
+    (heaviest first where departure does not count), and deals the ranks
+    into chunks as large as the zone has piles. A round matches one chunk:
+    its containers by weight against the open piles by the weight on top,
+    empty piles nearest first. Ranks are shifted by the root of the zone's
+    size, so a container meets a heavier top. A match that breaks a rule of
+    the stage is dropped and left to later stages, so no rule is ever
+    broken. Rounds a stage: one a tier. Chunks and piles of a round are
+    bounded by geometry; the ranks over all containers split hot yards.
     """
-    # every layer step reads the zipped rows: store them once
-    zipped = materialise(zipped, "zipped")
-    prim = zipped.filter(F.col("zone") == "primary")
-    rest = zipped.filter(F.col("zone").isNull() | (F.col("zone") != "primary"))
-    cols = ["id", "yard_id", "size", "weight", "departure_time", "type", "outcome", "zone"]
-    layers = []
-    below = fixed.filter(F.col("tier") == 0).select(*PILE, F.col("weight").alias("_bw"))
-    for t in range(1, spec.max_height + 1):
-        layer = prim.filter(F.col("tier") == t)
-        pos = layer.select(*PILE, "size", "tier", "pos_rank").join(below, PILE, "left")
-        pos = pos.withColumn("_r", F.row_number().over(Window.partitionBy("yard_id", "size").orderBy(
-            F.col("_bw").desc_nulls_first(), "pos_rank"))).drop("_bw", "pos_rank")
-        zone_w = Window.partitionBy("yard_id", "size")
-        cont = (layer.select(*cols)
-                .withColumn("_r0", F.row_number().over(zone_w.orderBy(F.col("weight").desc(), "id")))
-                .withColumn("_m", F.count(F.lit(1)).over(zone_w)))
-        # circular shift: the r-th heaviest container goes onto the (r-s)-th
-        # heaviest base, i.e. a slightly heavier one; the s heaviest wrap round
-        shift = F.ceil(F.sqrt(F.col("_m"))).cast("long") + F.lit(shift_extra)
-        cont = cont.withColumn("_r", (((F.col("_r0") - 1 - shift) % F.col("_m") + F.col("_m"))
-                                      % F.col("_m")) + 1).drop("_r0", "_m")
-        placed = materialise(cont.join(pos, ["yard_id", "size", "_r"], "inner").drop("_r"), f"layer{t}")
-        layers.append(placed)
-        below = (fixed.filter(F.col("tier") == t).select(*PILE, F.col("weight").alias("_bw"))
-                 .unionByName(placed.select(*PILE, F.col("weight").alias("_bw"))))
-    keep = cols + ["block_id", "bay", "row", "tier"]
-    return reduce(lambda a, b: a.unionByName(b), layers + [rest.select(*keep)]).select(*keep)
+    state = materialise(
+        piles.filter((F.col("top_free_tier") == F.col("height") + 1) | (F.col("height") == 0))
+        .withColumn("size", size_of_block()).filter(F.col("size").isNotNull())
+        .select(*PILE, "size", zone_of().alias("kind"), F.col("height").cast("int").alias("height"),
+                "top_weight", "min_departure", distance(spec).alias("distance"), "block_index"),
+        "place-piles")
+    cols = to_place.columns
+    left, done = to_place, []
+    for number, (outcome, kind, by_departure, by_weight) in enumerate(STAGES, 1):
+        zone = zone_size(spec, kind)
+        shift = math.isqrt(zone - 1) + 1 if by_weight else 0
+        first = "departure_time" if by_departure or not by_weight else "weight"
+        pool = ranking.rank_within(left, ["yard_id", "size"], [F.col(first).desc(), F.col("id")], name="_n")
+        pool = materialise(pool.withColumn("_chunk", F.floor((F.col("_n") - 1) / zone)), "place-pool")
+        last = pool.agg(F.max("_chunk")).first()[0]
+        if last is None:  # everything has its place
+            break
+        for chunk in range(min(spec.max_height, int(last) + 1)):
+            took = _match(pool.filter(F.col("_chunk") == chunk),
+                          state.filter((F.col("kind") == kind) & (F.col("height") < spec.max_height)),
+                          shift, by_departure, by_weight)
+            took = materialise(took.select(*cols, "block_id", "bay", "row", "tier"), "place-round")
+            done.append(took.withColumn("outcome", F.lit(outcome)).withColumn("stage", F.lit(number)))
+            new = took.select(*PILE, F.lit(1).alias("_h"), F.col("weight").alias("_w"),
+                              F.col("departure_time").alias("_d"))
+            state = state.join(new, PILE, "left").select(
+                *PILE, "size", "kind", (F.col("height") + F.coalesce("_h", F.lit(0))).alias("height"),
+                F.coalesce("_w", "top_weight").alias("top_weight"),
+                F.least("min_departure", "_d").alias("min_departure"), "distance", "block_index")
+            if chunk % 3 == 2:
+                state = materialise(state, "place-piles")
+        state = materialise(state, "place-piles")
+        placed = reduce(lambda a, b: a.unionByName(b), done)
+        left = to_place.join(placed.select("id"), "id", "left_anti")
+    rest = left.withColumns({"block_id": F.lit(None).cast("string"), "bay": F.lit(None).cast("int"),
+                             "row": F.lit(None).cast("int"), "tier": F.lit(None).cast("int"),
+                             "outcome": F.lit(UNPLACED), "stage": F.lit(None).cast("int")})
+    return reduce(lambda a, b: a.unionByName(b), [*done, rest])
+
+
+def _match(containers: DataFrame, piles: DataFrame, shift: int, by_departure: bool,
+           by_weight: bool) -> DataFrame:
+    """One round: containers with the slot they take, rules checked."""
+    inside = Window.partitionBy("yard_id", "size")
+    empty = F.col("height") == 0
+    seats = (piles.withColumn("_p", F.row_number().over(inside.orderBy(
+                empty.desc(), F.when(empty, F.lit(0.0)).otherwise(F.col("top_weight")).desc(),
+                "distance", "block_index", "bay", "row")))
+             .withColumn("_empty", F.sum(empty.cast("int")).over(inside)))
+    counts = seats.select("yard_id", "size", "_empty").distinct()
+    r = F.col("_r")
+    asked = (containers.withColumn("_r", F.row_number().over(inside.orderBy(F.col("weight").desc(), "id")))
+             .join(counts, ["yard_id", "size"])
+             .withColumn("_p", F.when(r <= F.col("_empty"), r)
+                         .when(r - shift > F.col("_empty"), r - shift))
+             .drop("_empty"))
+    pair = asked.join(seats.drop("_empty", "kind"), ["yard_id", "size", "_p"])
+    ok = F.lit(True)
+    if by_weight:
+        ok = ok & (empty | (F.col("weight") <= F.col("top_weight")))
+    if by_departure:
+        ok = ok & (empty | (F.col("departure_time") <= F.col("min_departure")))
+    return pair.filter(ok).withColumn("tier", F.col("height") + 1)
 
 
 def dedup_by_priority(frames: list[tuple[str, DataFrame]], order_cols: list) -> DataFrame:
@@ -183,10 +226,13 @@ def dedup_by_priority(frames: list[tuple[str, DataFrame]], order_cols: list) ->
 
 def violations(placed: DataFrame) -> DataFrame:
     """Departure and weight checks of each placed container against the one
-    directly below it (self equi-join on the slot key)."""
+    directly below it (self equi-join on the slot key); ``floating`` has none
+    below."""
     below = placed.select(*PILE, (F.col("tier") + 1).alias("tier"),
                           F.col("departure_time").alias("_bd"), F.col("weight").alias("_bw"))
-    j = placed.join(below, SLOT, "left")
+    below = below.withColumn("_on", F.lit(True))
+    j = placed.join(below, SLOT, "left").withColumn(
+        "floating", (F.col("tier") > 1) & F.col("_on").isNull()).drop("_on")
     return (j.withColumn("edd_violation", F.coalesce(F.col("departure_time") > F.col("_bd"), F.lit(False)))
             .withColumn("weight_violation", F.coalesce(F.col("weight") > F.col("_bw"), F.lit(False)))
             .drop("_bd", "_bw"))

@@ -15,6 +15,19 @@ from pyspark.sql import functions as F
 from quaystack.session import materialise
 
 
+def _by_range(df: DataFrame, keys: list, num_partitions: int | None) -> DataFrame:
+    """Range partitions; without a number adaptive execution sizes them."""
+    return df.repartitionByRange(*([num_partitions] if num_partitions else []), *keys)
+
+
+def _by_chunk(rows: DataFrame, chunks: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Rows with the values of their (partition, group); a null group is one."""
+    named = chunks.withColumnsRenamed({c: f"_g_{c}" for c in ["_pid", *group_cols]})
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group_cols]
+    return rows.join(named, [F.col("_pid") == F.col("_g__pid"), *same], "inner").drop(
+        "_g__pid", *[f"_g_{c}" for c in group_cols])
+
+
 def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, name: str = "rank",
                 num_partitions: int | None = None) -> DataFrame:
     """Rank 1..n per group in ``order_cols`` order (must be a total order).
@@ -23,10 +36,8 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     so partition ids and row positions are fixed once, even if a later stage
     is recomputed after an executor loss.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tagged = (_by_range(df, keys, num_partitions).sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id())
               )
@@ -37,7 +48,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list, name: st
     # spans consecutive partitions, so this is ~#groups + #partitions rows.
     before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = tagged.join(counts.select("_pid", *group_cols, "_off", "_p0"), ["_pid", *group_cols], "inner")
+    out = _by_chunk(tagged, counts.select("_pid", *group_cols, "_off", "_p0"), group_cols)
     return (out.withColumn(name, (F.col("_pos") - F.col("_p0") + 1 + F.col("_off")).cast("long"))
             .drop("_pid", "_pos", "_p0", "_off"))
 
@@ -52,10 +63,8 @@ def lead_within(df: DataFrame, group_cols: list[str], order_cols: list, value: s
     chunk takes the first value of the group's next chunk from a small
     per-(partition, group) boundary table.
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    tagged = materialise(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tagged = materialise(_by_range(df, keys, num_partitions).sortWithinPartitions(*keys)
                          .withColumn("_pid", F.spark_partition_id())
                          .withColumn("_pos", F.monotonically_increasing_id()), "lead")
     chunk = Window.partitionBy("_pid", *group_cols).orderBy("_pos")
@@ -65,22 +74,6 @@ def lead_within(df: DataFrame, group_cols: list[str], order_cols: list, value: s
     nxt = Window.partitionBy(*group_cols).orderBy("_pid")
     bounds = bounds.withColumn("_next_first", F.lead("_first").over(nxt)).select(
         "_pid", *group_cols, "_last", "_next_first")
-    j = inner.join(bounds, ["_pid", *group_cols], "inner")
+    j = _by_chunk(inner, bounds, group_cols)
     out = F.when(F.col("_pos") == F.col("_last"), F.col("_next_first")).otherwise(F.col("_in"))
     return j.withColumn(name, out).drop("_pid", "_pos", "_in", "_last", "_next_first")
-
-
-# A window partition this large still fits one task comfortably (it spills).
-MAX_WINDOW_GROUP_ROWS = 2_000_000
-
-
-def lead_by_group(df: DataFrame, group_cols: list[str], order_cols: list, value: str, name: str,
-                  max_group_rows: int = MAX_WINDOW_GROUP_ROWS) -> DataFrame:
-    """``lead`` per group, choosing the plan from the measured group size:
-    one cheap aggregate (map-side combined) finds the largest group; below
-    the bound a plain window is used, above it the chunked ``lead_within``."""
-    biggest = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
-    if biggest <= max_group_rows:
-        w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-        return df.withColumn(name, F.lead(value).over(w))
-    return lead_within(df, group_cols, order_cols, value, name)

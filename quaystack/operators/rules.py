@@ -2,14 +2,15 @@
 valid open piles and slot scores.
 
 Candidate search never materialises container x pile rows. Piles of one
-(yard, size zone) are gathered into one array whose length is fixed by the
-yard geometry (blocks of the zone x bays x rows); each container is joined
-to its zone's array once and filters/sorts it with higher-order functions.
+(yard, size zone) are gathered into one array whose length is bounded by the
+yard geometry, without the empty piles that cannot win; each distinct probe
+(yard, size, departure, weight) meets its zone's array once and filters and
+sorts it with higher-order functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaystack.functions.location import format_location
@@ -64,16 +65,15 @@ def slot_scores(audits: DataFrame, spec: YardSpec) -> DataFrame:
             .withColumn("total_score", round_half_up(rh + ht + ds, 4)))
 
 
-def zone_piles(piles: DataFrame, spec: YardSpec, k: int = TOP_K) -> DataFrame:
-    """One row per (yard, size zone): the zone's open piles as an array of
-    structs sorted by static score, plus the exact stage-1 shortcut.
+def zone_piles(piles: DataFrame, spec: YardSpec, k: int) -> DataFrame:
+    """One row per (yard, size zone) with the piles that can be among any
+    container's ``k`` best, as an array of structs.
 
-    Array length <= (blocks of the zone) x bays x rows: a geometry bound,
-    independent of how many containers exist. ``fast`` holds the k best
-    empty primary piles when the zone has at least k of them: an empty
-    primary pile is valid for every container of the size and cheaper
-    (score <= 1) than any occupied one (score >= 2), so those k piles are
-    every container's stage-1 top-k and need no per-container search.
+    An empty pile admits every container of the size, at its static score.
+    Of the empty piles of a zone's primary (or backup) blocks only the ``k``
+    cheapest can therefore be in a top ``k``; the others are counted in
+    ``empty_primary`` / ``empty_backup`` and left out. Array length is at
+    most the occupied open piles of the zone plus 2 k: a geometry bound.
     """
     p = (piles.withColumn("size", size_of_block()).filter(F.col("size").isNotNull())
          .filter(~F.col("is_full") & (F.col("top_free_tier") == F.col("height") + 1)))
@@ -88,13 +88,18 @@ def zone_piles(piles: DataFrame, spec: YardSpec, k: int = TOP_K) -> DataFrame:
         F.coalesce(F.col("sizes"), F.array().cast("array<int>")).alias("sizes"),
         "min_departure", "top_weight",
         F.coalesce(F.col("departures"), F.array().cast("array<timestamp>")).alias("departures"))
-    z = p.groupBy("yard_id", "size").agg(F.array_sort(F.collect_list(entry)).alias("piles"))
-    empties = F.filter("piles", lambda e: (e["zone"] == "primary") & (e["height"] == 0))
-    fast = F.when(F.size(empties) >= k, F.transform(F.slice(empties, 1, k), lambda e: F.struct(
-        F.lit(1).alias("stage"), e["score4"].alias("score"), e["bidx"].alias("bidx"),
-        e["bay"].alias("bay"), e["row"].alias("row"), e["block_id"].alias("block_id"),
-        e["next_tier"].alias("tier"), F.lit(0).alias("rehandles"), e["zone"].alias("zone"))))
-    return z.withColumn("fast", fast)
+    empty = F.col("height") == 0
+    kinds = {"occupied": ~empty, "primary": empty & (F.col("zone") == "primary"),
+             "backup": empty & (F.col("zone") == "backup")}
+    z = p.groupBy("yard_id", "size").agg(*[
+        F.array_sort(F.collect_list(F.when(cond, entry))).alias(name) for name, cond in kinds.items()])
+    return z.select(
+        "yard_id", "size", F.size("primary").alias("empty_primary"),
+        F.size("backup").alias("empty_backup"), "occupied",
+        F.concat("occupied", F.slice("primary", 1, k), F.slice("backup", 1, k)).alias("piles"))
+
+
+PROBE = ["yard_id", "size", "departure_time", "weight"]
 
 
 def _round4(c: Column) -> Column:
@@ -120,47 +125,46 @@ def _candidate(p, dep: Column, weight: Column, size: Column) -> Column:
                     p["next_tier"].alias("tier"), rehandles.alias("rehandles"), p["zone"].alias("zone"))
 
 
-def top_k_slots(containers: DataFrame, zones: DataFrame, k: int = TOP_K) -> DataFrame:
+def top_k_slots(containers: DataFrame, piles: DataFrame, spec: YardSpec,
+                k: int = TOP_K) -> DataFrame:
     """For each container: its first non-empty stage (strict primary, strict
     backup, relaxed-departure primary, relaxed backup) and the k cheapest
     open piles of that stage, ranked by (score, block, bay, row).
 
-    Zones with the stage-1 shortcut answer directly; others evaluate the
-    zone's (geometry-bounded) pile array in-row."""
-    j = containers.join(zones, ["yard_id", "size"], "left")
-    cands = F.filter(F.transform(F.coalesce(F.col("piles"), F.array()),
-                                 lambda p: _candidate(p, F.col("departure_time"), F.col("weight"),
-                                                      F.col("size"))),
-                     lambda c: c["stage"].isNotNull())
-    slow = j.filter(F.col("fast").isNull()).withColumn("_c", cands)
-    slow = slow.withColumn("stage", F.array_min(F.transform("_c", lambda c: c["stage"])))
-    slow = slow.withColumn("_best", F.slice(F.array_sort(
-        F.filter("_c", lambda c: c["stage"] == F.col("stage"))), 1, k)).drop("_c")
-    quick = j.filter(F.col("fast").isNotNull()).withColumn("stage", F.lit(1)) \
-             .withColumn("_best", F.col("fast"))
-    return quick.unionByName(slow).drop("piles", "fast")
-
-
-def stage_counts(containers: DataFrame, zones: DataFrame) -> DataFrame:
-    """Per container, how many open piles each stage admits (one pass of
-    ``aggregate`` over the zone's bounded pile array)."""
-    j = containers.join(zones, ["yard_id", "size"], "left")
-    zero = F.struct(*[F.lit(0).alias(f"n_stage{s}") for s in (1, 2, 3, 4)])
+    Containers that agree in yard, size, departure and weight have the same
+    answer: each such probe is solved once, in-row, and joined back."""
+    zones = zone_piles(piles, spec, k)
+    probes = containers.select(*PROBE).distinct().join(zones, ["yard_id", "size"])
+    admitted = F.array_sort(F.filter(
+        F.transform("piles", lambda p: _candidate(p, F.col("departure_time"), F.col("weight"),
+                                                  F.col("size"))),
+        lambda c: c["stage"].isNotNull()))
+    # The sorted candidates are bound to a lambda variable, so they are
+    # computed once; the first one names the stage.
+    best = F.flatten(F.transform(F.array(admitted), lambda s: F.slice(
+        F.filter(s, lambda c: c["stage"] == F.get(s, F.lit(0))["stage"]), 1, k)))
+    solved = probes.select(*PROBE, F.posexplode(best).alias("pos", "c")).select(
+        *PROBE, F.col("c.stage").alias("stage"), (F.col("pos") + 1).alias("rank"),
+        *[F.col(f"c.{f}").alias(f) for f in ("block_id", "bay", "row", "tier", "score", "rehandles")])
+    return containers.select("id", *PROBE).join(solved, PROBE).drop("departure_time", "weight")
+
+
+def stage_counts(containers: DataFrame, piles: DataFrame, spec: YardSpec) -> DataFrame:
+    """Per container, how many open piles each stage admits: the occupied
+    ones by a fold over the zone's array, once per distinct probe; an empty
+    pile is stage 1 in a primary block and stage 2 in a backup block."""
+    zones = zone_piles(piles, spec, 0).drop("piles")
+    probes = containers.select(*PROBE).distinct().join(zones, ["yard_id", "size"])
+    start = {1: F.col("empty_primary"), 2: F.col("empty_backup"), 3: F.lit(0), 4: F.lit(0)}
+    zero = F.struct(*[c.alias(f"n_stage{s}") for s, c in start.items()])
 
     def step(acc, p):
         st = _candidate(p, F.col("departure_time"), F.col("weight"), F.col("size"))["stage"]
         return F.struct(*[(acc[f"n_stage{s}"] + F.when(st == s, 1).otherwise(0)).alias(f"n_stage{s}")
-                          for s in (1, 2, 3, 4)])
-    agg = F.aggregate(F.coalesce(F.col("piles"), F.array()), zero, step)
-    return j.select("id", agg.alias("n")).select("id", "n.*")
-
-
-def explode_top_k(ranked: DataFrame) -> DataFrame:
-    e = ranked.select("id", "yard_id", "size", "stage", F.posexplode("_best").alias("pos", "c"))
-    return e.select("id", "yard_id", "size", "stage", (F.col("pos") + 1).alias("rank"),
-                    F.col("c.block_id").alias("block_id"), F.col("c.bay").alias("bay"),
-                    F.col("c.row").alias("row"), F.col("c.tier").alias("tier"),
-                    F.col("c.score").alias("score"), F.col("c.rehandles").alias("rehandles"))
+                          for s in start])
+    counted = probes.select(*PROBE, F.inline(F.array(F.aggregate("occupied", zero, step))))
+    return (containers.select("id", *PROBE).join(counted, PROBE, "left")
+            .select("id", *[F.coalesce(f"n_stage{s}", F.lit(0)).alias(f"n_stage{s}") for s in start]))
 
 
 def available(piles: DataFrame) -> DataFrame:
@@ -187,6 +191,3 @@ def available_for_probe(piles: DataFrame, spec: YardSpec, probe_weight: float,
                                 F.col("height").alias("stack_current_height"))
             .withColumn("localization", format_location("block_id", "bay", "row", "tier")))
 
-
-def rank_window(*partition: str) -> Window:
-    return Window.partitionBy(*partition)

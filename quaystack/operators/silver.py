@@ -21,6 +21,7 @@ from quaystack.functions.parse import (normalise_type, parse_departure, round_ha
                                        to_double, to_size)
 from quaystack.schema import (ALLOWED_SIZES, ALLOWED_TYPES, CRITICAL_COLUMNS, DOMAIN_VIOLATION,
                               DUPLICATE_ID, ISO_FORMAT, NULL_CRITICAL, WEIGHT_MAX, WEIGHT_MIN)
+from quaystack.session import materialise
 
 
 def typed(raw: DataFrame, keep: list[str] | tuple = ()) -> DataFrame:
@@ -57,14 +58,15 @@ def label(typed_df: DataFrame, order_cols: list[str], row_key: str = "_rk",
           default_type: bool = False) -> DataFrame:
     """Add ``anomaly_reason``: null-critical, then duplicate, then domain."""
     key = F.struct(*[F.col(c) for c in order_cols], F.col(row_key))
-    df = typed_df.withColumn("_null", null_critical()).withColumn("_key", key)
-    firsts = (df.filter(~F.col("_null"))
-              .groupBy("id").agg(F.min("_key").alias("_first")))
-    j = df.join(firsts, "id", "left")
-    reason = (F.when(F.col("_null"), F.lit(NULL_CRITICAL))
-              .when(F.col("_key") != F.col("_first"), F.lit(DUPLICATE_ID))
+    # Rows without a critical value need no first row, so they stay out of
+    # the join: null ids would all meet in one task.
+    broken = typed_df.filter(null_critical()).withColumn("anomaly_reason", F.lit(NULL_CRITICAL))
+    df = typed_df.filter(~null_critical()).withColumn("_key", key)
+    firsts = df.groupBy("id").agg(F.min("_key").alias("_first"))
+    reason = (F.when(F.col("_key") != F.col("_first"), F.lit(DUPLICATE_ID))
               .when(~domain_ok(default_type), F.lit(DOMAIN_VIOLATION)))
-    out = j.withColumn("anomaly_reason", reason).drop("_null", "_key", "_first")
+    out = (df.join(firsts, "id").withColumn("anomaly_reason", reason).drop("_key", "_first")
+           .unionByName(broken))
     if default_type:
         out = out.withColumn("type", F.when(F.col("type").isin(ALLOWED_TYPES), F.col("type"))
                              .otherwise(F.lit("import")))
@@ -138,20 +140,22 @@ class SilverResult:
 
 def process(raw: DataFrame, order_cols: list[str], keep=(), row_key: str = "_rk",
             default_type: bool = False) -> SilverResult:
+    """Typed rows are stored once: finding first rows and labelling read the
+    narrow copy, so the raw source is scanned and parsed a single time."""
     keep = list(keep) + ([row_key] if row_key not in keep else [])
-    return SilverResult(label(typed(raw, keep), order_cols, row_key, default_type))
+    stored = materialise(typed(raw, keep), "silver-typed")
+    return SilverResult(label(stored, order_cols, row_key, default_type))
 
 
 # --- sinks ---------------------------------------------------------------------
 
 def write_silver(clean_df: DataFrame, path: str) -> None:
-    """Partitioned by type and departure date. Repartitioning on the
-    partition columns first gives one writer per partition directory
-    instead of one file per (task, directory) pair."""
-    (clean_df.repartition("type", "departure_date")
+    """Partitioned by type and departure date. Rebalancing on the partition
+    columns gives few files a directory and splits a hot one over tasks."""
+    (clean_df.hint("rebalance", "type", "departure_date")
      .write.mode("overwrite").partitionBy("type", "departure_date").parquet(path))
 
 
 def append_anomalies(anomaly_df: DataFrame, path: str) -> None:
-    (anomaly_df.repartition("ingestion_date", "anomaly_reason")
+    (anomaly_df.hint("rebalance", "ingestion_date", "anomaly_reason")
      .write.mode("append").partitionBy("ingestion_date", "anomaly_reason").parquet(path))

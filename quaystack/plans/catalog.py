@@ -152,6 +152,12 @@ def kpi_document(spark, sf):
     return gold.kpi_document(s.clean, s.report, MAXH)
 
 
+@query("kpi_document_flat")
+def kpi_document_flat(spark, sf):
+    """The nested document's values as rows."""
+    return gold.flat_document(kpi_document(spark, sf))
+
+
 # --- location and yard ------------------------------------------------------------
 from quaystack.functions import flags, location  # noqa: E402
 from quaystack.functions.parse import size_or_default  # noqa: E402
@@ -335,9 +341,21 @@ def yard_state_nested(spark, sf):
     return yard.yard_state_nested(st, yard.all_piles(ys, b, occ, Y))
 
 
+@query("yard_state_flat")
+def yard_state_flat(spark, sf):
+    """The nested yard, unfolded level by level to one row per slot."""
+    n = yard_state_nested(spark, sf)
+    b = n.select("yard_id", F.inline("blocks"))
+    s = b.select("yard_id", "block_id", F.inline("stacks"))
+    t = s.select("yard_id", "block_id", "bay", "row", "current_height", "is_full", F.inline("slots"))
+    return t.select(*yard.SLOT, "current_height", "is_full", "is_free", F.col("container_id").alias("id"),
+                    "container_details.size", "container_details.weight", "container_details.type",
+                    "container_details.departure_time", "container_details.location")
+
+
 # --- rules, scoring, placement ----------------------------------------------------
 from quaystack.operators import placement, rules  # noqa: E402
-from quaystack.schema import PROBE_DEPARTURE, PROBE_WEIGHT  # noqa: E402
+from quaystack.schema import PROBE_DEPARTURE, PROBE_WEIGHT, YardSpec  # noqa: E402
 
 
 def _piles(spark, sf):
@@ -345,10 +363,22 @@ def _piles(spark, sf):
     return yard.all_piles(ys, b, occ, Y)
 
 
-def _whatif(spark, sf):
-    zones = rules.zone_piles(_piles(spark, sf), Y)
-    arr = ctx.arrivals(spark, sf).select("id", "yard_id", "size", "weight", "departure_time")
-    return rules.top_k_slots(arr, zones)
+def _arrivals(spark, sf):
+    return ctx.arrivals(spark, sf).select("id", "yard_id", "size", "weight", "departure_time")
+
+
+#: A small grid on which the same snapshot piles up: every location is folded
+#: into it, so piles are mixed, tall and tight and all four stages occur.
+DENSE = YardSpec(n_blocks=4, n_bays=4, n_rows=2, max_height=Y.max_height)
+
+
+def _dense_piles(spark, sf):
+    snap = yard.with_location(ctx.snapshot(spark, sf), Y).filter(yard.in_grid(Y))
+    fold = lambda c, n: ((F.col(c) - 1) % n + 1).cast("int")
+    folded = (snap.withColumn("bay", fold("bay", DENSE.n_bays)).withColumn("row", fold("row", DENSE.n_rows)))
+    occ = yard.occupancy(folded.withColumn("slot", location.format_location("block_id", "bay", "row", "tier")),
+                         DENSE, ctx.CLEAN_ORDER)
+    return yard.all_piles(ctx.yards(spark, sf), None, occ, DENSE)
 
 
 @query("zone_policy")
@@ -422,19 +452,27 @@ def available_slots_for_size(spark, sf):
 @query("valid_slots")
 def valid_slots(spark, sf):
     """Per arrival: how many open piles each stage of the rules admits."""
-    zones = rules.zone_piles(_piles(spark, sf), Y)
-    arr = ctx.arrivals(spark, sf).select("id", "yard_id", "size", "weight", "departure_time")
-    return rules.stage_counts(arr, zones)
+    return rules.stage_counts(_arrivals(spark, sf), _piles(spark, sf), Y)
 
 
 @query("topk_slots")
 def topk_slots(spark, sf):
-    return rules.explode_top_k(_whatif(spark, sf))
+    return rules.top_k_slots(_arrivals(spark, sf), _piles(spark, sf), Y)
 
 
 @query("best_slot_whatif")
 def best_slot_whatif(spark, sf):
-    return rules.explode_top_k(_whatif(spark, sf)).filter(F.col("rank") == 1).drop("rank")
+    return topk_slots(spark, sf).filter(F.col("rank") == 1).drop("rank")
+
+
+@query("valid_slots_dense")
+def valid_slots_dense(spark, sf):
+    return rules.stage_counts(_arrivals(spark, sf), _dense_piles(spark, sf), DENSE)
+
+
+@query("topk_slots_dense")
+def topk_slots_dense(spark, sf):
+    return rules.top_k_slots(_arrivals(spark, sf), _dense_piles(spark, sf), DENSE)
 
 
 _RECONCILED: dict = {}
@@ -473,12 +511,10 @@ def _batch(spark, sf):
 def _batch_compute(spark, sf):
     c, out = _reconciled(spark, sf)
     rescued = c.join(out.filter(F.col("outcome") != placement.PLACED).select("id"), "id", "left_semi")
-    positions = placement.open_positions(_piles_after(spark, sf, c, out), Y)
-    zipped = placement.rank_zip(rescued.select("id", "yard_id", "size", "weight", "departure_time", "type"),
-                                positions)
-    fixed = (out.filter(F.col("outcome") == placement.PLACED).select("id", *yard.SLOT)
-             .join(c.select("id", "weight"), "id"))
-    return placement.layered_zip(zipped, fixed, Y), c, out
+    return placement.place_batch(rescued.select(*TO_PLACE), _piles_after(spark, sf, c, out), Y), c, out
+
+
+TO_PLACE = ["id", "yard_id", "size", "weight", "departure_time", "type"]
 
 
 def _piles_after(spark, sf, c, out):
@@ -490,32 +526,108 @@ def _piles_after(spark, sf, c, out):
 @query("batch_placement")
 def batch_placement(spark, sf):
     z, _, _ = _batch(spark, sf)
-    return z.select("id", "outcome", "block_id", "bay", "row", "tier")
+    return z.select("id", "outcome", "stage", "block_id", "bay", "row", "tier")
 
 
 @query("placement_report")
 def placement_report(spark, sf):
+    """Disjoint outcomes of all records: placed by the snapshot, or what the
+    batch made of the others."""
     z, _, out = _batch(spark, sf)
-    u = out.select("outcome").unionByName(z.select("outcome"))
+    u = out.filter(F.col("outcome") == placement.PLACED).select("outcome").unionByName(z.select("outcome"))
     return u.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("final_kpis")
-def final_kpis(spark, sf):
-    """KPIs of what really sits in the yard after reconciliation + batch."""
-    from pyspark.sql import Window
-    from quaystack.functions.parse import round_half_up
+def _final_yard(spark, sf):
+    """What sits in the yard after reconciliation and batch placement."""
     z, c, out = _batch(spark, sf)
     fixed = (out.filter(F.col("outcome") == placement.PLACED).select("id", *yard.SLOT)
-             .join(c.select("id", "weight", "departure_time"), "id"))
-    moved = z.filter(F.col("tier").isNotNull()).select("id", *yard.SLOT, "weight", "departure_time")
-    fy = fixed.unionByName(moved)
-    nxt = F.lead("departure_time").over(Window.partitionBy(*yard.PILE).orderBy("tier"))
-    r = fy.withColumn("risk", F.when(nxt.isNotNull() & (F.col("departure_time") < nxt), 1).otherwise(0))
-    n, k = F.count(F.lit(1)), F.sum("risk")
-    return r.agg(n.alias("total_containers"), k.cast("long").alias("rehandle_risk_count"),
-                 round_half_up(F.greatest(F.lit(0.0), F.lit(100.0) - k * 100.0 / n), 1).alias("efficiency_score"),
-                 round_half_up(F.avg("weight"), 2).alias("avg_weight_t"))
+             .join(c.select("id", "size", "weight", "type", "departure_time"), "id"))
+    moved = z.filter(F.col("tier").isNotNull())
+    return fixed.unionByName(moved.select(*fixed.columns)), c
+
+
+@query("final_kpis")
+def final_kpis(spark, sf):
+    """The whole KPI document of the final yard, by value: the containers
+    carry the slots they really got."""
+    placed, c = _final_yard(spark, sf)
+    known = c.select("id", "_ingestion_time")
+    rows = placed.join(known, "id").withColumn(
+        "slot", location.format_location("block_id", "bay", "row", "tier")).drop("block_id", "bay", "row", "tier")
+    return gold.flat_document(gold.kpi_document(rows, ctx.silver(spark, sf).report, MAXH))
+
+
+# --- dual mode: a snapshot against an occupied yard, then the arrivals -------------
+
+
+_DUAL: dict = {}
+
+
+def _dual(spark, sf):
+    """(existing occupancy, snapshot outcomes, records to place, placement)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf)
+    if key not in _DUAL:
+        from quaystack.session import materialise
+        snap = ctx.snapshot(spark, sf)
+        existing = materialise(yard.occupancy(snap.filter(F.col("store_version") == 1), Y, ctx.CLEAN_ORDER),
+                               "dual-existing")
+        out = materialise(placement.reconcile(snap, Y, ctx.CLEAN_ORDER, existing), "dual-outcomes")
+        refused = out.filter(~F.col("outcome").isin(placement.PLACED, placement.DUPLICATE)).select("id")
+        todo = placement.dedup_by_priority(
+            [("rescued", snap.join(refused, "id", "left_semi")), ("arrivals", ctx.arrivals(spark, sf))],
+            ctx.CLEAN_ORDER)
+        held = (out.filter(F.col("outcome") == placement.PLACED).select("id", *yard.SLOT)
+                .join(snap.select("id", "size", "weight", "type", "departure_time"), "id"))
+        yard_now = existing.unionByName(held.select(*existing.columns))
+        piles = yard.all_piles(ctx.yards(spark, sf), yard.blocks_dim(spark, Y), yard_now, Y)
+        placed = materialise(placement.place_batch(todo.select(*TO_PLACE), piles, Y), "dual-placed")
+        _DUAL[key] = (yard_now, out, placed)
+    return _DUAL[key]
+
+
+@query("dual_outcomes")
+def dual_outcomes(spark, sf):
+    return _dual(spark, sf)[1].select("id", "outcome", "floating")
+
+
+@query("dual_placement")
+def dual_placement(spark, sf):
+    return _dual(spark, sf)[2].select("id", "outcome", "stage", "block_id", "bay", "row", "tier")
+
+
+@query("dual_report")
+def dual_report(spark, sf):
+    """Disjoint outcomes of every record received."""
+    _, out, placed = _dual(spark, sf)
+    kept = out.filter(F.col("outcome").isin(placement.PLACED, placement.DUPLICATE)).select("outcome")
+    return kept.unionByName(placed.select("outcome")).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dual_rules")
+def dual_rules(spark, sf):
+    """Breaches of the rules by what the batch placed, and the records that
+    came out: the oracle states zeros and the records received."""
+    yard_now, out, placed = _dual(spark, sf)
+    moved = placed.filter(F.col("tier").isNotNull())
+    fixed = yard_now.withColumn("outcome", F.lit("FIXED")).withColumn("stage", F.lit(0))
+    cols = ["id", *yard.SLOT, "size", "weight", "departure_time", "outcome", "stage"]
+    every = fixed.select(*cols).unionByName(moved.select(*cols))
+    v = placement.violations(every).filter("stage > 0")
+    primary = F.col("stage").isin(1, 3)
+    strict = F.col("stage").isin(1, 2)
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    slots = every.groupBy(*yard.SLOT).agg(F.count(F.lit(1)).alias("k")).agg(
+        n(F.col("k") > 1).alias("shared_slots"))
+    kept = out.filter(F.col("outcome").isin(placement.PLACED, placement.DUPLICATE)).select("id")
+    received = kept.unionByName(placed.select("id")).agg(F.count(F.lit(1)).alias("records"),
+                                                        F.count_distinct("id").alias("ids"))
+    return gold.one_row(
+        v.agg(n(primary & F.col("weight_violation")).alias("weight_breaches_primary"),
+              n(strict & F.col("edd_violation")).alias("departure_breaches_strict"),
+              n(F.col("floating")).alias("floating"),
+              n(rules.zone_of().isNull()).alias("wrong_zone")),
+        slots, received)
 
 
 # --- store, inventory, dual-batch views ------------------------------------------
@@ -532,18 +644,27 @@ def _store_v1(spark, sf):
 
 
 def _store_v2_batch(spark, sf):
+    """The second batch supplies some ids twice, the later time without a
+    slot: the last weight wins and the first slot stays."""
     c = ctx.clean(spark, sf).filter(F.col("store_version") != 1)
-    return c.select("id", (F.col("weight") + 1).alias("weight"), "slot", F.lit("expected").alias("status"))
+    first = c.select("id", (F.col("weight") + 1).alias("weight"), "slot", F.lit("expected").alias("status"),
+                     F.lit(1).alias("seq"))
+    again = (c.filter(F.col("_o_supp") % 5 == 0)
+             .select("id", (F.col("weight") + 2).alias("weight"), F.lit(None).cast("string").alias("slot"),
+                     F.lit("moved").alias("status"), F.lit(2).alias("seq")))
+    return first.unionByName(again)
 
 
-def _store(spark, sf):
-    """v1 written as version 1, the v2 batch upserted and written as version
-    2; readers follow the pointer."""
+def _store_root(spark, sf):
+    """The first batch upserted into an empty store, then the second."""
     root = scratch_path(spark, "store")
-    store.write_version(_store_v1(spark, sf), root, 1)
-    merged = store.upsert(store.read_current(spark, root), _store_v2_batch(spark, sf), stamp=T2)
-    store.write_version(merged, root, 2)
-    return store.read_current(spark, root)
+    store.upsert_into(root, _store_v1(spark, sf))
+    store.upsert_into(root, _store_v2_batch(spark, sf), stamp=T2, order_cols=["seq"])
+    return root
+
+
+def _store(spark, sf):
+    return store.read(spark, _store_root(spark, sf))
 
 
 def _store_out(df):
@@ -563,7 +684,9 @@ def store_scan(spark, sf):
 
 @query("store_after_reset")
 def store_after_reset(spark, sf):
-    return _store_out(store.fresh(_store(spark, sf), T_RESET))
+    root = _store_root(spark, sf)
+    store.reset(spark, root, T_RESET)
+    return _store_out(store.fresh(store.read(spark, root), store.epoch(spark, root)))
 
 
 @query("store_fresh")
@@ -573,8 +696,10 @@ def store_fresh(spark, sf):
 
 @query("container_lookup")
 def container_lookup(spark, sf):
-    wanted = _anomalies(spark, sf, DUPLICATE_ID).select("id")
-    out = store.lookup(_store(spark, sf), wanted, ctx.occupancy(spark, sf))
+    """All raw ids against a store of the first batch alone: some ids only
+    the yard holds, some neither knows."""
+    wanted = ctx.raw(spark, sf).select("id")
+    out = store.lookup(_store_v1(spark, sf), wanted, ctx.occupancy(spark, sf))
     return out.withColumn("departure_time", ctx.ts_text("departure_time"))
 
 
@@ -674,15 +799,14 @@ def archive_partitions(spark, sf):
     b = bronze.ingest(spark, _landing(spark, sf))
     path = scratch_path(spark, "archive")
     bronze.archive(b, path)
-    back = spark.read.parquet(path)
-    return back.filter(F.col("ingestion_date") == F.current_date()).select(*RAW_COLUMNS)
+    return spark.read.parquet(path).filter(F.col("ingestion_date").isNotNull()).select(*RAW_COLUMNS)
 
 
 @query("silver_partitions")
 def silver_partitions(spark, sf):
     path = scratch_path(spark, "silver")
     silver_op.write_silver(ctx.clean(spark, sf), path)
-    back = spark.read.parquet(path).filter(F.col("type") == "export")  # partition pruning
+    back = spark.read.parquet(path)
     return back.select("id", "type", F.col("departure_date").cast("string").alias("departure_date"))
 
 
@@ -690,7 +814,7 @@ def silver_partitions(spark, sf):
 def anomaly_partitions(spark, sf):
     path = scratch_path(spark, "anomalies")
     silver_op.append_anomalies(ctx.silver(spark, sf).anomalies, path)
-    back = spark.read.parquet(path).filter(F.col("anomaly_reason") == DUPLICATE_ID)
+    back = spark.read.parquet(path)
     return back.select("id", F.col("ingestion_date").cast("string").alias("ingestion_date"), "anomaly_reason")
 
 
@@ -730,28 +854,25 @@ from quaystack.streaming import ingest as stream_ingest_mod  # noqa: E402
 
 
 def _streamed(spark, sf, replay_snapshot: bool = False):
-    landing = _landing(spark, sf)
-    out, ck = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ckpt")
-    stream_ingest_mod.run_ingest(spark, landing, out, ck, max_files_per_trigger=4)
+    """The records as one upload folder; with ``replay_snapshot`` the
+    snapshot's arrive again in a second one, after the first was processed."""
+    landing, out, ck = (scratch_path(spark, n) for n in ("landing", "stream-out", "stream-ckpt"))
+    raw = ctx.raw(spark, sf)
+    bronze.write_landing(raw, f"{landing}/upload-1")
+    stream_ingest_mod.run_ingest(spark, f"{landing}/upload-*", out, ck)
     if replay_snapshot:
-        # the snapshot records are uploaded again as new files: every id is
-        # already registered, so the new batch must add nothing
-        again = f"{landing}/replay"
-        bronze.write_landing(ctx.raw(spark, sf).filter(F.col("batch") == "snapshot"), again)
-        import os
-        from quaystack.session import local_dir
-        for name in os.listdir(local_dir(again)):
-            if name.endswith(".csv"):
-                os.replace(os.path.join(local_dir(again), name),
-                           os.path.join(local_dir(landing), "replay-" + name))
-        stream_ingest_mod.run_ingest(spark, landing, out, ck)
+        bronze.write_landing(raw.filter(F.col("batch") == "snapshot"), f"{landing}/upload-2")
+        stream_ingest_mod.run_ingest(spark, f"{landing}/upload-*", out, ck)
     return out
 
 
 @query("stream_ingest")
 def stream_ingest(spark, sf):
+    """Clean and quarantined rows of the stream, as the batch labels them."""
     out = _streamed(spark, sf)
-    return spark.read.parquet(f"{out}/clean").select("id", "type", "size", "batch_id")
+    clean = spark.read.parquet(f"{out}/clean").select("id", "type", "size", F.lit(None).cast("string")
+                                                      .alias("anomaly_reason"))
+    return clean.unionByName(spark.read.parquet(f"{out}/anomalies").select("id", "type", "size", "anomaly_reason"))
 
 
 @query("stream_dedup")
@@ -763,8 +884,14 @@ def stream_dedup(spark, sf):
 @query("stream_kpis")
 def stream_kpis(spark, sf):
     out = _streamed(spark, sf)
-    name = "stream_kpis_" + scratch_path(spark, "q").rsplit("-", 1)[1]
-    return stream_ingest_mod.stream_kpis(spark, f"{out}/clean", scratch_path(spark, "kpi-ckpt"), name)
+    return stream_ingest_mod.stream_kpis(spark, f"{out}/clean", scratch_path(spark, "kpi-out"),
+                                         scratch_path(spark, "kpi-ckpt"))
+
+
+@query("pipeline_run")
+def pipeline_run(spark, sf):
+    from quaystack.plans import batch
+    return batch.run(spark, _landing(spark, sf), scratch_path(spark, "run"), Y, T1)
 
 
 @query("batch_violations")

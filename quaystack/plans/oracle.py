@@ -6,7 +6,6 @@ is prefixed to each query; DuckDB drops the CTEs a query does not use.
 
 from __future__ import annotations
 
-from quaystack.functions.location import LOCATION_PATTERN
 from quaystack.schema import FIXTURE_YARD
 from quaystack.sources.fixtures import raw_select_sql
 
@@ -26,8 +25,13 @@ def D(x) -> str:
     return f"CAST({x} AS DOUBLE)"
 
 
-DIST = (f"({D(0.5)} * block_index / {D(NB1)} + {D(0.3)} * (bay - 1) / {D(NBAY1)} "
-        f"+ {D(0.2)} * (row - 1) / {D(NROW1)})")
+def dist(bays: float, rows: float) -> str:
+    """Gate distance; ``bays`` and ``rows`` are the largest steps of each."""
+    return (f"({D(0.5)} * block_index / {D(NB1)} + {D(0.3)} * (bay - 1) / {D(bays)} "
+            f"+ {D(0.2)} * (row - 1) / {D(rows)})")
+
+
+DIST = dist(NBAY1, NROW1)
 BIDX = "CASE block_id " + " ".join(f"WHEN '{b}' THEN {i}" for i, b in enumerate(FIXTURE_YARD.block_ids)) + " ELSE 0 END"
 from quaystack.schema import SIZE_POLICY  # noqa: E402
 ZONE = "CASE " + " ".join(
@@ -51,22 +55,36 @@ def rhu(expr: str, d: int) -> str:
     return f"(floor(({expr}) * {s} + 0.5) / {s})"
 
 
-def loc_cols(text_expr: str, prefix: str = "") -> str:
-    """block_id, bay, row, tier of a location text (null when invalid)."""
-    t = f"upper(trim({text_expr}))"
-    pat = "'" + LOCATION_PATTERN + "'"
-    ok = (f"(regexp_matches({t}, {pat}) AND "
-          f"TRY_CAST(regexp_extract({t}, {pat}, 4) AS INTEGER) BETWEEN 1 AND {MAXH})")
-    return (f"CASE WHEN {ok} THEN regexp_extract({t}, {pat}, 1) END AS {prefix}block_id, "
-            f"CASE WHEN {ok} THEN TRY_CAST(regexp_extract({t}, {pat}, 2) AS INTEGER) END AS {prefix}bay, "
-            f"CASE WHEN {ok} THEN ascii(regexp_extract({t}, {pat}, 3)) - 64 END AS {prefix}row, "
-            f"CASE WHEN {ok} THEN TRY_CAST(regexp_extract({t}, {pat}, 4) AS INTEGER) END AS {prefix}tier")
+def loc_cols() -> str:
+    """block_id, bay, row, tier as the derivation meant them (null when the
+    slot names none or a tier outside the yard)."""
+    return ", ".join(f"CASE WHEN _t_tier BETWEEN 1 AND {MAXH} THEN _t_{c} END AS {c}"
+                     for c in ("block", "bay", "row", "tier")).replace("AS block,", "AS block_id,")
 
 
 NULLCRIT = "(id IS NULL OR weight IS NULL OR size IS NULL OR departure_time IS NULL)"
 DOMAIN_OK = ("coalesce(weight BETWEEN 1.0 AND 50.0 AND size IN (20, 40) "
              "AND type IN ('import', 'export', 'transshipment'), false)")
 
+TIERS = range(1, MAXH + 1)
+
+
+def _holders(tier: int) -> str:
+    """Winners of one tier's slots: claims not above an earlier departure."""
+    source = f"SELECT c.* FROM claims c WHERE c.tier = {tier}"
+    if tier > 1:
+        source = (f"SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, "
+                  f"row AS r_, departure_time AS bdep FROM h{tier - 1}) b ON c.yard_id = b.y_ "
+                  f"AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ "
+                  f"WHERE c.tier = {tier} AND (b.bdep IS NULL OR c.departure_time <= b.bdep)")
+    return (f"h{tier} AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM ("
+            f"SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY "
+            f"departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM ({source})) WHERE _hn = 1)")
+
+
+HOLDERS = ",\n".join(map(_holders, TIERS))
+UNION_HOLDERS = " UNION ALL ".join(f"SELECT * FROM h{t}" for t in TIERS)
+
 PRELUDE = f"""
 WITH raw AS (
 {raw_select_sql()}
@@ -75,8 +93,9 @@ typed AS (
   SELECT CAST(id AS VARCHAR) AS id,
          TRY_CAST(weight AS DOUBLE) AS weight,
          TRY_CAST(trunc(TRY_CAST(size AS DOUBLE)) AS INTEGER) AS size,
-         TRY_CAST(departure_time AS TIMESTAMP) AS departure_time,
-         lower(trim(type)) AS type, _ingestion_time, slot,
+         coalesce(TRY_CAST(departure_time AS TIMESTAMP),
+                  try_strptime(departure_time, '%m/%d/%Y %H:%M')) AS departure_time,
+         lower(trim(type)) AS type, _ingestion_time, slot, _t_block, _t_bay, _t_row, _t_tier,
          yard_id, batch, store_version, _o_price, _o_supp, _o_part
   FROM raw
 ),
@@ -93,6 +112,26 @@ labelled AS (
               WHEN NOT {DOMAIN_OK} THEN 'DOMAIN_VIOLATION' END AS anomaly_reason
   FROM ranked
 ),
+labelled_f AS (
+  SELECT * EXCLUDE (_null, _rn),
+         CASE WHEN _null THEN 'NULL_CRITICAL_COLUMNS'
+              WHEN _rn > 1 THEN 'DUPLICATE_ID'
+              WHEN NOT {DOMAIN_OK} THEN 'DOMAIN_VIOLATION' END AS anomaly_reason
+  FROM (SELECT *, {NULLCRIT} AS _null,
+               row_number() OVER (PARTITION BY id, {NULLCRIT} ORDER BY departure_time, weight, size,
+                                  type NULLS FIRST, slot NULLS FIRST) AS _rn
+        FROM typed)
+),
+labelled_b AS (
+  SELECT * EXCLUDE (_null, _rn),
+         CASE WHEN _null THEN 'NULL_CRITICAL_COLUMNS'
+              WHEN _rn > 1 THEN 'DUPLICATE_ID'
+              WHEN NOT {DOMAIN_OK} THEN 'DOMAIN_VIOLATION' END AS anomaly_reason
+  FROM (SELECT *, {NULLCRIT} AS _null,
+               row_number() OVER (PARTITION BY batch, id, {NULLCRIT}
+                                  ORDER BY departure_time, _o_price, _o_supp, _o_part, weight) AS _rn
+        FROM typed)
+),
 silver AS (
   SELECT * EXCLUDE (anomaly_reason),
          strftime(departure_time, {ISO}) AS departure_time_iso,
@@ -100,7 +139,7 @@ silver AS (
   FROM labelled WHERE anomaly_reason IS NULL
 ),
 piled AS (
-  SELECT *, {loc_cols('slot')} FROM silver
+  SELECT *, {loc_cols()} FROM silver
 ),
 risk AS (
   SELECT *,
@@ -114,7 +153,7 @@ risk AS (
 ),
 snapshot AS (SELECT * FROM silver WHERE batch = 'snapshot'),
 arrivals AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS slot) FROM silver WHERE batch = 'arrivals'),
-snaploc AS (SELECT *, {loc_cols('slot')} FROM snapshot),
+snaploc AS (SELECT *, {loc_cols()} FROM snapshot),
 occ AS (
   SELECT yard_id, block_id, bay, row, tier, id, size, weight, type, departure_time FROM (
     SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier
@@ -200,14 +239,8 @@ pre AS (
   FROM (SELECT *, {ZONE} AS zone FROM piled)
 ),
 claims AS (SELECT * FROM pre WHERE _pre IS NULL AND _in_grid),
-h1 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c WHERE c.tier = 1)) WHERE _hn = 1),
-h2 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h1) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 2 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
-h3 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h2) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 3 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
-h4 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h3) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 4 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
-h5 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h4) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 5 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
-h6 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h5) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 6 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
-h7 AS (SELECT yard_id, block_id, bay, row, tier, id, departure_time FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, block_id, bay, row, tier ORDER BY departure_time, _o_price, _o_supp, _o_part, weight, id) AS _hn FROM (SELECT c.* FROM claims c LEFT JOIN (SELECT yard_id AS y_, block_id AS b_, bay AS ba_, row AS r_, departure_time AS bdep FROM h6) b ON c.yard_id = b.y_ AND c.block_id = b.b_ AND c.bay = b.ba_ AND c.row = b.r_ WHERE c.tier = 7 AND (b.bdep IS NULL OR c.departure_time <= b.bdep))) WHERE _hn = 1),
-held AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4 UNION ALL SELECT * FROM h5 UNION ALL SELECT * FROM h6 UNION ALL SELECT * FROM h7),
+{HOLDERS},
+held AS ({UNION_HOLDERS}),
 outcomes AS (
   SELECT c.id, CASE WHEN m.hid = c.id THEN 'PLACED'
                     WHEN b.bdep IS NOT NULL AND c.departure_time > b.bdep THEN 'WOULD_REHANDLE'
@@ -224,157 +257,15 @@ placedocc AS (
   SELECT h.yard_id, h.block_id, h.bay, h.row, h.tier, h.id, s.size, s.weight, s.departure_time
   FROM held h JOIN silver s USING (id)
 ),
-p2 AS (
-  SELECT p.*, coalesce(s.height, 0) AS height,
-         CASE WHEN s.height IS NULL THEN 1
-              ELSE list_min(list_filter(range(1, {MAXH} + 1), lambda t: NOT list_contains(s.tiers, t))) END
-           AS top_free_tier
-  FROM piles p LEFT JOIN (SELECT yard_id, block_id, bay, row, count(*) AS height, list(tier) AS tiers FROM placedocc GROUP BY ALL) s
-  USING (yard_id, block_id, bay, row)
-),
-positions AS (
-  SELECT yard_id, block_id, block_index, bay, row, size, zone, tier, {DIST} AS distance FROM (
-    SELECT yard_id, block_id, block_index, bay, row, {BLOCK_SIZE} AS size,
-           CASE WHEN block_id IN ({PRIMARY_LIST}) THEN 'primary' ELSE 'backup' END AS zone,
-           unnest(generate_series(height + 1, {MAXH})) AS tier
-    FROM p2 WHERE top_free_tier = height + 1 AND height < {MAXH} AND {BLOCK_SIZE} IS NOT NULL)
-),
-posr AS (
-  SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY
-           CASE WHEN zone = 'primary' THEN 0 ELSE 1 END, CASE WHEN zone = 'primary' THEN tier ELSE 0 END,
-           distance, block_index, bay, row, tier) AS pos_rank
-  FROM positions
-),
-tplace AS (
-  SELECT s.id, s.yard_id, s.size, s.weight, s.departure_time, s.type,
-         row_number() OVER (PARTITION BY s.yard_id, s.size ORDER BY s.departure_time DESC, s.id) AS pos_rank
-  FROM silver s JOIN outcomes o USING (id) WHERE o.outcome <> 'PLACED'
-),
-rz AS (
-  SELECT t.id, t.yard_id, t.size, t.weight, t.departure_time, t.type, t.pos_rank, p.zone,
-         CASE WHEN p.zone = 'primary' THEN 'PLACED_PRIMARY' WHEN p.zone = 'backup' THEN 'PLACED_BACKUP'
-              ELSE 'UNPLACED' END AS outcome, p.block_id, p.bay, p.row, p.tier
-  FROM tplace t LEFT JOIN posr p USING (yard_id, size, pos_rank)
-),
-lz1 AS (
-  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
-         p.block_id, p.bay, p.row, p.tier
-  FROM (SELECT * EXCLUDE (_r0, m),
-               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
-        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
-                     count(*) OVER (PARTITION BY yard_id, size) AS m
-              FROM rz WHERE zone = 'primary' AND tier = 1)) c
-  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
-               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
-        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 0) b USING (yard_id, block_id, bay, row)
-        WHERE r.zone = 'primary' AND r.tier = 1) p
-  USING (yard_id, size, _r)
-),
-lz2 AS (
-  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
-         p.block_id, p.bay, p.row, p.tier
-  FROM (SELECT * EXCLUDE (_r0, m),
-               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
-        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
-                     count(*) OVER (PARTITION BY yard_id, size) AS m
-              FROM rz WHERE zone = 'primary' AND tier = 2)) c
-  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
-               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
-        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 1 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz1) b USING (yard_id, block_id, bay, row)
-        WHERE r.zone = 'primary' AND r.tier = 2) p
-  USING (yard_id, size, _r)
-),
-lz3 AS (
-  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
-         p.block_id, p.bay, p.row, p.tier
-  FROM (SELECT * EXCLUDE (_r0, m),
-               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
-        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
-                     count(*) OVER (PARTITION BY yard_id, size) AS m
-              FROM rz WHERE zone = 'primary' AND tier = 3)) c
-  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
-               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
-        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 2 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz2) b USING (yard_id, block_id, bay, row)
-        WHERE r.zone = 'primary' AND r.tier = 3) p
-  USING (yard_id, size, _r)
-),
-lz4 AS (
-  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
-         p.block_id, p.bay, p.row, p.tier
-  FROM (SELECT * EXCLUDE (_r0, m),
-               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
-        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
-                     count(*) OVER (PARTITION BY yard_id, size) AS m
-              FROM rz WHERE zone = 'primary' AND tier = 4)) c
-  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
-               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
-        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 3 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz3) b USING (yard_id, block_id, bay, row)
-        WHERE r.zone = 'primary' AND r.tier = 4) p
-  USING (yard_id, size, _r)
-),
-lz5 AS (
-  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
-         p.block_id, p.bay, p.row, p.tier
-  FROM (SELECT * EXCLUDE (_r0, m),
-               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
-        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
-                     count(*) OVER (PARTITION BY yard_id, size) AS m
-              FROM rz WHERE zone = 'primary' AND tier = 5)) c
-  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
-               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
-        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 4 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz4) b USING (yard_id, block_id, bay, row)
-        WHERE r.zone = 'primary' AND r.tier = 5) p
-  USING (yard_id, size, _r)
-),
-lz6 AS (
-  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
-         p.block_id, p.bay, p.row, p.tier
-  FROM (SELECT * EXCLUDE (_r0, m),
-               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
-        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
-                     count(*) OVER (PARTITION BY yard_id, size) AS m
-              FROM rz WHERE zone = 'primary' AND tier = 6)) c
-  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
-               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
-        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 5 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz5) b USING (yard_id, block_id, bay, row)
-        WHERE r.zone = 'primary' AND r.tier = 6) p
-  USING (yard_id, size, _r)
-),
-lz7 AS (
-  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, c.outcome, c.zone,
-         p.block_id, p.bay, p.row, p.tier
-  FROM (SELECT * EXCLUDE (_r0, m),
-               (((_r0 - 1 - (CAST(ceil(sqrt(m)) AS BIGINT) + 3)) % m + m) % m) + 1 AS _r
-        FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS _r0,
-                     count(*) OVER (PARTITION BY yard_id, size) AS m
-              FROM rz WHERE zone = 'primary' AND tier = 7)) c
-  JOIN (SELECT r.yard_id, r.size, r.block_id, r.bay, r.row, r.tier,
-               row_number() OVER (PARTITION BY r.yard_id, r.size ORDER BY b.bw DESC NULLS FIRST, r.pos_rank) AS _r
-        FROM rz r LEFT JOIN (SELECT yard_id, block_id, bay, row, weight AS bw FROM placedocc WHERE tier = 6 UNION ALL SELECT yard_id, block_id, bay, row, weight AS bw FROM lz6) b USING (yard_id, block_id, bay, row)
-        WHERE r.zone = 'primary' AND r.tier = 7) p
-  USING (yard_id, size, _r)
-),
-batch AS (
-  SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz1 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz2 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz3 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz4 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz5 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz6 UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM lz7
-  UNION ALL SELECT id, yard_id, size, weight, departure_time, type, outcome, zone, block_id, bay, row, tier FROM rz WHERE zone IS NULL OR zone <> 'primary'
-),
-finalyard AS (
-  SELECT id, yard_id, block_id, bay, row, tier, size, weight, departure_time FROM placedocc
-  UNION ALL
-  SELECT id, yard_id, block_id, bay, row, tier, size, weight, departure_time FROM batch WHERE tier IS NOT NULL
-),
-finalrisk AS (
-  SELECT *, CASE WHEN lead(departure_time) OVER w IS NOT NULL AND departure_time < lead(departure_time) OVER w
-                 THEN 1 ELSE 0 END AS is_rehandle_risk
-  FROM finalyard WINDOW w AS (PARTITION BY yard_id, block_id, bay, row ORDER BY tier)
-),
 v1 AS (
   SELECT id, size, weight, type, departure_time, slot, 'yard' AS status,
          CASE WHEN _o_supp % 10 = 0 THEN NULL ELSE TIMESTAMP '2026-03-04 10:00:00' END AS imported_at
   FROM silver WHERE store_version <> 2
 ),
 v2 AS (
-  SELECT id, weight + 1 AS weight, slot, 'expected' AS status, TIMESTAMP '2026-03-04 12:00:00' AS imported_at
+  SELECT id, weight + CASE WHEN _o_supp % 5 = 0 THEN 2 ELSE 1 END AS weight, slot,
+         CASE WHEN _o_supp % 5 = 0 THEN 'moved' ELSE 'expected' END AS status,
+         TIMESTAMP '2026-03-04 12:00:00' AS imported_at
   FROM silver WHERE store_version <> 1
 ),
 store AS (
@@ -475,7 +366,7 @@ q("slot_split", """
 SELECT id, string_split(slot, '-')[1] AS b_id, string_split(slot, '-')[2] AS bay_txt,
        string_split(slot, '-')[3] AS row_txt, TRY_CAST(string_split(slot, '-')[4] AS INTEGER) AS tier
 FROM silver WHERE len(string_split(slot, '-')) >= 4""")
-q("location_parse", f"SELECT id, {loc_cols('slot')} FROM silver")
+q("location_parse", f"SELECT id, {loc_cols()} FROM silver")
 q("location_format", "SELECT id, printf('%s-%03d-%s-%02d', block_id, bay, chr(CAST(row + 64 AS INTEGER)), tier) "
                      "AS location FROM occ")
 q("slot_tier", "SELECT id, coalesce(TRY_CAST(string_split(slot, '-')[-1] AS INTEGER), 0) AS tier_safe FROM silver")
@@ -589,16 +480,6 @@ FROM arrivals a LEFT JOIN cand c ON c.id = a.id GROUP BY a.id""")
 q("topk_slots", "SELECT * FROM topk")
 q("best_slot_whatif", "SELECT * EXCLUDE (rank) FROM topk WHERE rank = 1")
 q("snapshot_outcomes", "SELECT id, outcome, floating FROM outcomes")
-q("batch_placement", "SELECT id, outcome, block_id, bay, row, tier FROM batch")
-q("placement_report", """
-SELECT outcome, count(*) AS n FROM (SELECT outcome FROM outcomes UNION ALL SELECT outcome FROM batch)
-GROUP BY outcome""")
-q("final_kpis", f"""
-SELECT count(*) AS total_containers, CAST(sum(is_rehandle_risk) AS BIGINT) AS rehandle_risk_count,
-       {rhu('greatest(0.0, 100.0 - sum(is_rehandle_risk) * 100.0 / count(*))', 1)} AS efficiency_score,
-       {rhu('avg(weight)', 2)} AS avg_weight_t
-FROM finalrisk""")
-
 # --- store, inventory, dual-batch views ------------------------------------------
 STORE_OUT = (f"SELECT id, size, weight, type, strftime(departure_time, {TS}) AS departure_time, slot, status, "
              f"strftime(imported_at, {TS}) AS imported_at")
@@ -609,11 +490,14 @@ q("store_after_reset", f"{STORE_OUT} FROM store WHERE coalesce(imported_at, TIME
 q("store_fresh", f"{STORE_OUT} FROM v1 WHERE coalesce(imported_at, TIMESTAMP '0001-01-01 00:00:00') "
                  ">= TIMESTAMP '2026-03-04 10:00:00'")
 q("container_lookup", f"""
-SELECT s.id, s.size, s.weight, s.type, strftime(s.departure_time, {TS}) AS departure_time,
-       coalesce(s.slot, i.location) AS location,
-       coalesce(s.status, CASE WHEN coalesce(s.slot, i.location) IS NOT NULL THEN 'yard' ELSE 'unknown' END) AS status
-FROM store s LEFT JOIN inv i USING (id)
-WHERE s.id IN (SELECT id FROM labelled WHERE anomaly_reason = 'DUPLICATE_ID')""")
+SELECT id, size, weight, type, strftime(departure_time, {TS}) AS departure_time, slot AS location, status FROM v1
+WHERE slot IS NOT NULL
+UNION ALL
+SELECT s.id, s.size, s.weight, s.type, strftime(s.departure_time, {TS}), i.location, s.status
+FROM v1 s LEFT JOIN inv i USING (id) WHERE s.slot IS NULL
+UNION ALL
+SELECT id, size, weight, type, strftime(departure_time, {TS}), location, 'yard' FROM inv
+WHERE id NOT IN (SELECT id FROM v1)""")
 q("new_arrivals", "SELECT id FROM arrivals WHERE id NOT IN (SELECT id FROM v1)")
 q("inventory_search", "SELECT id, location, type FROM inv WHERE lower(id) LIKE '%s1-00%' "
                       "OR lower(location) LIKE '%s1-00%' OR lower(coalesce(type, '')) LIKE '%s1-00%'")
@@ -624,8 +508,8 @@ SELECT id, yard_id, location FROM (
               OVER (PARTITION BY yard_id, block_id, bay, row) AS hit
   FROM inv WHERE block_id = 'A') WHERE row = 2 OR hit = 1""")
 q("inventory_sorted", "SELECT id, location, weight FROM inv")
-q("global_union", "SELECT id, batch FROM silver")
-q("quality_report_merged", SQL["quality_report"].split(PRELUDE, 1)[1].replace("FROM labelled", "FROM labelled"))
+q("global_union", "SELECT id, max(batch) AS batch FROM labelled_b WHERE anomaly_reason IS NULL GROUP BY id")
+q("quality_report_merged", SQL["quality_report"].split(PRELUDE, 1)[1].replace("FROM labelled", "FROM labelled_b"))
 q("to_place", """
 SELECT id, 'rescued' AS source FROM outcomes WHERE outcome <> 'PLACED'
 UNION ALL
@@ -636,10 +520,9 @@ q("bronze_scan", "SELECT id, size, weight, departure_time, type, slot FROM raw")
 q("bronze_lineage", "SELECT id, 'local' AS storage_mode, true AS has_source FROM raw")
 q("bronze_roundtrip", "SELECT id, size, weight, departure_time, type, slot FROM raw")
 q("archive_partitions", "SELECT id, size, weight, departure_time, type, slot FROM raw")
-q("silver_partitions", "SELECT id, type, CAST(departure_date AS VARCHAR) AS departure_date FROM silver "
-                       "WHERE type = 'export'")
+q("silver_partitions", "SELECT id, type, CAST(departure_date AS VARCHAR) AS departure_date FROM silver")
 q("anomaly_partitions", "SELECT id, CAST(CAST(_ingestion_time AS DATE) AS VARCHAR) AS ingestion_date, "
-                        "anomaly_reason FROM labelled WHERE anomaly_reason = 'DUPLICATE_ID'")
+                        "anomaly_reason FROM labelled WHERE anomaly_reason IS NOT NULL")
 SQL["gold_summary_roundtrip"] = SQL["gold_type_size_summary"]
 q("latest_kpis", f"""
 SELECT (SELECT count(*) FROM silver) AS total_containers,
@@ -650,16 +533,250 @@ SELECT (SELECT count(*) FROM silver) AS total_containers,
          AS quality_score_pct""")
 q("placement_input", "SELECT id, size, weight, departure_time_iso AS departure_time, type, "
                      "CASE WHEN trim(coalesce(slot, '')) = '' THEN NULL ELSE slot END AS slot FROM silver")
-q("batch_violations", """
-SELECT * FROM (WITH fy AS (
-  SELECT id, yard_id, block_id, bay, row, tier, weight, departure_time, 'PLACED' AS outcome FROM placedocc
+
+
+# --- documents, by value ---------------------------------------------------------
+NUM = "CAST({} AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text"
+
+
+def doc_rows(section: str, metrics: dict[str, str], source: str, key: str = "''") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{section}' AS section, {key} AS key, '{m}' AS metric, {NUM.format(e)} FROM {source}"
+        for m, e in metrics.items())
+
+
+def dist_rows(section: str, column: str, key: str) -> str:
+    return doc_rows(section, {"count": "cnt", "percentage": rhu("cnt * 100.0 / total", 1),
+                              "avg_weight_t": rhu("w", 2)},
+                    f"(SELECT {column} AS g, count(*) AS cnt, avg(weight) AS w, sum(count(*)) OVER () AS total "
+                    f"FROM silver GROUP BY {column})", key)
+
+
+REPORT = SQL["quality_report"].split(PRELUDE, 1)[1]
+q("kpi_document_flat", " UNION ALL ".join([
+    "SELECT 'document' AS section, '' AS key, 'status' AS metric, CAST(NULL AS DOUBLE) AS value, "
+    "CASE WHEN count(*) > 0 THEN 'SUCCESS' ELSE 'EMPTY' END AS text FROM silver",
+    doc_rows("document", {"total_containers": "count(*)"}, "silver"),
+    doc_rows("weight_stats", {"avg_t": rhu("avg(weight)", 2), "min_t": "min(weight)", "max_t": "max(weight)",
+                              "stddev_t": rhu("stddev_samp(weight)", 2)}, "silver"),
+    *(f"SELECT 'time_window', '', '{m}', CAST(NULL AS DOUBLE), strftime({e}(departure_time), {ISO}) FROM silver"
+      for m, e in (("earliest_departure", "min"), ("latest_departure", "max"))),
+    doc_rows("pipeline_quality", {
+        "total_raw_ingested": "total_raw", "total_after_silver": "total_cleaned",
+        "duplicates_removed": "duplicates_removed",
+        "invalid_removed": "invalid_nulls_removed + invalid_domain_removed",
+        "quality_score_pct": "quality_score"}, f"({REPORT})"),
+    doc_rows("advanced_analytics", {
+        "rehandle_risk_count": "sum(is_rehandle_risk)",
+        "efficiency_score": rhu("greatest(0.0, 100.0 - sum(is_rehandle_risk) * 100.0 / count(*))", 1)}, "risk"),
+    dist_rows("type_distribution", "type", "g"),
+    dist_rows("size_distribution", "size", "CAST(g AS VARCHAR) || 'ft'"),
+    doc_rows("dwell_analytics", {"days": rhu(f"avg({DWELL})", 1)}, "silver GROUP BY type", "type"),
+    doc_rows("details_per_block", {"risk": "count(*)"}, "risk WHERE is_rehandle_risk = 1 GROUP BY block_id",
+             "block_id"),
+]))
+q("yard_state_flat", """
+SELECT s.yard_id, s.block_id, s.bay, s.row, s.tier, p.height AS current_height, p.is_full, s.is_free, s.id,
+       s.size, s.weight, s.type, strftime(s.departure_time, '%Y-%m-%d %H:%M') AS departure_time,
+       CASE WHEN s.id IS NOT NULL THEN s.location END AS location
+FROM state s JOIN allpiles p USING (yard_id, block_id, bay, row)""")
+
+# --- streams and the batch run over files ------------------------------------------
+q("stream_ingest", "SELECT id, type, size, anomaly_reason FROM labelled_f")
+# A replay of the snapshot alone may bring an id that the whole upload refused.
+_alone = PRELUDE[PRELUDE.index("labelled_f AS ("):PRELUDE.index("labelled_b AS (")].strip().rstrip(",")
+q("stream_dedup", ", " + _alone.replace("labelled_f AS", "alone AS").replace(
+    "FROM typed", "FROM typed WHERE batch = 'snapshot'") + """
+SELECT id, 1 AS copies FROM (
+  SELECT id FROM labelled_f WHERE anomaly_reason IS NULL
+  UNION SELECT id FROM alone WHERE anomaly_reason IS NULL)""")
+q("stream_kpis", "SELECT type, size, count(*) AS cnt, avg(weight) AS avg_weight FROM labelled_f "
+                 "WHERE anomaly_reason IS NULL GROUP BY type, size")
+q("pipeline_run", f"""
+SELECT CASE WHEN count(*) FILTER (WHERE anomaly_reason IS NULL) > 0 THEN 'SUCCESS' ELSE 'EMPTY' END AS status,
+       count(*) AS total_raw, count(*) FILTER (WHERE anomaly_reason IS NULL) AS total_cleaned,
+       count(*) FILTER (WHERE anomaly_reason IS NOT NULL) AS total_anomalies,
+       count(*) FILTER (WHERE anomaly_reason IS NULL) AS stored,
+       count(DISTINCT CASE WHEN anomaly_reason IS NULL AND block_id IN ({BLOCK_LIST})
+                            AND bay BETWEEN 1 AND {NBAYS} AND row BETWEEN 1 AND {NROWS}
+                           THEN (block_id, bay, row, tier) END) AS occupied_slots,
+       count(*) FILTER (WHERE anomaly_reason IS NULL) AS document_containers
+FROM (SELECT *, {loc_cols()} FROM labelled_f)""")
+
+# --- the same search on a small, tightly stacked grid --------------------------------
+DENSE_BAYS, DENSE_ROWS = 4, 2
+DENSE_DIST = dist(float(DENSE_BAYS - 1), float(DENSE_ROWS - 1))
+
+
+def dense(body: str) -> str:
+    """The yard CTEs of the prelude over the folded grid, then ``body``."""
+    start, stop = PRELUDE.index("occ AS ("), PRELUDE.index("yards AS (")
+    occ = PRELUDE[start:stop].replace("FROM snaploc", (
+        f"FROM (SELECT * REPLACE ((bay - 1) % {DENSE_BAYS} + 1 AS bay, (row - 1) % {DENSE_ROWS} + 1 AS row) "
+        f"FROM snaploc WHERE block_id IN ({BLOCK_LIST}) AND bay BETWEEN 1 AND {NBAYS} "
+        f"AND row BETWEEN 1 AND {NROWS} AND tier BETWEEN 1 AND {MAXH})"))
+    text = PRELUDE[:start] + occ + PRELUDE[stop:]
+    text = text.replace(f"range(1, {NBAYS} + 1) b(bay), range(1, {NROWS} + 1) r(row)",
+                        f"range(1, {DENSE_BAYS} + 1) b(bay), range(1, {DENSE_ROWS} + 1) r(row)")
+    return text.replace(DIST, DENSE_DIST) + body
+
+
+for _name in ("valid_slots", "topk_slots"):
+    SQL[f"{_name}_dense"] = dense(SQL[_name].split(PRELUDE, 1)[1])
+
+# --- batch placement: the same rounds, generated -----------------------------------
+from quaystack.operators.placement import STAGES, zone_size  # noqa: E402
+
+PILE_KEYS = "yard_id, block_id, bay, row"
+
+
+def place_ctes(p: str, occupied: str, todo: str) -> str:
+    """CTEs that place the rows of ``todo`` on a yard holding ``occupied``;
+    the result is ``{p}placed``. ``p`` prefixes the names."""
+    parts = [f"""{p}s0 AS MATERIALIZED (
+  SELECT p.yard_id, p.block_id, p.block_index, p.bay, p.row, {BLOCK_SIZE} AS size,
+         CASE WHEN p.block_id IN ({PRIMARY_LIST}) THEN 'primary' ELSE 'backup' END AS kind,
+         coalesce(s.height, 0) AS height, s.top_weight, s.min_departure, {DIST} AS distance
+  FROM piles p LEFT JOIN (
+    SELECT {PILE_KEYS}, count(*) AS height, max(tier) AS top, arg_max(weight, tier) AS top_weight,
+           min(departure_time) AS min_departure FROM {occupied} GROUP BY ALL) s USING ({PILE_KEYS})
+  WHERE (s.height IS NULL OR s.top = s.height) AND {BLOCK_SIZE} IS NOT NULL)"""]
+    state, left, done = f"{p}s0", todo, []
+    for number, (outcome, kind, by_departure, by_weight) in enumerate(STAGES, 1):
+        zone = zone_size(FIXTURE_YARD, kind)
+        shift = int((zone - 1) ** 0.5) + 1 if by_weight else 0
+        first = "departure_time" if by_departure or not by_weight else "weight"
+        parts.append(f"""{p}pool{number} AS MATERIALIZED (
+  SELECT *, (row_number() OVER (PARTITION BY yard_id, size ORDER BY {first} DESC, id) - 1) // {zone} AS chunk
+  FROM {left})""")
+        rules = (" AND (q.height = 0 OR c.weight <= q.top_weight)" * by_weight
+                 + " AND (q.height = 0 OR c.departure_time <= q.min_departure)" * by_departure)
+        for chunk in range(MAXH):
+            took = f"{p}t{number}_{chunk}"
+            parts.append(f"""{took} AS MATERIALIZED (
+  WITH q AS (
+    SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY height > 0,
+               CASE WHEN height = 0 THEN 0.0 ELSE top_weight END DESC, distance, block_index, bay, row) AS seat,
+           sum(CAST(height = 0 AS INTEGER)) OVER (PARTITION BY yard_id, size) AS empties
+    FROM {state} WHERE kind = '{kind}' AND height < {MAXH}),
+  e AS (SELECT DISTINCT yard_id, size, empties FROM q),
+  c AS (
+    SELECT r.*, CASE WHEN r.r <= e.empties THEN r.r WHEN r.r - {shift} > e.empties THEN r.r - {shift} END AS seat
+    FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS r
+          FROM {p}pool{number} WHERE chunk = {chunk}) r JOIN e USING (yard_id, size))
+  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, q.block_id, q.bay, q.row,
+         q.height + 1 AS tier, '{outcome}' AS outcome, {number} AS stage
+  FROM c JOIN q USING (yard_id, size, seat) WHERE true{rules})""")
+            done.append(f"SELECT * FROM {took}")
+            parts.append(f"""{p}s{number}_{chunk} AS MATERIALIZED (
+  SELECT s.* REPLACE (s.height + CASE WHEN t.id IS NULL THEN 0 ELSE 1 END AS height,
+                      coalesce(t.weight, s.top_weight) AS top_weight,
+                      least(s.min_departure, t.departure_time) AS min_departure)
+  FROM {state} s LEFT JOIN {took} t USING ({PILE_KEYS}))""")
+            state = f"{p}s{number}_{chunk}"
+        parts.append(f"""{p}left{number} AS MATERIALIZED (
+  SELECT * FROM {todo} WHERE id NOT IN (SELECT id FROM ({' UNION ALL '.join(done)})))""")
+        left = f"{p}left{number}"
+    parts.append(f"""{p}placed AS MATERIALIZED ({' UNION ALL '.join(done)}
+  UNION ALL SELECT id, yard_id, size, weight, departure_time, type, NULL, NULL, NULL, NULL, 'UNPLACED', NULL
+  FROM {left})""")
+    return ",\n".join(parts)
+
+
+TODO_COLS = "id, yard_id, size, weight, departure_time, type"
+BATCH = PRELUDE + f""",
+btodo AS (SELECT {', '.join('s.' + c for c in TODO_COLS.split(', '))}
+          FROM silver s JOIN outcomes o USING (id) WHERE o.outcome <> 'PLACED'),
+{place_ctes('b', 'placedocc', 'btodo')},
+finalyard AS (
+  SELECT o.id, o.yard_id, o.block_id, o.bay, o.row, o.tier, s.size, s.weight, s.type, s.departure_time,
+         s._ingestion_time, 'PLACED' AS outcome
+  FROM held o JOIN silver s USING (id)
   UNION ALL
-  SELECT id, yard_id, block_id, bay, row, tier, weight, departure_time, outcome FROM batch WHERE tier IS NOT NULL
-)
+  SELECT p.id, p.yard_id, p.block_id, p.bay, p.row, p.tier, p.size, p.weight, p.type, p.departure_time,
+         s._ingestion_time, p.outcome
+  FROM bplaced p JOIN silver s USING (id) WHERE p.tier IS NOT NULL)
+"""
+SQL["batch_placement"] = BATCH + "SELECT id, outcome, stage, block_id, bay, row, tier FROM bplaced"
+SQL["placement_report"] = BATCH + """
+SELECT outcome, count(*) AS n
+FROM (SELECT outcome FROM outcomes WHERE outcome = 'PLACED' UNION ALL SELECT outcome FROM bplaced)
+GROUP BY outcome"""
+SQL["batch_violations"] = BATCH + """
 SELECT f.outcome, count(*) AS n,
        CAST(sum(CASE WHEN coalesce(f.departure_time > b.departure_time, false) THEN 1 ELSE 0 END) AS BIGINT)
          AS edd_violations,
        CAST(sum(CASE WHEN coalesce(f.weight > b.weight, false) THEN 1 ELSE 0 END) AS BIGINT) AS weight_violations
-FROM fy f LEFT JOIN fy b ON b.yard_id = f.yard_id AND b.block_id = f.block_id AND b.bay = f.bay
+FROM finalyard f LEFT JOIN finalyard b ON b.yard_id = f.yard_id AND b.block_id = f.block_id AND b.bay = f.bay
  AND b.row = f.row AND b.tier = f.tier - 1
-GROUP BY f.outcome)""")
+GROUP BY f.outcome"""
+# The document's SQL, its silver rows and its risk flags taken from the final yard.
+_document = SQL["kpi_document_flat"].split(PRELUDE, 1)[1].replace("FROM silver", "FROM finalyard").replace(
+    "FROM risk", "FROM finalrisk")
+SQL["final_kpis"] = BATCH + """,
+finalrisk AS (
+  SELECT *, CASE WHEN lead(departure_time) OVER w IS NOT NULL AND departure_time < lead(departure_time) OVER w
+                 THEN 1 ELSE 0 END AS is_rehandle_risk
+  FROM finalyard WINDOW w AS (PARTITION BY yard_id, block_id, bay, row ORDER BY tier)
+)
+""" + _document
+
+
+def _dual_holders(tier: int) -> str:
+    """Winners of a tier's free slots, and what the yard already holds there."""
+    below = "" if tier == 1 else (
+        f" LEFT JOIN (SELECT {PILE_KEYS}, departure_time AS bdep FROM dh{tier - 1}) b USING ({PILE_KEYS})")
+    fits = "" if tier == 1 else " AND (b.bdep IS NULL OR c.departure_time <= b.bdep)"
+    return f"""dh{tier} AS MATERIALIZED (
+  SELECT {PILE_KEYS}, tier, id, departure_time FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY {PILE_KEYS}, tier ORDER BY departure_time, _o_price, _o_supp,
+                                   _o_part, weight, id) AS hn
+    FROM (SELECT c.* FROM dclaims c{below}
+          WHERE c.tier = {tier}{fits}
+            AND NOT EXISTS (SELECT 1 FROM dexisting x WHERE x.yard_id = c.yard_id AND x.block_id = c.block_id
+                            AND x.bay = c.bay AND x.row = c.row AND x.tier = c.tier)) c)
+  WHERE hn = 1
+  UNION ALL SELECT {PILE_KEYS}, tier, id, departure_time FROM dexisting WHERE tier = {tier})"""
+
+
+_start, _stop = PRELUDE.index("occ AS ("), PRELUDE.index("yards AS (")
+DUAL = PRELUDE + f""",
+dexisting AS MATERIALIZED (
+{PRELUDE[_start:_stop].strip().removeprefix('occ AS (').removesuffix('),').replace(
+    'FROM snaploc', 'FROM (SELECT * FROM snaploc WHERE store_version = 1)')}),
+dpre AS (
+  SELECT * REPLACE (CASE WHEN id IN (SELECT id FROM dexisting) THEN 'DUPLICATE' ELSE _pre END AS _pre)
+  FROM pre WHERE batch = 'snapshot'),
+dclaims AS (SELECT * FROM dpre WHERE _pre IS NULL AND _in_grid),
+{', '.join(map(_dual_holders, TIERS))},
+dheld AS ({' UNION ALL '.join(f'SELECT * FROM dh{t}' for t in TIERS)}),
+doutcomes AS MATERIALIZED (
+  SELECT c.id, CASE WHEN m.hid = c.id THEN 'PLACED'
+                    WHEN b.bdep IS NOT NULL AND c.departure_time > b.bdep THEN 'WOULD_REHANDLE'
+                    ELSE 'SLOT_TAKEN' END AS outcome,
+         coalesce(c.tier > 1 AND b.bdep IS NULL AND m.hid = c.id, false) AS floating
+  FROM dclaims c
+  LEFT JOIN (SELECT {PILE_KEYS}, tier + 1 AS tier, departure_time AS bdep FROM dheld) b USING ({PILE_KEYS}, tier)
+  LEFT JOIN (SELECT {PILE_KEYS}, tier, id AS hid FROM dheld) m USING ({PILE_KEYS}, tier)
+  UNION ALL
+  SELECT id, coalesce(_pre, 'SLOT_TAKEN'), false FROM dpre WHERE _pre IS NOT NULL OR NOT _in_grid),
+dyard AS MATERIALIZED (
+  SELECT h.yard_id, h.block_id, h.bay, h.row, h.tier, h.id, s.size, s.weight, s.type, s.departure_time
+  FROM dheld h JOIN silver s USING (id)),
+dtodo AS (
+  SELECT {TODO_COLS} FROM silver WHERE batch = 'arrivals'
+  UNION ALL
+  SELECT {TODO_COLS} FROM silver WHERE id IN (SELECT id FROM doutcomes WHERE outcome NOT IN ('PLACED', 'DUPLICATE'))),
+{place_ctes('d', 'dyard', 'dtodo')}
+"""
+SQL["dual_outcomes"] = DUAL + "SELECT id, outcome, floating FROM doutcomes"
+SQL["dual_placement"] = DUAL + "SELECT id, outcome, stage, block_id, bay, row, tier FROM dplaced"
+SQL["dual_report"] = DUAL + """
+SELECT outcome, count(*) AS n FROM (
+  SELECT outcome FROM doutcomes WHERE outcome IN ('PLACED', 'DUPLICATE') UNION ALL SELECT outcome FROM dplaced)
+GROUP BY outcome"""
+# The rules alone: no breach, and every record of both batches comes out once.
+q("dual_rules", """
+SELECT 0 AS weight_breaches_primary, 0 AS departure_breaches_strict, 0 AS floating, 0 AS wrong_zone,
+       0 AS shared_slots, count(*) AS records, count(*) AS ids
+FROM silver""")

@@ -7,7 +7,7 @@ with reordered columns fails instead of being silently bound by position.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 from quaystack.schema import RAW_COLUMNS, RAW_SCHEMA
 
 
+#: Raw text keeps its white space; the writer would trim it otherwise.
+KEEP_SPACE = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.schema(RAW_SCHEMA)
             .option("header", "true").option("enforceSchema", "false")
-            .option("nullValue", "").option("mode", "PERMISSIVE")
+            .option("nullValue", "").option("mode", "PERMISSIVE").options(**KEEP_SPACE)
             .csv(path))
 
 
@@ -28,7 +32,7 @@ def with_lineage(df: DataFrame, storage_mode: str, ingestion_time: datetime | No
     record's position (file, split start, row order within the split), a
     deterministic first-row order for dedup once the batch is written.
     ``meta`` names the file-metadata struct (a stream selects it up front)."""
-    ts = (ingestion_time or datetime.now()).strftime("%Y-%m-%d %H:%M:%S.%f")
+    ts = (ingestion_time or datetime.now(timezone.utc)).strftime("%Y-%m-%d %H:%M:%S.%f")
     return df.select(
         *RAW_COLUMNS,
         F.lit(ts).cast("timestamp").alias("_ingestion_time"),
@@ -58,8 +62,8 @@ def archive(bronze: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("ingestion_date").parquet(path))
 
 
-def write_landing(raw: DataFrame, path: str, n_files: int = 8, key: str = "yard_id") -> None:
-    """Lay raw records down as CSV files (one per ``key`` bucket) the way an
-    upload would arrive; used to feed the file source in tests and queries."""
-    (raw.repartition(n_files, F.col(key) % n_files).select(*RAW_COLUMNS)
-     .write.mode("overwrite").option("header", "true").csv(path))
+def write_landing(raw: DataFrame, path: str, key: str = "yard_id") -> None:
+    """Lay raw records down as CSV files the way an upload would arrive, the
+    records of one ``key`` in one file; adaptive execution sizes the files."""
+    (raw.repartition(key).select(*RAW_COLUMNS)
+     .write.mode("overwrite").option("header", "true").options(**KEEP_SPACE).csv(path))

@@ -14,35 +14,64 @@ from pyspark.sql import functions as F
 _BLOCK = ("CASE (l_suppkey + CASE WHEN l_partkey % 29 = 0 THEN 1 ELSE 0 END) % 6 "
           "WHEN 0 THEN 'A' WHEN 1 THEN 'C' WHEN 2 THEN 'B' WHEN 3 THEN 'D' "
           "WHEN 4 THEN 'S1' ELSE 'S2' END")
-_BAY = "lpad(CAST(l_partkey % 24 + 1 AS STRING), 3, '0')"
-_ROW = "chr(CAST(64 + l_orderkey % 6 + 1 AS INT))"
-_TIER = "lpad(CAST(l_linenumber AS STRING), 2, '0')"
+_BAY, _ROW, _TIER = "l_partkey % 24 + 1", "l_orderkey % 6 + 1", "l_linenumber"
+_PADDED = {"bay": f"lpad(CAST({_BAY} AS STRING), 3, '0')", "row": f"chr(CAST(64 + {_ROW} AS INT))",
+           "tier": f"lpad(CAST({_TIER} AS STRING), 2, '0')"}
+# Spellings of a location, by l_suppkey % 5: dashed, compact, spaced, lower
+# case, not padded. A location of two parts is none.
+_SLOT = f"""CASE WHEN l_orderkey % 11 = 0 THEN NULL
+  WHEN l_orderkey % 13 = 0 THEN concat({_BLOCK}, '-', {_PADDED['bay']})
+  WHEN l_suppkey % 5 = 1 THEN concat({_BLOCK}, {_PADDED['bay']}, {_PADDED['row']}, {_PADDED['tier']})
+  WHEN l_suppkey % 5 = 2 THEN concat({_BLOCK}, ' ', {_PADDED['bay']}, ' ', {_PADDED['row']}, ' ', {_PADDED['tier']})
+  WHEN l_suppkey % 5 = 3 THEN lower(concat({_BLOCK}, '-', {_PADDED['bay']}, '-', {_PADDED['row']}, '-', {_PADDED['tier']}))
+  WHEN l_suppkey % 5 = 4 THEN concat({_BLOCK}, '-', CAST({_BAY} AS STRING), '-', {_PADDED['row']}, '-', CAST({_TIER} AS STRING))
+  ELSE concat({_BLOCK}, '-', {_PADDED['bay']}, '-', {_PADDED['row']}, '-', {_PADDED['tier']}) END"""
+_DAY = "CAST(CAST(l_shipdate AS DATE) AS STRING)"
+_TYPE = ("CASE WHEN l_returnflag = 'A' THEN 'import' WHEN l_returnflag = 'N' THEN 'export' "
+         "ELSE 'transshipment' END")
+_FEET = "CASE WHEN l_suppkey % 2 = 0 THEN '20' ELSE '40' END"
 
 RAW_EXPRESSIONS: dict[str, str] = {
     "id": "concat('C', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))",
-    "size": ("CASE WHEN l_partkey % 50 = 0 THEN '45' "
-             "WHEN l_suppkey % 2 = 0 THEN '20' ELSE '40' END"),
-    "weight": ("CASE WHEN l_partkey % 97 = 0 THEN NULL "
+    "size": (f"CASE WHEN l_partkey % 50 = 0 THEN '45' WHEN l_partkey % 103 = 0 THEN 'x' "
+             f"WHEN l_partkey % 31 = 0 THEN concat({_FEET}, '.0') ELSE {_FEET} END"),
+    "weight": ("CASE WHEN l_partkey % 97 = 0 THEN NULL WHEN l_partkey % 101 = 0 THEN 'abc' "
                "WHEN l_partkey % 41 = 0 THEN CAST(CAST(l_quantity AS BIGINT) + 30 AS STRING) "
+               "WHEN l_partkey % 43 = 0 THEN concat(CAST(CAST(l_quantity AS BIGINT) AS STRING), '.5') "
                "ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END"),
-    "departure_time": "CAST(CAST(l_shipdate AS DATE) AS STRING)",
-    "type": ("CASE WHEN l_partkey % 61 = 0 THEN NULL "
-             "WHEN l_partkey % 53 = 0 THEN 'empty' "
-             "WHEN l_returnflag = 'A' THEN 'import' "
-             "WHEN l_returnflag = 'N' THEN 'export' ELSE 'transshipment' END"),
-    "slot": (f"CASE WHEN l_orderkey % 11 = 0 THEN NULL "
-             f"ELSE concat({_BLOCK}, '-', {_BAY}, CASE WHEN l_orderkey % 13 = 0 THEN '' "
-             f"ELSE concat('-', {_ROW}, '-', {_TIER}) END) END"),
+    "departure_time": (f"CASE WHEN l_partkey % 107 = 0 THEN 'soon' "
+                       f"WHEN l_partkey % 7 = 1 THEN concat({_DAY}, ' 00:00:00') "
+                       f"WHEN l_partkey % 7 = 2 THEN concat({_DAY}, 'T18:15:00') "
+                       f"WHEN l_partkey % 7 = 3 THEN concat({_DAY}, 'T06:30:00.000000') "
+                       f"WHEN l_partkey % 7 = 4 THEN concat(CAST(month(l_shipdate) AS STRING), '/', "
+                       f"CAST(day(l_shipdate) AS STRING), '/', CAST(year(l_shipdate) AS STRING), ' 9:05') "
+                       f"ELSE {_DAY} END"),
+    "type": (f"CASE WHEN l_partkey % 61 = 0 THEN NULL WHEN l_partkey % 53 = 0 THEN 'empty' "
+             f"WHEN l_partkey % 19 = 0 THEN concat('  ', upper({_TYPE}), ' ') "
+             f"WHEN l_partkey % 23 = 0 THEN concat(upper(substr({_TYPE}, 1, 1)), substr({_TYPE}, 2)) "
+             f"ELSE {_TYPE} END"),
+    "slot": _SLOT,
     "_ingestion_time": "CAST(o_orderdate AS TIMESTAMP)",
-    "yard_id": "l_orderkey % 16",
-    "batch": ("CASE WHEN l_orderkey % 2 = 0 AND l_orderkey % 11 <> 0 "
-              "THEN 'snapshot' ELSE 'arrivals' END"),
+    # Yards grow with the orders: 938 orders each, 16 yards at 15,000 orders.
+    "yard_id": "CAST(floor(l_orderkey / 938.0) AS BIGINT)",
+    # Rows of one id may fall into both batches, as they differ in the part.
+    "batch": ("CASE WHEN l_orderkey % 11 = 0 THEN 'arrivals' "
+              "WHEN l_partkey % 17 = 0 THEN CASE WHEN l_orderkey % 2 = 0 THEN 'arrivals' ELSE 'snapshot' END "
+              "WHEN l_orderkey % 2 = 0 THEN 'snapshot' ELSE 'arrivals' END"),
     "store_version": ("CASE WHEN l_orderkey % 3 = 0 THEN 2 "
                       "WHEN l_orderkey % 3 = 1 THEN 1 ELSE 0 END"),
     "_o_price": "l_extendedprice",
     "_o_supp": "l_suppkey",
     "_o_part": "l_partkey",
 }
+# What the slot text means, for the oracle alone: it never parses the text.
+_NAMED = "l_orderkey % 11 <> 0 AND l_orderkey % 13 <> 0"
+TRUTH_EXPRESSIONS: dict[str, str] = {
+    "_t_block": f"CASE WHEN {_NAMED} THEN {_BLOCK} END",
+    "_t_bay": f"CASE WHEN {_NAMED} THEN CAST({_BAY} AS INT) END",
+    "_t_row": f"CASE WHEN {_NAMED} THEN CAST({_ROW} AS INT) END",
+    "_t_tier": f"CASE WHEN {_NAMED} THEN CAST({_TIER} AS INT) END",
+}
 # Dedup order of the fixture (after the parsed departure_time).
 FIXTURE_ORDER = ["departure_time", "_o_price", "_o_supp", "_o_part", "weight"]
 EXTRA_COLUMNS = ["yard_id", "batch", "store_version", "_o_price", "_o_supp", "_o_part"]
@@ -53,7 +82,8 @@ _LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_qua
 
 def raw_select_sql() -> str:
     """The derivation as one SELECT over the driver tables (oracle side)."""
-    cols = ",\n  ".join(f"{expr} AS {name}" for name, expr in RAW_EXPRESSIONS.items())
+    both = RAW_EXPRESSIONS | TRUTH_EXPRESSIONS
+    cols = ",\n  ".join(f"{expr} AS {name}" for name, expr in both.items())
     return (f"SELECT\n  {cols}\nFROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 
 
@@ -72,9 +102,5 @@ def arrivals_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.struct(F.col("_metadata.file_path").alias("f"),
                            F.col("_metadata.row_index").alias("r")).alias("_rk")))
     od = spark.read.parquet(table_path(sf_dir, "orders")).select("o_orderkey", "o_orderdate")
-    # Hash-partition lineitem on the join key: the partitioning a sort-merge
-    # join with orders needs anyway, and it spreads the derivation below over
-    # all shuffle partitions even when a file has a single row group.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    joined = li.repartition(n, "l_orderkey").join(od, li.l_orderkey == od.o_orderkey, "inner")
+    joined = li.join(od, li.l_orderkey == od.o_orderkey, "inner")
     return joined.selectExpr(*[f"{expr} AS {name}" for name, expr in RAW_EXPRESSIONS.items()], "_rk")

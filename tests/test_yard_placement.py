@@ -90,13 +90,3 @@ def test_lead_within_matches_window_lead(spark):
     want = df.withColumn("nxt", F.lead("v").over(Window.partitionBy("g").orderBy("v")))
     assert got.count() == 6000
     assert got.select("g", "v", "nxt").exceptAll(want.select("g", "v", "nxt")).count() == 0
-
-
-def test_lead_by_group_switches_on_hot_group(spark):
-    from pyspark.sql import Window
-    df = spark.range(0, 3000).select(F.when(F.col("id") % 10 < 8, F.lit(0)).otherwise(F.col("id") % 7)
-                                     .alias("g"), F.col("id").alias("v"))
-    want = df.withColumn("nxt", F.lead("v").over(Window.partitionBy("g").orderBy("v")))
-    for bound in (10_000, 100):  # plain window, then the chunked path
-        got = ranking.lead_by_group(df, ["g"], ["v"], "v", "nxt", max_group_rows=bound)
-        assert got.select("g", "v", "nxt").exceptAll(want.select("g", "v", "nxt")).count() == 0

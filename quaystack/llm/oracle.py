@@ -14,3 +14,79 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
        row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY norm ORDER BY chars DESC, doc_id)
 """
+
+_LEAF = r"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){1,8}|[\x20\x09-\x0D]+"
+
+
+def _tree(text: str, name: str) -> str:
+    """CTEs of one text's tree, level by level; the last is ``name``."""
+    return f"""
+{name}_l AS (
+  SELECT doc_id, list_transform(string_split({text}, chr(10)), lambda p: list_transform(
+           regexp_extract_all(p, '{_LEAF}'), lambda x: sha256('leaf:' || x))) AS leaves
+  FROM edited),
+{name}_p AS (
+  SELECT doc_id, flatten(leaves) AS leaves, list_transform(leaves, lambda h:
+           sha256('paragraph:' || coalesce(array_to_string(h, ''), ''))) AS paragraphs
+  FROM {name}_l),
+{name} AS (
+  SELECT doc_id, list_distinct(leaves) AS leaves, paragraphs,
+         sha256('root:' || array_to_string(list_transform(list_filter(string_split(array_to_string(
+           list_transform(paragraphs, lambda h: CASE WHEN h < '2' THEN h || '|' ELSE h END), ''), '|'),
+           lambda run: run <> ''), lambda run: sha256('section:' || run)), '')) AS root
+  FROM {name}_p)"""
+
+
+def _alike(a: str, b: str) -> str:
+    return (f"CASE WHEN len({a}.leaves) + len({b}.leaves) = 0 THEN 1.0 ELSE "
+            f"len(list_intersect({a}.leaves, {b}.leaves)) * 2.0 / (len({a}.leaves) + len({b}.leaves)) END")
+
+
+SQL["op2_merkle_fingerprint"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (
+           ORDER BY doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text
+  FROM d),
+edited AS (
+  SELECT *, left(text, length(text) - length(text) // 2) || left(next_text, length(text) // 2) AS edited FROM n),
+{_tree('text', 'own')},
+{_tree('edited', 'changed')},
+{_tree('next_text', 'other')}
+SELECT doc_id, length(e.text) AS n_chars, sha256(e.edited) AS edited_sha256, own.root AS fingerprint,
+       changed.root AS edited_fingerprint, CAST({_alike('own', 'changed')} AS DOUBLE) AS near_edited,
+       CAST({_alike('own', 'other')} AS DOUBLE) AS near_next,
+       CASE WHEN own.root <> changed.root THEN CAST(list_position(list_transform(
+         range(1, greatest(len(own.paragraphs), len(changed.paragraphs)) + 1),
+         lambda i: own.paragraphs[i] IS NOT DISTINCT FROM changed.paragraphs[i]), false) - 1 AS BIGINT) END
+         AS edit_paragraph
+FROM edited e JOIN own USING (doc_id) JOIN changed USING (doc_id) JOIN other USING (doc_id)
+"""
+
+SQL["op10_chat_rotation"] = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'),
+                            coalesce(text, '')) AS nth
+  FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'),
+seen AS (
+  SELECT t.conv_id, speaker, nth, (nth - 1) // 64 AS part, role = speaker AS own,
+         '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system'
+                                ELSE 'user name=' || role END || chr(10) AS head,
+         text || '<|im_end|>' || chr(10) AS body
+  FROM t JOIN speakers s ON s.conv_id IS NOT DISTINCT FROM t.conv_id),
+placed AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (
+           PARTITION BY conv_id, speaker, part ORDER BY nth
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS body_at
+  FROM seen),
+parts AS (
+  SELECT conv_id, speaker, part, string_agg(head || body, '' ORDER BY nth) AS rendered, count(*) AS n_turns,
+         coalesce(string_agg(body_at || ':' || (body_at + length(body)), ',' ORDER BY nth) FILTER (own), '') AS mask
+  FROM placed GROUP BY ALL)
+SELECT conv_id, speaker, part, rendered, n_turns, mask,
+       CAST(coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, speaker ORDER BY part
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+FROM parts
+"""

@@ -84,13 +84,9 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64)
 
 
-def _mixed(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """(bands, shingles): a hash function a band, by multiply and shift."""
-    with np.errstate(over="ignore"):
-        x = (hashes[None, :] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
+def _mixed(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """(bands, shingles): the hashes under a bijection a band."""
+    return hashes[None, :] * factors[:, None]
 
 
 class Scanner:
@@ -98,7 +94,8 @@ class Scanner:
 
     def __init__(self, notices: dict[str, str], threshold: float = THRESHOLD, bands: int = BANDS):
         self.threshold = threshold
-        self.seeds = np.random.default_rng(5).integers(1, 2**63, bands).astype(np.uint64)
+        # Odd factors: multiplying by one permutes the 64-bit hashes.
+        self.factors = np.random.default_rng(5).integers(1, 2**63, bands).astype(np.uint64) * 2 + 1
         self.names = list(notices)
         self.sets, self.words = [], []
         by_size: dict[int, list[int]] = {}
@@ -112,50 +109,56 @@ class Scanner:
         # Templates of fewer words than a shingle are looked up by their words.
         self.short = {int(self.sets[i][0]): i for ids in by_size.values() for i in ids
                       if self.words[i] < SHINGLE}
-        self.index = {}
+        # By window size: (band, minimum) -> templates, and which low bits of a
+        # minimum can be one.
+        self.index: dict[int, tuple[dict[tuple[int, int], list[int]], np.ndarray]] = {}
         for size, ids in sorted(by_size.items()):
             bands_of: dict[tuple[int, int], list[int]] = {}
             for i in ids:
                 if self.words[i] >= SHINGLE:
-                    for band, value in enumerate(_mixed(self.sets[i], self.seeds).min(axis=1).tolist()):
+                    for band, value in enumerate(_mixed(self.sets[i], self.factors).min(axis=1).tolist()):
                         bands_of.setdefault((band, value), []).append(i)
             if bands_of:
-                tables = [np.array(sorted({v for b, v in bands_of if b == band}), dtype=np.uint64)
-                          for band in range(len(self.seeds))]
-                self.index[size] = (bands_of, tables)
+                known = np.zeros(self.LOW + 1, dtype=bool)
+                known[[value & self.LOW for _, value in bands_of]] = True
+                self.index[size] = (bands_of, known)
 
-    SLICE = 16_384  # shingles hashed at a time
+    SLICE = 16_384  # shingles hashed at a time; a multiple of every window size
+    LOW = 2**20 - 1
 
     def scan(self, text: str) -> list[Match]:
-        words = [m.span() for m in _WORD.finditer(text)]
-        lower = [text[a:b].lower() for a, b in words]
+        low = text.lower()
+        words = _WORD.findall(low) if len(low) == len(text) else [
+            w.lower() for w in _WORD.findall(text)]
         found: dict[tuple[int, int], tuple[int, int, float]] = {}
-        self._scan_short(lower, found)
-        if len(lower) < SHINGLE:
-            return self._matches(found, words)
-        hashes = _hashes(lower)
-        reach = 2 * max(self.index, default=1)
-        for at in range(0, len(hashes), self.SLICE):
-            part = hashes[at:at + self.SLICE + reach]
-            mixed = _mixed(part, self.seeds)
-            for size, (bands_of, tables) in self.index.items():
-                self._windows(hashes, at, mixed, size, bands_of, tables, found)
-        return self._matches(found, words)
-
-    def _windows(self, hashes, at, mixed, size, bands_of, tables, found) -> None:
-        width = mixed.shape[1]
-        # A minimum a block of `size` shingles, then of every two neighbours.
-        cuts = np.arange(0, width, size)
-        blocks = np.minimum.reduceat(mixed, cuts, axis=1)
-        least = blocks.copy()
-        least[:, :-1] = np.minimum(blocks[:, :-1], blocks[:, 1:])
-        for band, table in enumerate(tables):
-            near = np.searchsorted(table, least[band]).clip(max=len(table) - 1)
-            for w in np.flatnonzero(table[near] == least[band]).tolist():
-                for i in bands_of[band, int(least[band, w])]:
-                    start = at + w * size
-                    if (i, start) not in found:
-                        found[i, start] = self._verify(i, hashes, start, start + 2 * size)
+        self._scan_short(words, found)
+        if len(words) >= SHINGLE:
+            hashes = _hashes(words)
+            reach = 2 * max(self.index, default=1)
+            for at in range(0, len(hashes), self.SLICE):
+                self._slice(hashes, at, min(len(hashes), at + self.SLICE + reach), found)
+        if not any(share for _, _, share in found.values()):
+            return []
+        return self._matches(found, [m.span() for m in _WORD.finditer(text)])
+
+    def _slice(self, hashes: np.ndarray, at: int, end: int, found: dict) -> None:
+        """Windows of every size over one slice: minima of blocks of s
+        shingles come from those of s / 2, a window is two neighbours."""
+        least, size = _mixed(hashes[at:end], self.factors), 1
+        while True:
+            if size in self.index:
+                bands_of, known = self.index[size]
+                window = np.minimum(least, np.concatenate([least[:, 1:], least[:, -1:]], axis=1))
+                for band, w in np.argwhere(known[window & np.uint64(self.LOW)]).tolist():
+                    for i in bands_of.get((band, int(window[band, w])), ()):
+                        start = at + w * size
+                        if (i, start) not in found:
+                            found[i, start] = self._verify(i, hashes, start, start + 2 * size)
+            if size >= max(self.index, default=1):
+                return
+            if least.shape[1] % 2:
+                least = np.concatenate([least, least[:, -1:]], axis=1)
+            least, size = np.minimum(least[:, ::2], least[:, 1::2]), 2 * size
 
     def _verify(self, i: int, hashes: np.ndarray, a: int, b: int) -> tuple[int, int, float]:
         """First and last shingle of the template in a window, and its share."""

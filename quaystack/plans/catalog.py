@@ -630,6 +630,12 @@ def dual_rules(spark, sf):
         slots, received)
 
 
+def forget() -> None:
+    """Drop what earlier queries of the session stored: the next one starts cold."""
+    for stored in (_RECONCILED, _BATCHED, _DUAL, ctx._MATERIALISED):
+        stored.clear()
+
+
 # --- store, inventory, dual-batch views ------------------------------------------
 from quaystack.operators import inventory, store  # noqa: E402
 from quaystack.session import scratch_path  # noqa: E402

@@ -116,7 +116,10 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     if max_bits not in (0, 1, 2):
         raise ValueError("max_bits must be 0, 1 or 2")
     key = ["seg", "wild", "value"]
-    entries = fps.select("fp", F.explode(_variants(max_bits)).alias("e")).select("e.*", "fp")
+    # A fingerprint becomes some sixty entries: the few bytes stored are dealt
+    # out as widely as the shuffle that follows.
+    wide = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = fps.repartition(wide, "fp").select("fp", F.explode(_variants(max_bits)).alias("e")).select("e.*", "fp")
     buckets = materialise(
         entries.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("n"), F.sum("side").alias("ones"),

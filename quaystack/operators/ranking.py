@@ -16,8 +16,10 @@ from quaystack.session import materialise
 
 
 def _by_range(df: DataFrame, keys: list, num_partitions: int | None) -> DataFrame:
-    """Range partitions; without a number adaptive execution sizes them."""
-    return df.repartitionByRange(*([num_partitions] if num_partitions else []), *keys)
+    """Range partitions, as many as the session's shuffles have: left to
+    adaptive execution, small inputs fall into one task that does all."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *keys)
 
 
 def _by_chunk(rows: DataFrame, chunks: DataFrame, group_cols: list[str]) -> DataFrame:

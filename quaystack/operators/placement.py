@@ -19,11 +19,10 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaystack.functions.parse import size_or_default
-from quaystack.operators import ranking
 from quaystack.operators.rules import size_of_block, zone_of
 from quaystack.operators.yard import PILE, SLOT, distance, in_grid, with_location
 from quaystack.schema import SIZE_POLICY, YardSpec
@@ -136,15 +135,18 @@ def place_batch(to_place: DataFrame, piles: DataFrame, spec: YardSpec) -> DataFr
     """Place containers on piles by the staged rules; every row of
     ``to_place`` comes back with outcome, stage and slot (null: UNPLACED).
 
-    A stage ranks what is left inside (yard, size), latest departure first
-    (heaviest first where departure does not count), and deals the ranks
-    into chunks as large as the zone has piles. A round matches one chunk:
-    its containers by weight against the open piles by the weight on top,
-    empty piles nearest first. Ranks are shifted by the root of the zone's
-    size, so a container meets a heavier top. A match that breaks a rule of
-    the stage is dropped and left to later stages, so no rule is ever
-    broken. Rounds a stage: one a tier. Chunks and piles of a round are
-    bounded by geometry; the ranks over all containers split hot yards.
+    A stage repeats rounds until none of what is left is admitted by a pile
+    that is open to it. A round takes, inside (yard, size), as many admitted
+    containers as there are open piles, latest departure first (heaviest
+    first where departure does not count), and matches them by weight
+    against the weight on top, empty piles nearest first. Ranks are shifted
+    by the root of the zone's size, so a container meets a heavier top. A
+    match that breaks a rule of the stage is dropped. Once that places less
+    than half of a round, the containers claim a pile that admits them
+    instead, and a claimed pile takes its first claimant, so every further
+    round places someone. What a round takes and the piles are bounded by
+    geometry. Piles only get stricter in a stage, so whoever is not admitted
+    once is out for the stage.
     """
     state = materialise(
         piles.filter((F.col("top_free_tier") == F.col("height") + 1) | (F.col("height") == 0))
@@ -158,16 +160,24 @@ def place_batch(to_place: DataFrame, piles: DataFrame, spec: YardSpec) -> DataFr
         zone = zone_size(spec, kind)
         shift = math.isqrt(zone - 1) + 1 if by_weight else 0
         first = "departure_time" if by_departure or not by_weight else "weight"
-        pool = ranking.rank_within(left, ["yard_id", "size"], [F.col(first).desc(), F.col("id")], name="_n")
-        pool = materialise(pool.withColumn("_chunk", F.floor((F.col("_n") - 1) / zone)), "place-pool")
-        last = pool.agg(F.max("_chunk")).first()[0]
-        if last is None:  # everything has its place
-            break
-        for chunk in range(min(spec.max_height, int(last) + 1)):
-            took = _match(pool.filter(F.col("_chunk") == chunk),
-                          state.filter((F.col("kind") == kind) & (F.col("height") < spec.max_height)),
-                          shift, by_departure, by_weight)
+        pool, by_rank, rounds = left, True, 0
+        while True:
+            seats = _seats(state.filter((F.col("kind") == kind) & (F.col("height") < spec.max_height)))
+            pool = materialise(_admitted(pool.select(*cols), seats, by_departure, by_weight), "place-pool")
+            # A zone has no more open piles than piles: the literal bound lets
+            # every task drop the rest before a hot yard is sorted.
+            nth = Window.partitionBy("yard_id", "size").orderBy(F.col(first).desc(), "id")
+            offered = (pool.withColumn("_n", F.row_number().over(nth)).filter(F.col("_n") <= zone)
+                       .filter(F.col("_n") <= F.col("_open")).drop("_n", "_open"))
+            offered = materialise(offered, "place-offered")
+            asked = offered.count()
+            if not asked:
+                break
+            took = _match(offered, seats, shift, by_departure, by_weight) if by_rank else \
+                _claim(offered, seats, by_departure, by_weight)
             took = materialise(took.select(*cols, "block_id", "bay", "row", "tier"), "place-round")
+            by_rank = by_rank and 2 * took.count() >= asked
+            pool = pool.join(took.select("id"), "id", "left_anti")
             done.append(took.withColumn("outcome", F.lit(outcome)).withColumn("stage", F.lit(number)))
             new = took.select(*PILE, F.lit(1).alias("_h"), F.col("weight").alias("_w"),
                               F.col("departure_time").alias("_d"))
@@ -175,8 +185,11 @@ def place_batch(to_place: DataFrame, piles: DataFrame, spec: YardSpec) -> DataFr
                 *PILE, "size", "kind", (F.col("height") + F.coalesce("_h", F.lit(0))).alias("height"),
                 F.coalesce("_w", "top_weight").alias("top_weight"),
                 F.least("min_departure", "_d").alias("min_departure"), "distance", "block_index")
-            if chunk % 3 == 2:
+            rounds += 1
+            if rounds % 3 == 0:
                 state = materialise(state, "place-piles")
+        if not rounds:
+            continue
         state = materialise(state, "place-piles")
         placed = reduce(lambda a, b: a.unionByName(b), done)
         left = to_place.join(placed.select("id"), "id", "left_anti")
@@ -186,15 +199,60 @@ def place_batch(to_place: DataFrame, piles: DataFrame, spec: YardSpec) -> DataFr
     return reduce(lambda a, b: a.unionByName(b), [*done, rest])
 
 
-def _match(containers: DataFrame, piles: DataFrame, shift: int, by_departure: bool,
-           by_weight: bool) -> DataFrame:
-    """One round: containers with the slot they take, rules checked."""
+def _seats(piles: DataFrame) -> DataFrame:
+    """Open piles numbered inside (yard, size): empty ones nearest first,
+    then the others by the weight on top."""
     inside = Window.partitionBy("yard_id", "size")
     empty = F.col("height") == 0
-    seats = (piles.withColumn("_p", F.row_number().over(inside.orderBy(
+    return (piles.withColumn("_p", F.row_number().over(inside.orderBy(
                 empty.desc(), F.when(empty, F.lit(0.0)).otherwise(F.col("top_weight")).desc(),
                 "distance", "block_index", "bay", "row")))
-             .withColumn("_empty", F.sum(empty.cast("int")).over(inside)))
+            .withColumn("_empty", F.sum(empty.cast("int")).over(inside)))
+
+
+def _allowed(seat, by_departure: bool, by_weight: bool) -> Column:
+    """The rules of a stage for a container's columns and a seat's."""
+    ok = F.lit(True)
+    if by_weight:
+        ok = ok & (F.col("weight") <= seat("top_weight"))
+    if by_departure:
+        ok = ok & (F.col("departure_time") <= seat("min_departure"))
+    return (seat("height") == 0) | ok
+
+
+def _with_seats(containers: DataFrame, seats: DataFrame) -> DataFrame:
+    """Containers with their zone's seats as one array in seat order."""
+    zones = seats.groupBy("yard_id", "size").agg(F.array_sort(F.collect_list(
+        F.struct("_p", "height", "top_weight", "min_departure"))).alias("_seats"))
+    return containers.join(zones, ["yard_id", "size"])
+
+
+def _admitted(containers: DataFrame, seats: DataFrame, by_departure: bool, by_weight: bool) -> DataFrame:
+    """The containers that some seat admits, with the zone's number of seats."""
+    return (_with_seats(containers, seats)
+            .filter(F.exists("_seats", lambda s: _allowed(lambda c: s[c], by_departure, by_weight)))
+            .withColumn("_open", F.size("_seats")).drop("_seats"))
+
+
+def _claim(containers: DataFrame, seats: DataFrame, by_departure: bool, by_weight: bool) -> DataFrame:
+    """One round: the containers, heaviest first, go round the seats that
+    admit each; the first claimant of a seat takes it."""
+    inside = Window.partitionBy("yard_id", "size")
+    fits = F.filter("_seats", lambda s: _allowed(lambda c: s[c], by_departure, by_weight))
+    asked = (_with_seats(containers, seats).withColumn("_fits", F.transform(fits, lambda s: s["_p"]))
+             .drop("_seats").filter(F.size("_fits") > 0)
+             .withColumn("_r", F.row_number().over(inside.orderBy(F.col("weight").desc(), "id")))
+             .withColumn("_p", F.get("_fits", (F.col("_r") - 1) % F.size("_fits"))).drop("_fits"))
+    first = asked.groupBy("yard_id", "size", "_p").agg(F.min("_r").alias("_r"))
+    won = asked.join(first, ["yard_id", "size", "_p", "_r"])
+    return won.join(seats.drop("_empty", "kind"), ["yard_id", "size", "_p"]).withColumn(
+        "tier", F.col("height") + 1)
+
+
+def _match(containers: DataFrame, seats: DataFrame, shift: int, by_departure: bool,
+           by_weight: bool) -> DataFrame:
+    """One round: containers with the slot they take, rules checked."""
+    inside = Window.partitionBy("yard_id", "size")
     counts = seats.select("yard_id", "size", "_empty").distinct()
     r = F.col("_r")
     asked = (containers.withColumn("_r", F.row_number().over(inside.orderBy(F.col("weight").desc(), "id")))
@@ -203,12 +261,7 @@ def _match(containers: DataFrame, piles: DataFrame, shift: int, by_departure: bo
                          .when(r - shift > F.col("_empty"), r - shift))
              .drop("_empty"))
     pair = asked.join(seats.drop("_empty", "kind"), ["yard_id", "size", "_p"])
-    ok = F.lit(True)
-    if by_weight:
-        ok = ok & (empty | (F.col("weight") <= F.col("top_weight")))
-    if by_departure:
-        ok = ok & (empty | (F.col("departure_time") <= F.col("min_departure")))
-    return pair.filter(ok).withColumn("tier", F.col("height") + 1)
+    return pair.filter(_allowed(F.col, by_departure, by_weight)).withColumn("tier", F.col("height") + 1)
 
 
 def dedup_by_priority(frames: list[tuple[str, DataFrame]], order_cols: list) -> DataFrame:

@@ -1,6 +1,8 @@
 """Store, stream, KPI document and the batch run: the branches that the
 derived fixture alone would not reach."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,50 @@ def test_placement_obeys_the_rules_and_loses_no_one(spark):
 def test_nothing_to_place(spark):
     piles = _piles(spark, [("A", 1, 1, 20, 10.0, 9)])
     assert placement.place_batch(_containers(spark, [("x", 1.0, 1)]).limit(0), piles, SPEC).count() == 0
+
+
+def _unplaced_with_a_slot(rows, occupied, n_piles_of):
+    """Rule check by hand: UNPLACED containers that some pile admits at the end."""
+    tops = {}
+    for block, bay, row, tier, weight, dep in sorted(
+            [*occupied, *((r["block_id"], r["bay"], r["row"], r["tier"], r["weight"], r["departure_time"])
+                          for r in rows if r["tier"])], key=lambda x: x[3]):
+        _, _, least = tops.get((block, bay, row), (0, 0.0, dep))
+        tops[block, bay, row] = (tier, weight, min(least, dep))
+    left = [r for r in rows if r["outcome"] == "UNPLACED"]
+    free = {b: n_piles_of - sum(k[0] == b for k in tops) for b in ("A", "B", "S1")}
+    return [r["id"] for r in left if any(free.values()) or any(
+        h < SPEC.max_height and (b == "S1" or r["weight"] <= w) for (b, _, _), (h, w, _) in tops.items()
+        if b in free)]
+
+
+def test_no_unplaced_container_has_a_slot(spark):
+    """More containers than the zone has slots, few open piles, heavy ones first."""
+    import random
+    rng = random.Random(7)
+    # Bay 1 of the primary blocks is full, so fewer piles are open than the zone has.
+    full = [(b, 1, t, 20, 5.0, 9) for b in "AB" for t in range(1, SPEC.max_height + 1)]
+    asked = _containers(spark, [(f"c{i}", float(rng.randrange(20, 50) if i % 3 else rng.randrange(1, 5)),
+                                 28 if i % 3 else rng.randrange(1, 20)) for i in range(60)])
+    rows = placement.place_batch(asked, _piles(spark, full), SPEC).collect()
+    assert len(rows) == 60 and len({r["id"] for r in rows}) == 60
+    when = datetime(2026, 3, 9)
+    taken = [(b, bay, 1, t, w, when) for b, bay, t, _, w, _ in full]
+    assert any(r["outcome"] == "UNPLACED" for r in rows)
+    assert _unplaced_with_a_slot(rows, taken, SPEC.n_bays * SPEC.n_rows) == []
+    backup = [r for r in rows if r["block_id"] == "S1"]
+    assert len(backup) == SPEC.n_bays * SPEC.n_rows * SPEC.max_height
+
+
+def test_no_unplaced_container_of_the_fixture_has_a_slot(spark):
+    from quaystack.plans import catalog
+    from tests.conftest import SF_SMALL
+    yard_now, _, placed = catalog._dual(spark, SF_SMALL)
+    cols = ["id", *yard.SLOT, "size", "weight", "type", "departure_time"]
+    final = yard_now.select(*cols).unionByName(placed.filter("tier is not null").select(*cols))
+    moved = catalog._final_yard(spark, SF_SMALL)[0]
+    for z, occ in ((placed, final), (catalog._batch(spark, SF_SMALL)[0], moved)):
+        piles = yard.all_piles(catalog.ctx.yards(spark, SF_SMALL), yard.blocks_dim(spark, catalog.Y), occ, catalog.Y)
+        left = z.filter("outcome = 'UNPLACED'").select("id", *rules.PROBE)
+        open_to = rules.stage_counts(left, piles, catalog.Y)
+        assert open_to.filter("n_stage1 + n_stage2 + n_stage3 + n_stage4 > 0").count() == 0

@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -148,6 +149,17 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return two.unionByName(pairs).unionByName(stars)
 
 
+def _grouped(signed: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, root, component)`` of every fingerprint of ``signed(id, fp)``;
+    components that share their smallest id differ in ``root``."""
+    nodes = materialise(signed.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
+    roots = connected_components(links(nodes.select("fp"), max_bits))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    return rooted.join(names, "root").select("fp", "root", "component", "least")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id.
@@ -156,12 +168,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fingerprints at most ``max_bits`` apart, the row itself included.
     """
     signed = materialise(signatures(df, id_col, text_col, shingle), "simhash-signatures")
-    nodes = materialise(signed.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    roots = connected_components(links(nodes.select("fp"), max_bits))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = rooted.join(names, "root").select("fp", "component")
+    named = _grouped(signed, max_bits).select("fp", "component")
     return signed.join(named, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -170,15 +177,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``df`` whose id names their component, all columns kept.
+    """One row of every component, all columns kept: of the rows that carry
+    its smallest id (no id at all, if none has one) those of the smallest
+    fingerprint, and of these the smallest row.
 
-    Rows that share the surviving id collapse to their smallest row; rows
-    without an id stay only if their component has no id at all.
+    Rows of different components stay apart whatever ids they share or lack:
+    a row is known by its id and its fingerprint, not by the id alone.
     """
-    groups = near_duplicates(df, id_col, text_col, shingle, max_bits)
-    kept = (groups.filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-            .select(F.col(id_col).alias("__id"), F.col("fingerprint").alias("__fp")).distinct())
+    signed = materialise(signatures(df, id_col, text_col, shingle), "simhash-signatures")
+    kept = (_grouped(signed, max_bits).filter(F.col("least").eqNullSafe(F.col("component")))
+            .groupBy("root").agg(F.min("fp").alias("__fp"), F.first("component").alias("__id")))
+
+    @F.pandas_udf("long")
+    def mark(batch: pd.Series) -> pd.Series:
+        marks = [fingerprint(t, shingle) for t in batch]
+        return pd.Series(np.array(marks, dtype=np.uint64).view(np.int64))
+
+    # Else the join's null filter would be pushed below and mark every text twice.
+    mark = mark.asNondeterministic()
+    text = F.coalesce(column(text_col), F.lit(""))
     rows = df.select(F.struct(*[column(c) for c in df.columns]).alias("__row"),
-                     column(id_col).alias("__i"))
-    found = rows.join(kept, F.col("__i").eqNullSafe(F.col("__id")), "left_semi")
-    return found.groupBy("__i").agg(F.min("__row").alias("__row")).select("__row.*")
+                     column(id_col).alias("__i"), mark(text).alias("__f"))
+    found = rows.join(kept, (F.col("__f") == F.col("__fp")) & F.col("__i").eqNullSafe(F.col("__id")),
+                      "left_semi")
+    return found.groupBy("__i", "__f").agg(F.min("__row").alias("__row")).select("__row.*")

@@ -114,3 +114,14 @@ def test_bits_outside_the_method(spark):
 def test_repeated_ids_collapse_to_one_row(spark):
     df = frame(spark, [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e")])
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()] == [1]
+
+
+def test_texts_of_null_and_shared_ids_stay_apart(spark):
+    """Different texts without an id or with one id; a near copy without an
+    id gives way to the row that has one."""
+    texts = ["the harbour crane lifts a box of grain at dawn", "nine quiet ledgers list the price of tin",
+             "snow fell over the pass and closed the road north", "a violin was found beneath the attic floor"]
+    df = frame(spark, [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]),
+                       (None, texts[3]), (5, texts[2]), (8, texts[2])])
+    kept = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df).collect()), key=str)
+    assert kept == sorted([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3])], key=str)

@@ -130,14 +130,14 @@ class Scanner:
         low = text.lower()
         words = _WORD.findall(low) if len(low) == len(text) else [
             w.lower() for w in _WORD.findall(text)]
-        found: dict[tuple[int, int], tuple[int, int, float]] = {}
+        found: dict[tuple[int, int], list[tuple[int, int, float]]] = {}
         self._scan_short(words, found)
         if len(words) >= SHINGLE:
             hashes = _hashes(words)
             reach = 2 * max(self.index, default=1)
             for at in range(0, len(hashes), self.SLICE):
                 self._slice(hashes, at, min(len(hashes), at + self.SLICE + reach), found)
-        if not any(share for _, _, share in found.values()):
+        if not any(found.values()):
             return []
         return self._matches(found, [m.span() for m in _WORD.finditer(text)])
 
@@ -160,29 +160,40 @@ class Scanner:
                 least = np.concatenate([least, least[:, -1:]], axis=1)
             least, size = np.minimum(least[:, ::2], least[:, 1::2]), 2 * size
 
-    def _verify(self, i: int, hashes: np.ndarray, a: int, b: int) -> tuple[int, int, float]:
-        """First and last shingle of the template in a window, and its share."""
+    def _verify(self, i: int, hashes: np.ndarray, a: int, b: int) -> list[tuple[int, int, float]]:
+        """Runs of the template's shingles in a window that reach the
+        threshold by themselves: one from each hit on, as long as the
+        template at most. A window can hold several occurrences."""
         here = hashes[a:b]
         hits = np.flatnonzero(np.isin(here, self.sets[i]))
-        share = len(np.unique(here[hits])) / len(self.sets[i]) if len(hits) else 0.0
-        if share < self.threshold:
-            return 0, 0, 0.0
-        # The shortest run of hits as long as the template, if there are more.
-        span = self.words[i] - SHINGLE
-        first = hits[0]
-        last = hits[np.searchsorted(hits, first + span, side="right") - 1]
-        return a + int(first), a + int(last) + SHINGLE, share
+        if not len(hits) or len(np.unique(here[hits])) / len(self.sets[i]) < self.threshold:
+            return []
+        at, values = hits.tolist(), here[hits].tolist()
+        span, runs = max(0, self.words[i] - SHINGLE), []
+        inside: dict[int, int] = {}
+        last = 0  # behind the run's last hit
+        for first, start in enumerate(at):
+            while last < len(at) and at[last] <= start + span:
+                inside[values[last]] = inside.get(values[last], 0) + 1
+                last += 1
+            share = len(inside) / len(self.sets[i])
+            if share >= self.threshold:
+                runs.append((a + start, a + at[last - 1] + SHINGLE, share))
+            inside[values[first]] -= 1
+            if not inside[values[first]]:
+                del inside[values[first]]
+        return runs
 
     def _scan_short(self, lower: list[str], found: dict) -> None:
         for length in {self.words[i] for i in self.short.values()}:
             for at in range(len(lower) - length + 1):
                 i = self.short.get(xxhash.xxh64_intdigest(" ".join(lower[at:at + length])))
                 if i is not None and self.words[i] == length:
-                    found[i, at] = (at, at + length, 1.0)
+                    found[i, at] = [(at, at + length, 1.0)]
 
     def _matches(self, found: dict, words: list[tuple[int, int]]) -> list[Match]:
         """Verified finds; of overlapping ones the best, then the longest."""
-        best = sorted(((i, *v) for (i, _), v in found.items() if v[2]),
+        best = sorted({(i, *run) for (i, _), runs in found.items() for run in runs},
                       key=lambda m: (-m[3], m[1] - m[2], m[1], m[0]))
         out: list[tuple[int, int, int, float]] = []
         ends: list[tuple[int, int]] = []  # taken, by start

@@ -101,3 +101,23 @@ def test_query(spark, small):
         got.setdefault(r["doc_id"], set()).add(r["license"])
     want = {i: {n for n, c in brute(t, licenses.NOTICES).items() if c == 1.0} for i, t in small}
     assert got == {i: w for i, w in want.items() if w}
+
+
+@pytest.mark.parametrize("times", [2, 3, 4, 5])
+@pytest.mark.parametrize("lead", [0, 7, 50])
+def test_a_notice_several_times_in_a_row(scanner, times, lead):
+    for name, notice in licenses.NOTICES.items():
+        text = "filler " * lead + " ".join([notice] * times)
+        found = scanner.scan(text)
+        assert [(m.license, m.containment) for m in found] == [(name, 1.0)] * times, name
+        for m in found:
+            assert WORD.findall(text[m.start:m.end].lower()) == WORD.findall(notice.lower())
+
+
+def test_the_tail_of_a_notice_before_a_whole_one(scanner):
+    for name, notice in licenses.NOTICES.items():
+        words = WORD.findall(notice)
+        if len(words) < 20:
+            continue
+        text = " ".join(words[-8:]) + " and " + notice + " " + notice
+        assert [(m.license, m.containment) for m in scanner.scan(text)] == [(name, 1.0)] * 2, name

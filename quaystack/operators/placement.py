@@ -17,15 +17,18 @@ map-side; no pile is ever gathered into one row or task.
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from quaystack.functions.parse import size_or_default
 from quaystack.operators.rules import size_of_block, zone_of
-from quaystack.operators.yard import PILE, SLOT, distance, in_grid, with_location
-from quaystack.schema import SIZE_POLICY, YardSpec
+from quaystack.operators.yard import PILE, SLOT, block_index, distance, in_grid, with_location
+from quaystack.schema import BACKUP_TIER_BONUS, W_DISTANCE, W_HEIGHT, W_REHANDLES, YardSpec
 from quaystack.session import materialise, scratch_path
 
 PLACED, NO_SLOT, BAD_LOCATION, WRONG_ZONE = "PLACED", "NO_SLOT", "BAD_LOCATION", "WRONG_ZONE"
@@ -115,153 +118,173 @@ def _read_claims(labelled: DataFrame, path: str) -> DataFrame:
     return labelled.sparkSession.read.schema(schema).parquet(path)
 
 
-#: Stages of batch placement, in order: outcome, kind of block, and which of
-#: the rules (departure, weight) hold there.
+#: Stages of batch placement, in order: outcome, and what a pile must satisfy.
 STAGES = [
-    ("PLACED_PRIMARY", "primary", True, True),
-    ("PLACED_BACKUP", "backup", True, True),
-    ("PLACED_PRIMARY_RELAXED", "primary", False, True),
-    ("PLACED_BACKUP_RELAXED", "backup", False, False),
+    ("PLACED_PRIMARY", "primary block, not heavier than the top, leaves no later than all below"),
+    ("PLACED_BACKUP", "backup block, the same rules"),
+    ("PLACED_PRIMARY_RELAXED", "primary block, not heavier than the top"),
+    ("PLACED_BACKUP_RELAXED", "backup block, any pile that is not full"),
 ]
 UNPLACED = "UNPLACED"
+#: Containers of a (yard, size) settled in one round; more than its piles
+#: have slots, so most yards need one round.
+ROUND = 8192
+ZONE = ["yard_id", "size"]
+#: Later than any departure: an empty tier never leaves first.
+_NEVER = np.iinfo(np.int64).max
 
 
-def zone_size(spec: YardSpec, kind: str) -> int:
-    """Most piles that a (yard, size) has in blocks of a kind."""
-    return max(len(p[kind]) for p in SIZE_POLICY.values()) * spec.n_bays * spec.n_rows
-
-
-def place_batch(to_place: DataFrame, piles: DataFrame, spec: YardSpec) -> DataFrame:
-    """Place containers on piles by the staged rules; every row of
-    ``to_place`` comes back with outcome, stage and slot (null: UNPLACED).
-
-    A stage repeats rounds until none of what is left is admitted by a pile
-    that is open to it. A round takes, inside (yard, size), as many admitted
-    containers as there are open piles, latest departure first (heaviest
-    first where departure does not count), and matches them by weight
-    against the weight on top, empty piles nearest first. Ranks are shifted
-    by the root of the zone's size, so a container meets a heavier top. A
-    match that breaks a rule of the stage is dropped. Once that places less
-    than half of a round, the containers claim a pile that admits them
-    instead, and a claimed pile takes its first claimant, so every further
-    round places someone. What a round takes and the piles are bounded by
-    geometry. Piles only get stricter in a stage, so whoever is not admitted
-    once is out for the stage.
+def open_piles(piles: DataFrame, spec: YardSpec) -> DataFrame:
+    """Piles that may take a container of their block's size: without holes,
+    not full, empty or holding that size."""
+    empty = F.col("height") == 0
+    return (piles.withColumn("size", size_of_block()).filter(F.col("size").isNotNull())
+            .filter(F.col("height") < spec.max_height)
+            .filter(empty | ((F.col("top_free_tier") == F.col("height") + 1)
+                             & F.array_contains("sizes", F.col("size"))))
+            .select(*PILE, "size", (zone_of() == "primary").alias("primary"),
+                    block_index(spec).alias("block_index"), distance(spec).alias("distance"),
+                    F.col("height").cast("int").alias("height"), "top_weight",
+                    F.transform(F.coalesce("departures", F.array().cast("array<timestamp>")),
+                                F.unix_micros).alias("departures")))
+
+
+def place_batch(to_place: DataFrame, piles: DataFrame, spec: YardSpec,
+                per_round: int = ROUND) -> DataFrame:
+    """Place containers one after the other, latest departure first (then by
+    id), each on the best slot of its first stage that some pile admits: the
+    slot that ``rules.top_k_slots`` ranks first in the yard as it then is.
+    Every row of ``to_place`` comes back with outcome, stage and slot
+    (null: UNPLACED).
+
+    A (yard, size) never looks at another one's piles, so Spark groups by it
+    and each group is folded by itself. A group's piles are bounded by
+    geometry; of its containers a round takes the first ``per_round``
+    (limited in every task before the shuffle), so a hot yard never gathers
+    in a task. Who is refused once stays refused: backup piles only fill,
+    primary piles only get lighter on top. A next round therefore goes on
+    behind the last container offered, with those light enough for an open
+    pile; the others are UNPLACED without being offered. A yard with no more
+    than ``per_round`` containers of a size is done in one round.
     """
-    state = materialise(
-        piles.filter((F.col("top_free_tier") == F.col("height") + 1) | (F.col("height") == 0))
-        .withColumn("size", size_of_block()).filter(F.col("size").isNotNull())
-        .select(*PILE, "size", zone_of().alias("kind"), F.col("height").cast("int").alias("height"),
-                "top_weight", "min_departure", distance(spec).alias("distance"), "block_index"),
-        "place-piles")
     cols = to_place.columns
-    left, done = to_place, []
-    for number, (outcome, kind, by_departure, by_weight) in enumerate(STAGES, 1):
-        zone = zone_size(spec, kind)
-        shift = math.isqrt(zone - 1) + 1 if by_weight else 0
-        first = "departure_time" if by_departure or not by_weight else "weight"
-        pool, by_rank, rounds = left, True, 0
-        while True:
-            seats = _seats(state.filter((F.col("kind") == kind) & (F.col("height") < spec.max_height)))
-            pool = materialise(_admitted(pool.select(*cols), seats, by_departure, by_weight), "place-pool")
-            # A zone has no more open piles than piles: the literal bound lets
-            # every task drop the rest before a hot yard is sorted.
-            nth = Window.partitionBy("yard_id", "size").orderBy(F.col(first).desc(), "id")
-            offered = (pool.withColumn("_n", F.row_number().over(nth)).filter(F.col("_n") <= zone)
-                       .filter(F.col("_n") <= F.col("_open")).drop("_n", "_open"))
-            offered = materialise(offered, "place-offered")
-            asked = offered.count()
-            if not asked:
+    seats = materialise(open_piles(piles, spec), "place-piles")
+    pool, done = to_place, []
+    nth = Window.partitionBy(*ZONE).orderBy(F.col("departure_time").desc(), "id")
+    schema = StructType([*to_place.schema.fields, *(
+        StructField(n, t) for n, t in (
+            ("block_id", StringType()), ("bay", IntegerType()), ("row", IntegerType()),
+            ("tier", IntegerType()), ("outcome", StringType()), ("stage", IntegerType()),
+            ("_n", LongType())))])
+    fold = partial(settle, columns=[f.name for f in schema], max_height=spec.max_height)
+    while True:
+        offered = (pool.withColumn("_n", F.row_number().over(nth).cast("long"))
+                   .filter(F.col("_n") <= per_round)
+                   .withColumn("_departure", F.unix_micros("departure_time")))
+        settled = materialise(offered.groupBy(*ZONE).cogroup(seats.groupBy(*ZONE)).applyInPandas(
+            fold, schema), "place-round")
+        done.append(settled.drop("_n"))
+        if (settled.agg(F.max("_n")).first()[0] or 0) < per_round:
+            break  # no (yard, size) has containers behind these
+        cursor = (settled.filter(F.col("_n") == per_round)
+                  .select(*ZONE, F.struct("departure_time", "id").alias("_last")))
+        seats = materialise(_stacked(seats.join(cursor.select(*ZONE), ZONE, "left_semi"), settled,
+                                     spec), "place-piles")
+        still = F.col("height") < spec.max_height
+        limits = seats.groupBy(*ZONE).agg(
+            F.max(F.when(still, F.when(F.col("primary"), F.coalesce("top_weight", F.lit(math.inf)))
+                         .otherwise(F.lit(math.inf)))).alias("_limit"))
+        behind = ((F.col("departure_time") < F.col("_last.departure_time"))
+                  | ((F.col("departure_time") == F.col("_last.departure_time"))
+                     & (F.col("id") > F.col("_last.id"))))
+        rest = materialise(
+            pool.join(cursor, ZONE).filter(behind).join(limits, ZONE, "left")
+            .select(*cols, F.coalesce(F.col("weight") <= F.col("_limit"), F.lit(False)).alias("_fits")),
+            "place-pool")
+        done.append(rest.filter(~F.col("_fits")).select(
+            *cols, *(F.lit(None).cast(t).alias(n) for n, t in (
+                ("block_id", "string"), ("bay", "int"), ("row", "int"), ("tier", "int"))),
+            F.lit(UNPLACED).alias("outcome"), F.lit(None).cast("int").alias("stage")))
+        pool = rest.filter("_fits").select(*cols)
+    return reduce(lambda a, b: a.unionByName(b), done)
+
+
+def _stacked(seats: DataFrame, settled: DataFrame, spec: YardSpec) -> DataFrame:
+    """The piles with what a round put on them."""
+    new = (settled.filter(F.col("tier").isNotNull()).groupBy(*PILE).agg(
+        F.count(F.lit(1)).cast("int").alias("_h"), F.max_by("weight", "tier").alias("_w"),
+        F.collect_list(F.unix_micros("departure_time")).alias("_d")))
+    return seats.join(new, PILE, "left").select(
+        *PILE, "size", "primary", "block_index", "distance",
+        (F.col("height") + F.coalesce("_h", F.lit(0))).alias("height"),
+        F.coalesce("_w", "top_weight").alias("top_weight"),
+        F.when(F.col("_d").isNull(), F.col("departures"))
+        .otherwise(F.concat("departures", "_d")).alias("departures"))
+
+
+class _Piles:
+    """The piles of a kind in one (yard, size), as arrays in tie order."""
+
+    def __init__(self, seats: pd.DataFrame, per_tier: float, max_height: int):
+        self.keys = list(seats[["block_id", "bay", "row"]].itertuples(index=False, name=None))
+        self.per_tier, self.max_height = per_tier, max_height
+        self.distance = W_DISTANCE * seats["distance"].to_numpy(float)
+        self.height = seats["height"].to_numpy(np.int64, copy=True)
+        self.top = seats["top_weight"].astype(float).fillna(np.inf).to_numpy(copy=True)
+        self.leaves = np.full((len(seats), max_height), _NEVER)
+        for i, known in enumerate(seats["departures"]):
+            self.leaves[i, :len(known)] = known
+        self.first = self.leaves.min(axis=1, initial=_NEVER)
+        self.static = per_tier * self.height + self.distance
+        # A full pile admits nothing, not even a stage without rules.
+        self.top[self.height >= max_height] = -np.inf
+
+    def cheapest(self, admitted: np.ndarray, departure: int) -> int:
+        """The first admitted pile of the least rounded score, or -1."""
+        if not admitted.any():
+            return -1
+        at = np.flatnonzero(admitted)
+        rehandles = (self.leaves[at] < departure).sum(axis=1)
+        score = np.floor((W_REHANDLES * rehandles + self.static[at]) * 10000.0 + 0.5)
+        return int(at[score.argmin()])
+
+    def put(self, i: int, weight: float, departure: int) -> tuple:
+        self.leaves[i, self.height[i]] = departure
+        self.first[i] = min(self.first[i], departure)
+        self.height[i] += 1
+        self.top[i] = weight if self.height[i] < self.max_height else -np.inf
+        self.static[i] = self.per_tier * self.height[i] + self.distance[i]
+        return (*self.keys[i], int(self.height[i]))
+
+
+def settle(todo: pd.DataFrame, seats: pd.DataFrame, columns: list[str],
+           max_height: int) -> pd.DataFrame:
+    """One round of one (yard, size): every container in order ``_n``."""
+    seats = seats.sort_values(["block_index", "bay", "row"])
+    todo = todo.sort_values("_n")
+    here = seats["primary"].astype(bool)
+    primary = _Piles(seats[here], W_HEIGHT, max_height)
+    backup = _Piles(seats[~here], BACKUP_TIER_BONUS, max_height)
+    rows = []
+    for weight, departure in zip(todo["weight"].tolist(), todo["_departure"].tolist()):
+        light = weight <= primary.top
+        # Stages 1 and 3 share the weight test, 2 and 4 the piles.
+        for stage, piles, admitted in (
+                (1, primary, lambda: light & (departure <= primary.first)),
+                (2, backup, lambda: (weight <= backup.top) & (departure <= backup.first)),
+                (3, primary, lambda: light),
+                (4, backup, lambda: backup.height < max_height)):
+            i = piles.cheapest(admitted(), departure)
+            if i >= 0:
+                rows.append((*piles.put(i, weight, departure), STAGES[stage - 1][0], stage))
                 break
-            took = _match(offered, seats, shift, by_departure, by_weight) if by_rank else \
-                _claim(offered, seats, by_departure, by_weight)
-            took = materialise(took.select(*cols, "block_id", "bay", "row", "tier"), "place-round")
-            by_rank = by_rank and 2 * took.count() >= asked
-            pool = pool.join(took.select("id"), "id", "left_anti")
-            done.append(took.withColumn("outcome", F.lit(outcome)).withColumn("stage", F.lit(number)))
-            new = took.select(*PILE, F.lit(1).alias("_h"), F.col("weight").alias("_w"),
-                              F.col("departure_time").alias("_d"))
-            state = state.join(new, PILE, "left").select(
-                *PILE, "size", "kind", (F.col("height") + F.coalesce("_h", F.lit(0))).alias("height"),
-                F.coalesce("_w", "top_weight").alias("top_weight"),
-                F.least("min_departure", "_d").alias("min_departure"), "distance", "block_index")
-            rounds += 1
-            if rounds % 3 == 0:
-                state = materialise(state, "place-piles")
-        if not rounds:
-            continue
-        state = materialise(state, "place-piles")
-        placed = reduce(lambda a, b: a.unionByName(b), done)
-        left = to_place.join(placed.select("id"), "id", "left_anti")
-    rest = left.withColumns({"block_id": F.lit(None).cast("string"), "bay": F.lit(None).cast("int"),
-                             "row": F.lit(None).cast("int"), "tier": F.lit(None).cast("int"),
-                             "outcome": F.lit(UNPLACED), "stage": F.lit(None).cast("int")})
-    return reduce(lambda a, b: a.unionByName(b), [*done, rest])
-
-
-def _seats(piles: DataFrame) -> DataFrame:
-    """Open piles numbered inside (yard, size): empty ones nearest first,
-    then the others by the weight on top."""
-    inside = Window.partitionBy("yard_id", "size")
-    empty = F.col("height") == 0
-    return (piles.withColumn("_p", F.row_number().over(inside.orderBy(
-                empty.desc(), F.when(empty, F.lit(0.0)).otherwise(F.col("top_weight")).desc(),
-                "distance", "block_index", "bay", "row")))
-            .withColumn("_empty", F.sum(empty.cast("int")).over(inside)))
-
-
-def _allowed(seat, by_departure: bool, by_weight: bool) -> Column:
-    """The rules of a stage for a container's columns and a seat's."""
-    ok = F.lit(True)
-    if by_weight:
-        ok = ok & (F.col("weight") <= seat("top_weight"))
-    if by_departure:
-        ok = ok & (F.col("departure_time") <= seat("min_departure"))
-    return (seat("height") == 0) | ok
-
-
-def _with_seats(containers: DataFrame, seats: DataFrame) -> DataFrame:
-    """Containers with their zone's seats as one array in seat order."""
-    zones = seats.groupBy("yard_id", "size").agg(F.array_sort(F.collect_list(
-        F.struct("_p", "height", "top_weight", "min_departure"))).alias("_seats"))
-    return containers.join(zones, ["yard_id", "size"])
-
-
-def _admitted(containers: DataFrame, seats: DataFrame, by_departure: bool, by_weight: bool) -> DataFrame:
-    """The containers that some seat admits, with the zone's number of seats."""
-    return (_with_seats(containers, seats)
-            .filter(F.exists("_seats", lambda s: _allowed(lambda c: s[c], by_departure, by_weight)))
-            .withColumn("_open", F.size("_seats")).drop("_seats"))
-
-
-def _claim(containers: DataFrame, seats: DataFrame, by_departure: bool, by_weight: bool) -> DataFrame:
-    """One round: the containers, heaviest first, go round the seats that
-    admit each; the first claimant of a seat takes it."""
-    inside = Window.partitionBy("yard_id", "size")
-    fits = F.filter("_seats", lambda s: _allowed(lambda c: s[c], by_departure, by_weight))
-    asked = (_with_seats(containers, seats).withColumn("_fits", F.transform(fits, lambda s: s["_p"]))
-             .drop("_seats").filter(F.size("_fits") > 0)
-             .withColumn("_r", F.row_number().over(inside.orderBy(F.col("weight").desc(), "id")))
-             .withColumn("_p", F.get("_fits", (F.col("_r") - 1) % F.size("_fits"))).drop("_fits"))
-    first = asked.groupBy("yard_id", "size", "_p").agg(F.min("_r").alias("_r"))
-    won = asked.join(first, ["yard_id", "size", "_p", "_r"])
-    return won.join(seats.drop("_empty", "kind"), ["yard_id", "size", "_p"]).withColumn(
-        "tier", F.col("height") + 1)
-
-
-def _match(containers: DataFrame, seats: DataFrame, shift: int, by_departure: bool,
-           by_weight: bool) -> DataFrame:
-    """One round: containers with the slot they take, rules checked."""
-    inside = Window.partitionBy("yard_id", "size")
-    counts = seats.select("yard_id", "size", "_empty").distinct()
-    r = F.col("_r")
-    asked = (containers.withColumn("_r", F.row_number().over(inside.orderBy(F.col("weight").desc(), "id")))
-             .join(counts, ["yard_id", "size"])
-             .withColumn("_p", F.when(r <= F.col("_empty"), r)
-                         .when(r - shift > F.col("_empty"), r - shift))
-             .drop("_empty"))
-    pair = asked.join(seats.drop("_empty", "kind"), ["yard_id", "size", "_p"])
-    return pair.filter(_allowed(F.col, by_departure, by_weight)).withColumn("tier", F.col("height") + 1)
+        else:
+            rows.append((None, None, None, None, UNPLACED, None))
+    slots = pd.DataFrame(rows, columns=["block_id", "bay", "row", "tier", "outcome", "stage"],
+                         index=todo.index)
+    for c in ("bay", "row", "tier", "stage"):
+        slots[c] = slots[c].astype("Int32")
+    return pd.concat([todo.drop(columns="_departure"), slots], axis=1)[columns]
 
 
 def dedup_by_priority(frames: list[tuple[str, DataFrame]], order_cols: list) -> DataFrame:

@@ -624,67 +624,77 @@ def dense(body: str) -> str:
 for _name in ("valid_slots", "topk_slots"):
     SQL[f"{_name}_dense"] = dense(SQL[_name].split(PRELUDE, 1)[1])
 
-# --- batch placement: the same rounds, generated -----------------------------------
-from quaystack.operators.placement import STAGES, zone_size  # noqa: E402
+# --- batch placement: container after container, a step of a recursion each ---------
+from quaystack.operators.placement import STAGES  # noqa: E402
 
 PILE_KEYS = "yard_id, block_id, bay, row"
 
 
 def place_ctes(p: str, occupied: str, todo: str) -> str:
     """CTEs that place the rows of ``todo`` on a yard holding ``occupied``;
-    the result is ``{p}placed``. ``p`` prefixes the names."""
-    parts = [f"""{p}s0 AS MATERIALIZED (
-  SELECT p.yard_id, p.block_id, p.block_index, p.bay, p.row, {BLOCK_SIZE} AS size,
-         CASE WHEN p.block_id IN ({PRIMARY_LIST}) THEN 'primary' ELSE 'backup' END AS kind,
-         coalesce(s.height, 0) AS height, s.top_weight, s.min_departure, {DIST} AS distance
+    the result is ``{p}placed``. ``p`` prefixes the names.
+
+    A row of ``{p}fold`` is a pile. A step offers the next container of each
+    (yard, size) to its piles; the recursion ends when none is left."""
+    early = "len(list_filter(s.departures, lambda d: d < c.departure_time))"
+    static = (f"CASE WHEN s.prim THEN {D(2.0)} * s.height ELSE {D(-5.0)} * s.height END "
+              f"+ {D(1.0)} * s.distance")
+    light = "(s.height = 0 OR s.top_weight IS NULL OR c.weight <= s.top_weight)"
+    first_out = "(s.height = 0 OR c.departure_time <= list_min(s.departures))"
+    return f"""{p}open AS MATERIALIZED (
+  SELECT p.yard_id, p.block_id, p.bay, p.row, {BLOCK_SIZE} AS size, p.block_index,
+         p.block_id IN ({PRIMARY_LIST}) AS prim, {DIST} AS distance, coalesce(s.height, 0) AS height,
+         s.top_weight, coalesce(s.departures, []) AS departures
   FROM piles p LEFT JOIN (
     SELECT {PILE_KEYS}, count(*) AS height, max(tier) AS top, arg_max(weight, tier) AS top_weight,
-           min(departure_time) AS min_departure FROM {occupied} GROUP BY ALL) s USING ({PILE_KEYS})
-  WHERE (s.height IS NULL OR s.top = s.height) AND {BLOCK_SIZE} IS NOT NULL)"""]
-    state, left, done = f"{p}s0", todo, []
-    for number, (outcome, kind, by_departure, by_weight) in enumerate(STAGES, 1):
-        zone = zone_size(FIXTURE_YARD, kind)
-        shift = int((zone - 1) ** 0.5) + 1 if by_weight else 0
-        first = "departure_time" if by_departure or not by_weight else "weight"
-        parts.append(f"""{p}pool{number} AS MATERIALIZED (
-  SELECT *, (row_number() OVER (PARTITION BY yard_id, size ORDER BY {first} DESC, id) - 1) // {zone} AS chunk
-  FROM {left})""")
-        rules = (" AND (q.height = 0 OR c.weight <= q.top_weight)" * by_weight
-                 + " AND (q.height = 0 OR c.departure_time <= q.min_departure)" * by_departure)
-        for chunk in range(MAXH):
-            took = f"{p}t{number}_{chunk}"
-            parts.append(f"""{took} AS MATERIALIZED (
-  WITH q AS (
-    SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY height > 0,
-               CASE WHEN height = 0 THEN 0.0 ELSE top_weight END DESC, distance, block_index, bay, row) AS seat,
-           sum(CAST(height = 0 AS INTEGER)) OVER (PARTITION BY yard_id, size) AS empties
-    FROM {state} WHERE kind = '{kind}' AND height < {MAXH}),
-  e AS (SELECT DISTINCT yard_id, size, empties FROM q),
-  c AS (
-    SELECT r.*, CASE WHEN r.r <= e.empties THEN r.r WHEN r.r - {shift} > e.empties THEN r.r - {shift} END AS seat
-    FROM (SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY weight DESC, id) AS r
-          FROM {p}pool{number} WHERE chunk = {chunk}) r JOIN e USING (yard_id, size))
-  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, q.block_id, q.bay, q.row,
-         q.height + 1 AS tier, '{outcome}' AS outcome, {number} AS stage
-  FROM c JOIN q USING (yard_id, size, seat) WHERE true{rules})""")
-            done.append(f"SELECT * FROM {took}")
-            parts.append(f"""{p}s{number}_{chunk} AS MATERIALIZED (
-  SELECT s.* REPLACE (s.height + CASE WHEN t.id IS NULL THEN 0 ELSE 1 END AS height,
-                      coalesce(t.weight, s.top_weight) AS top_weight,
-                      least(s.min_departure, t.departure_time) AS min_departure)
-  FROM {state} s LEFT JOIN {took} t USING ({PILE_KEYS}))""")
-            state = f"{p}s{number}_{chunk}"
-        parts.append(f"""{p}left{number} AS MATERIALIZED (
-  SELECT * FROM {todo} WHERE id NOT IN (SELECT id FROM ({' UNION ALL '.join(done)})))""")
-        left = f"{p}left{number}"
-    parts.append(f"""{p}placed AS MATERIALIZED ({' UNION ALL '.join(done)}
-  UNION ALL SELECT id, yard_id, size, weight, departure_time, type, NULL, NULL, NULL, NULL, 'UNPLACED', NULL
-  FROM {left})""")
-    return ",\n".join(parts)
+           list(departure_time) AS departures, list(size) AS sizes FROM {occupied} GROUP BY ALL) s
+    USING ({PILE_KEYS})
+  WHERE {BLOCK_SIZE} IS NOT NULL
+    AND (s.height IS NULL OR (s.top = s.height AND s.height < {MAXH} AND list_contains(s.sizes, {BLOCK_SIZE})))),
+{p}line AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY yard_id, size ORDER BY departure_time DESC, id) AS n FROM {todo}),
+{p}fold(yard_id, block_id, bay, row, size, block_index, prim, distance, n, height, top_weight, departures,
+       ids, tiers, stages) USING KEY (yard_id, block_id, bay, row) AS (
+  SELECT yard_id, block_id, bay, row, size, block_index, prim, distance, CAST(0 AS BIGINT),
+         CAST(height AS BIGINT), CAST(top_weight AS DOUBLE), departures,
+         CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]), CAST([] AS INTEGER[])
+  FROM {p}open
+  UNION
+  SELECT s.yard_id, s.block_id, s.bay, s.row, s.size, s.block_index, s.prim, s.distance, s.n + 1,
+         CASE WHEN hit THEN s.height + 1 ELSE s.height END,
+         CASE WHEN hit THEN c.weight ELSE s.top_weight END,
+         CASE WHEN hit THEN list_append(s.departures, c.departure_time) ELSE s.departures END,
+         CASE WHEN hit THEN list_append(s.ids, c.id) ELSE s.ids END,
+         CASE WHEN hit THEN list_append(s.tiers, s.height + 1) ELSE s.tiers END,
+         CASE WHEN hit THEN list_append(s.stages, s.best.stage) ELSE s.stages END
+  FROM (
+    SELECT s.*, coalesce((s.block_id, s.bay, s.row) = (b.best.block_id, b.best.bay, b.best.row), false) AS hit,
+           b.best
+    FROM {p}fold s LEFT JOIN (
+      SELECT yard_id, size, min({{'stage': stage, 'score': score, 'block_index': block_index, 'bay': bay,
+                                  'row': row, 'block_id': block_id}}) AS best
+      FROM (
+        SELECT s.*, floor(({D(3.0)} * {early} + {static}) * 10000.0 + 0.5) / 10000.0 AS score,
+               CASE WHEN s.prim AND {light} AND {first_out} THEN 1
+                    WHEN NOT s.prim AND {light} AND {first_out} THEN 2
+                    WHEN s.prim AND {light} THEN 3
+                    WHEN NOT s.prim THEN 4 END AS stage
+        FROM {p}fold s JOIN {p}line c ON c.yard_id = s.yard_id AND c.size = s.size AND c.n = s.n + 1
+        WHERE s.height < {MAXH})
+      WHERE stage IS NOT NULL GROUP BY yard_id, size) b USING (yard_id, size)) s
+  JOIN {p}line c ON c.yard_id = s.yard_id AND c.size = s.size AND c.n = s.n + 1),
+{p}got AS MATERIALIZED (
+  SELECT {PILE_KEYS}, unnest(ids) AS id, unnest(tiers) AS tier, unnest(stages) AS stage FROM {p}fold),
+{p}placed AS MATERIALIZED (
+  SELECT c.id, c.yard_id, c.size, c.weight, c.departure_time, c.type, g.block_id, g.bay, g.row, g.tier,
+         CASE g.stage {' '.join(f"WHEN {i} THEN '{o}'" for i, (o, _) in enumerate(STAGES, 1))}
+                      ELSE 'UNPLACED' END AS outcome, g.stage
+  FROM {p}line c LEFT JOIN {p}got g USING (id))"""
 
 
 TODO_COLS = "id, yard_id, size, weight, departure_time, type"
-BATCH = PRELUDE + f""",
+RECURSIVE = PRELUDE.replace("WITH raw", "WITH RECURSIVE raw", 1)
+BATCH = RECURSIVE + f""",
 btodo AS (SELECT {', '.join('s.' + c for c in TODO_COLS.split(', '))}
           FROM silver s JOIN outcomes o USING (id) WHERE o.outcome <> 'PLACED'),
 {place_ctes('b', 'placedocc', 'btodo')},
@@ -740,7 +750,7 @@ def _dual_holders(tier: int) -> str:
 
 
 _start, _stop = PRELUDE.index("occ AS ("), PRELUDE.index("yards AS (")
-DUAL = PRELUDE + f""",
+DUAL = RECURSIVE + f""",
 dexisting AS MATERIALIZED (
 {PRELUDE[_start:_stop].strip().removeprefix('occ AS (').removesuffix('),').replace(
     'FROM snaploc', 'FROM (SELECT * FROM snaploc WHERE store_version = 1)')}),

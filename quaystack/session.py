@@ -48,9 +48,19 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
+    _show_workers(spark)
     return spark
 
 
+def _show_workers(spark: SparkSession) -> None:
+    """Put this package's folder on the module path of Python workers; on a
+    cluster without that folder install the package there."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder that the cluster names.
 
@@ -74,16 +84,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/quaystack/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_dir(path: str) -> str:
-    """Strip a ``file:`` scheme so Python code can create local landing files."""
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-        while path.startswith("//"):
-            path = path[1:]
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 def materialise(df, name: str):
     """Write ``df`` once as a table in the shared folder and read it back.
 

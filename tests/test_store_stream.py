@@ -212,6 +212,54 @@ def test_no_unplaced_container_has_a_slot(spark):
     assert len(backup) == SPEC.n_bays * SPEC.n_rows * SPEC.max_height
 
 
+def _placed(asked, piles, **how):
+    return sorted(tuple(r) for r in placement.place_batch(asked, piles, SPEC, **how).collect())
+
+
+def test_rounds_do_not_change_the_placement(spark):
+    """A hot (yard, size) goes through many rounds, a bounded number of jobs each."""
+    import random
+    rng = random.Random(11)
+    asked = _containers(spark, [(f"c{i}", float(rng.randrange(1, 50)), rng.randrange(1, 28)) for i in range(80)])
+    piles = _piles(spark, [("A", 1, 1, 20, 10.0, 9), ("A", 1, 2, 20, 9.0, 4), ("S1", 1, 1, 20, 4.0, 2)])
+    whole = _placed(asked, piles)
+    assert len(whole) == 80 and any(r[-2] == "UNPLACED" for r in whole)
+    for n in (16, 40, 80, 81):
+        assert _placed(asked, piles, per_round=n) == whole
+
+
+def _jobs(spark, run, group: str) -> int:
+    spark.sparkContext.setJobGroup(group, "jobs of a placement")
+    run()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_jobs_of_a_placement_do_not_grow_with_the_containers(spark):
+    piles = _piles(spark, [("A", 1, 1, 20, 10.0, 9)])
+    few, many = (_containers(spark, [(f"c{i}", float(i % 50 + 1), i % 27 + 1) for i in range(n)]) for n in (5, 400))
+    counts = [_jobs(spark, lambda: placement.place_batch(a, piles, SPEC), f"jobs-{a.count()}") for a in (few, many)]
+    assert max(counts) <= len(placement.STAGES) * YardSpec().max_height and counts[1] <= counts[0] + 2
+
+
+def test_a_container_takes_the_slot_that_the_search_ranks_first(spark):
+    """Placed one after the other, each on what ``top_k_slots`` names."""
+    rows = [("late", 12.0, 25), ("heavy", 40.0, 20), ("light", 3.0, 20), ("early", 8.0, 5)]
+    held = [("A", 1, 1, 20, 10.0, 9), ("B", 1, 1, 20, 20.0, 22), ("S1", 1, 1, 20, 30.0, 15)]
+    got = {r["id"]: (r["stage"], r["block_id"], r["bay"], r["tier"]) for r in placement.place_batch(
+        _containers(spark, rows), _piles(spark, held), SPEC).collect()}
+    for i, w, d in sorted(rows, key=lambda r: (-r[2], r[0])):
+        best = rules.top_k_slots(_containers(spark, [(i, w, d)]), _piles(spark, held), SPEC, k=1).first()
+        assert got[i] == (best["stage"], best["block_id"], best["bay"], best["tier"])
+        held.append((best["block_id"], best["bay"], best["tier"], 20, w, d))
+
+
+def test_piles_with_holes_or_of_the_other_size_are_not_taken(spark):
+    held = [(b, bay, t, 20, 9.0, 9) for b in "AB" for bay in (1, 2) for t in (1, 3)]
+    held += [("S1", 1, 1, 40, 9.0, 9), ("S1", 2, 2, 20, 9.0, 9)]
+    rows = placement.place_batch(_containers(spark, [("x", 1.0, 1)]), _piles(spark, held), SPEC).collect()
+    assert [r["outcome"] for r in rows] == ["UNPLACED"]
+
+
 def test_no_unplaced_container_of_the_fixture_has_a_slot(spark):
     from quaystack.plans import catalog
     from tests.conftest import SF_SMALL

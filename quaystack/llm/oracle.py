@@ -90,3 +90,33 @@ SELECT conv_id, speaker, part, rendered, n_turns, mask,
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
 FROM parts
 """
+
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_P = "1 + ({c} + 5) * 1000000000::HUGEINT // ({n} + 5 * v)"
+SQL["op12_source_divergence"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents),
+t AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '{_LETTERS}')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS q_count FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+c AS (SELECT lang, source, term, count(*) AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(q_count)::HUGEINT AS q_n FROM k GROUP BY lang),
+g AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM (SELECT DISTINCT lang, source FROM d)
+      LEFT JOIN c USING (lang, source) GROUP BY ALL),
+s AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         {_P.format(c="coalesce(c.c, 0)", n="coalesce(g.n, 0)")} AS p, {_P.format(c="k.q_count", n="l.q_n")} AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term)),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM s a JOIN s b USING (lang, term) WHERE a.source <> b.source GROUP BY ALL),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM u QUALIFY part = 'pair' OR rank <= 50
+"""

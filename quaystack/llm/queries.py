@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystack.llm import (
-    bpe, chat, exact_dedup, licenses, merkle, packing, pii, quality, simhash, toxicity)
+    alignment, bpe, chat, divergence, exact_dedup, licenses, merkle, packing, pii, quality, simhash,
+    token_counts, toxicity)
 from quaystack.llm.common import documents, ready
 
 
@@ -111,8 +112,27 @@ def op10_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("mask", F.array_join(mask, ","))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return alignment.align(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    docs = documents(spark, sf_dir).select(
+        "doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_merkle_fingerprint, op3_byte_bpe, op4_simhash_near_dedup, op5_pii_crf,
-        op6_packing, op7_exact_dedup, op8_quality_pu, op9_license_scan, op10_chat_rotation)
+        op6_packing, op7_exact_dedup, op8_quality_pu, op9_license_scan, op10_chat_rotation,
+        op11_cross_tokenizer_alignment, op12_source_divergence, op13_token_counts)
 }

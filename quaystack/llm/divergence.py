@@ -8,14 +8,14 @@ and over:
 1. Every document's chunks are counted. Documents are read in blocks of a
    task; a block numbers its distinct chunks, so a document is a list of
    numbers and counts.
-2. The chunks of all blocks are reduced to the globally distinct ones, and
-   each of these is cut into its terms once.
-3. The terms join back to the blocks' chunks, and each block turns numbers
-   into terms: documents and occurrences of a term per (lang, source).
-   These partial sums are added up over the corpus.
+2. The blocks' chunks meet by chunk. The first row of each globally distinct
+   chunk is cut into its terms, once, and the others take them over.
+3. The terms go back to the blocks, and each block turns numbers into terms:
+   documents of a term per language, occurrences per source. These partial
+   sums are added up over the corpus.
 
-A hot chunk or source is one row a block, never one a document, and the
-documents themselves are not shuffled, only their numbers are.
+A hot chunk or source is one row a block, never one a document, and of the
+documents only their packed numbers are shuffled, never their texts.
 
 Smoothed shares are whole numbers: p = 1 + floor(10^9 (count + smooth) /
 (N + smooth V)), in decimals of 38 digits, so nothing is rounded at any size.
@@ -45,7 +45,7 @@ from quaystack.session import materialise
 
 #: White-space chunks of a block, some more by its last document. It bounds
 #: what a task holds and never changes a result.
-BLOCK_CHUNKS = 1 << 21
+BLOCK_CHUNKS = 5_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
@@ -59,14 +59,40 @@ class _Numbers(dict):
         return number
 
 
+def _pack(found: list[tuple[list[int], list[int]]]) -> bytes:
+    """Numbers and counts of a few documents: numbers ascending inside each
+    document, as differences."""
+    sizes = [len(n) for n, _ in found]
+    doc = np.repeat(np.arange(len(found)), sizes)
+    number = np.concatenate([np.array(n, dtype=np.int64) for n, _ in found])
+    times = np.concatenate([np.array(t, dtype=np.int64) for _, t in found])
+    order = np.argsort(doc << 32 | number)
+    number, times = number[order], times[order]
+    steps = np.diff(number, prepend=0)
+    first = (np.cumsum(sizes) - sizes)[np.array(sizes) > 0]
+    steps[first] = number[first]
+    return pa.compress(np.concatenate([steps, times]).astype("<i4").tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = int(sizes.sum())
+    raw = np.frombuffer(pa.decompress(packed, 8 * n, "zstd"), dtype="<i4").astype(np.int64)
+    steps, times = raw[:n], raw[n:]
+    total = np.append(0, np.cumsum(steps))
+    return total[1:] - np.repeat(total[np.cumsum(sizes) - sizes], sizes), times
+
+
 def _blocks(docs: DataFrame, block_chunks: int) -> DataFrame:
-    """Rows (block, lang, source, at, times) of documents, and one row a
-    block with its ``chunks`` in the order of their numbers."""
-    schema = ("block long, lang string, source string, at array<int>, times array<int>, "
-              "chunks array<string>")
-    types = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()),
-             pa.list_(pa.string())]
-    names = ["block", "lang", "source", "at", "times", "chunks"]
+    """Rows (block, langs, sources, sizes, packed) of a few documents each,
+    and one row a block with its ``chunks`` in the order of their numbers."""
+    schema = ("block long, langs array<string>, sources array<string>, sizes array<int>, "
+              "packed binary, chunks array<string>")
+    strings = pa.list_(pa.string())
+    types = [pa.int64(), strings, strings, pa.list_(pa.int32()), pa.binary(), strings]
+    names = ["block", "langs", "sources", "sizes", "packed", "chunks"]
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -74,26 +100,21 @@ def _blocks(docs: DataFrame, block_chunks: int) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             # ASCII white space never cuts a character, so chunks are UTF-8.
-            chunks = pa.array([list(numbers)], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-            row = [pa.array([block], pa.int64()), *(pa.nulls(1, t) for t in types[1:5]), chunks]
-            return pa.RecordBatch.from_arrays(row, names)
+            return row(block, None, None, None, None, [c.decode() for c in numbers])
 
         for batch in batches:
-            found = []
-            start = 0
+            found, start = [], 0
             raws = batch.column("text").cast(pa.binary()).to_pylist()
-            for i, raw in enumerate(raws):
+            for i, raw in enumerate(raws, 1):
                 counted = Counter(raw.split())
                 found.append((list(map(numbers.__getitem__, counted)), list(counted.values())))
                 size += counted.total()
-                if size >= block_chunks or i + 1 == len(raws):
-                    part = batch.slice(start, len(found))
-                    at, times = zip(*found)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([block] * len(found), pa.int64()), part.column("lang"),
-                         part.column("source"), pa.array(at, types[3]), pa.array(times, types[4]),
-                         pa.nulls(len(found), types[5])], names)
-                    found, start = [], i + 1
+                if size < block_chunks and i < len(raws):
+                    continue
+                part = batch.slice(start, len(found))
+                yield row(block, part.column("lang").to_pylist(), part.column("source").to_pylist(),
+                          [len(n) for n, _ in found], _pack(found), None)
+                found, start = [], i
                 if size >= block_chunks:
                     yield close()
                     numbers, size, block = _Numbers(), 0, block + 1
@@ -113,11 +134,15 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+#: A block's sums: documents per (lang, term), occurrences per source.
+_SUMS = "lang string, term string, n_docs long, sources array<string>, times array<long>"
+
+
 def _sum_block(docs: pa.Table, chunks: pa.Table) -> pa.Table:
-    """Documents and occurrences of every term in a block's (lang, source)."""
-    names = ["lang", "source", "term", "n_docs", "n_times"]
+    names = ["lang", "term", "n_docs", "sources", "times"]
     if not docs.num_rows or not chunks.num_rows:
-        return pa.table([pa.array([], t) for t in (*[pa.string()] * 3, *[pa.int64()] * 2)], names)
+        return pa.table([pa.array([], t) for t in (
+            pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))], names)
     # Number of a chunk -> its terms, as a ragged array.
     terms = _array(chunks, "terms")
     ids, words = _codes(terms.flatten())
@@ -126,31 +151,40 @@ def _sum_block(docs: pa.Table, chunks: pa.Table) -> pa.Table:
     first, many = (np.zeros(place.max() + 1, dtype=np.int64) for _ in range(2))
     first[place], many[place] = np.cumsum(lens) - lens, lens
     # One entry per (document, chunk), then per (document, chunk, term).
-    at, times = _array(docs, "at"), _array(docs, "times")
-    doc = np.repeat(np.arange(docs.num_rows), np.asarray(at.value_lengths()))
-    at, times = at.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+    langs, lang_names = _codes(_array(docs, "langs").flatten())
+    sources, source_names = _codes(_array(docs, "sources").flatten())
+    sizes = [np.array(s, dtype=np.int64) for s in _array(docs, "sizes").to_pylist()]
+    unpacked = [_unpack(raw.as_py(), n) for raw, n in zip(_array(docs, "packed"), sizes)]
+    at, times = (np.concatenate(x) for x in zip(*unpacked))
+    doc = np.repeat(np.arange(len(langs)), np.concatenate(sizes))
+    del unpacked, sizes
     known = at < len(many)
     doc, at, times = doc[known], at[known], times[known]
     n = many[at]
     doc, times = np.repeat(doc, n), np.repeat(times, n)
     term = ids[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
     # A document has a term once, however many of its chunks hold it.
-    entry, back = np.unique(doc * len(words) + term, return_inverse=True)
-    in_doc = np.zeros(len(entry), dtype=np.int64)
-    np.add.at(in_doc, back, times)
-    langs, lang_names = _codes(_array(docs, "lang"))
-    sources, source_names = _codes(_array(docs, "source"))
-    group = langs * len(source_names) + sources
-    key, back = np.unique(group[entry // len(words)] * len(words) + entry % len(words),
-                          return_inverse=True)
-    sums = np.zeros(len(key), dtype=np.int64)
-    np.add.at(sums, back, in_doc)
-    group, term = key // len(words), key % len(words)
-    return pa.table([lang_names.take(pa.array(group // len(source_names))),
-                     source_names.take(pa.array(group % len(source_names))),
-                     words.take(pa.array(term)),
-                     pa.array(np.bincount(back, minlength=len(key)).astype(np.int64)),
-                     pa.array(sums)], names)
+    entry, in_doc = _summed(doc * len(words) + term, times)
+    del doc, term, times, at
+    doc, term = np.divmod(entry, len(words))
+    key, sums = _summed(
+        (langs[doc] * len(words) + term) * len(source_names) + sources[doc], in_doc)
+    by_term, source = np.divmod(key, len(source_names))
+    start = np.flatnonzero(np.diff(by_term, prepend=-1))
+    lang, word = np.divmod(by_term[start], len(words))
+    n_docs = _summed(langs[doc] * len(words) + term, np.ones(len(doc), dtype=np.int64))[1]
+    ends = pa.array(np.append(start, len(key)), pa.int32())
+    return pa.table([lang_names.take(pa.array(lang)), words.take(pa.array(word)), pa.array(n_docs),
+                     pa.ListArray.from_arrays(ends, source_names.take(pa.array(source))),
+                     pa.ListArray.from_arrays(ends, pa.array(sums))], names)
+
+
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sum of each one's values."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    start = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[start], np.add.reduceat(values, start) if len(start) else values
 
 
 def _texts(df: DataFrame, **columns: str) -> DataFrame:
@@ -158,24 +192,27 @@ def _texts(df: DataFrame, **columns: str) -> DataFrame:
                        for n, c in columns.items()))
 
 
-def term_counts(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
-                source_col: str = "source", block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
-    """(lang, source, term, n_docs, n_times) of the whole table."""
+def term_sums(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
+              source_col: str = "source", block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
+    """(lang, term, n_docs, sources, times) of the whole table as partial
+    sums, one row a block: to be added up."""
     ready(df.sparkSession)
     docs = _texts(df, lang=lang_col, source=source_col, text=text_col)
     blocks = materialise(_blocks(docs, block_chunks), "divergence-blocks")
-    numbered = blocks.filter(F.col("chunks").isNotNull()).select(
-        "block", F.posexplode("chunks").alias("number", "chunk"))
-    distinct = numbered.select("chunk").distinct().select(
-        "chunk", F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-        .alias("terms")).filter(F.size("terms") > 0)
-    named = numbered.join(distinct, "chunk").select("block", "number", "terms")
+    # Rows of a chunk, in block order: the first one is cut into its terms
+    # and the running frame hands them to the rows behind it.
+    same = Window.partitionBy("chunk").orderBy("block")
+    cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
+    named = (blocks.filter(F.col("chunks").isNotNull())
+             .select("block", F.posexplode("chunks").alias("number", "chunk"))
+             .withColumn("first", F.row_number().over(same))
+             .withColumn("terms", F.when(F.col("first") == 1, cut))
+             .withColumn("terms", F.last("terms", True).over(
+                 same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+             .filter(F.size("terms") > 0).select("block", "number", "terms"))
     rows = blocks.filter(F.col("chunks").isNull()).select(
-        F.col("block").alias("of"), "lang", "source", "at", "times")
-    partial = rows.groupBy("of").cogroup(named.groupBy("block")).applyInArrow(
-        _sum_block, "lang string, source string, term string, n_docs long, n_times long")
-    return partial.groupBy("lang", "source", "term").agg(
-        F.sum("n_docs").alias("n_docs"), F.sum("n_times").alias("n_times"))
+        F.col("block").alias("of"), "langs", "sources", "sizes", "packed")
+    return rows.groupBy("of").cogroup(named.groupBy("block")).applyInArrow(_sum_block, _SUMS)
 
 
 def _share(count: Column, total: Column, kept: Column, smooth: int) -> Column:
@@ -194,11 +231,16 @@ def audit(df: DataFrame, min_docs: int = 30, smooth: int = 5, top: int = 50, tex
     in ``min_docs`` of its documents). Part ``term``: the ``top`` kept terms
     whose share here exceeds the language's most."""
     by_group, by_lang = ["lang", "source"], ["lang"]
-    counts = materialise(term_counts(df, text_col, lang_col, source_col, block_chunks),
-                         "divergence-counts")
-    kept = (counts.groupBy("lang", "term").agg(F.sum("n_docs").alias("d"), F.sum("n_times").alias("everywhere"))
+    sums = materialise(term_sums(df, text_col, lang_col, source_col, block_chunks),
+                       "divergence-sums")
+    kept = (sums.groupBy("lang", "term").agg(F.sum("n_docs").alias("d"))
             .filter(F.col("d") >= min_docs).drop("d"))
-    here = materialise(counts.join(kept, ["lang", "term"]).drop("n_docs"), "divergence-kept")
+    here = (sums.drop("n_docs").join(kept, ["lang", "term"])
+            .select("lang", "term", F.explode(F.arrays_zip("sources", "times")).alias("s"))
+            .groupBy("lang", "term", F.col("s.sources").alias("source"))
+            .agg(F.sum("s.times").alias("n_times")))
+    here = materialise(here, "divergence-kept")
+    everywhere = here.groupBy("lang", "term").agg(F.sum("n_times").alias("everywhere"))
     langs = here.groupBy("lang").agg(F.sum("n_times").alias("in_lang"))
     langs = langs.join(here.select("lang", "term").distinct().groupBy("lang").agg(
         F.count(F.lit(1)).alias("n_kept")), by_lang)
@@ -231,7 +273,7 @@ def audit(df: DataFrame, min_docs: int = 30, smooth: int = 5, top: int = 50, tex
 
     p = _share(F.col("n_times"), F.col("in_group"), F.col("n_kept"), smooth)
     q = _share(F.col("everywhere"), F.col("in_lang"), F.col("n_kept"), smooth)
-    terms = (here.filter("n_times > 0").join(groups, by_group)
+    terms = (here.join(everywhere, ["lang", "term"]).join(groups, by_group)
              .select(*by_group, F.lit("term").alias("part"), F.col("term").alias("item"),
                      (p - q).alias("value")).filter("value > 0"))
     ranked = Window.partitionBy(*by_group).orderBy(F.col("value").desc(), "item")

@@ -29,12 +29,14 @@ The vocabulary files must be readable where tasks run.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +51,15 @@ BLOCK_LINKS = 1 << 21
 #: Bytes of a lane.
 LANE = 1024
 MARK = "▁"
+#: Bytes of a batch, some more by its last rows, and characters of distinct
+#: words that are encoded as one text.
+BATCH_BYTES, TOGETHER = 8 << 20, 2_000
+#: Spaces between two characters that are not white space. In a text without
+#: a space beside other white space or at an edge, all of them are.
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_WHITE = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+          r"\x{205f}\x{3000}]")
+_ODD = f"^ | $| {_WHITE}|{_WHITE} "
 
 
 def _byte_of() -> dict[str, int]:
@@ -62,12 +73,15 @@ def _byte_of() -> dict[str, int]:
 class Side(NamedTuple):
     """A tokenizer: ids of whole texts, and each id's bytes and text forms."""
 
-    encode: object
+    encode: Callable[[list[str]], list[list[int]]]
     spell: list[bytes]
     sizes: np.ndarray
     inner: np.ndarray   # the id in decimal and a comma
     last: np.ndarray    # the id in decimal and what ends its side of a group
 
+    def spells(self, ids: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.spell.__getitem__, ids)) == raw
+
 
 def _side(encode, spell: list[bytes], mark: bytes) -> Side:
     text = [b"%d" % i for i in range(len(spell))]
@@ -76,8 +90,92 @@ def _side(encode, spell: list[bytes], mark: bytes) -> Side:
     return Side(encode, spell, np.array(list(map(len, spell)), dtype=np.int64), *forms)
 
 
+class Ragged(NamedTuple):
+    """Ids of A and of B, laid end to end, and how many each item has."""
+
+    ids: tuple[np.ndarray, np.ndarray]
+    counts: tuple[np.ndarray, np.ndarray]
+
+    def take(self, at: np.ndarray) -> "Ragged":
+        ids, counts = [], []
+        for flat, n in zip(self.ids, self.counts):
+            start, n = (np.cumsum(n) - n)[at], n[at]
+            ids.append(flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            counts.append(n)
+        return Ragged(tuple(ids), tuple(counts))
+
+
+class Words:
+    """Ids of whole texts by both tokenizers, word by word.
+
+    No token of either spans the start of a space that stands between two
+    characters which are not white space, and both read what lies between
+    two such spaces alike anywhere. Each distinct stretch of a batch is
+    therefore encoded once, by the libraries, some hundreds in one text,
+    which is cut by the bytes of its tokens. A text with a stretch that one
+    of the tokenizers does not spell has no tokens.
+    """
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+
+    def _together(self, words: list[str]) -> list[tuple[list, list, list, list]]:
+        """Ids by A and B and their number a word; -1: not spelled."""
+        text = " ".join(words)
+        raw = b" " + text.encode()
+        ids = [s.encode([text])[0] for s in (self.a, self.b)]
+        if not all(s.spells(i, raw) for s, i in zip((self.a, self.b), ids)):
+            if len(words) == 1:
+                return [([], [], [-1], [-1])]
+            half = len(words) // 2
+            return self._together(words[:half]) + self._together(words[half:])
+        if len(words) == 1:
+            return [(*ids, [len(ids[0])], [len(ids[1])])]
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        return [(*ids, *(np.diff(np.searchsorted(np.cumsum(s.sizes[i]), ends, "right"), prepend=0)
+                         for s, i in zip((self.a, self.b), ids)))]
+
+    def encode(self, words: list[str]) -> Ragged:
+        made, held, size = [], [], 0
+        # A word at the edge of its text may begin or end in white space,
+        # which would run into its neighbour's space.
+        edge = [not w or w[0].isspace() or w[-1].isspace() for w in words]
+        for word, alone in zip(words, edge):
+            if held and (alone or size > TOGETHER):
+                made += self._together(held)
+                held, size = [], 0
+            if alone:
+                made += self._together([word])
+            else:
+                held.append(word)
+                size += len(word) + 1
+        if held:
+            made += self._together(held)
+        empty = np.empty(0, dtype=np.int64)
+        flat = [np.concatenate([empty, *(np.asarray(x, dtype=np.int64) for x in part)])
+                for part in (zip(*made) if made else [[]] * 4)]
+        return Ragged((flat[0], flat[1]), (flat[2], flat[3]))
+
+
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The texts' stretches: places of the texts that have any, in the order
+    taken, the stretches end to end and their number a text."""
+    some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+    odd = pc.and_(some, pc.fill_null(pc.match_substring_regex(texts, _ODD), False))
+    plain = pc.and_not(some, odd)
+    places, words, counts = [], [], []
+    for mask, cut in ((plain, lambda x: pc.split_pattern(x, " ")),
+                      (odd, lambda x: pa.array([_BETWEEN.split(t.as_py()) for t in x],
+                                               pa.list_(pa.string())))):
+        places.append(np.flatnonzero(mask.to_numpy(zero_copy_only=False)))
+        lists = cut(texts.filter(mask))
+        words.append(lists.flatten().cast(pa.string()))
+        counts.append(np.asarray(lists.value_lengths(), dtype=np.int64))
+    return np.concatenate(places), pa.concat_arrays(words), np.concatenate(counts)
+
+
 @lru_cache(maxsize=2)
-def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
+def tokenizers(a_path: str, b_path: str) -> Words:
     """Both tokenizers, once a process."""
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
@@ -94,14 +192,16 @@ def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
     spell_b = []
     for i in range(b.get_piece_size()):
         if b.is_byte(i):
-            spell_b.append(bytes([int(b.id_to_piece(i)[1:-1], 16)]))
+            spell_b.append(bytes([int(b.id_to_piece(i)[3:-1], 16)]))
         elif b.is_control(i) or b.is_unknown(i):
             spell_b.append(b"")
         else:
             spell_b.append(b.id_to_piece(i).replace(MARK, " ").encode())
-    return (_side(lambda texts: [e.ids for e in a.encode_batch_fast(
-                [" " + t for t in texts], add_special_tokens=False)], spell_a, b"|"),
-            _side(lambda texts: b.encode(texts, num_threads=1), spell_b, b";"))
+    if any(" " in s.decode("utf-8", "ignore").lstrip(" ") for s in spell_b):
+        raise ValueError("pieces that hold a space behind other characters are not read")
+    return Words(_side(lambda texts: [e.ids for e in a.encode_batch_fast(
+                     [" " + t for t in texts], add_special_tokens=False)], spell_a, b"|"),
+                 _side(lambda texts: b.encode(texts, num_threads=1), spell_b, b";"))
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, docs: np.ndarray,
@@ -148,23 +248,27 @@ class Aligned(NamedTuple):
     groups: np.ndarray                      # number of groups before each document's end
 
 
-def align_batch(texts: list[str | None], a: Side, b: Side) -> Aligned:
-    rows = [i for i, t in enumerate(texts) if t]
-    some = [texts[i] for i in rows]
-    found = a.encode(some), b.encode(some)
-    raws = [b" " + t.encode() for t in some]
-    same = [k for k, raw in enumerate(raws) if all(
-        b"".join(map(s.spell.__getitem__, ids[k])) == raw for s, ids in zip((a, b), found))]
-    rows = np.array([rows[k] for k in same], dtype=np.int64)
-    docs = np.cumsum([len(raws[k]) for k in same], dtype=np.int64)
-    ids, stops = [], []
-    for side in found:
-        kept = [side[k] for k in same]
-        stops.append(np.cumsum(list(map(len, kept)), dtype=np.int64))
-        ids.append(np.concatenate([np.array(k, dtype=np.int64) for k in kept])
-                   if kept else np.empty(0, np.int64))
-    links = lockstep(np.cumsum(a.sizes[ids[0]]), np.cumsum(b.sizes[ids[1]]), docs)
-    return Aligned(rows, tuple(ids), tuple(stops), links,
+def align_batch(texts: pa.Array, words: Words) -> Aligned:
+    places, stretches, many = split(texts)
+    coded = stretches.dictionary_encode()
+    known = words.encode(coded.dictionary.to_pylist())
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    # Texts with a stretch that is not spelled have no tokens.
+    of = np.repeat(np.arange(len(many)), many)
+    lost = np.zeros(len(many), dtype=bool)
+    lost[of[known.counts[0][at] < 0]] = True
+    keep = np.lexsort((np.arange(len(places)), places))
+    keep = keep[~lost[keep]]
+    first = np.cumsum(many) - many
+    n = many[keep]
+    at = at[np.repeat(first[keep] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    spelled = Ragged(known.ids, tuple(np.maximum(c, 0) for c in known.counts))
+    found = spelled.take(at)
+    last = np.cumsum(n)
+    stops = [np.append(0, np.cumsum(c))[last] for c in found.counts]
+    ends = [np.cumsum(s.sizes[i]) for s, i in zip((words.a, words.b), found.ids)]
+    links = lockstep(*ends, ends[0][stops[0] - 1] if len(keep) else np.empty(0, np.int64))
+    return Aligned(places[keep], found.ids, tuple(stops), links,
                    np.searchsorted(links[0], stops[0] - 1, "right"))
 
 
@@ -191,6 +295,19 @@ def _list(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
                                     pa.array(values, kind))
 
 
+def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``BATCH_BYTES`` or more: the larger, the fewer words are new."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 _COUNTS = ["n_a", "n_b", "n_groups"]
 
 
@@ -211,7 +328,7 @@ def _blocks(df: DataFrame, a_path: str, b_path: str, block_links: int, tokens: b
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(a_path, b_path)
+        words = tokenizers(a_path, b_path)
         block = TaskContext.get().partitionId() << 32
         held: list[tuple[dict, np.ndarray, np.ndarray]] = []
         n_links = 0
@@ -241,15 +358,15 @@ def _blocks(df: DataFrame, a_path: str, b_path: str, block_links: int, tokens: b
                 [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type)
                  for f in arrow], schema=arrow)
 
-        for batch in batches:
-            found = align_batch(batch.column("text").to_pylist(), a, b)
+        for batch in _larger(batches):
+            found = align_batch(batch.column("text"), words)
             n = batch.num_rows
             (ids_a, ids_b), (last_a, last_b) = found.ids, found.links
             every = [np.zeros(n, dtype=np.int64) for _ in range(3)]
             for out, ends in zip(every, (*found.stops, found.groups)):
                 out[found.rows] = np.diff(ends, prepend=0)
             sha = np.full(n, "", dtype=object)
-            sha[found.rows] = digests(found, a, b)
+            sha[found.rows] = digests(found, words.a, words.b)
             columns = {"id": batch.column("id"), "groups_sha256": pa.array(sha.tolist(), pa.string()),
                        **{name: pa.array(c) for name, c in zip(_COUNTS, every)}}
             links = np.cumsum(every[2])

@@ -231,10 +231,15 @@ def audit(df: DataFrame, min_docs: int = 30, smooth: int = 5, top: int = 50, tex
     in ``min_docs`` of its documents). Part ``term``: the ``top`` kept terms
     whose share here exceeds the language's most."""
     by_group, by_lang = ["lang", "source"], ["lang"]
-    sums = materialise(term_sums(df, text_col, lang_col, source_col, block_chunks),
-                       "divergence-sums")
-    kept = (sums.groupBy("lang", "term").agg(F.sum("n_docs").alias("d"))
-            .filter(F.col("d") >= min_docs).drop("d"))
+    sums = materialise(term_sums(df, text_col, lang_col, source_col, block_chunks)
+                       .withColumn("hash", F.xxhash64("lang", "term")), "divergence-sums")
+    # Most terms are rare. Their sums fall by a hash first, which keeps all
+    # frequent terms, and what is left is decided by the terms themselves.
+    enough = lambda rows, *keys: (
+        rows.groupBy(*keys).agg(F.sum("n_docs").alias("d")).filter(F.col("d") >= min_docs).drop("d"))
+    often = materialise(enough(sums, "hash"), "divergence-often")
+    sums = materialise(sums.join(often, "hash", "left_semi").drop("hash"), "divergence-frequent")
+    kept = enough(sums, "lang", "term")
     here = (sums.drop("n_docs").join(kept, ["lang", "term"])
             .select("lang", "term", F.explode(F.arrays_zip("sources", "times")).alias("s"))
             .groupBy("lang", "term", F.col("s.sources").alias("source"))

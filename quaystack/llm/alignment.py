@@ -47,13 +47,13 @@ from quaystack.session import materialise
 
 #: Links of a block, some more by its last batch. It bounds what a task
 #: holds and never changes a result.
-BLOCK_LINKS = 1 << 21
+BLOCK_LINKS = 1 << 20
 #: Bytes of a lane.
 LANE = 1024
 MARK = "▁"
 #: Bytes of a batch, some more by its last rows, and characters of distinct
 #: words that are encoded as one text.
-BATCH_BYTES, TOGETHER = 8 << 20, 2_000
+BATCH_BYTES, TOGETHER = 5 << 20, 2_000
 #: Spaces between two characters that are not white space. In a text without
 #: a space beside other white space or at an edge, all of them are.
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")

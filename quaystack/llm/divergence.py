@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,7 +145,7 @@ def _sum_block(docs: pa.Table, chunks: pa.Table) -> pa.Table:
         return pa.table([pa.array([], t) for t in (
             pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))], names)
     # Number of a chunk -> its terms, as a ragged array.
-    terms = _array(chunks, "terms")
+    terms = pc.split_pattern(_array(chunks, "terms"), " ")
     ids, words = _codes(terms.flatten())
     lens = np.asarray(terms.value_lengths())
     place = _array(chunks, "number").to_numpy()
@@ -209,7 +210,9 @@ def term_sums(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
              .withColumn("terms", F.when(F.col("first") == 1, cut))
              .withColumn("terms", F.last("terms", True).over(
                  same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-             .filter(F.size("terms") > 0).select("block", "number", "terms"))
+             .filter(F.size("terms") > 0)
+             # Terms hold no space, and one string is a smaller row.
+             .select("block", "number", F.array_join("terms", " ").alias("terms")))
     rows = blocks.filter(F.col("chunks").isNull()).select(
         F.col("block").alias("of"), "langs", "sources", "sizes", "packed")
     return rows.groupBy("of").cogroup(named.groupBy("block")).applyInArrow(_sum_block, _SUMS)
@@ -231,16 +234,11 @@ def audit(df: DataFrame, min_docs: int = 30, smooth: int = 5, top: int = 50, tex
     in ``min_docs`` of its documents). Part ``term``: the ``top`` kept terms
     whose share here exceeds the language's most."""
     by_group, by_lang = ["lang", "source"], ["lang"]
-    sums = materialise(term_sums(df, text_col, lang_col, source_col, block_chunks)
-                       .withColumn("hash", F.xxhash64("lang", "term")), "divergence-sums")
-    # Most terms are rare. Their sums fall by a hash first, which keeps all
-    # frequent terms, and what is left is decided by the terms themselves.
-    enough = lambda rows, *keys: (
-        rows.groupBy(*keys).agg(F.sum("n_docs").alias("d")).filter(F.col("d") >= min_docs).drop("d"))
-    often = materialise(enough(sums, "hash"), "divergence-often")
-    sums = materialise(sums.join(often, "hash", "left_semi").drop("hash"), "divergence-frequent")
-    kept = enough(sums, "lang", "term")
-    here = (sums.drop("n_docs").join(kept, ["lang", "term"])
+    # A term's rows, one a block, meet once: rare terms fall there, and the
+    # others are added up per source where they are.
+    of_term = Window.partitionBy("lang", "term")
+    here = (term_sums(df, text_col, lang_col, source_col, block_chunks)
+            .withColumn("d", F.sum("n_docs").over(of_term)).filter(F.col("d") >= min_docs)
             .select("lang", "term", F.explode(F.arrays_zip("sources", "times")).alias("s"))
             .groupBy("lang", "term", F.col("s.sources").alias("source"))
             .agg(F.sum("s.times").alias("n_times")))

@@ -46,7 +46,7 @@ from quaystack.session import materialise
 
 #: White-space chunks of a block, some more by its last document. It bounds
 #: what a task holds and never changes a result.
-BLOCK_CHUNKS = 5_000_000
+BLOCK_CHUNKS = 3_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
@@ -151,41 +151,44 @@ def _sum_block(docs: pa.Table, chunks: pa.Table) -> pa.Table:
     place = _array(chunks, "number").to_numpy()
     first, many = (np.zeros(place.max() + 1, dtype=np.int64) for _ in range(2))
     first[place], many[place] = np.cumsum(lens) - lens, lens
-    # One entry per (document, chunk), then per (document, chunk, term).
     langs, lang_names = _codes(_array(docs, "langs").flatten())
     sources, source_names = _codes(_array(docs, "sources").flatten())
-    sizes = [np.array(s, dtype=np.int64) for s in _array(docs, "sizes").to_pylist()]
-    unpacked = [_unpack(raw.as_py(), n) for raw, n in zip(_array(docs, "packed"), sizes)]
-    at, times = (np.concatenate(x) for x in zip(*unpacked))
-    doc = np.repeat(np.arange(len(langs)), np.concatenate(sizes))
-    del unpacked, sizes
-    known = at < len(many)
-    doc, at, times = doc[known], at[known], times[known]
-    n = many[at]
-    doc, times = np.repeat(doc, n), np.repeat(times, n)
-    term = ids[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    # A document has a term once, however many of its chunks hold it.
-    entry, in_doc = _summed(doc * len(words) + term, times)
-    del doc, term, times, at
-    doc, term = np.divmod(entry, len(words))
-    key, sums = _summed(
-        (langs[doc] * len(words) + term) * len(source_names) + sources[doc], in_doc)
+    done, held = 0, []
+    # A few documents at a time, so that only sums grow with the block.
+    for raw, sizes in zip(_array(docs, "packed"), _array(docs, "sizes")):
+        sizes = sizes.values.to_numpy().astype(np.int64)
+        at, times = _unpack(raw.as_py(), sizes)
+        doc = np.repeat(np.arange(done, done + len(sizes)), sizes)
+        done += len(sizes)
+        # One entry per (document, chunk), then per (document, chunk, term).
+        known = at < len(many)
+        doc, at, times = doc[known], at[known], times[known]
+        n = many[at]
+        doc, times = np.repeat(doc, n), np.repeat(times, n)
+        term = ids[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        # A document has a term once, however many of its chunks hold it.
+        entry, in_doc = _summed(doc * len(words) + term, times)
+        doc, term = np.divmod(entry, len(words))
+        held.append(_summed((langs[doc] * len(words) + term) * len(source_names) + sources[doc],
+                            in_doc, np.ones(len(doc), dtype=np.int64)))
+    key, times, n_docs = _summed(*(np.concatenate(x) for x in zip(*held)))
+    del held
     by_term, source = np.divmod(key, len(source_names))
     start = np.flatnonzero(np.diff(by_term, prepend=-1))
     lang, word = np.divmod(by_term[start], len(words))
-    n_docs = _summed(langs[doc] * len(words) + term, np.ones(len(doc), dtype=np.int64))[1]
     ends = pa.array(np.append(start, len(key)), pa.int32())
-    return pa.table([lang_names.take(pa.array(lang)), words.take(pa.array(word)), pa.array(n_docs),
+    return pa.table([lang_names.take(pa.array(lang)), words.take(pa.array(word)),
+                     pa.array(np.add.reduceat(n_docs, start) if len(start) else n_docs),
                      pa.ListArray.from_arrays(ends, source_names.take(pa.array(source))),
-                     pa.ListArray.from_arrays(ends, pa.array(sums))], names)
+                     pa.ListArray.from_arrays(ends, pa.array(times))], names)
 
 
-def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, ascending, and the sum of each one's values."""
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys, ascending, and the sums of each one's values."""
     order = np.argsort(keys)
-    keys, values = keys[order], values[order]
+    keys = keys[order]
     start = np.flatnonzero(np.diff(keys, prepend=-1))
-    return keys[start], np.add.reduceat(values, start) if len(start) else values
+    return (keys[start], *(np.add.reduceat(v[order], start) if len(start) else v for v in values))
 
 
 def _texts(df: DataFrame, **columns: str) -> DataFrame:

@@ -11,7 +11,7 @@ and over:
 2. The blocks' chunks meet by chunk. The first row of each globally distinct
    chunk is cut into its terms, once, and the others take them over.
 3. The terms go back to the blocks, and each block turns numbers into terms:
-   documents of a term per language, occurrences per source. These partial
+   documents and occurrences of a term per (lang, source). These partial
    sums are added up over the corpus.
 
 A hot chunk or source is one row a block, never one a document, and of the
@@ -46,7 +46,7 @@ from quaystack.session import materialise
 
 #: White-space chunks of a block, some more by its last document. It bounds
 #: what a task holds and never changes a result.
-BLOCK_CHUNKS = 3_000_000
+BLOCK_CHUNKS = 5_000_000
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
@@ -135,15 +135,14 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-#: A block's sums: documents per (lang, term), occurrences per source.
-_SUMS = "lang string, term string, n_docs long, sources array<string>, times array<long>"
+#: A block's sums.
+_SUMS = "lang string, source string, term string, n_docs long, n_times long"
 
 
 def _sum_block(docs: pa.Table, chunks: pa.Table) -> pa.Table:
-    names = ["lang", "term", "n_docs", "sources", "times"]
+    names = ["lang", "source", "term", "n_docs", "n_times"]
     if not docs.num_rows or not chunks.num_rows:
-        return pa.table([pa.array([], t) for t in (
-            pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))], names)
+        return pa.table([pa.array([], t) for t in (*[pa.string()] * 3, *[pa.int64()] * 2)], names)
     # Number of a chunk -> its terms, as a ragged array.
     terms = pc.split_pattern(_array(chunks, "terms"), " ")
     ids, words = _codes(terms.flatten())
@@ -173,14 +172,10 @@ def _sum_block(docs: pa.Table, chunks: pa.Table) -> pa.Table:
                             in_doc, np.ones(len(doc), dtype=np.int64)))
     key, times, n_docs = _summed(*(np.concatenate(x) for x in zip(*held)))
     del held
-    by_term, source = np.divmod(key, len(source_names))
-    start = np.flatnonzero(np.diff(by_term, prepend=-1))
-    lang, word = np.divmod(by_term[start], len(words))
-    ends = pa.array(np.append(start, len(key)), pa.int32())
-    return pa.table([lang_names.take(pa.array(lang)), words.take(pa.array(word)),
-                     pa.array(np.add.reduceat(n_docs, start) if len(start) else n_docs),
-                     pa.ListArray.from_arrays(ends, source_names.take(pa.array(source))),
-                     pa.ListArray.from_arrays(ends, pa.array(times))], names)
+    key, source = np.divmod(key, len(source_names))
+    lang, word = np.divmod(key, len(words))
+    return pa.table([lang_names.take(pa.array(lang)), source_names.take(pa.array(source)),
+                     words.take(pa.array(word)), pa.array(n_docs), pa.array(times)], names)
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -198,8 +193,8 @@ def _texts(df: DataFrame, **columns: str) -> DataFrame:
 
 def term_sums(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
               source_col: str = "source", block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
-    """(lang, term, n_docs, sources, times) of the whole table as partial
-    sums, one row a block: to be added up."""
+    """(lang, source, term, n_docs, n_times) of the whole table as partial
+    sums of blocks: to be added up."""
     ready(df.sparkSession)
     docs = _texts(df, lang=lang_col, source=source_col, text=text_col)
     blocks = materialise(_blocks(docs, block_chunks), "divergence-blocks")
@@ -237,14 +232,12 @@ def audit(df: DataFrame, min_docs: int = 30, smooth: int = 5, top: int = 50, tex
     in ``min_docs`` of its documents). Part ``term``: the ``top`` kept terms
     whose share here exceeds the language's most."""
     by_group, by_lang = ["lang", "source"], ["lang"]
-    # A term's rows, one a block, meet once: rare terms fall there, and the
-    # others are added up per source where they are.
+    # A term's sums meet once: rare terms fall there, and the others are added
+    # up per source where they are.
     of_term = Window.partitionBy("lang", "term")
     here = (term_sums(df, text_col, lang_col, source_col, block_chunks)
             .withColumn("d", F.sum("n_docs").over(of_term)).filter(F.col("d") >= min_docs)
-            .select("lang", "term", F.explode(F.arrays_zip("sources", "times")).alias("s"))
-            .groupBy("lang", "term", F.col("s.sources").alias("source"))
-            .agg(F.sum("s.times").alias("n_times")))
+            .groupBy("lang", "term", "source").agg(F.sum("n_times").alias("n_times")))
     here = materialise(here, "divergence-kept")
     everywhere = here.groupBy("lang", "term").agg(F.sum("n_times").alias("everywhere"))
     langs = here.groupBy("lang").agg(F.sum("n_times").alias("in_lang"))

@@ -84,7 +84,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/quaystack/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df, name: str):
+def materialise(df, name: str, codec: str = "snappy"):
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` but computes the input a single
@@ -93,5 +93,5 @@ def materialise(df, name: str):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.parquet(path)

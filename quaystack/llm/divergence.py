@@ -47,6 +47,8 @@ from quaystack.session import materialise
 #: White-space chunks of a block, some more by its last document. It bounds
 #: what a task holds and never changes a result.
 BLOCK_CHUNKS = 5_000_000
+#: Bits of a chunk's number in its block, and of a block's in its task.
+NUMBER_BITS, BLOCK_BITS = 28, 12
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SCALE = 1_000_000_000
@@ -96,10 +98,12 @@ def _blocks(docs: DataFrame, block_chunks: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        first = block = TaskContext.get().partitionId() << BLOCK_BITS
         numbers, size = _Numbers(), 0
 
         def close() -> pa.RecordBatch:
+            if block - first >> BLOCK_BITS or len(numbers) >> NUMBER_BITS:
+                raise ValueError("a task has too many blocks, or a block too many chunks")
             # ASCII white space never cuts a character, so chunks are UTF-8.
             return row(block, None, None, None, None, [c.decode() for c in numbers])
 
@@ -135,14 +139,15 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
-#: A block's sums.
-_SUMS = "lang string, source string, term string, n_docs long, n_times long"
+#: A block's sums. A term and its language are one string, "term lang": terms
+#: hold no space, and of the many rows the smaller ones cost less disk.
+_SUMS = "source string, word string, n_docs long, n_times long"
 
 
 def _sum_block(docs: pa.Table, chunks: pa.Table) -> pa.Table:
-    names = ["lang", "source", "term", "n_docs", "n_times"]
+    names = ["source", "word", "n_docs", "n_times"]
     if not docs.num_rows or not chunks.num_rows:
-        return pa.table([pa.array([], t) for t in (*[pa.string()] * 3, *[pa.int64()] * 2)], names)
+        return pa.table([pa.array([], t) for t in (*[pa.string()] * 2, *[pa.int64()] * 2)], names)
     # Number of a chunk -> its terms, as a ragged array.
     terms = pc.split_pattern(_array(chunks, "terms"), " ")
     ids, words = _codes(terms.flatten())
@@ -174,8 +179,9 @@ def _sum_block(docs: pa.Table, chunks: pa.Table) -> pa.Table:
     del held
     key, source = np.divmod(key, len(source_names))
     lang, word = np.divmod(key, len(words))
-    return pa.table([lang_names.take(pa.array(lang)), source_names.take(pa.array(source)),
-                     words.take(pa.array(word)), pa.array(n_docs), pa.array(times)], names)
+    word = pc.binary_join_element_wise(words.take(pa.array(word)), lang_names.take(pa.array(lang)), " ")
+    return pa.table([source_names.take(pa.array(source)), word, pa.array(n_docs), pa.array(times)],
+                    names)
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -193,24 +199,28 @@ def _texts(df: DataFrame, **columns: str) -> DataFrame:
 
 def term_sums(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
               source_col: str = "source", block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
-    """(lang, source, term, n_docs, n_times) of the whole table as partial
-    sums of blocks: to be added up."""
+    """(source, word, n_docs, n_times) of the whole table as partial sums of
+    blocks, to be added up; ``word`` is term, space, language."""
     ready(df.sparkSession)
     docs = _texts(df, lang=lang_col, source=source_col, text=text_col)
-    blocks = materialise(_blocks(docs, block_chunks), "divergence-blocks")
+    blocks = materialise(_blocks(docs, block_chunks), "divergence-blocks", codec="zstd")
     # Rows of a chunk, in block order: the first one is cut into its terms
     # and the running frame hands them to the rows behind it.
-    same = Window.partitionBy("chunk").orderBy("block")
+    same = Window.partitionBy("chunk").orderBy("place")
     cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
     named = (blocks.filter(F.col("chunks").isNotNull())
              .select("block", F.posexplode("chunks").alias("number", "chunk"))
+             .select(F.shiftleft("block", NUMBER_BITS).bitwiseOR(F.col("number").cast("long"))
+                     .alias("place"), "chunk")
              .withColumn("first", F.row_number().over(same))
              .withColumn("terms", F.when(F.col("first") == 1, cut))
              .withColumn("terms", F.last("terms", True).over(
                  same.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
              .filter(F.size("terms") > 0)
              # Terms hold no space, and one string is a smaller row.
-             .select("block", "number", F.array_join("terms", " ").alias("terms")))
+             .select(F.shiftright("place", NUMBER_BITS).alias("block"),
+                     F.col("place").bitwiseAND(F.lit((1 << NUMBER_BITS) - 1)).alias("number"),
+                     F.array_join("terms", " ").alias("terms")))
     rows = blocks.filter(F.col("chunks").isNull()).select(
         F.col("block").alias("of"), "langs", "sources", "sizes", "packed")
     return rows.groupBy("of").cogroup(named.groupBy("block")).applyInArrow(_sum_block, _SUMS)
@@ -234,10 +244,13 @@ def audit(df: DataFrame, min_docs: int = 30, smooth: int = 5, top: int = 50, tex
     by_group, by_lang = ["lang", "source"], ["lang"]
     # A term's sums meet once: rare terms fall there, and the others are added
     # up per source where they are.
-    of_term = Window.partitionBy("lang", "term")
+    of_word = Window.partitionBy("word")
+    cut = F.instr("word", " ")
     here = (term_sums(df, text_col, lang_col, source_col, block_chunks)
-            .withColumn("d", F.sum("n_docs").over(of_term)).filter(F.col("d") >= min_docs)
-            .groupBy("lang", "term", "source").agg(F.sum("n_times").alias("n_times")))
+            .withColumn("d", F.sum("n_docs").over(of_word)).filter(F.col("d") >= min_docs)
+            .groupBy("word", "source").agg(F.sum("n_times").alias("n_times"))
+            .select(F.substring("word", cut + 1, F.length("word")).alias("lang"),
+                    F.substring("word", F.lit(1), cut - 1).alias("term"), "source", "n_times"))
     here = materialise(here, "divergence-kept")
     everywhere = here.groupBy("lang", "term").agg(F.sum("n_times").alias("everywhere"))
     langs = here.groupBy("lang").agg(F.sum("n_times").alias("in_lang"))

@@ -40,6 +40,8 @@ from quaystack.llm.common import ready, texts
 #: Words that the memo holds before it starts anew; bounds a worker's memory.
 MEMO_WORDS = 1_000_000
 MEMO_CHARS = 64
+#: Parts that are encoded as one text, and the word that stands between them.
+TOGETHER, BETWEEN = 500, "→"
 #: White space to ``str.split`` but not to the vocabulary's own pattern.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _MARKS = re.compile(r"[^\w\s]+")
@@ -79,6 +81,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.between, = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         names = self.tokenizer.get_vocab()
         self.sentence_end = np.zeros(max(names.values()) + 1, dtype=bool)
         for name, token in names.items():
@@ -86,14 +89,30 @@ class WordTokens:
                 self.sentence_end[token] = True
 
     def _encode(self, items: list[str]) -> dict[str, bytes]:
-        """Each item by the library, some thousands at a time."""
-        made = {}
-        for i in range(0, len(items), 10_000):
-            part = items[i:i + 10_000]
-            done = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            made.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, done))
+        """Each item by the library, some hundreds in one text with a word
+        between them that is one token; its id cuts the ids again."""
+        joined = [w for w in items if BETWEEN not in w]
+        groups = [joined[i:i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
+        made = self._alone([w for w in items if BETWEEN in w])
+        for i in range(0, len(groups), 64):
+            part = groups[i:i + 64]
+            done = self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(g) for g in part],
+                                                    add_special_tokens=False)
+            for group, e in zip(part, done):
+                ids = np.array(e.ids, dtype="<u4")
+                cuts = np.flatnonzero(ids == self.between).tolist()
+                if len(cuts) + 1 != len(group):
+                    made.update(self._alone(group))
+                    continue
+                raw = ids.tobytes()
+                made.update(zip(group, (raw[4 * a:4 * b] for a, b in zip(
+                    [0, *(c + 1 for c in cuts)], [*cuts, len(ids)]))))
         return made
 
+    def _alone(self, items: list[str]) -> dict[str, bytes]:
+        done = self.tokenizer.encode_batch_fast(items, add_special_tokens=False) if items else []
+        return {w: array("I", e.ids).tobytes() for w, e in zip(items, done)}
+
     def parts(self, text: str) -> list[str]:
         """What may be encoded separately."""
         if _SEPARATORS.search(text):

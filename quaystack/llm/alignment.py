@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaystack.llm.common import column, ready
+from quaystack.llm.common import column, larger, ready
 from quaystack.session import materialise
 
 #: Links of a block, some more by its last batch. It bounds what a task
@@ -295,19 +295,6 @@ def _list(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
                                     pa.array(values, kind))
 
 
-def _larger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of ``BATCH_BYTES`` or more: the larger, the fewer words are new."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= BATCH_BYTES:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 _COUNTS = ["n_a", "n_b", "n_groups"]
 
 
@@ -358,7 +345,7 @@ def _blocks(df: DataFrame, a_path: str, b_path: str, block_links: int, tokens: b
                 [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type)
                  for f in arrow], schema=arrow)
 
-        for batch in _larger(batches):
+        for batch in larger(batches, BATCH_BYTES):
             found = align_batch(batch.column("text"), words)
             n = batch.num_rows
             (ids_a, ids_b), (last_a, last_b) = found.ids, found.links

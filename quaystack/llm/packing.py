@@ -23,7 +23,6 @@ table gives no rows.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,20 +30,29 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quaystack.llm.common import ready, texts
+from quaystack.llm.common import larger, ready, texts
 
 #: Words that the memo holds before it starts anew; bounds a worker's memory.
 MEMO_WORDS = 1_000_000
 MEMO_CHARS = 64
 #: Parts that are encoded as one text, and the word that stands between them.
 TOGETHER, BETWEEN = 500, "→"
-#: White space to ``str.split`` but not to the vocabulary's own pattern.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_MARKS = re.compile(r"[^\w\s]+")
+#: Bytes of a batch, some more by its last rows: the larger, the fewer looks
+#: into the memo.
+BATCH_BYTES = 4 << 20
+#: White space to Unicode but not to the vocabulary's own pattern.
+_SEPARATORS = r"[\x1c-\x1f]"
+#: A character past Latin-1, or one that makes contractions or is a mark and a
+#: word character at once: such texts are cut at white space alone.
+_WORDS_ONLY = r"[^\x00-\x{ff}]|['_]"
+#: Runs of Latin-1 characters that are neither letters, numbers nor white space.
+_MARKS = "[" + "".join(f"\\x{{{c:x}}}" for c in range(256)
+                       if not (chr(c).isalnum() or chr(c).isspace() or chr(c) == "_")) + "]+"
 
 
 class Costs(NamedTuple):
@@ -113,42 +121,48 @@ class WordTokens:
         done = self.tokenizer.encode_batch_fast(items, add_special_tokens=False) if items else []
         return {w: array("I", e.ids).tobytes() for w, e in zip(items, done)}
 
-    def parts(self, text: str) -> list[str]:
-        """What may be encoded separately."""
-        if _SEPARATORS.search(text):
-            return [text]
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return text.split()
-        text = text.lower()
-        if "'" in text or "_" in text:  # contractions; a mark that is a word character here
-            return text.split()
-        return _MARKS.sub(r" \g<0> ", text).split()
+    def parts(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """What may be encoded separately: the texts' places in the order
+        taken, their parts end to end, and their number a text."""
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, _SEPARATORS)
+        marked = pc.and_not(pc.invert(whole), pc.match_substring_regex(texts, _WORDS_ONLY))
+        spaced = pc.and_not(pc.invert(whole), marked)
+        places, parts, counts = [], [], []
+        for mask, cut in (
+                (whole, lambda x: pa.array([[t] for t in x.to_pylist()], pa.list_(pa.string()))),
+                (marked, lambda x: pc.utf8_split_whitespace(pc.replace_substring_regex(
+                    pc.utf8_lower(x), _MARKS, r" \0 "))),
+                (spaced, pc.utf8_split_whitespace)):
+            places.append(np.flatnonzero(mask.to_numpy(zero_copy_only=False)))
+            lists = cut(texts.filter(mask))
+            parts.append(lists.flatten())
+            counts.append(np.asarray(lists.value_lengths(), dtype=np.int64))
+        return np.concatenate(places), pa.concat_arrays(parts), np.concatenate(counts)
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        get = self.memo.get
-        out: list[list[bytes | None]] = []
-        gaps: list[tuple[int, list[str], list[int]]] = []
-        new: set[str] = set()
-        for text in batch:
-            parts = self.parts(text)
-            ids = list(map(get, parts))
-            if None in ids:
-                at = [i for i, x in enumerate(ids) if x is None]
-                new.update(map(parts.__getitem__, at))
-                gaps.append((len(out), parts, at))
-            out.append(ids)
-        made = self._encode(list(new))
-        for number, parts, at in gaps:
-            ids = out[number]
-            for i in at:
-                ids[i] = made[parts[i]]
+        places, parts, many = self.parts(pa.array(batch, pa.string()))
+        coded = parts.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = list(map(self.memo.get, words))
+        made = self._encode([w for w, ids in zip(words, known) if ids is None])
         self.memo.update((w, x) for w, x in made.items() if len(w) <= MEMO_CHARS)
-        return list(map(b"".join, out))
+        known = [made[w] if ids is None else ids for w, ids in zip(words, known)]
+        # Every part's ids, gathered from those of the distinct parts.
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), dtype="<u4")
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        n = sizes[at]
+        start = (np.cumsum(sizes) - sizes)[at]
+        raw = flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes()
+        stops = 4 * np.append(0, np.cumsum(n))[np.cumsum(many)]
+        out = [b""] * len(batch)
+        for place, i, j in zip(places.tolist(), [0, *stops.tolist()], stops.tolist()):
+            out[place] = raw[i:j]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -312,7 +326,7 @@ def pack(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id",
         base = TaskContext.get().partitionId() << 40
 
         def documents() -> Iterator[tuple[object, bytes]]:
-            for batch in batches:
+            for batch in larger(batches, BATCH_BYTES):
                 for row, raw in zip(batch.column("id").to_pylist(),
                                     words.encode(batch.column("text").to_pylist())):
                     yield row, raw + end

@@ -86,41 +86,61 @@ def rehandle_risk(clean: DataFrame, max_height: int) -> DataFrame:
     a pile). Ties on a tier (slot collisions) are ordered by departure then
     id so the result is deterministic.
     """
-    return risk_all(clean, max_height).filter(F.col("tier").isNotNull())
-
-
-def risk_all(clean: DataFrame, max_height: int) -> DataFrame:
-    """Every clean row with its risk flag: slotted rows through the pile
-    window, the others with flag 0 (a union of two disjoint filters, no join)."""
-    p = with_pile(clean, max_height)
     # Silver rows may collide on a slot, so a pile is not bounded here: the
     # lead is the chunked, range-partitioned one that splits a hot pile.
     from quaystack.operators.ranking import lead_within
-    slotted = lead_within(p.filter(F.col("tier").isNotNull()), PILE, ["tier", "departure_time", "id"],
-                            "departure_time", "next_departure")
-    flag = F.when(F.col("next_departure").isNotNull()
-                  & (F.col("departure_time") < F.col("next_departure")), 1).otherwise(0)
-    slotted = slotted.withColumn("is_rehandle_risk", flag)
-    rest = (p.filter(F.col("tier").isNull())
-            .withColumn("next_departure", F.lit(None).cast("timestamp"))
-            .withColumn("is_rehandle_risk", F.lit(0)))
-    return slotted.unionByName(rest)
+    p = with_pile(clean, max_height).filter(F.col("tier").isNotNull())
+    led = lead_within(p, PILE, ["tier", "departure_time", "id"], "departure_time", "next_departure")
+    flag = F.col("next_departure").isNotNull() & (F.col("departure_time") < F.col("next_departure"))
+    return led.withColumn("is_rehandle_risk", F.when(flag, 1).otherwise(0))
+
+
+def tier_risks(clean: DataFrame, max_height: int) -> DataFrame:
+    """Per (pile, tier): containers ``n`` and how many of them are at
+    ``risk`` as ``rehandle_risk`` flags them, without ordering any rows.
+
+    Inside a tier the rows ascend by departure, so every departure but the
+    last has a later one behind it, once, and the last is followed by the
+    earliest of the next occupied tier. Counts need only the distinct
+    departures, the first and the last of a tier, which are combined in every
+    task before the shuffle, and a lead over the tiers of a pile. Rows
+    without a full slot are one group of a yard with no risk.
+    """
+    p = with_pile(clean, max_height)
+    tier = (p.groupBy(*PILE, "tier", "departure_time").agg(F.count(F.lit(1)).alias("n"))
+            .groupBy(*PILE, "tier").agg(
+                F.sum("n").alias("n"), F.count("departure_time").alias("days"),
+                F.min("departure_time").alias("first"), F.max("departure_time").alias("last")))
+    above = F.lead("first").over(Window.partitionBy(*PILE).orderBy("tier"))
+    return tier.withColumn("above", above).select(
+        *PILE, "tier", "n", F.when(F.col("tier").isNull(), 0).otherwise(
+            F.greatest(F.col("days") - 1, F.lit(0))
+            + F.coalesce((F.col("last") < F.col("above")).cast("int"), F.lit(0))).alias("risk"))
 
 
 def stacking_kpi(clean: DataFrame, max_height: int) -> DataFrame:
-    """Risk count and efficiency in one pass over the flagged rows."""
-    both = risk_all(clean, max_height).agg(F.count(F.lit(1)).alias("n"),
-                                           F.sum("is_rehandle_risk").alias("r"))
+    """Risk count and efficiency from the tiers' sums."""
+    both = tier_risks(clean, max_height).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+                                             F.sum("risk").alias("r"))
     r = F.coalesce(F.col("r"), F.lit(0)).cast("long")
     eff = F.when(F.col("n") > 0, round_half_up(
-        F.greatest(F.lit(0.0), F.lit(100.0) - r * 100.0 / F.col("n")), 1)).otherwise(F.lit(0.0))
+        F.greatest(F.lit(0.0), F.lit(100.0) - r * 100.0 / F.nullif(F.col("n"), F.lit(0))), 1)
+        ).otherwise(F.lit(0.0))
     return both.select(r.alias("rehandle_risk_count"), F.col("n").alias("total_containers"),
                        eff.alias("efficiency_score"))
 
 
 def risk_by_block(clean: DataFrame, max_height: int) -> DataFrame:
-    return (rehandle_risk(clean, max_height).filter(F.col("is_rehandle_risk") == 1)
-            .groupBy("block_id").agg(F.count(F.lit(1)).alias("risk_count")))
+    return (tier_risks(clean, max_height).filter(F.col("risk") > 0)
+            .groupBy("block_id").agg(F.sum("risk").alias("risk_count")))
+
+
+def risk_by_yard(clean: DataFrame, max_height: int, blocks: list[str]) -> DataFrame:
+    """Risk counts of the named blocks side by side, a row per yard with any."""
+    p = (tier_risks(clean, max_height).filter(F.col("risk") > 0)
+         .groupBy("yard_id").pivot("block_id", blocks).agg(F.sum("risk")))
+    return p.select("yard_id", *[F.coalesce(F.col(b), F.lit(0)).cast("long").alias(f"risk_{b.lower()}")
+                                 for b in blocks])
 
 
 def type_size_summary(clean: DataFrame) -> DataFrame:
@@ -140,27 +160,26 @@ def kpi_document(clean: DataFrame, report: DataFrame, max_height: int,
                  storage_mode: str = "parquet") -> DataFrame:
     """The nested KPI document as one row.
 
-    Data is reduced once to per-(type, size, block) partial sums; every map
-    in the document is built from that tiny frame, so ``collect_list`` only
-    ever sees a bounded number of groups.
+    Data is reduced to per-(type, size) partial sums and per-block risk
+    counts; every map in the document is built from these tiny frames, so
+    ``collect_list`` only ever sees a bounded number of groups.
     """
-    base = dwell_days(risk_all(clean, max_height))
-    part = base.groupBy("type", "size", "block_id").agg(
+    part = dwell_days(clean).groupBy("type", "size").agg(
         F.count(F.lit(1)).alias("n"), F.sum("weight").alias("sw"),
         F.avg("weight").alias("mu"), F.var_pop("weight").alias("vp"),
         F.min("weight").alias("mn"), F.max("weight").alias("mx"),
         F.min("departure_time").alias("d0"), F.max("departure_time").alias("d1"),
-        F.sum("dwell_days").alias("sd"),
-        F.sum(F.coalesce(F.col("is_rehandle_risk"), F.lit(0))).alias("rk"))
-    # ``part`` has at most types x sizes x blocks rows; store it once so the
-    # four summaries below do not each re-run the scan and the pile window.
+        F.sum("dwell_days").alias("sd"))
+    # At most types x sizes and blocks rows; stored once so the summaries
+    # below do not each re-run the scan.
     from quaystack.session import materialise
     part = materialise(part, "kpi-part")
     by_type = part.groupBy("type").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"),
                                        F.sum("sd").alias("sd"))
     by_size = part.groupBy("size").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"))
-    by_block = (part.filter(F.col("block_id").isNotNull()).groupBy("block_id")
-                .agg(F.sum("rk").alias("rk")).filter(F.col("rk") > 0))
+    by_block = materialise(risk_by_block(clean, max_height).withColumnRenamed("risk_count", "rk"),
+                           "kpi-risk")
+    risks = by_block.agg(F.coalesce(F.sum("rk"), F.lit(0)).alias("rk"))
     # Merged variance: squares within the groups plus those of the group means
     # around the overall mean, over the few rows of ``part``.
     mean = F.sum("sw").over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())
@@ -169,7 +188,7 @@ def kpi_document(clean: DataFrame, report: DataFrame, max_height: int,
                      F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("sw").alias("sw"),
                      F.sum(squares).alias("squares"),
                      F.min("mn").alias("mn"), F.max("mx").alias("mx"),
-                     F.min("d0").alias("d0"), F.max("d1").alias("d1"), F.sum("rk").alias("rk"))
+                     F.min("d0").alias("d0"), F.max("d1").alias("d1"))
 
     def dist(g: DataFrame, key) -> DataFrame:
         return g.agg(F.map_from_entries(F.collect_list(F.struct(
@@ -183,7 +202,7 @@ def kpi_document(clean: DataFrame, report: DataFrame, max_height: int,
     smap = dist(by_size, F.concat(F.col("size").cast("string"), F.lit("ft"))).withColumnRenamed("m", "sm")
     bmap = by_block.agg(F.map_from_entries(F.collect_list(
         F.struct("block_id", "rk"))).alias("bm"))
-    doc = one_row(total, tmap, smap, bmap, report)
+    doc = one_row(total, risks, tmap, smap, bmap, report)
     n = F.col("n")
 
     def shares(m: str):

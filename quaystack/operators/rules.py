@@ -66,37 +66,36 @@ def slot_scores(audits: DataFrame, spec: YardSpec) -> DataFrame:
 
 
 def zone_piles(piles: DataFrame, spec: YardSpec, k: int) -> DataFrame:
-    """One row per (yard, size zone) with the piles that can be among any
-    container's ``k`` best, as an array of structs.
-
-    An empty pile admits every container of the size, at its static score.
-    Of the empty piles of a zone's primary (or backup) blocks only the ``k``
-    cheapest can therefore be in a top ``k``; the others are counted in
-    ``empty_primary`` / ``empty_backup`` and left out. Array length is at
-    most the occupied open piles of the zone plus 2 k: a geometry bound.
+    """One row per (yard, size zone): the piles of its primary and of its
+    backup blocks that can be among any container's ``k`` best, as arrays
+    ascending by static score (then block, bay, row).
+
+    An empty pile admits every container of the size, at its static score,
+    so of the empty piles of a kind only the ``k`` cheapest can be in a top
+    ``k``; all are counted in ``empty_primary`` / ``empty_backup``. Piles that
+    hold only the other size admit nobody. An array is at most the occupied
+    open piles of the zone plus ``k``: a geometry bound.
     """
+    empty = F.col("height") == 0
     p = (piles.withColumn("size", size_of_block()).filter(F.col("size").isNotNull())
-         .filter(~F.col("is_full") & (F.col("top_free_tier") == F.col("height") + 1)))
-    p = (p.withColumn("zone", zone_of())
-         .withColumn("static_score", height_term(F.col("top_free_tier"), F.col("block_id"))
-                     + F.lit(W_DISTANCE) * distance(spec))
-         .withColumn("bidx", block_index(spec)))
+         .filter(~F.col("is_full") & (F.col("top_free_tier") == F.col("height") + 1))
+         .filter(empty | (F.size(F.coalesce("sizes", F.array().cast("array<int>"))) == 0)
+                 | F.array_contains("sizes", F.col("size"))))
+    static = height_term(F.col("top_free_tier"), F.col("block_id")) + F.lit(W_DISTANCE) * distance(spec)
     entry = F.struct(
-        _round4(F.col("static_score")).alias("score4"), "bidx", "bay", "row", "static_score",
-        "block_id", "zone",
-        F.col("top_free_tier").alias("next_tier"), "height",
-        F.coalesce(F.col("sizes"), F.array().cast("array<int>")).alias("sizes"),
+        _round4(static).alias("score4"), block_index(spec).alias("bidx"), "bay", "row",
+        static.alias("static_score"), "block_id", F.col("top_free_tier").alias("next_tier"), "height",
         "min_departure", "top_weight",
         F.coalesce(F.col("departures"), F.array().cast("array<timestamp>")).alias("departures"))
-    empty = F.col("height") == 0
-    kinds = {"occupied": ~empty, "primary": empty & (F.col("zone") == "primary"),
-             "backup": empty & (F.col("zone") == "backup")}
+    kinds = {f"{state}_{kind}": (empty if state == "empty" else ~empty) & (zone_of() == kind)
+             for state in ("empty", "held") for kind in ("primary", "backup")}
     z = p.groupBy("yard_id", "size").agg(*[
         F.array_sort(F.collect_list(F.when(cond, entry))).alias(name) for name, cond in kinds.items()])
-    return z.select(
-        "yard_id", "size", F.size("primary").alias("empty_primary"),
-        F.size("backup").alias("empty_backup"), "occupied",
-        F.concat("occupied", F.slice("primary", 1, k), F.slice("backup", 1, k)).alias("piles"))
+    both = lambda kind: F.col(f"held_{kind}") if k == 0 else F.array_sort(
+        F.concat(f"held_{kind}", F.slice(f"empty_{kind}", 1, k)))
+    return z.select("yard_id", "size", F.size("empty_primary").alias("empty_primary"),
+                    F.size("empty_backup").alias("empty_backup"),
+                    both("primary").alias("primary"), both("backup").alias("backup"))
 
 
 PROBE = ["yard_id", "size", "departure_time", "weight"]
@@ -106,23 +105,50 @@ def _round4(c: Column) -> Column:
     return F.floor(c * 10000.0 + 0.5) / 10000.0
 
 
-def _candidate(p, dep: Column, weight: Column, size: Column) -> Column:
-    """Per (container, open pile): stage and score (evaluated in-row)."""
-    empty = p["height"] == 0
-    size_ok = empty | (F.size(p["sizes"]) == 0) | F.array_contains(p["sizes"], size)
-    edd_ok = empty | (dep <= p["min_departure"])
-    w_ok = (p["next_tier"] == 1) | p["top_weight"].isNull() | (weight <= p["top_weight"])
-    primary = p["zone"] == "primary"
-    stage = (F.when(~size_ok, F.lit(None).cast("int"))
-             .when(primary & edd_ok & w_ok, 1)
-             .when(~primary & edd_ok & w_ok, 2)
-             .when(primary & w_ok, 3)
-             .when(~primary, 4))
-    rehandles = F.size(F.filter(p["departures"], lambda d: d < dep))
-    score = _round4(F.lit(W_REHANDLES) * rehandles + p["static_score"])
-    return F.struct(stage.alias("stage"), score.alias("score"), p["bidx"].alias("bidx"),
-                    p["bay"].alias("bay"), p["row"].alias("row"), p["block_id"].alias("block_id"),
-                    p["next_tier"].alias("tier"), rehandles.alias("rehandles"), p["zone"].alias("zone"))
+def _light(p) -> Column:
+    """The probe is not heavier than the pile's top."""
+    return (p["next_tier"] == 1) | p["top_weight"].isNull() | (F.col("weight") <= p["top_weight"])
+
+
+def _strict(p) -> Column:
+    """Both rules: the weight, and leaving no later than all below."""
+    return _light(p) & ((p["height"] == 0) | (F.col("departure_time") <= p["min_departure"]))
+
+
+def _slot(p, score: Column, rehandles: Column) -> Column:
+    return F.struct(score.alias("score"), p["bidx"].alias("bidx"), p["bay"].alias("bay"),
+                    p["row"].alias("row"), p["block_id"].alias("block_id"),
+                    p["next_tier"].alias("tier"), rehandles.alias("rehandles"))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _in_order(admitted: Column, k: int) -> Column:
+    """The k cheapest where nothing below leaves earlier: the first k."""
+    return F.transform(F.slice(admitted, 1, k), lambda p: _slot(p, p["score4"], F.lit(0)))
+
+
+def _cheapest(admitted: Column, k: int) -> Column:
+    """The k cheapest of piles ascending by static score. Rehandles only add
+    to it, so the search ends once the k-th total is below the static score
+    of the next pile; it looks at 4 k piles, then 16 k, then all."""
+
+    def total(p) -> Column:
+        rehandles = F.size(F.filter(p["departures"], lambda d: d < F.col("departure_time")))
+        return _slot(p, _round4(F.lit(W_REHANDLES) * rehandles + p["static_score"]), rehandles)
+
+    def search(piles: Column, sizes: list[int]) -> Column:
+        if not sizes:
+            return F.slice(F.array_sort(F.transform(piles, total)), 1, k)
+        n, *more = sizes
+        return _bind(F.array_sort(F.transform(F.slice(piles, 1, n), total)), lambda best: F.when(
+            (F.size(piles) <= n) | (F.get(best, F.lit(k - 1))["score"] < F.get(piles, F.lit(n))["score4"]),
+            F.slice(best, 1, k)).otherwise(search(piles, more)))
+
+    return _bind(admitted, lambda piles: search(piles, [4 * k, 16 * k]))
 
 
 def top_k_slots(containers: DataFrame, piles: DataFrame, spec: YardSpec,
@@ -132,39 +158,46 @@ def top_k_slots(containers: DataFrame, piles: DataFrame, spec: YardSpec,
     open piles of that stage, ranked by (score, block, bay, row).
 
     Containers that agree in yard, size, departure and weight have the same
-    answer: each such probe is solved once, in-row, and joined back."""
+    answer: each such probe is solved once, in-row, and joined back. A stage
+    is looked at only if those before it are empty."""
     zones = zone_piles(piles, spec, k)
     probes = containers.select(*PROBE).distinct().join(zones, ["yard_id", "size"])
-    admitted = F.array_sort(F.filter(
-        F.transform("piles", lambda p: _candidate(p, F.col("departure_time"), F.col("weight"),
-                                                  F.col("size"))),
-        lambda c: c["stage"].isNotNull()))
-    # The sorted candidates are bound to a lambda variable, so they are
-    # computed once; the first one names the stage.
-    best = F.flatten(F.transform(F.array(admitted), lambda s: F.slice(
-        F.filter(s, lambda c: c["stage"] == F.get(s, F.lit(0))["stage"]), 1, k)))
-    solved = probes.select(*PROBE, F.posexplode(best).alias("pos", "c")).select(
-        *PROBE, F.col("c.stage").alias("stage"), (F.col("pos") + 1).alias("rank"),
+    stages = [_in_order(F.filter("primary", _strict), k), _in_order(F.filter("backup", _strict), k),
+              _cheapest(F.filter("primary", _light), k), _cheapest(F.col("backup"), k)]
+
+    def first_of(number: int, found: list[Column]) -> Column:
+        named = lambda s: F.struct(F.lit(number).alias("stage"), s.alias("slots"))
+        if len(found) == 1:
+            return named(found[0])
+        return _bind(found[0], lambda s: F.when(F.size(s) > 0, named(s)).otherwise(
+            first_of(number + 1, found[1:])))
+
+    best = first_of(1, stages)
+    solved = probes.select(*PROBE, best.alias("best")).select(
+        *PROBE, F.col("best.stage").alias("stage"), F.posexplode("best.slots").alias("pos", "c")).select(
+        *PROBE, "stage", (F.col("pos") + 1).alias("rank"),
         *[F.col(f"c.{f}").alias(f) for f in ("block_id", "bay", "row", "tier", "score", "rehandles")])
     return containers.select("id", *PROBE).join(solved, PROBE).drop("departure_time", "weight")
 
 
 def stage_counts(containers: DataFrame, piles: DataFrame, spec: YardSpec) -> DataFrame:
-    """Per container, how many open piles each stage admits: the occupied
-    ones by a fold over the zone's array, once per distinct probe; an empty
-    pile is stage 1 in a primary block and stage 2 in a backup block."""
-    zones = zone_piles(piles, spec, 0).drop("piles")
+    """Per container, how many open piles each stage admits, once per distinct
+    probe: of the occupied ones those that keep both rules, the weight rule,
+    or none; an empty pile is stage 1 in a primary block and stage 2 in a
+    backup block."""
+    zones = zone_piles(piles, spec, 0)
     probes = containers.select(*PROBE).distinct().join(zones, ["yard_id", "size"])
-    start = {1: F.col("empty_primary"), 2: F.col("empty_backup"), 3: F.lit(0), 4: F.lit(0)}
-    zero = F.struct(*[c.alias(f"n_stage{s}") for s, c in start.items()])
-
-    def step(acc, p):
-        st = _candidate(p, F.col("departure_time"), F.col("weight"), F.col("size"))["stage"]
-        return F.struct(*[(acc[f"n_stage{s}"] + F.when(st == s, 1).otherwise(0)).alias(f"n_stage{s}")
-                          for s in start])
-    counted = probes.select(*PROBE, F.inline(F.array(F.aggregate("occupied", zero, step))))
+    count = lambda kind, rule: F.size(F.filter(kind, rule))
+    counted = probes.select(
+        *PROBE, "empty_primary", "empty_backup", count("primary", _strict).alias("s1"),
+        count("primary", _light).alias("light"), count("backup", _strict).alias("s2"),
+        F.size("backup").alias("all")).select(
+        *PROBE, (F.col("empty_primary") + F.col("s1")).alias("n_stage1"),
+        (F.col("empty_backup") + F.col("s2")).alias("n_stage2"),
+        (F.col("light") - F.col("s1")).alias("n_stage3"),
+        (F.col("all") - F.col("s2")).alias("n_stage4"))
     return (containers.select("id", *PROBE).join(counted, PROBE, "left")
-            .select("id", *[F.coalesce(f"n_stage{s}", F.lit(0)).alias(f"n_stage{s}") for s in start]))
+            .select("id", *[F.coalesce(f"n_stage{s}", F.lit(0)).alias(f"n_stage{s}") for s in range(1, 5)]))
 
 
 def available(piles: DataFrame) -> DataFrame:

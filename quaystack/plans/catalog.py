@@ -328,10 +328,7 @@ def slot_position(spark, sf):
 
 @query("risk_grid")
 def risk_grid(spark, sf):
-    r = gold.rehandle_risk(ctx.clean(spark, sf), MAXH).filter(F.col("is_rehandle_risk") == 1)
-    p = r.groupBy("yard_id").pivot("block_id", ["A", "B", "C", "D"]).agg(F.count(F.lit(1)))
-    return p.select("yard_id", *[F.coalesce(F.col(b), F.lit(0)).alias(f"risk_{b.lower()}")
-                                 for b in ["A", "B", "C", "D"]])
+    return gold.risk_by_yard(ctx.clean(spark, sf), MAXH, ["A", "B", "C", "D"])
 
 
 @query("yard_state_nested")

@@ -41,3 +41,26 @@ def test_every_raw_row_in_exactly_one_output(spark):
     assert rep["total_raw"] == (rep["total_cleaned"] + rep["invalid_nulls_removed"]
                                 + rep["duplicates_removed"] + rep["invalid_domain_removed"])
     assert s.clean.select("id").distinct().count() == s.clean.count()
+
+
+def test_tier_risks_add_up_to_the_flagged_rows(spark):
+    """Ties, gaps between tiers, collisions and rows without a slot."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quaystack.operators import gold
+    rng = random.Random(9)
+    rows = [(f"c{i}", rng.randrange(2), f"{rng.choice('AB')}-00{rng.randrange(1, 3)}-A-0{rng.choice((1, 2, 4))}"
+             if rng.random() < 0.9 else None, f"2026-03-0{rng.randrange(1, 6)}") for i in range(300)]
+    clean = spark.createDataFrame(rows, "id string, yard_id long, slot string, departure_time string").withColumn(
+        "departure_time", F.to_timestamp("departure_time"))
+    flagged = gold.rehandle_risk(clean, 4)
+    by_pile = lambda df, c: {tuple(r) for r in df.groupBy(*gold.PILE, "tier").agg(
+        F.sum(c).cast("long")).filter("tier is not null").collect()}
+    tiers = gold.tier_risks(clean, 4)
+    assert by_pile(flagged, "is_rehandle_risk") == by_pile(tiers, "risk")
+    assert tiers.agg(F.sum("n")).first()[0] == 300
+    kpi = gold.stacking_kpi(clean, 4).first()
+    assert kpi["rehandle_risk_count"] == flagged.agg(F.sum("is_rehandle_risk")).first()[0]
+    assert tuple(gold.stacking_kpi(clean.limit(0), 4).first()) == (0, 0, 0.0)

@@ -147,6 +147,32 @@ def test_search_reaches_every_stage(spark):
     assert counts == {"strict": (4, 1, 0, 0), "backup": (0, 1, 0, 0), "late": (0, 0, 4, 1), "heavy": (0, 0, 0, 1)}
 
 
+def test_search_that_ends_early_equals_one_over_all_piles(spark):
+    """Relaxed stages on a yard of many piles, k from 1 to more than all."""
+    import random
+    rng = random.Random(2)
+    spec = YardSpec(n_blocks=4, n_bays=12, n_rows=4, max_height=4)
+    held = [(0, b, bay, row, t, f"F{b}{bay}{row}{t}", 20, float(rng.randrange(1, 50)), "import",
+             f"2026-03-{rng.randrange(1, 28):02d}") for b in ("A", "B", "S1") for bay in range(1, 13)
+            for row in range(1, 5) for t in range(1, rng.randrange(2, 5))]
+    occ = spark.createDataFrame(held, "yard_id long, block_id string, bay int, row int, tier int, id string, "
+                                      "size int, weight double, type string, departure_time string"
+                                ).withColumn("departure_time", F.to_timestamp("departure_time"))
+    piles = yard.all_piles(spark.createDataFrame([(0,)], "yard_id long"), None, occ, spec)
+    asked = _containers(spark, [(f"c{i}", float(rng.randrange(1, 55)), rng.randrange(1, 28)) for i in range(40)])
+    whole = {}
+    for r in rules.top_k_slots(asked, piles, spec, k=1000).collect():
+        whole.setdefault(r["id"], []).append(tuple(r))
+    for k in (1, 3, 10):
+        got = {}
+        for r in rules.top_k_slots(asked, piles, spec, k=k).collect():
+            got.setdefault(r["id"], []).append(tuple(r))
+        key = lambda rows: sorted(map(str, rows))
+        rank = rules.top_k_slots(asked, piles, spec, k=k).columns.index("rank")
+        assert {i: key(v) for i, v in got.items()} == {
+            i: key(x for x in v if x[rank] <= k) for i, v in whole.items()}
+
+
 def test_search_answers_k_however_many_piles_are_empty(spark):
     piles = _piles(spark, [("A", 1, 1, 20, 10.0, 9)])
     asked = _containers(spark, [("x", 9.0, 8)])

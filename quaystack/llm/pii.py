@@ -202,13 +202,15 @@ _SHAPE_CHARS = 14
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    """Shape, size and cue features of one word."""
+    """Shape, size and cue features of one word, read whole: its runs of
+    letters and digits are shortened everywhere, and of the shape that is
+    left the first ``_SHAPE_CHARS`` characters and the last one count."""
     cue = word.lower().strip(":=\"'.,")
     cue = f"cue={cue or word[:3]}" if (cue or word) in _CUES else "cue="
     if word.isalpha():
         shape = "XX" if word.isupper() else "Xx" if word[0].isupper() else "xx"
         return f"shape={shape}", "digits=0", cue, "hex=0"
-    shape = word[:256]
+    shape = word
     for pattern, mark in _RUNS:
         shape = pattern.sub(mark, shape)
     digits = sum(map(len, _DIGITS.findall(word)))

@@ -5,7 +5,11 @@ non-negative unbiased risk: prior * (loss of positives as positive) +
 max(0, loss of unlabelled as negative - prior * loss of positives as
 negative). While the bracket is negative its gradient is turned round, so
 the model does not fit the positives hidden in the unlabelled text. The
-class prior is estimated as the share of trusted rows that are positive.
+class prior is the share of positives hidden in the unlabelled text. It is
+estimated from positives and unlabelled rows alone: a classifier of one
+against the other is fitted on half of both, and on the other half the least
+ratio, over all thresholds, of unlabelled to positive rows above it bounds
+the share from above (best bin estimate). Labelled negatives are not read.
 
 Features read the whole text: square roots of the frequencies of
 character-class pairs, and repetition of words and lines. They see no id,
@@ -15,8 +19,10 @@ documented parameters, taken by a hash of the id; scores cover every row.
 Edge cases: a null or empty text has all features at their least and gets
 the score that the model gives those; null ids are scored, and are never
 part of a training sample. Repeated rows get equal scores; a document with
-conflicting labels is no trusted positive. Without any trusted positive
-every score is the prior. Extra columns stay.
+conflicting labels is no trusted positive. Without any trusted positive, or
+with fewer than ``FEWEST`` rows on a side, the prior is ``PRIOR``; without
+any, every score is the prior. Texts of any length are read whole. Extra
+columns stay; of one called like the score only the score is kept.
 """
 
 from __future__ import annotations
@@ -34,6 +40,9 @@ from quaystack.llm.common import column, ready, texts
 #: Most trusted positives and most unlabelled rows that train the model.
 POSITIVES, UNLABELLED = 6_000, 12_000
 THRESHOLD = 0.3
+#: The prior where it cannot be estimated, the rows of a side that an estimate
+#: needs, its bounds, and how sure (1 - SURE) the confidence term is.
+PRIOR, FEWEST, BOUNDS, SURE = 0.5, 20, (0.02, 0.98), 0.1
 
 # Character classes of UTF-8 bytes; continuation bytes are dropped, other
 # letters count as lower case.
@@ -90,8 +99,9 @@ class QualityModel(NamedTuple):
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = 400,
-        rate: float = 0.05, decay: float = 1e-3) -> QualityModel:
-    """Minimise the non-negative PU risk with the logistic loss."""
+        rate: float = 0.05, decay: float = 1e-3, plain: bool = False) -> QualityModel:
+    """Minimise the non-negative PU risk with the logistic loss; ``plain``
+    takes the unlabelled rows for negatives instead."""
     if not len(positive) or not len(unlabelled):
         odds = np.clip(prior, 1e-6, 1 - 1e-6)
         return QualityModel(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES),
@@ -104,8 +114,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     for step in range(1, rounds + 1):
         zp, zu = p @ w + b, u @ w + b
         hidden = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
+        if plain:
+            hidden = 0.0
         up = prior * (sigmoid(zp) - 1) / len(p)                 # positives as positive
-        down_u, down_p = sigmoid(zu) / len(u), -prior * sigmoid(zp) / len(p)
+        down_u, down_p = sigmoid(zu) / len(u), -prior * sigmoid(zp) / len(p) * (not plain)
         gp, gu = (up + down_p, down_u) if hidden >= 0 else (-down_p, -down_u)
         g = np.append(gp @ p + gu @ u + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -114,6 +126,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int
     return QualityModel(mean, scale, w, float(b), prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among the unlabelled rows.
+
+    Above a threshold of any score lie a share p of the positives and a share
+    u of the unlabelled rows, and u / p is at least the prior: equal where
+    negatives do not reach. The threshold is the one with the least ratio
+    plus its confidence term, which keeps small counts from deciding.
+    """
+    if min(len(positive), len(unlabelled)) < 2 * FEWEST:
+        return PRIOR
+    # Every second row of each sample is held back from the classifier.
+    model = fit(positive[::2], unlabelled[::2], 0.5, plain=True)
+    p, u = (np.sort(model.scores(x[1::2])) for x in (positive, unlabelled))
+    at = np.unique(p)
+    above = lambda x: 1 - np.searchsorted(x, at, "left") / len(x)
+    share_p, share_u = above(p), above(u)
+    doubt = sum(np.sqrt(np.log(4 / SURE) / (2 * len(x))) for x in (p, u))
+    best = np.argmin((share_u + doubt) / share_p)
+    return float(np.clip(share_u[best] / share_p[best], *BOUNDS))
+
+
 def held_out(id_col: Column, folds: int = 5) -> Column:
     """Rows whose CRC-32 of the id as text falls in fold 0; null ids do not."""
     return F.coalesce(F.crc32(id_col.cast("string")) % folds == 0, F.lit(False))
@@ -129,8 +162,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     trusted = (labels.select(column(id_col).alias("id"), column(label_col).alias("y"))
                .filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("y").isNotNull())
                .groupBy("id").agg(F.min("y").alias("y")))
-    total = trusted.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
-    prior = (total["p"] or 0) / total["n"] if total["n"] else 0.5
 
     rows = texts(docs, id_col, text_col)
     good = trusted.filter("y = 1").orderBy(mark, "id").limit(positives).select(
@@ -150,12 +181,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ["id", "good", "x"])
 
     id_type = rows.schema["id"].dataType.simpleString()
+    # One row a sampled id: of an id with many texts the least features.
     found = (rows.join(F.broadcast(sample), "id").select("id", "good", "text")
-             .mapInArrow(run, f"id {id_type}, good boolean, x binary").toPandas())
-    found = found.sort_values(["id", "x"], kind="stable")
+             .mapInArrow(run, f"id {id_type}, good boolean, x binary")
+             .groupBy("id", "good").agg(F.min("x").alias("x")).toPandas())
+    found = found.sort_values("id", kind="stable")
     x = np.frombuffer(b"".join(found["x"]), dtype=np.float32).reshape(-1, N_FEATURES)
     is_good = found["good"].to_numpy(dtype=bool)
-    return fit(x[is_good], x[~is_good], prior)
+    positive, other = x[is_good], x[~is_good]
+    return fit(positive, other, estimate_prior(positive, other))
 
 
 def score_column(model: QualityModel, text: Column) -> Column:

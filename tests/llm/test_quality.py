@@ -31,6 +31,55 @@ def test_fit_recovers_a_hidden_class():
     assert ((model.scores(mixed) >= 0.5) == hidden).mean() > 0.95
 
 
+def _mixture(share, n=4000, seed=1, gap=1.0):
+    rng = np.random.default_rng(seed)
+    make = lambda m, size: rng.normal(m, 1, (size, quality.N_FEATURES)).astype(np.float32) * (
+        np.arange(quality.N_FEATURES) < 6)
+    hidden = rng.random(n) < share
+    return make(gap, n // 2), np.where(hidden[:, None], make(gap, n), make(-gap, n)), hidden
+
+
+def test_prior_comes_from_positives_and_unlabelled_rows_alone():
+    for share in (0.1, 0.3, 0.5, 0.7, 0.9):
+        positive, mixed, hidden = _mixture(share)
+        assert abs(quality.estimate_prior(positive, mixed) - hidden.mean()) < 0.05, share
+    few, mixed, _ = _mixture(0.3, n=30)
+    assert quality.estimate_prior(few, mixed) == quality.PRIOR
+
+
+def test_positives_alone_train_a_classifier():
+    positive, mixed, hidden = _mixture(0.4, seed=3)
+    model = quality.fit(positive, mixed, quality.estimate_prior(positive, mixed))
+    assert ((model.scores(mixed) >= 0.5) == hidden).mean() > 0.95
+    assert 0.3 < model.scores(mixed).mean() < 0.5
+
+
+def test_fit_lowers_the_non_negative_risk():
+    """The risk by its definition, before and after, and at no better point nearby."""
+    positive, mixed, _ = _mixture(0.4, n=600, seed=5)
+
+    def risk(model):
+        loss = lambda x, y: np.mean([-np.log(np.clip(s if y else 1 - s, 1e-12, 1))
+                                     for s in model.scores(x)])
+        return 0.4 * loss(positive, 1) + max(0.0, loss(mixed, 0) - 0.4 * loss(positive, 0))
+
+    model = quality.fit(positive, mixed, 0.4, decay=0.0)
+    start = model._replace(weights=model.weights * 0, bias=float(np.log(0.4 / 0.6)))
+    assert risk(model) < 0.3 * risk(start)
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        other = model._replace(weights=model.weights + rng.normal(0, 0.3, model.weights.shape))
+        assert risk(other) > risk(model) - 1e-3
+
+
+def test_labels_of_negatives_are_not_needed(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.train(docs, labels.filter("quality = 1"))
+    rows = quality.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").collect()
+    assert np.mean([(r["score"] >= quality.THRESHOLD) == (r["quality"] == 1) for r in rows]) > 0.93
+
+
 def test_held_out_fold(spark):
     rows = spark.range(200).select("id", quality.held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)

@@ -121,3 +121,59 @@ def test_the_tail_of_a_notice_before_a_whole_one(scanner):
             continue
         text = " ".join(words[-8:]) + " and " + notice + " " + notice
         assert [(m.license, m.containment) for m in scanner.scan(text)] == [(name, 1.0)] * 2, name
+
+
+def _inserted(words, places, n):
+    out = []
+    for i, w in enumerate(words):
+        if i in places:
+            out += [f"extra{j}" for j in range(n)]
+        out.append(w)
+    return out
+
+
+def test_notices_with_inserted_words_by_containment(scanner):
+    """0 to 10 words at one to four places: found exactly when enough is left."""
+    rng = random.Random(11)
+    lost = 0
+    for name, notice in licenses.NOTICES.items():
+        words = WORD.findall(notice)
+        want = grams([w.lower() for w in words])
+        for _ in range(12):
+            places = set(rng.sample(range(1, len(words)), min(rng.randrange(1, 5), len(words) - 1)))
+            n = rng.randrange(0, 11)
+            made = _inserted(words, places, n)
+            text = "some text before it " * 6 + " ".join(made) + " and some text behind it" * 6
+            left = len(grams([w.lower() for w in WORD.findall(text)]) & want) / len(want)
+            found = {m.license: m for m in scanner.scan(text)}
+            if left >= licenses.THRESHOLD:
+                assert name in found, (name, sorted(places), n, left)
+                assert abs(found[name].containment - left) < 1e-9
+            else:
+                lost += 1
+                assert name not in found
+    assert lost
+
+
+def test_edited_notices_in_a_row_are_all_found(scanner):
+    for name in ("MIT-text", "GPL-header", "ISC", "MIT-body", "BSD-3-Clause", "Zlib"):
+        words = WORD.findall(licenses.NOTICES[name])
+        one = " ".join(_inserted(words, {len(words) // 2}, 5))
+        found = scanner.scan("lead in text " * 5 + " ".join([one] * 3))
+        assert [m.license for m in found] == [name] * 3, name
+
+
+def test_the_longer_notice_wins_over_the_short_one_it_holds(scanner):
+    words = WORD.findall(licenses.NOTICES["Apache-2.0-header"])
+    for place in range(9, len(words)):
+        found = scanner.scan("a b c d e " + " ".join(_inserted(words, {place}, 1)))
+        assert [m.license for m in found] == ["Apache-2.0-header"]
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "AGPL-3.0-header", "LGPL-2.1-header", "MPL-2.0-header"):
+        assert [m.license for m in scanner.scan(licenses.NOTICES[name])] == [name]
+
+
+def test_a_notice_whose_paragraphs_are_swapped(scanner):
+    words = WORD.findall(licenses.NOTICES["MIT-body"])
+    half = len(words) // 2
+    found = scanner.scan(" ".join(words[half:] + words[:half]))
+    assert "MIT-body" in {m.license for m in found}

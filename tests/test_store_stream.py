@@ -47,6 +47,38 @@ def test_untouched_buckets_are_not_rewritten(spark):
     assert len(before - files()) == 1 and store.read(spark, root).count() == 500
 
 
+def test_an_upsert_that_fails_midway_is_never_seen(spark, monkeypatch):
+    """Neither while its rows are written nor before its manifest row."""
+    root = scratch_path(spark, "store")
+    rows = spark.range(300).select(F.concat(F.lit("c"), "id").alias("id"), F.lit(1.0).alias("weight"))
+    store.upsert_into(root, rows)
+    state = lambda: sorted(tuple(r) for r in store.read(spark, root).select("id", "weight").collect())
+    before = state()
+    broken = rows.withColumn("weight", F.when(F.col("id") == "c299", F.raise_error(F.lit("lost")).cast("double"))
+                             .otherwise(F.lit(2.0)))
+    with pytest.raises(Exception, match="lost"):
+        store.upsert_into(root, broken)
+    assert state() == before
+    held = store.read(spark, root)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(OSError("no manifest")))
+        with pytest.raises(OSError):
+            store.upsert_into(root, rows.withColumn("weight", F.lit(3.0)))
+    assert state() == before
+    store.upsert_into(root, rows.limit(200).withColumn("weight", F.lit(4.0)))
+    assert [w for _, w in state()].count(4.0) == 200 and len(state()) == 300
+    assert held.filter("weight = 1").count() == 300  # a reader keeps the version it began with
+
+
+def test_an_empty_first_batch_makes_an_empty_store(spark):
+    root = scratch_path(spark, "store")
+    none = spark.createDataFrame([], "id string, weight double")
+    store.upsert_into(root, none)
+    assert store.read(spark, root).count() == 0
+    store.upsert_into(root, spark.createDataFrame([("a", 1.0)], none.schema))
+    assert store.read(spark, root).count() == 1
+
+
 def test_reset_is_an_epoch(spark):
     root = scratch_path(spark, "store")
     assert store.read(spark, root) is None and store.epoch(spark, root) == store.OLDEST

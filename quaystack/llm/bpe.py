@@ -11,7 +11,8 @@ the merges produce. A position that proves a dead end is closed for good,
 so each is tried once.
 
 Edge cases: a null or empty text has no ids and decodes to no bytes. Null
-ids, repeated rows and extra columns pass through. A piece of any length is
+ids, repeated rows and extra columns pass through; of a column called like
+the decoded bytes only these are kept. A piece of any length is
 encoded whole. Ids outside the vocabulary fail when decoded. The
 vocabulary file must be readable where tasks run, as an installed package
 is.
@@ -31,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from quaystack.llm.common import ready, texts
+from quaystack.llm.common import column, ready, texts
 
 #: Entries that a memo may hold before it starts anew; it bounds a worker's
 #: memory and never changes a result.
@@ -216,6 +217,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids",
            out_col: str = "decoded") -> DataFrame:
     """``df`` with the bytes that each row's ids stand for."""
     ready(df.sparkSession)
+    df = df.select(*(column(n) for n in df.columns if n != out_col))
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())])
     at = df.columns.index(ids_col)
 

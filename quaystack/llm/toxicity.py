@@ -15,8 +15,9 @@ table that has grades is used as it is.
 Edge cases: a null or empty text has no words and gets the score of the
 bias alone; null ids are scored but never trained on. Of several labels of
 one document the largest counts. Repeated rows score alike. Without any
-toxic row in the training sample every document has severity 0. Extra
-columns stay.
+toxic row in the training sample every document has severity 0. Texts of any
+length are read whole. Extra columns stay; of one called like a result only
+the result is kept.
 """
 
 from __future__ import annotations
@@ -209,9 +210,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 ["id", "y", "words"])
 
     id_type = rows.schema["id"].dataType.simpleString()
+    # One row a sampled id: of an id with many texts the least words.
     found = (rows.join(F.broadcast(sample), "id").select("id", "y", "text")
-             .mapInArrow(run, f"id {id_type}, y int, words string").toPandas())
-    found = found.sort_values(["id", "words"], kind="stable")
+             .mapInArrow(run, f"id {id_type}, y int, words string")
+             .groupBy("id", "y").agg(F.min("words").alias("words")).toPandas())
+    found = found.sort_values("id", kind="stable")
     sets = [set(map(sys.intern, w.split())) for w in found["words"]]
     y = np.maximum(found["y"].to_numpy(dtype=np.int64), 0)
     features = select_features(sets, y)

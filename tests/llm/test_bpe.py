@@ -109,3 +109,11 @@ def test_query(spark, small):
         want[i] = (len(ids), sha(" ".join(map(str, ids)).encode()), sha(t.encode()))
     assert got == want
     assert np.int32  # ids are 32-bit
+
+
+def test_a_column_called_like_the_result_gives_way(spark, docs):
+    from pyspark.sql import functions as F
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    clash = bpe.encode(docs, path, PATTERN).withColumn("decoded", F.lit("old"))
+    made = bpe.decode(clash, path, PATTERN)
+    assert made.columns.count("decoded") == 1 and made.filter(F.col("decoded") == F.lit(b"old")).count() == 0

@@ -93,3 +93,13 @@ def test_edge_cases(spark, docs, empty):
     assert not any(r["toxic"] for r in rows)
     out = toxicity.grade(empty, toxicity.train(empty, labels))
     assert out.count() == 0 and out.columns[:len(empty.columns)] == empty.columns
+
+
+def test_an_id_with_many_rows_trains_once(spark):
+    """A third of all rows share one id: the model is that of one row of it."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    hot = labels.join(docs, "doc_id").orderBy("doc_id").select("doc_id", "text").limit(1)
+    many = docs.unionByName(hot.crossJoin(spark.range(100)).select("doc_id", "text"))
+    a, b = toxicity.train(docs, labels), toxicity.train(many, labels)
+    assert a.threshold == b.threshold and str(a) == str(b)

@@ -36,7 +36,7 @@ from quaystack.llm.common import column, ready, texts
 
 #: Entries that a memo may hold before it starts anew; it bounds a worker's
 #: memory and never changes a result.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 600_000
 #: Longer stretches of text are encoded each time.
 MEMO_CHARS = 64
 #: A space that touches other white space, or white space besides space and

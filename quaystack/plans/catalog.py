@@ -629,7 +629,7 @@ def dual_rules(spark, sf):
 
 def forget() -> None:
     """Drop what earlier queries of the session stored: the next one starts cold."""
-    for stored in (_RECONCILED, _BATCHED, _DUAL, ctx._MATERIALISED):
+    for stored in (_RECONCILED, _BATCHED, _DUAL, _UPLOADED, ctx._MATERIALISED):
         stored.clear()
 
 
@@ -910,3 +910,71 @@ def batch_violations(spark, sf):
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("edd_violation").cast("int")).cast("long").alias("edd_violations"),
         F.sum(F.col("weight_violation").cast("int")).cast("long").alias("weight_violations"))
+
+
+# --- uploads through to the yard ----------------------------------------------------
+from datetime import datetime  # noqa: E402
+
+_UPLOADED: dict = {}
+
+
+def _uploads(spark, sf, streamed: bool = True):
+    """A terminal after two uploads, stored once per session and input: a
+    snapshot of some containers, then all snapshot records and the arrivals."""
+    key = (id(spark), spark.sparkContext.applicationId, sf, streamed)
+    if key not in _UPLOADED:
+        from quaystack.plans import upload
+        landing, root, ck = (scratch_path(spark, n) for n in ("uploads", "terminal", "terminal-ckpt"))
+        raw, at = ctx.raw(spark, sf), datetime.fromisoformat(T1)
+        upload.set_up(spark, root, Y)
+        snap = raw.filter(F.col("batch") == "snapshot")
+        for n, sides in enumerate(({"snapshot": snap.filter(F.col("store_version") == 1)},
+                                   {"snapshot": snap, "arrivals": raw.filter(F.col("batch") == "arrivals")})):
+            for kind, rows in sides.items():
+                bronze.write_upload(rows, landing, n, kind)
+            if streamed:
+                upload.stream(spark, landing, root, ck, at)
+        if not streamed:
+            upload.run(spark, landing, root, at)
+        _UPLOADED[key] = root
+    return _UPLOADED[key]
+
+
+@query("upload_outcomes")
+def upload_outcomes(spark, sf):
+    from quaystack.plans import upload
+    return upload.outcomes(spark, _uploads(spark, sf)).select(
+        "upload", "kind", "id", "audit", "outcome", "stage", "tier")
+
+
+@query("upload_yard")
+def upload_yard(spark, sf):
+    """What stands in the yard after both uploads came as a stream."""
+    from quaystack.plans import upload
+    return upload.standing(spark, _uploads(spark, sf)).select(*yard.SLOT, "id")
+
+
+@query("upload_yard_batch")
+def upload_yard_batch(spark, sf):
+    """The same after both landed first and one batch run took them."""
+    from quaystack.plans import upload
+    return upload.standing(spark, _uploads(spark, sf, streamed=False)).select(*yard.SLOT, "id")
+
+
+@query("upload_store")
+def upload_store(spark, sf):
+    from quaystack.plans import upload
+    return _store_out(upload.stored(spark, _uploads(spark, sf))).drop("imported_at")
+
+
+@query("upload_report")
+def upload_report(spark, sf):
+    from quaystack.plans import upload
+    return upload.report(spark, _uploads(spark, sf))
+
+
+@query("upload_document")
+def upload_document(spark, sf):
+    """The KPI document of the second upload, by value."""
+    from quaystack.plans import upload
+    return gold.flat_document(upload.document(spark, _uploads(spark, sf), 1))

@@ -790,3 +790,118 @@ q("dual_rules", """
 SELECT 0 AS weight_breaches_primary, 0 AS departure_breaches_strict, 0 AS floating, 0 AS wrong_zone,
        0 AS shared_slots, count(*) AS records, count(*) AS ids
 FROM silver""")
+
+# --- two uploads through to the yard --------------------------------------------------
+# The first is a snapshot of some containers, the second brings every snapshot
+# record and the arrivals; each side of an upload is cleaned by itself.
+UPLOADED = "TIMESTAMP '2026-03-04 10:00:00'"
+SLOT_KEYS = f"{PILE_KEYS}, tier"
+SIDES = {"u1": "batch = 'snapshot' AND store_version = 1", "w1": "batch = 'snapshot'", "a1": "batch = 'arrivals'"}
+
+
+def _side(name: str, condition: str) -> str:
+    labelled = _alone.replace("labelled_f AS", f"{name}l AS").replace("FROM typed", f"FROM typed WHERE {condition}")
+    return (f"{labelled},\n{name} AS MATERIALIZED (SELECT * EXCLUDE (_ingestion_time), {UPLOADED} AS _ingestion_time, "
+            f"{loc_cols()} FROM {name}l WHERE anomaly_reason IS NULL)")
+
+
+def reconcile_ctes(p: str, records: str, standing: str) -> str:
+    """CTEs of the audit of ``records`` in a yard holding ``standing``:
+    ``{p}audit`` (id, outcome) and ``{p}fixed``, the slots taken."""
+    def holders(tier: int) -> str:
+        below = "" if tier == 1 else (f" LEFT JOIN (SELECT {PILE_KEYS}, departure_time AS bdep FROM {p}h{tier - 1}) b "
+                                      f"USING ({PILE_KEYS})")
+        fits = "" if tier == 1 else " AND (b.bdep IS NULL OR c.departure_time <= b.bdep)"
+        return f"""{p}h{tier} AS MATERIALIZED (
+  SELECT {SLOT_KEYS}, id, departure_time FROM (
+    SELECT c.*, row_number() OVER (PARTITION BY {SLOT_KEYS}
+             ORDER BY departure_time, weight, size, type, slot, id) AS hn
+    FROM (SELECT c.* FROM {p}claims c{below}
+          WHERE c.tier = {tier}{fits}
+            AND (c.yard_id, c.block_id, c.bay, c.row, c.tier) NOT IN (SELECT ({SLOT_KEYS}) FROM {standing})) c)
+  WHERE hn = 1
+  UNION ALL SELECT {SLOT_KEYS}, id, departure_time FROM {standing} WHERE tier = {tier})"""
+    return f"""{p}pre AS MATERIALIZED (
+  SELECT *, CASE WHEN trim(coalesce(slot, '')) = '' THEN 'NO_SLOT' WHEN tier IS NULL THEN 'BAD_LOCATION'
+                 WHEN zone IS NULL THEN 'WRONG_ZONE' END AS _pre,
+         coalesce(block_id IN ({BLOCK_LIST}) AND bay BETWEEN 1 AND {NBAYS} AND row BETWEEN 1 AND {NROWS}
+                  AND tier BETWEEN 1 AND {MAXH}, false) AS _in_grid
+  FROM (SELECT *, {ZONE} AS zone FROM {records})),
+{p}claims AS (SELECT * FROM {p}pre WHERE _pre IS NULL AND _in_grid),
+{', '.join(map(holders, TIERS))},
+{p}held AS ({' UNION ALL '.join(f'SELECT * FROM {p}h{t}' for t in TIERS)}),
+{p}audit AS MATERIALIZED (
+  SELECT c.id, CASE WHEN m.hid = c.id THEN 'PLACED'
+                    WHEN b.bdep IS NOT NULL AND c.departure_time > b.bdep THEN 'WOULD_REHANDLE'
+                    ELSE 'SLOT_TAKEN' END AS outcome
+  FROM {p}claims c
+  LEFT JOIN (SELECT {PILE_KEYS}, tier + 1 AS tier, departure_time AS bdep FROM {p}held) b USING ({SLOT_KEYS})
+  LEFT JOIN (SELECT {SLOT_KEYS}, id AS hid FROM {p}held) m USING ({SLOT_KEYS})
+  UNION ALL
+  SELECT id, coalesce(_pre, 'SLOT_TAKEN') FROM {p}pre WHERE _pre IS NOT NULL OR NOT _in_grid),
+{p}fixed AS MATERIALIZED (
+  SELECT r.yard_id, r.block_id, r.bay, r.row, r.tier, r.id, r.size, r.weight, r.type, r.departure_time
+  FROM {records} r JOIN {p}audit a ON a.id = r.id AND a.outcome = 'PLACED')"""
+
+
+_STANDING = f"{SLOT_KEYS}, id, size, weight, type, departure_time"
+UPLOADS = RECURSIVE + ",\n" + ",\n".join(_side(n, c) for n, c in SIDES.items()) + f""",
+nobody AS (SELECT {_STANDING} FROM u1 WHERE false),
+{reconcile_ctes('u', 'u1', 'nobody')},
+utodo AS (SELECT {TODO_COLS} FROM u1 WHERE id NOT IN (SELECT id FROM ufixed)),
+{place_ctes('u', 'ufixed', 'utodo')},
+ufinal AS MATERIALIZED (
+  SELECT {_STANDING}, 'yard' AS status FROM ufixed
+  UNION ALL SELECT {_STANDING}, 'expected' FROM uplaced WHERE tier IS NOT NULL),
+wnew AS MATERIALIZED (SELECT * FROM w1 WHERE id NOT IN (SELECT id FROM ufinal)),
+{reconcile_ctes('w', 'wnew', 'ufinal')},
+wyard AS MATERIALIZED (SELECT {_STANDING} FROM ufinal UNION ALL SELECT {_STANDING} FROM wfixed),
+wtodo AS (
+  SELECT {TODO_COLS} FROM wnew WHERE id NOT IN (SELECT id FROM wfixed)
+  UNION ALL SELECT {TODO_COLS} FROM a1
+  WHERE id NOT IN (SELECT id FROM ufinal) AND id NOT IN (SELECT id FROM wnew)),
+{place_ctes('w', 'wyard', 'wtodo')},
+wfinal AS MATERIALIZED (
+  SELECT {_STANDING}, 'yard' AS status, {UPLOADED} AS _ingestion_time FROM wfixed
+  UNION ALL SELECT {_STANDING}, 'expected', {UPLOADED} FROM wplaced WHERE tier IS NOT NULL),
+said AS MATERIALIZED (
+  SELECT 0 AS upload, 'snapshot' AS kind, r.id, a.outcome AS audit, coalesce(p.outcome, a.outcome) AS outcome,
+         CASE WHEN p.id IS NULL THEN 0 ELSE p.stage END AS stage,
+         CASE WHEN p.id IS NULL THEN r.tier ELSE p.tier END AS tier
+  FROM u1 r JOIN uaudit a USING (id) LEFT JOIN uplaced p USING (id)
+  UNION ALL
+  SELECT 1, 'snapshot', r.id, a.outcome, coalesce(p.outcome, a.outcome, 'DUPLICATE'),
+         CASE WHEN a.id IS NULL THEN NULL WHEN p.id IS NULL THEN 0 ELSE p.stage END,
+         CASE WHEN a.id IS NULL THEN NULL WHEN p.id IS NULL THEN r.tier ELSE p.tier END
+  FROM w1 r LEFT JOIN waudit a USING (id) LEFT JOIN wplaced p USING (id)
+  UNION ALL
+  SELECT 1, 'arrivals', r.id, NULL, coalesce(p.outcome, 'DUPLICATE'), p.stage, p.tier
+  FROM a1 r LEFT JOIN (SELECT * FROM wplaced WHERE id NOT IN (SELECT id FROM wnew)) p USING (id))
+"""
+SQL["upload_outcomes"] = UPLOADS + "SELECT upload, kind, id, audit, outcome, stage, tier FROM said"
+SQL["upload_yard"] = UPLOADS + f"""
+SELECT {SLOT_KEYS}, id FROM ufinal UNION ALL SELECT {SLOT_KEYS}, id FROM wfinal"""
+SQL["upload_yard_batch"] = SQL["upload_yard"]
+SQL["upload_store"] = UPLOADS + f"""
+SELECT id, size, weight, type, strftime(departure_time, {TS}) AS departure_time, status,
+       printf('%s-%03d-%s-%02d', block_id, bay, chr(CAST(row + 64 AS INTEGER)), tier) AS slot
+FROM (SELECT {_STANDING}, status FROM ufinal UNION ALL SELECT {_STANDING}, status FROM wfinal)"""
+SQL["upload_report"] = UPLOADS + """
+SELECT upload, count(*) FILTER (WHERE kind = 'snapshot') AS snapshot_received,
+       count(*) FILTER (WHERE outcome = 'PLACED') AS placed_fixed,
+       count(*) FILTER (WHERE kind = 'snapshot' AND outcome NOT IN ('PLACED', 'DUPLICATE')) AS rescued,
+       count(*) FILTER (WHERE kind = 'snapshot' AND outcome = 'DUPLICATE') AS snapshot_known,
+       count(*) FILTER (WHERE kind = 'arrivals') AS arrivals_received,
+       count(*) FILTER (WHERE stage > 0) AS placed_by_search,
+       count(*) FILTER (WHERE kind = 'arrivals' AND outcome = 'DUPLICATE') AS arrivals_known,
+       count(*) FILTER (WHERE outcome = 'UNPLACED') AS unplaced,
+       count(*) FILTER (WHERE tier IS NOT NULL) AS total_placed
+FROM said GROUP BY upload"""
+SQL["upload_document"] = UPLOADS + """,
+wrisk AS (
+  SELECT *, CASE WHEN lead(departure_time) OVER w IS NOT NULL AND departure_time < lead(departure_time) OVER w
+                 THEN 1 ELSE 0 END AS is_rehandle_risk
+  FROM wfinal WINDOW w AS (PARTITION BY yard_id, block_id, bay, row ORDER BY tier)),
+wlabelled AS (SELECT anomaly_reason FROM w1l UNION ALL SELECT anomaly_reason FROM a1l)
+""" + (SQL["kpi_document_flat"].split(PRELUDE, 1)[1].replace("FROM silver", "FROM wfinal")
+       .replace("FROM risk", "FROM wrisk").replace("FROM labelled", "FROM wlabelled"))

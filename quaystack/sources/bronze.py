@@ -27,14 +27,15 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_lineage(df: DataFrame, storage_mode: str, ingestion_time: datetime | None = None,
-                 meta: str = "_metadata") -> DataFrame:
+                 meta: str = "_metadata", keep: list[str] | tuple = ()) -> DataFrame:
     """Ingestion time, source file name and storage mode, plus ``_rk``: the
     record's position (file, split start, row order within the split), a
     deterministic first-row order for dedup once the batch is written.
-    ``meta`` names the file-metadata struct (a stream selects it up front)."""
+    ``meta`` names the file-metadata struct (a stream selects it up front);
+    ``keep`` names columns that stay beside the raw ones."""
     ts = (ingestion_time or datetime.now(timezone.utc)).strftime("%Y-%m-%d %H:%M:%S.%f")
     return df.select(
-        *RAW_COLUMNS,
+        *RAW_COLUMNS, *keep,
         F.lit(ts).cast("timestamp").alias("_ingestion_time"),
         F.col(f"{meta}.file_name").alias("_source_file"),
         F.lit(storage_mode).alias("_storage_mode"),
@@ -64,6 +65,15 @@ def archive(bronze: DataFrame, path: str) -> None:
 
 def write_landing(raw: DataFrame, path: str, key: str = "yard_id") -> None:
     """Lay raw records down as CSV files the way an upload would arrive, the
-    records of one ``key`` in one file; adaptive execution sizes the files."""
-    (raw.repartition(key).select(*RAW_COLUMNS)
+    records of one ``key`` together; adaptive execution joins small ones and
+    splits a large one over files."""
+    (raw.hint("rebalance", key).select(*RAW_COLUMNS)
      .write.mode("overwrite").option("header", "true").options(**KEEP_SPACE).csv(path))
+
+
+def write_upload(raw: DataFrame, landing: str, upload: int, kind: str) -> None:
+    """Lay records down as one side of an upload: CSV files by yard in
+    ``upload=<n>/kind=<kind>/yard_id=<yard>``."""
+    (raw.hint("rebalance", "yard_id").select(*RAW_COLUMNS, "yard_id")
+     .write.mode("overwrite").partitionBy("yard_id").option("header", "true").options(**KEEP_SPACE)
+     .csv(f"{landing}/upload={upload}/kind={kind}"))

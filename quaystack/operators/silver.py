@@ -55,17 +55,18 @@ def domain_ok(default_type: bool = False) -> Column:
 
 
 def label(typed_df: DataFrame, order_cols: list[str], row_key: str = "_rk",
-          default_type: bool = False) -> DataFrame:
-    """Add ``anomaly_reason``: null-critical, then duplicate, then domain."""
+          default_type: bool = False, within: list[str] | tuple = ()) -> DataFrame:
+    """Add ``anomaly_reason``: null-critical, then duplicate, then domain.
+    An id may come once in each value of the columns ``within``."""
     key = F.struct(*[F.col(c) for c in order_cols], F.col(row_key))
     # Rows without a critical value need no first row, so they stay out of
     # the join: null ids would all meet in one task.
     broken = typed_df.filter(null_critical()).withColumn("anomaly_reason", F.lit(NULL_CRITICAL))
     df = typed_df.filter(~null_critical()).withColumn("_key", key)
-    firsts = df.groupBy("id").agg(F.min("_key").alias("_first"))
+    firsts = df.groupBy("id", *within).agg(F.min("_key").alias("_first"))
     reason = (F.when(F.col("_key") != F.col("_first"), F.lit(DUPLICATE_ID))
               .when(~domain_ok(default_type), F.lit(DOMAIN_VIOLATION)))
-    out = (df.join(firsts, "id").withColumn("anomaly_reason", reason).drop("_key", "_first")
+    out = (df.join(firsts, ["id", *within]).withColumn("anomaly_reason", reason).drop("_key", "_first")
            .unionByName(broken))
     if default_type:
         out = out.withColumn("type", F.when(F.col("type").isin(ALLOWED_TYPES), F.col("type"))
@@ -139,12 +140,12 @@ class SilverResult:
 
 
 def process(raw: DataFrame, order_cols: list[str], keep=(), row_key: str = "_rk",
-            default_type: bool = False) -> SilverResult:
+            default_type: bool = False, within: list[str] | tuple = ()) -> SilverResult:
     """Typed rows are stored once: finding first rows and labelling read the
     narrow copy, so the raw source is scanned and parsed a single time."""
     keep = list(keep) + ([row_key] if row_key not in keep else [])
     stored = materialise(typed(raw, keep), "silver-typed")
-    return SilverResult(label(stored, order_cols, row_key, default_type))
+    return SilverResult(label(stored, order_cols, row_key, default_type, within))
 
 
 # --- sinks ---------------------------------------------------------------------

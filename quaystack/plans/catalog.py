@@ -915,6 +915,8 @@ def batch_violations(spark, sf):
 # --- uploads through to the yard ----------------------------------------------------
 from datetime import datetime  # noqa: E402
 
+from quaystack.functions.parse import round_half_up  # noqa: E402
+
 _UPLOADED: dict = {}
 
 
@@ -978,3 +980,34 @@ def upload_document(spark, sf):
     """The KPI document of the second upload, by value."""
     from quaystack.plans import upload
     return gold.flat_document(upload.document(spark, _uploads(spark, sf), 1))
+
+
+@query("stream_kpi_state")
+def stream_kpi_state(spark, sf):
+    """The kept KPIs after each of two uploads: the snapshot, the arrivals."""
+    from functools import reduce
+    landing, out, ck, kpis, kpi_ck = (scratch_path(spark, n) for n in (
+        "landing", "stream-out", "stream-ckpt", "kpi-state", "kpi-state-ckpt"))
+    after = []
+    for n, batch in enumerate(("snapshot", "arrivals"), 1):
+        bronze.write_landing(ctx.raw(spark, sf).filter(F.col("batch") == batch), f"{landing}/upload-{n}")
+        stream_ingest_mod.run_ingest(spark, f"{landing}/upload-*", out, ck)
+        stream_ingest_mod.keep_kpis(spark, f"{out}/clean", kpis, kpi_ck)
+        after.append(stream_ingest_mod.current_kpis(spark, kpis).withColumn("uploads", F.lit(n)))
+    u = reduce(lambda a, b: a.unionByName(b), after)
+    return u.select("uploads", "type", "size", "cnt", "min_weight", "max_weight",
+                    round_half_up(F.col("avg_weight"), 4).alias("avg_weight"),
+                    round_half_up(F.col("stddev_weight"), 4).alias("stddev_weight"),
+                    ctx.ts_text("first_departure").alias("first_departure"),
+                    ctx.ts_text("last_departure").alias("last_departure"))
+
+
+@query("bronze_lines")
+def bronze_lines(spark, sf):
+    """Records, different (file, line) pairs, and the files' last lines summed up."""
+    stored = bronze.write_batch(bronze.ingest(spark, _landing(spark, sf)), scratch_path(spark, "bronze"))
+    per_file = bronze.with_lines(stored).groupBy("_source_file").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("_line").alias("d"), F.max("_line").alias("last"),
+        F.min("_line").alias("first"))
+    return per_file.agg(F.sum("n").alias("records"), F.sum("d").alias("lines"), F.sum("last").alias("last_lines"),
+                        F.count_if(F.col("first") != 1).alias("late_starts"))

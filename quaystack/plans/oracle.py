@@ -905,3 +905,16 @@ wrisk AS (
 wlabelled AS (SELECT anomaly_reason FROM w1l UNION ALL SELECT anomaly_reason FROM a1l)
 """ + (SQL["kpi_document_flat"].split(PRELUDE, 1)[1].replace("FROM silver", "FROM wfinal")
        .replace("FROM risk", "FROM wrisk").replace("FROM labelled", "FROM wlabelled"))
+
+# --- kept KPI state, line numbers ------------------------------------------------------
+# An id that the first upload kept is refused in the second.
+_both = ("(SELECT * FROM w1l WHERE anomaly_reason IS NULL UNION ALL SELECT * FROM a1l "
+         "WHERE anomaly_reason IS NULL AND id NOT IN (SELECT id FROM w1l WHERE anomaly_reason IS NULL))")
+SQL["stream_kpi_state"] = PRELUDE + ",\n" + ",\n".join(_side(n, SIDES[n]) for n in ("w1", "a1")) + " UNION ALL ".join(
+    f"""
+SELECT {n} AS uploads, type, size, count(*) AS cnt, min(weight) AS min_weight, max(weight) AS max_weight,
+       {rhu("avg(weight)", 4)} AS avg_weight, {rhu("stddev_samp(weight)", 4)} AS stddev_weight,
+       strftime(min(departure_time), {TS}) AS first_departure, strftime(max(departure_time), {TS}) AS last_departure
+FROM {rows} GROUP BY type, size""" for n, rows in (
+        (1, "(SELECT * FROM w1l WHERE anomaly_reason IS NULL)"), (2, _both)))
+q("bronze_lines", "SELECT count(*) AS records, count(*) AS lines, count(*) AS last_lines, 0 AS late_starts FROM raw")

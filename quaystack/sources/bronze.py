@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quaystack.schema import RAW_COLUMNS, RAW_SCHEMA
@@ -50,6 +50,21 @@ def ingest(spark: SparkSession, path: str, storage_mode: str = "local",
     return with_lineage(read_raw(spark, path), storage_mode, ingestion_time)
 
 
+def with_lines(stored: DataFrame) -> DataFrame:
+    """Add ``_line``, a record's number in its file from 1, to a stored
+    bronze frame: the records of the file's splits before its own, plus its
+    place in its split. It depends on the file alone, not on how Spark cut or
+    numbered the tasks. Only the splits are counted, map-side, and summed up
+    along a file; records are not sorted."""
+    split = stored.groupBy(F.col("_rk.f").alias("_f"), F.col("_rk.b").alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_rk.r").alias("_r"))
+    before = F.sum("_n").over(Window.partitionBy("_f").orderBy("_b")) - F.col("_n")
+    starts = split.select("_f", "_b", (before + 1 - F.col("_r")).alias("_start"))
+    on = (F.col("_rk.f") == F.col("_f")) & (F.col("_rk.b") == F.col("_b"))
+    return stored.join(starts, on).withColumn("_line", F.col("_rk.r") + F.col("_start")).drop(
+        "_f", "_b", "_start")
+
+
 def write_batch(bronze: DataFrame, path: str) -> DataFrame:
     """Bronze batch directory (overwrite), read back for downstream use so
     the row keys are fixed by the stored copy."""

@@ -11,9 +11,11 @@ its own. Equal roots mean equal texts; walking down the differing branch
 finds the first edited section, paragraph and leaf.
 
 Edge cases: a null text counts as empty: one empty paragraph, no leaves.
-Two trees without leaves are alike 1. Null ids sort before all others;
-repeated rows are neighbours of each other, ordered by text. An empty table
-gives no rows. Ids are integers.
+Two trees without leaves are alike 1. Texts of any length are read whole.
+Null ids sort before all others; rows of one id are neighbours, ordered by
+a hash of their text and the text, and an id of many rows is spread over
+blocks by that hash. Other columns are left aside, whatever their names. An
+empty table gives no rows. Ids are integers.
 """
 
 from __future__ import annotations
@@ -103,7 +105,7 @@ def first_difference(a: str, b: str) -> Column:
         paragraph.alias("paragraph"), leaf.alias("leaf")))
 
 
-def _block(order: Column, edges: np.ndarray) -> Column:
+def _at_most(order: Column, edges: np.ndarray) -> Column:
     """How many of the sorted ``edges`` are at most ``order``, in two steps."""
     step = math.isqrt(len(edges)) + 1
     below = lambda arr: F.size(F.filter(arr, lambda e: e <= order))
@@ -111,15 +113,29 @@ def _block(order: Column, edges: np.ndarray) -> Column:
     return start + below(F.slice(F.lit(edges), start + 1, F.lit(step)))
 
 
+def _block(order: Column, spread: Column, edges: np.ndarray) -> Column:
+    """The block of a row. An id that fills several quantiles stands in
+    ``edges`` as often: its rows are dealt over as many blocks by ``spread``,
+    from 0 to 2^63."""
+    single, times = np.unique(edges, return_counts=True)
+    first = np.concatenate([[0], np.cumsum(times)[:-1]])
+    here = _at_most(order, single)
+    of = lambda values: F.get(F.lit(values), F.greatest(here - 1, F.lit(0)))
+    share = F.least(F.floor(spread / F.lit(2.0**63) * of(times)), of(times) - 1)
+    return F.when(here == 0, F.lit(-1)).otherwise(
+        of(first) + F.when(of(single) == order, share).otherwise(of(times) - 1)).cast("long")
+
+
 def with_next_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(id, text, next_text)``: the text of the next row by ascending id,
     after the last row that of the first.
 
-    Ids are cut into blocks of neighbouring ids at approximate quantiles and
-    texts are shuffled once, by block. The rows with a block's first id also
-    go to the block before as guests, so every row finds its successor in its
-    own block; no window runs over all rows.
+    Rows are cut into blocks of neighbouring ids at approximate quantiles, an
+    id of more rows than a block by its texts' hashes too. Texts are shuffled
+    once, by block. A block's first row also goes to the block before as a
+    guest, so every row finds its successor in its own block; no window runs
+    over all rows.
     """
     rows = texts(df, id_col, text_col).withColumn(
         "ord", F.coalesce(F.col("id").cast("long"), F.lit(_FIRST_ID)))
@@ -129,21 +145,22 @@ def with_next_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     blocks = min(max(1, math.ceil(n / block_rows)), MOST_BLOCKS)
     cuts = rows.agg(F.percentile_approx("ord", [i / blocks for i in range(blocks)],
                                         max(10_000, 20 * blocks)).alias("q")).first()["q"]
-    edges = np.array(sorted(set(cuts)), dtype=np.int64)
-    rows = rows.withColumn("block", _block(F.col("ord"), edges))
+    edges = np.array(sorted(cuts), dtype=np.int64)
+    rows = rows.withColumn("hash", F.shiftrightunsigned(F.xxhash64("text"), 1)).withColumn(
+        "block", _block(F.col("ord"), F.col("hash"), edges))
 
-    # One row a block, MOST_BLOCKS at most: small enough to send everywhere.
-    heads = rows.groupBy("block").agg(F.min("ord").alias("head"))
+    # One row a block, MOST_BLOCKS + 1 at most: small enough to send everywhere.
+    heads = rows.groupBy("block").agg(F.min(F.struct("ord", "hash")).alias("head"))
     line = Window.orderBy("block")
     heads = heads.select(
         "block", "head", F.coalesce(F.lag("block").over(line), F.max("block").over(
             line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
-    placed = rows.join(F.broadcast(heads), "block").select("id", "text", "ord", F.explode(
-        F.when(F.col("ord") == F.col("head"),
-               F.array(F.struct(F.col("block"), F.lit(0).alias("guest")),
-                       F.struct(F.col("before").alias("block"), F.lit(1).alias("guest"))))
-        .otherwise(F.array(F.struct(F.col("block"), F.lit(0).alias("guest"))))).alias("p"))
-    near = Window.partitionBy("block").orderBy("guest", "ord", "text")
-    return (placed.select("id", "text", "ord", "p.*")
+    first = (rows.join(F.broadcast(heads), "block")
+             .filter((F.col("ord") == F.col("head.ord")) & (F.col("hash") == F.col("head.hash")))
+             .groupBy("before").agg(F.min(F.struct("ord", "hash", "text", "id")).alias("r")))
+    guests = first.select("r.id", "r.text", "r.ord", "r.hash", F.col("before").alias("block"),
+                          F.lit(1).alias("guest"))
+    near = Window.partitionBy("block").orderBy("guest", "ord", "hash", "text")
+    return (rows.withColumn("guest", F.lit(0)).unionByName(guests)
             .withColumn("next_text", F.lead("text").over(near))
             .filter("guest = 0").select("id", "text", "next_text"))

@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from quaystack.llm import merkle
 from tests.llm.conftest import ROWS, frame
 
@@ -58,11 +61,43 @@ def test_next_text_of_ties_nulls_and_repeated_rows(spark):
     rows = [(None, "n"), (1, "b"), (1, "a"), (1, "a"), (2, "c"), (2**62, "z"), (-2**62, "y")]
     got = sorted((str(r["id"]), r["text"], r["next_text"]) for r in merkle.with_next_text(
         frame(spark, rows), block_rows=1).collect())
-    chain = [(None, "n"), (-2**62, "y"), (1, "a"), (1, "a"), (1, "b"), (2, "c"), (2**62, "z")]
+    chain = sorted(rows, key=place(spark, rows))
     want = sorted((str(i), t, chain[(n + 1) % len(chain)][1]) for n, (i, t) in enumerate(chain))
     assert got == want
 
 
+def place(spark, rows):
+    """The order of rows: id (null first), hash of the text, text."""
+    hashes = {t: h for t, h in spark.createDataFrame([(t,) for _, t in rows], "t string").selectExpr(
+        "t", "shiftrightunsigned(xxhash64(t), 1)").collect()}
+    return lambda row: (row[0] is not None, row[0] or 0, hashes[row[1]], row[1])
+
+
+def test_hot_ids_are_spread_over_blocks(spark):
+    rng = random.Random(8)
+    rows = ([(7, f"hot {i}") for i in range(300)] + [(None, f"null {i}") for i in range(300)]
+            + [(i, f"own {i}") for i in rng.sample(range(-200, 200), 300)])
+    chain = sorted(rows, key=place(spark, rows))
+    linked = merkle.with_next_text(frame(spark, rows), block_rows=20)
+    want = {(i, t): chain[(n + 1) % len(chain)][1] for n, (i, t) in enumerate(chain)}
+    assert {(r["id"], r["text"]): r["next_text"] for r in linked.collect()} == want
+    edges = np.array(sorted([7] * 15 + [-100, 100]))
+    blocks = spark.range(300).selectExpr("shiftrightunsigned(xxhash64(concat('hot ', id)), 1) h").select(
+        merkle._block(F.lit(7), F.col("h"), edges).alias("b")).groupBy("b").count().collect()
+    assert len(blocks) == 15 and max(r["count"] for r in blocks) < 45
+
+
+def test_texts_of_twenty_thousand_words(spark):
+    rng = random.Random(5)
+    text = "\n".join(" ".join(f"w{rng.randrange(999)}" for _ in range(k)) for k in (15_000, 1, 5_000, 900))
+    rows = [(1, text), (2, text + " end"), (3, "short")]
+    got = {r["doc_id"]: r["tree"] for r in merkle.merkle_trees(frame(spark, rows)).collect()}
+    for i, t in rows:
+        root, sections, paragraphs, leaves = tree(t)
+        assert (got[i]["root"], got[i]["sections"], got[i]["paragraphs"], got[i]["leaves"]) == (
+            root, sections, paragraphs, leaves)
+
+
 def test_one_row_and_empty_table(spark, empty):
     assert [r["next_text"] for r in merkle.with_next_text(frame(spark, [(5, "me")])).collect()] == ["me"]
     assert merkle.with_next_text(empty).count() == 0
@@ -70,7 +105,6 @@ def test_one_row_and_empty_table(spark, empty):
 
 
 def test_first_difference_locates_the_edit(spark):
-    from pyspark.sql import functions as F
     base = "\n".join(" ".join(f"w{p}x{i}" for i in range(30)) for p in range(40))
     rng = random.Random(4)
     rows = []
@@ -94,7 +128,6 @@ def test_first_difference_locates_the_edit(spark):
         assert (r["d"]["paragraph"], r["d"]["leaf"]) == (p, leaf)
         assert tree(r["a"])[1][r["d"]["section"]] not in tree(r["b"])[1]
         assert 0.9 < r["l"] < 1.0
-    assert F  # keeps the import local
 
 
 def test_query_contract(spark, small):

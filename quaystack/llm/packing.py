@@ -9,16 +9,20 @@ sequence start is a sliding-window minimum, kept by a monotone queue, so
 time is linear in the cuts; starts at exactly a power of two tokens back,
 which need no padding, are looked at on their own.
 
-Spark deals the texts into id ranges and sorts each; a task streams its
+Spark deals the texts into ranges of ids and sorts each, the rows of one id
+by a hash of their text, so that no id is one task's alone; a task streams its
 range, solving a bounded run of tokens at a time and carrying what lies
 past the last settled cut into the next run. No range waits for another: a
 range's last sequence is split at powers of two where padding it would cost
 more.
 
+Where ranges start depends on the number of partitions, and with it where
+sequences end and how they are numbered.
+
 Edge cases: a null or empty text is its end token alone. Null ids come
 first. Repeated rows are packed once each, next to each other. A document
-longer than a sequence, or than a whole run, is cut into pieces. An empty
-table gives no rows.
+longer than a sequence, or than a whole run, is cut into pieces. Other
+columns are left aside, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -315,8 +319,9 @@ def pack(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id",
     offset. ``ids`` are little-endian unsigned 32-bit, as token files hold
     them. A sequence id is the task's number and the sequence's in it."""
     ready(df.sparkSession)
-    ordered = (texts(df, id_col, text_col).repartitionByRange(F.col("id").asc_nulls_first())
-               .sortWithinPartitions(F.col("id").asc_nulls_first(), "text"))
+    place = F.col("id").asc_nulls_first(), F.col("hash")
+    ordered = (texts(df, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+               .repartitionByRange(*place).sortWithinPartitions(*place, "text").drop("hash"))
     id_type = ordered.schema["id"].dataType.simpleString()
     names = ["id", *(c.split()[0] for c in _PIECES.split(", "))]
     end = np.array([end_id], dtype="<u4").tobytes()

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from quaystack.llm import packing
 from quaystack.llm.packing import Costs
-from tests.llm.conftest import ROWS
+from tests.llm.conftest import ROWS, frame
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -123,3 +123,21 @@ def test_edge_cases(spark, docs, empty, library):
     assert sum(r["length"] for r in rows) == sum(
         len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ROWS)
     assert packing.pack(empty, PATH).count() == 0
+
+
+def test_a_hot_id_is_packed_by_many_tasks(spark):
+    rows = ([(None, f"Nobody said {i}.") for i in range(200)] + [(5, f"Five said {i}.") for i in range(200)]
+            + [(i, f"Number {i}.") for i in range(10, 210)])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = packing.pack(frame(spark, rows), PATH).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for hot in (None, 5):
+        tasks = {}
+        for r in got:
+            if r["doc_id"] == hot:
+                task = r["sequence_id"] >> 40
+                tasks[task] = tasks.get(task, 0) + (r["start"] == 0)
+        assert sum(tasks.values()) == 200 and max(tasks.values()) < 150
+    assert sum(r["start"] == 0 for r in got) == len(rows)

@@ -37,9 +37,9 @@ def frame(spark, turns):
                                  "conv_id long, turn long, role string, text string, speaker string, part long")
 
 
-@pytest.mark.parametrize("part_turns", [1, 2, 64])
-def test_parts_make_up_the_dialogue(spark, part_turns):
-    rows = chat.rotate(frame(spark, TURNS), part_turns=part_turns).collect()
+@pytest.mark.parametrize("part_turns, block_parts", [(1, 2), (2, 1), (64, 4096)])
+def test_parts_make_up_the_dialogue(spark, part_turns, block_parts):
+    rows = chat.rotate(frame(spark, TURNS), part_turns=part_turns, block_parts=block_parts).collect()
     got = {}
     for r in sorted(rows, key=lambda r: r["part"]):
         text, mask = got.setdefault((r["conv_id"], r["speaker"]), ["", []])
@@ -51,11 +51,22 @@ def test_parts_make_up_the_dialogue(spark, part_turns):
 
 def test_long_conversation_of_many_speakers(spark):
     turns = [(9, i, f"p{i % 3}", f"turn {i}") for i in range(500)]
-    rows = chat.rotate(frame(spark, turns)).collect()
+    rows = chat.rotate(frame(spark, turns), block_parts=3).collect()
     assert len(rows) == 3 * 8
+    for speaker in ("p0", "p1", "p2"):
+        at = 0
+        for r in sorted((r for r in rows if r["speaker"] == speaker), key=lambda r: r["part"]):
+            assert r["start"] == at
+            at += len(r["rendered"])
     text = "".join(r["rendered"] for r in sorted(rows, key=lambda r: r["part"]) if r["speaker"] == "p1")
     assert text == render(turns)[9, "p1"][0]
 
 
+def test_no_window_carries_rendered_text(spark):
+    plan = chat.rotate(frame(spark, TURNS))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("rendered" in line or "body" in line for line in windows)
+
+
 def test_empty_table(spark):
     assert chat.rotate(frame(spark, [])).count() == 0

@@ -47,6 +47,30 @@ def test_untouched_buckets_are_not_rewritten(spark):
     assert len(before - files()) == 1 and store.read(spark, root).count() == 500
 
 
+def test_full_buckets_split_and_the_others_stay(spark, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(store, "FIRST_BITS", 1)
+    root = scratch_path(spark, "store")
+    at = lambda i, w: (f"c{i}", float(w))
+    want, bits = {}, []
+    for n, ids in enumerate((range(30), range(25, 120), [5], range(110, 240))):
+        before = store._latest(spark, root) or (0, {})
+        store.upsert_into(root, spark.createDataFrame([at(i, n) for i in ids], "id string, weight double"))
+        want |= dict(at(i, n) for i in ids)
+        assert dict(store.read(spark, root).select("id", "weight").collect()) == want
+        live = store._latest(spark, root)[1]
+        bits.append(max(b.bit_length() - 1 for b in live))
+        if len(ids) == 1:  # one bucket was written, and only it
+            assert [b for b in live if live[b] != before[1].get(b)] == [
+                b for b, v in live.items() if v == n + 1] and list(live.values()).count(n + 1) == 1
+    assert bits[0] == store.FIRST_BITS < bits[1] < bits[3]
+    rows = store.read(spark, root).groupBy("bucket").count().collect()
+    assert max(r["count"] for r in rows) <= 3 * 20
+    # Every row lies where a later upsert looks for it.
+    held = store.read(spark, root).withColumnRenamed("bucket", "stored")
+    assert store._bucketed(held, live).filter("bucket <> stored").count() == 0
+
+
 def test_an_upsert_that_fails_midway_is_never_seen(spark, monkeypatch):
     """Neither while its rows are written nor before its manifest row."""
     root = scratch_path(spark, "store")

@@ -6,7 +6,7 @@ import pytest
 
 from quaystack.operators import store
 from quaystack.plans import upload
-from quaystack.schema import YardSpec
+from quaystack.schema import RAW_COLUMNS, RAW_SCHEMA, YardSpec
 from quaystack.session import scratch_path
 from quaystack.sources import bronze
 
@@ -54,6 +54,11 @@ def ends(spark, root, number):
     return {(r["kind"], r["id"]): (r["audit"], r["outcome"]) for r in rows}
 
 
+def test_landed_schema_leaves_the_raw_one_alone():
+    assert RAW_SCHEMA.names == [f.name for f in RAW_SCHEMA.fields] == RAW_COLUMNS
+    assert upload.LANDED.names == RAW_COLUMNS + ["upload", "kind", "yard_id"]
+
+
 def test_uploads_all_or_nothing(spark, monkeypatch):
     landing, root = scratch_path(spark, "landing"), scratch_path(spark, "terminal")
     with pytest.raises(ValueError):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quaystack.functions import location
 from quaystack.functions.parse import normalise_type, parse_departure, round_half_up, to_double, to_size
+from quaystack.schema import DEPARTURE_FORMATS
 
 
 def _one_col(spark, values, expr):
@@ -52,3 +53,14 @@ def test_format_parse_roundtrip(spark):
 def test_round_half_up(spark):
     df = spark.createDataFrame([(1.005,), (2.5,), (76.25,)], "x double")
     assert [r[0] for r in df.select(round_half_up("x", 1)).collect()] == [1.0, 2.5, 76.3]
+
+
+def test_departure_formats_are_tried_only_on_text_with_their_separator(spark):
+    """Any case of T, and texts with several separators, parse as before."""
+    texts = ["2026-03-05t08:00:00", "12/31/2026 23:59", "2026-03-08 1:00:00", "2026-3-6", "x/y", "T", "-", " ", "", None]
+    old = lambda c: F.coalesce(F.try_to_timestamp(c), *[
+        F.try_to_timestamp(c, F.lit(f)) for f in DEPARTURE_FORMATS])
+    assert _one_col(spark, texts, parse_departure) == _one_col(spark, texts, old)
+    plan = spark.range(1).select(parse_departure(F.col("id").cast("string")).alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("contains(") == len(DEPARTURE_FORMATS)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

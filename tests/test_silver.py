@@ -64,3 +64,20 @@ def test_tier_risks_add_up_to_the_flagged_rows(spark):
     kpi = gold.stacking_kpi(clean, 4).first()
     assert kpi["rehandle_risk_count"] == flagged.agg(F.sum("is_rehandle_risk")).first()[0]
     assert tuple(gold.stacking_kpi(clean.limit(0), 4).first()) == (0, 0, 0.0)
+
+
+def test_rows_are_shuffled_once_and_hot_ids_stay_in_place(spark, monkeypatch):
+    """Labels by rank, and by aggregate for ids of many rows, ties included."""
+    rows = [(f"h{i % 3}", "20", "10", f"2026-03-0{1 + i % 5}", "import", None, i // 2) for i in range(60)]
+    rows += [(f"r{i}", "20", "10", "2026-03-05", "import", None, 1) for i in range(20)]
+    raw = spark.createDataFrame(rows, RAW).withColumn("_ingestion_time", F.current_timestamp()) \
+        .withColumn("_rk", F.col("seq"))
+    label = lambda: silver.process(raw, ["departure_time", "seq"], keep=["seq"]).labelled
+    by_rank = label()
+    plan = by_rank._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    want = sorted(map(str, by_rank.select("id", "seq", "departure_time", "anomaly_reason").collect()))
+    assert len(want) == 80 and sum("DUPLICATE_ID" in r for r in want) == 60 - 3
+    monkeypatch.setattr(silver, "HOT", 5)
+    by_key = label()
+    assert sorted(map(str, by_key.select("id", "seq", "departure_time", "anomaly_reason").collect())) == want

@@ -120,3 +120,16 @@ def test_uploads_all_or_nothing(spark, monkeypatch):
     assert {("a", 0, "A", 1, 1, 1), ("b", 0, "A", 1, 1, 2), ("d", 0, "S2", 1, 1, 1)} <= again
     assert {r["id"] for r in upload.stored(spark, root).collect()} == set("abcde")
     assert store.read_live(spark, f"{root}/store", upload.current(spark, root).live).count() == 8
+
+
+def test_records_of_several_landings_are_derived_once(spark, monkeypatch):
+    from quaystack.plans import catalog
+    from tests.conftest import SF_SMALL
+    calls = []
+    raw = catalog.ctx.raw
+    monkeypatch.setattr(catalog.ctx, "raw", lambda *a: calls.append(a) or raw(*a))
+    rows = catalog._records(spark, SF_SMALL)
+    for batch in ("snapshot", "arrivals"):
+        plan = rows.filter(f"batch = '{batch}'")._jdf.queryExecution().executedPlan().toString()
+        assert "lineitem" not in plan and "Join" not in plan
+    assert len(calls) == 1 and rows.count() == raw(spark, SF_SMALL).count()

@@ -2,11 +2,12 @@
 
 import glob
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from quaystack.operators import placement, ranking
+from quaystack.operators import placement, ranking, store
 from quaystack.schema import YardSpec
-from quaystack.session import scratch_path
+from quaystack.session import fine_shuffles, scratch_path
 from quaystack.sources import bronze
 
 
@@ -44,3 +45,17 @@ def test_landed_upload_has_no_file_a_yard(spark):
             .option("nullValue", "").option("basePath", landing).csv(landing))
     assert {(r["id"], r["upload"], r["kind"], r["yard_id"]) for r in back.collect()} == {
         (str(i), 3, "snapshot", i or None) for i in range(60)}
+
+
+def test_records_are_shuffled_into_many_partitions(spark):
+    from quaystack.operators import silver
+    raw = spark.createDataFrame([("a", "20", "10", "2026-03-05", "import", None, 1)],
+                                "id string, size string, weight string, departure_time string, type string, "
+                                "slot string, seq int").withColumn("_ingestion_time", F.current_timestamp())
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert spark.conf.get(key, None) is None
+    with fine_shuffles(spark):
+        assert int(spark.conf.get(key)) >= 1024
+        labelled = silver.process(raw.withColumn("_rk", F.col("seq")), ["seq"], keep=["seq"]).labelled
+        assert "1024" in labelled._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get(key, None) is None

@@ -59,3 +59,24 @@ def test_records_are_shuffled_into_many_partitions(spark):
         labelled = silver.process(raw.withColumn("_rk", F.col("seq")), ["seq"], keep=["seq"]).labelled
         assert "1024" in labelled._jdf.queryExecution().executedPlan().toString()
     assert spark.conf.get(key, None) is None
+
+
+def test_partitioned_sink_has_a_file_a_folder(spark):
+    """Few, split shuffle partitions would each write a file in many folders."""
+    from quaystack.operators import silver
+    rows = spark.range(4000, numPartitions=4).select(
+        F.col("id").cast("string").alias("id"), F.lit("import").alias("type"),
+        F.date_add(F.lit("2026-03-01").cast("date"), (F.col("id") % 40).cast("int")).alias("departure_date"),
+        F.sha2(F.col("id").cast("string"), 512).alias("text"))
+    usual = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+    was = {k: spark.conf.get(k) for k in usual}
+    path = scratch_path(spark, "silver")
+    try:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+        silver.write_silver(rows, path)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert spark.read.parquet(path).count() == 4000
+    assert len(glob.glob(f"{path}/**/*.parquet", recursive=True)) < 60  # two folders may share a split partition

@@ -47,6 +47,26 @@ def test_landed_upload_has_no_file_a_yard(spark):
         (str(i), 3, "snapshot", i or None) for i in range(60)}
 
 
+def test_fold_counts_no_rehandles_where_nothing_leaves_earlier(monkeypatch):
+    cols = ["id", "weight", "block_id", "bay", "row", "tier", "outcome", "stage", "_n"]
+    seats = pd.DataFrame([("A", 1, 1, True, 0, 0.0, 0, None, []), ("A", 1, 2, True, 0, 0.2, 1, 9.0, [50]),
+                          ("S1", 1, 1, False, 4, 0.4, 0, None, [])],
+                         columns=["block_id", "bay", "row", "primary", "block_index", "distance", "height",
+                                  "top_weight", "departures"])
+    todo = pd.DataFrame({"id": list("abcd"), "weight": [20.0, 25.0, 8.0, 8.0], "_departure": [90, 80, 60, 40],
+                         "_n": [1, 2, 3, 4]})
+    searched, search = [], placement._Piles.cheapest
+    monkeypatch.setattr(placement._Piles, "cheapest",
+                        lambda self, *a: searched.append(a[1]) or search(self, *a))
+    out = placement.settle(todo, seats, cols, 2)
+    assert list(out[["id", "block_id", "row", "tier", "stage"]].itertuples(index=False, name=None)) == [
+        ("a", "A", 1, 1, 1), ("b", "S1", 1, 1, 2), ("c", "A", 1, 2, 1), ("d", "A", 2, 2, 1)]
+    assert searched == []
+    heavy = pd.DataFrame({"id": ["e"], "weight": [8.0], "_departure": [70], "_n": [1]})
+    out = placement.settle(heavy, seats[1:2], cols, 2)  # leaves after what stands there
+    assert (out["outcome"][0], out["stage"][0], searched) == ("PLACED_PRIMARY_RELAXED", 3, [70])
+
+
 def test_records_are_shuffled_into_many_partitions(spark):
     from quaystack.operators import silver
     raw = spark.createDataFrame([("a", "20", "10", "2026-03-05", "import", None, 1)],

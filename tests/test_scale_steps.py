@@ -67,6 +67,20 @@ def test_fold_counts_no_rehandles_where_nothing_leaves_earlier(monkeypatch):
     assert (out["outcome"][0], out["stage"][0], searched) == ("PLACED_PRIMARY_RELAXED", 3, [70])
 
 
+def test_store_orders_each_row_once(spark, monkeypatch):
+    """Only ids whose last row misses a field are looked through by field."""
+    rows = [("one", 5.0, None, 1), ("two", 1.0, "A", 1), ("two", 2.0, "B", 2), ("gap", 1.0, "C", 1),
+            ("gap", 3.0, None, 2), (None, None, "D", 1), (None, 4.0, None, 2)]
+    batch = spark.createDataFrame(rows, "id string, weight double, slot string, seq int")
+    want = {("one", 5.0, None), ("two", 2.0, "B"), ("gap", 3.0, "C"), (None, 4.0, "D")}
+    full = store.last_per_id(batch, ["seq"])
+    assert {(r["id"], r["weight"], r["slot"]) for r in full.collect()} == want
+    plain = store.last_per_id(batch.filter("id in ('one', 'two')"), ["seq"])
+    assert {(r["id"], r["weight"], r["slot"]) for r in plain.collect()} == {("one", 5.0, None), ("two", 2.0, "B")}
+    assert "max_by" not in plain._jdf.queryExecution().executedPlan().toString()
+    assert store.last_per_id(batch.limit(0), []).count() == 0
+
+
 def test_records_are_shuffled_into_many_partitions(spark):
     from quaystack.operators import silver
     raw = spark.createDataFrame([("a", "20", "10", "2026-03-05", "import", None, 1)],

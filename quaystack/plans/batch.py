@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quaystack.operators import gold, silver, store, yard
 from quaystack.schema import YardSpec
-from quaystack.session import materialise
+from quaystack.session import materialise, small_tasks
 from quaystack.sources import bronze
 from quaystack.streaming.ingest import FILE_ORDER
 
@@ -22,7 +22,8 @@ def run(spark: SparkSession, landing: str, out: str, spec: YardSpec, stamp: str,
     """Ingest the files of ``landing`` for one yard; returns the run's report."""
     raw = bronze.write_batch(bronze.ingest(spark, landing), f"{out}/bronze")
     bronze.archive(raw.drop("_rk"), f"{out}/archive")
-    res = silver.SilverResult(materialise(silver.process(raw, FILE_ORDER).labelled, "batch-labelled"))
+    with small_tasks(spark):
+        res = silver.SilverResult(materialise(silver.process(raw, FILE_ORDER).labelled, "batch-labelled"))
     clean = res.clean.drop("_rk")
     silver.append_anomalies(res.anomalies.drop("_rk"), f"{out}/anomalies")
     gold.write_summary(clean, f"{out}/gold")

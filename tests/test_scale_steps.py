@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quaystack.operators import placement, ranking, store
 from quaystack.schema import YardSpec
-from quaystack.session import fine_shuffles, scratch_path
+from quaystack.session import TASK_BYTES, fine_shuffles, scratch_path, small_tasks
 from quaystack.sources import bronze
 
 
@@ -114,3 +114,58 @@ def test_partitioned_sink_has_a_file_a_folder(spark):
             spark.conf.set(k, v)
     assert spark.read.parquet(path).count() == 4000
     assert len(glob.glob(f"{path}/**/*.parquet", recursive=True)) < 60  # two folders may share a split partition
+
+
+def test_small_tasks_bound_what_a_task_takes(spark):
+    advisory, split = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
+    hashed = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    usual = {k: spark.conf.get(k) for k in (advisory, split, hashed)}
+    try:
+        spark.conf.set(split, "20k")  # a smaller one stays
+        with small_tasks(spark):
+            assert [int(spark.conf.get(k)) for k in (advisory, hashed, split)] == [TASK_BYTES, TASK_BYTES, 20 << 10]
+        assert spark.conf.get(split) == "20k" and spark.conf.get(advisory) == usual[advisory]
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+
+
+def test_silver_step_hashes_the_small_side_of_its_join(spark, monkeypatch):
+    """Whole records are not sorted to be joined."""
+    from quaystack.plans import context
+    from tests.conftest import SF_SMALL
+    plans, keep = [], context.materialise
+
+    def stored(df, name, *a):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0])
+        return keep(df, name, *a)
+
+    monkeypatch.setattr(context, "materialise", stored)
+    monkeypatch.setattr(context, "_MATERIALISED", {})
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        context.silver(spark, SF_SMALL)
+    finally:
+        spark.conf.set(key, usual)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
+def test_row_positions_are_one_number_in_the_order_of_files_and_rows(spark):
+    from quaystack.sources.fixtures import positions
+    path = scratch_path(spark, "rows")
+    spark.range(0, 40, numPartitions=4).write.parquet(path)
+
+    def read(at):
+        return spark.read.parquet(at).select("id", F.col("_metadata.file_path").alias("f"),
+                                             F.col("_metadata.row_index").alias("r"))
+
+    for at in (path, glob.glob(f"{path}/*.parquet")[0]):
+        got = positions(read(at), "f", "r", "_rk")
+        assert dict(got.dtypes)["_rk"] == "bigint" and got.columns == ["id", "_rk"]
+        assert [r["id"] for r in got.orderBy("_rk").collect()] == [r["id"] for r in read(at).orderBy("f", "r").collect()]
+        assert got.select("_rk").distinct().count() == got.count() == read(at).count()

@@ -5,7 +5,7 @@ import glob
 import pandas as pd
 from pyspark.sql import functions as F
 
-from quaystack.operators import placement, ranking, store
+from quaystack.operators import placement, ranking, rules, store, yard
 from quaystack.schema import YardSpec
 from quaystack.session import TASK_BYTES, fine_shuffles, scratch_path, small_tasks
 from quaystack.sources import bronze
@@ -169,3 +169,31 @@ def test_row_positions_are_one_number_in_the_order_of_files_and_rows(spark):
         assert dict(got.dtypes)["_rk"] == "bigint" and got.columns == ["id", "_rk"]
         assert [r["id"] for r in got.orderBy("_rk").collect()] == [r["id"] for r in read(at).orderBy("f", "r").collect()]
         assert got.select("_rk").distinct().count() == got.count() == read(at).count()
+
+
+def test_slots_are_found_without_being_shuffled(spark, monkeypatch):
+    """Only containers and the stored zones are; equal ones have equal slots."""
+    stored, keep = [], rules.materialise
+    monkeypatch.setattr(rules, "materialise", lambda df, name, *a: stored.append(name) or keep(df, name, *a))
+    spec = YardSpec(max_height=7)
+    when = F.to_timestamp("departure_time").alias("departure_time")
+    occupied = spark.createDataFrame(
+        [(0, "A", 1, 1, 1, "x", 20, 30.0, "import", "2026-03-09")],
+        "yard_id long, block_id string, bay int, row int, tier int, id string, size int, weight double, type string, "
+        "departure_time string").withColumn("departure_time", when)
+    piles = yard.all_piles(spark.range(1).select(F.col("id").alias("yard_id")), None, occupied, spec)
+    todo = spark.createDataFrame(
+        [("a", 0, 20, 5.0, "2026-03-05"), ("b", 0, 20, 5.0, "2026-03-05"), ("late", 0, 20, 5.0, "2026-03-10"),
+         ("n", 0, 20, None, "2026-03-05"), ("m", 0, 20, 5.0, None), ("o", 7, 20, 5.0, "2026-03-05")],
+        "id string, yard_id long, size int, weight double, departure_time string").withColumn("departure_time", when)
+    found = rules.top_k_slots(todo, piles, spec, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert stored == ["zones"]
+    assert plan.count("Exchange hashpartitioning(yard_id") == plan.count("Exchange") == 2
+    assert "Aggregate" not in plan and "Broadcast" not in plan
+    got = {}
+    for r in found.orderBy("rank").collect():
+        got.setdefault(r["id"], []).append((r["stage"], r["block_id"], r["bay"], r["row"], r["tier"]))
+    assert set(got) == {"a", "b", "late"} and all(len(v) == 2 for v in got.values())
+    assert got["a"] == got["b"] and (1, "A", 1, 1, 1) not in got["a"] + got["late"]
+    assert (1, "A", 1, 1, 2) not in got["late"]
